@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from geneweft.functions.values import canonical_json, pick_first
+from geneweft.functions.values import canonical_json, pick_first, pick_present, present
 
 # fixed values: synonyms of each promoted field, in order of preference
 FIELD_KEYS = {
@@ -27,8 +27,8 @@ WRAPPER_KEYS = ("ucf", "UCF", "data", "entries", "objects", "components")
 
 
 def field(fields: Column, name: str) -> Column:
-    """A promoted field of a component by its synonyms."""
-    return pick_first(fields, *FIELD_KEYS[name])
+    """A promoted field by its synonyms, out of a map without empty values."""
+    return pick_present(fields, *FIELD_KEYS[name])
 
 
 def is_gate(collection: Column) -> Column:
@@ -76,7 +76,8 @@ def response_function(value: Column) -> Column:
 
 
 def toxicity_burden(fields: Column) -> Column:
+    held = present(fields)
     return F.struct(
-        field(fields, "toxicity").alias("toxicity"),
-        field(fields, "metabolic_burden").alias("metabolic_burden"),
+        field(held, "toxicity").alias("toxicity"),
+        field(held, "metabolic_burden").alias("metabolic_burden"),
     )

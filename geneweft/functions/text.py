@@ -12,15 +12,16 @@ from geneweft.config import (
     PARAGRAPH_WORDS,
     TOGGLE_WORDS,
 )
-from geneweft.functions.values import contains_any
+from geneweft.functions.values import contains_any, is_json
 
 ERROR_PREFIX = "ERROR:"
+BLANK = " \n\r\t"
 
 
 def strip_fences(text: Column) -> Column:
     """Remove a leading code fence (with or without ``json``) and a trailing one, then trim."""
     opened = F.regexp_replace(F.trim(text), r"^```(json)?", "")
-    return F.trim(F.regexp_replace(opened, r"```$", ""), F.lit(" \n\r\t"))
+    return F.trim(F.regexp_replace(opened, r"```$", ""), F.lit(BLANK))
 
 
 def json_slice(text: Column) -> Column:
@@ -41,7 +42,7 @@ def extract_proposals(text: Column) -> Column:
     has_braces = F.contains(text, F.lit("{")) & piece.startswith("{")
     return (
         F.when(~has_braces, F.array(text))
-        .when(F.try_parse_json(piece).isNull(), None)
+        .when(~is_json(piece), None)
         .when(F.size(objects) > 0, objects)
         .otherwise(F.array(piece))
     )
@@ -62,8 +63,8 @@ def validate_hdl(code: Column) -> Column:
         .when(~code.contains("input "), F.lit("missing input"))
         .when(~code.contains("output "), F.lit("missing output"))
         .when(~has_logic, F.lit("missing logic"))
-        .when(code.rlike(r"\balways\b"), F.lit("forbidden always"))
-        .when(code.rlike(r"\breg\b"), F.lit("forbidden reg"))
+        .when(code.rlike(r"(?U)\balways\b"), F.lit("forbidden always"))
+        .when(code.rlike(r"(?U)\breg\b"), F.lit("forbidden reg"))
         .when(code.contains("#"), F.lit("forbidden delay"))
     )
 
@@ -102,7 +103,7 @@ def relevant_paragraphs(text: Column, words: tuple[str, ...] = PARAGRAPH_WORDS,
 
 
 def truncate_context(text: Column, max_chars: int = 2400) -> Column:
-    return F.substring(F.trim(text), 1, max_chars)
+    return F.substring(F.trim(text, F.lit(BLANK)), 1, max_chars)
 
 
 # fixed values: character references decoded in page text; the ampersand comes last
@@ -137,5 +138,5 @@ def html_text(html: Column, keep_scripts: bool = False) -> Column:
     body = F.regexp_replace(body, r"(?s)<[!/?A-Za-z][^>]*>", BOUNDARY)
     for entity, char in ENTITIES:
         body = F.replace(body, F.lit(entity), F.lit(char))
-    nodes = F.transform(F.split(body, BOUNDARY), lambda s: F.trim(s, F.lit(" \n\r\t")))
+    nodes = F.transform(F.split(body, BOUNDARY), lambda s: F.trim(s, F.lit(BLANK)))
     return F.array_join(F.filter(nodes, lambda s: s != ""), "\n")

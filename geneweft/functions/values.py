@@ -12,9 +12,19 @@ def nullif_empty(value: Column) -> Column:
     return F.when(text.isNull() | text.isin("", "[]", "{}"), None).otherwise(text)
 
 
+def present(fields: Column) -> Column:
+    """A ``map<string,string>`` without the keys whose value stands for nothing."""
+    return F.map_filter(fields, lambda _, v: v.isNotNull() & ~v.isin("", "[]", "{}"))
+
+
+def pick_present(fields: Column, *keys: str) -> Column:
+    """The first key found in a map that went through :func:`present`."""
+    return F.coalesce(*[F.try_element_at(fields, F.lit(k)) for k in keys])
+
+
 def pick_first(fields: Column, *keys: str) -> Column:
     """The first key of a ``map<string,string>`` whose value is present and not empty."""
-    return F.coalesce(*[nullif_empty(F.try_element_at(fields, F.lit(k))) for k in keys])
+    return pick_present(present(fields), *keys)
 
 
 def pick_first_of(*columns: Column) -> Column:
@@ -29,6 +39,17 @@ def as_list(value: Column, is_list: bool = False) -> Column:
     return F.array_compact(F.array(value))
 
 
+def is_json(text: Column) -> Column:
+    """True for text that is one whole JSON value.
+
+    The parser stops after the first value and ignores what follows, so the text is read
+    inside a list and inside an object: trailing text breaks at least one of them.
+    """
+    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.coalesce(in_list & in_object & (F.trim(text) != ""), F.lit(False))
+
+
 def canonical_json(text: Column) -> Column:
     """JSON with the keys of every object sorted; text that is not JSON is returned unchanged."""
     return F.coalesce(F.to_json(F.try_parse_json(text)), text)

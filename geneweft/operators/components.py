@@ -12,9 +12,8 @@ from geneweft.functions.components import (
     component_role,
     field,
     response_function,
-    toxicity_burden,
 )
-from geneweft.functions.values import canonical_json, content_id, nullif_empty, pick_first_of
+from geneweft.functions.values import canonical_json, content_id, is_json, nullif_empty, pick_first_of, pick_present, present
 
 ITEM = "map<string,string>"
 
@@ -27,15 +26,15 @@ def parse_components(files: DataFrame, text: str = "content") -> tuple[DataFrame
     object is dropped. Other top levels and broken JSON go to the second result.
     """
     body = F.trim(F.regexp_replace(F.col(text), "^﻿", ""), F.lit(" \n\r\t"))
-    valid = F.try_parse_json(body).isNotNull()
     shaped = files.withColumn("_body", body).withColumn(
-        "_usable", F.coalesce(valid & F.substring(body, 1, 1).isin("[", "{"), F.lit(False))
+        "_usable", is_json(F.col("_body")) & F.substring("_body", 1, 1).isin("[", "{")
     )
     broken = shaped.where(~F.col("_usable")).drop("_body", "_usable")
 
-    members = F.from_json("_body", ITEM)
-    wrapped = F.coalesce(*[nullif_empty(F.try_element_at(members, F.lit(k))) for k in WRAPPER_KEYS])
-    values = F.map_values(members)
+    shaped = shaped.withColumn("_members", F.from_json("_body", ITEM)).withColumn(
+        "_wrapped", pick_present(present(F.col("_members")), *WRAPPER_KEYS)
+    )
+    wrapped, values = F.col("_wrapped"), F.map_values("_members")
     flattened = F.flatten(
         F.transform(
             F.filter(values, lambda v: v.isNotNull()),
@@ -47,26 +46,23 @@ def parse_components(files: DataFrame, text: str = "content") -> tuple[DataFrame
         .when(wrapped.startswith("["), F.from_json(wrapped, "array<string>"))
         .otherwise(flattened)
     )
-    records = (
-        shaped.where("_usable")
-        .select(*files.drop(text).columns, F.posexplode(items).alias("pos", "raw"))
-        .where(F.col("raw").startswith("{"))
-    )
-    return promote_fields(records), broken
+    # texts that are not usable explode to nothing, so no filter is pushed below the parsing
+    items = F.when(F.col("_usable"), items)
+    records = shaped.select(*files.drop(text).columns, F.posexplode(items).alias("pos", "raw"))
+    return promote_fields(records.where(F.col("raw").startswith("{"))), broken
 
 
 def promote_fields(records: DataFrame) -> DataFrame:
     """Typed component columns from the JSON text in ``raw``."""
-    fields = F.from_json("raw", ITEM)
-    tb = toxicity_burden(F.col("_fields"))
+    fields = present(F.from_json("raw", ITEM))
     direct = ("name", "organism", "gate_type", "gate_family", "sensor_type", "output_type", "description")
     return (
         records.withColumn("_fields", fields)
         .withColumns({n: field(F.col("_fields"), n) for n in direct})
         .withColumn("collection", F.coalesce(F.trim(field(F.col("_fields"), "collection")), F.lit("")))
         .withColumn("response", response_function(field(F.col("_fields"), "response")))
-        .withColumn("toxicity", canonical_json(tb["toxicity"]))
-        .withColumn("metabolic_burden", canonical_json(tb["metabolic_burden"]))
+        .withColumn("toxicity", canonical_json(field(F.col("_fields"), "toxicity")))
+        .withColumn("metabolic_burden", canonical_json(field(F.col("_fields"), "metabolic_burden")))
         .drop("_fields")
     )
 
@@ -82,30 +78,33 @@ def with_all_fields(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, labels: dict[str, str] = COMPONENT_TEXT) -> DataFrame:
     """Add ``role`` and ``document``, the description of a component; missing pieces vanish."""
     df = with_all_fields(df)
-    collection = F.coalesce(nullif_empty(F.col("collection")), F.lit(""))
-    role = component_role(collection)
+    kept = df.columns
 
     def fill(key: str, *parts: Column) -> Column:
         return F.format_string(labels[key], *parts)
 
-    gate_type = pick_first_of(F.col("gate_type"), F.when(role == "gate", F.col("gate_family")))
-    subject = {
-        "gate": gate_type,
-        "output": pick_first_of(F.col("output_type")),
-        "sensor": pick_first_of(F.col("sensor_type")),
-    }
-    function = F.lit(labels["component"])
-    role_text = F.lit(labels["role_component"])
+    # every piece is a column of its own before it is used, so that no expression is repeated
+    prepared = (
+        df.withColumns({f"_{n}": pick_first_of(F.col(n)) for n in
+                        ("name", "organism", "gate_type", "gate_family", "output_type", "sensor_type", "description",
+                         "toxicity", "metabolic_burden")})
+        .withColumn("_collection", F.coalesce(nullif_empty(F.col("collection")), F.lit("")))
+        .withColumn("role", component_role(F.col("_collection")))
+        .withColumn(
+            "_subject",
+            F.when(F.col("role") == "gate", F.coalesce("_gate_type", "_gate_family"))
+            .when(F.col("role") == "output", F.col("_output_type"))
+            .when(F.col("role") == "sensor", F.col("_sensor_type")),
+        )
+    )
+    function, role_text = F.lit(labels["component"]), F.lit(labels["role_component"])
     for name in ("sensor", "output", "gate"):
-        sentence = F.when(subject[name].isNotNull(), fill(f"{name}_of", subject[name])).otherwise(F.lit(labels[name]))
-        function = F.when(role == name, sentence).otherwise(function)
-        role_text = F.when(role == name, F.lit(labels[f"role_{name}"])).otherwise(role_text)
-
-    name = F.coalesce(F.trim(pick_first_of(F.col("name"))), F.lit(labels["unnamed"]))
-    host = F.coalesce(pick_first_of(F.col("organism")), F.lit(labels["unspecified_host"]))
-    shown = F.when(collection == "", F.lit(labels["unknown_collection"])).otherwise(collection)
-    note = pick_first_of(F.col("description"))
-    toxicity, burden = pick_first_of(F.col("toxicity")), pick_first_of(F.col("metabolic_burden"))
+        here = F.col("role") == name
+        known = fill(f"{name}_of", F.col("_subject"))
+        function = F.when(here & F.col("_subject").isNotNull(), known).when(here, F.lit(labels[name])).otherwise(function)
+        role_text = F.when(here, F.lit(labels[f"role_{name}"])).otherwise(role_text)
+
+    shown = F.when(F.col("_collection") == "", F.lit(labels["unknown_collection"])).otherwise(F.col("_collection"))
     response = F.col("response")
     other = F.coalesce(
         response["raw"],
@@ -114,20 +113,17 @@ def describe(df: DataFrame, labels: dict[str, str] = COMPONENT_TEXT) -> DataFram
     both = response["equation"].isNotNull() & response["parameters"].isNotNull()
     document = F.concat_ws(
         " ",
-        fill("name", name),
+        fill("name", F.coalesce(F.trim("_name"), F.lit(labels["unnamed"]))),
         fill("type", shown, role_text),
-        fill("function", function, host),
-        F.when(note.isNotNull(), fill("note", F.trim(note))),
-        F.when(
-            response.isNotNull(),
-            F.when(both, fill("response_equation", response["equation"], response["parameters"])).otherwise(
-                fill("response_other", other)
-            ),
+        fill("function", function, F.coalesce("_organism", F.lit(labels["unspecified_host"]))),
+        F.when(F.col("_description").isNotNull(), fill("note", F.trim("_description"))),
+        F.when(both, fill("response_equation", response["equation"], response["parameters"])).when(
+            response.isNotNull(), fill("response_other", other)
         ),
-        F.when(toxicity.isNotNull(), fill("toxicity", toxicity)),
-        F.when(burden.isNotNull(), fill("burden", burden)),
+        F.when(F.col("_toxicity").isNotNull(), fill("toxicity", F.col("_toxicity"))),
+        F.when(F.col("_metabolic_burden").isNotNull(), fill("burden", F.col("_metabolic_burden"))),
     )
-    return df.withColumn("role", role).withColumn("document", document)
+    return prepared.withColumn("document", document).select(*kept, "role", "document")
 
 
 def select_components(df: DataFrame, labels: dict[str, str] = COMPONENT_TEXT) -> DataFrame:

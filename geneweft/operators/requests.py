@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geneweft.functions.text import is_error
+from geneweft.functions.values import is_json
 
 BLANK = " \n\r\t"
 
@@ -26,7 +27,7 @@ def validate_requests(df: DataFrame, arguments: str = "arguments", query: str =
     """Query and result count out of JSON arguments; every failure has its own error text."""
     text = F.when(F.coalesce(F.col(arguments), F.lit("")) == "", F.lit("{}")).otherwise(F.col(arguments))
     fields = F.from_json(text, "map<string,string>")
-    bad_json = F.try_parse_json(text).isNull() | fields.isNull()
+    bad_json = ~is_json(text) | fields.isNull()
     asked = F.trim(F.coalesce(F.try_element_at(fields, F.lit(query)), F.lit("")), F.lit(BLANK))
     raw_n = F.try_element_at(fields, F.lit("n_results"))
     n = F.when(F.map_contains_key(fields, "n_results"), F.trim(raw_n).try_cast("double").try_cast("int")).otherwise(F.lit(default_n))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geneweft.config import COMPONENT_WORDS
 from geneweft.functions.values import contains_any
@@ -28,7 +29,7 @@ BLOCK_ROWS = 4096
 
 def embed(df: DataFrame, fn: Callable[[list[str]], list[list[float]]], text: str = "document", batch: int = 64) -> DataFrame:
     """Add ``embedding`` by calling ``fn`` on at most ``batch`` texts at a time, inside the tasks."""
-    schema = df.schema.add("embedding", "array<float>")
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

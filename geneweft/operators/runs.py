@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geneweft.functions.text import strip_fences
+from geneweft.functions.values import is_json
 from geneweft.operators.skew import concat_pages, index_points
 from geneweft.schemas import DECISION
 
@@ -24,7 +25,7 @@ def parse_decision(df: DataFrame, response: str = "response", candidates: str =
     """
     cleaned = strip_fences(F.col(response))
     raw = F.from_json(cleaned, DECISION)
-    malformed = F.coalesce(~F.try_parse_json(cleaned).isNotNull() | ~cleaned.startswith("{"), F.lit(True))
+    malformed = ~(is_json(cleaned) & F.coalesce(cleaned.startswith("{"), F.lit(False)))
     d = df.withColumn("_d", raw).withColumn("malformed", malformed)
     decided = ~F.col("malformed")
     index = F.col("_d.selected_index").try_cast("int")

@@ -55,16 +55,3 @@ def concat_pages(
         .withColumn(out, F.array_join(F.transform("_rows", lambda r: r["t"]), sep))
         .drop("_rows")
     )
-
-
-def salted_lookup(
-    rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = 16
-) -> DataFrame:
-    """Join rows to a lookup table of one row per key, with every key spread over ``salts`` tasks.
-
-    ``spread`` is any integer that varies among the rows of one key. The table is copied once
-    per salt, so it should be much smaller than the rows.
-    """
-    salted = rows.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

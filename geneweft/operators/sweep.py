@@ -14,7 +14,7 @@ def truth_table(designs: DataFrame, inputs: str = "inputs") -> DataFrame:
     """All 0/1 assignments of each design's inputs in order; a design without inputs has one default state."""
     names = F.coalesce(F.col(inputs), F.array().cast("array<string>"))
     n = F.size(names)
-    last = F.shiftleft(F.lit(1).cast("long"), n) - 1
+    last = F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
     numbered = designs.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     bits = F.lpad(F.bin(F.col("_i")), F.col("_n"), F.lit("0"))
     values = F.transform(

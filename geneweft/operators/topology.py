@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geneweft.functions.values import pick_first_of
-from geneweft.operators.skew import salted_lookup
 from geneweft.schemas import NETLIST
 
 
@@ -57,7 +56,8 @@ def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     An end matches a node by id or by name, and the first node in order wins. The nodes are
     first reduced to one row per (design, id or name), so an edge meets one row per end and
-    no OR condition is joined; edges are spread by position, so a hub node is no hot key.
+    no OR condition is joined. The edges of a hub node or a huge design land on one key; the
+    lookup side has one row there, so adaptive execution splits such a partition freely.
     """
     carried = F.struct(
         F.col("node_id"), display_name().alias("shown"), F.col("node_type"), F.col("parameters")
@@ -73,7 +73,7 @@ def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     def attach(rows: DataFrame, end: str) -> DataFrame:
         table = first.select("design_id", F.col("key").alias(f"{end}_id"), F.col("node").alias(f"{end}_node"))
-        return salted_lookup(rows, table, ["design_id", f"{end}_id"], F.col("edge_pos"), "inner")
+        return rows.join(table, ["design_id", f"{end}_id"])
 
     return attach(attach(edges, "source"), "target")
 
@@ -157,7 +157,7 @@ def expand_topology(
     ).where("sign is not null")
     carried = [c for c in ("params",) if c in snapshots.columns]
     levels = snapshots.select(*at, F.col("species").alias("source"), F.col("protein").alias("level"), *carried)
-    expanded = salted_lookup(levels, signed, ["design_id", "source"], F.xxhash64(*keys), "inner")
+    expanded = levels.join(signed, ["design_id", "source"])
     if inducer_targets is None:
         return expanded.withColumns({"inducer": F.lit(None).cast("string"), "inducer_level": F.lit(None).cast("double")})
     acting = inducer_targets.groupBy(*at, F.col("species").alias("source")).agg(

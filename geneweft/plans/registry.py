@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
-        run.__mod__ = fn.__module__
+        run.__module__ = fn.__module__
         QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql

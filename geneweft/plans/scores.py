@@ -322,7 +322,7 @@ def _report(spark, sf):
 @query(
     "registered_scorers",
     V.with_sql(*VIABLE_SQL)
-    + """select p.design_id, round(p.c_plausibility, 6) as c_plausibility,
+    + """select design_id, round(p.c_plausibility, 6) as c_plausibility,
       round(k.r_kinetic * k.score_temporal * k.p_burden, 6) as kinetic_multiplier
       from plausible p full join kinetic k using (design_id)""",
 )

@@ -82,12 +82,17 @@ def page_lines(pages: DataFrame, failure: str | None = None) -> DataFrame:
     )
 
 
-def read_pending_skills(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Skill records of all ``*.json`` files; a malformed file has its text in ``_corrupt_record``."""
+def read_pending_skills(
+    spark: SparkSession, path: str, streaming: bool = False, multi_line: bool = True
+) -> DataFrame:
+    """Skill records of all ``*.json`` files; a malformed one has its text in ``_corrupt_record``.
+
+    ``multi_line`` is for one record per file; otherwise every line is a record.
+    """
     reader = spark.readStream if streaming else spark.read
     return (
         reader.schema(SKILL_RECORD)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("pathGlobFilter", "*.json")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(path)

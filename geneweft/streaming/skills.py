@@ -56,13 +56,21 @@ def ingest_batch(records: DataFrame, index_path: str, ledger_path: str, rejects_
     rejected_skills(records).write.mode("overwrite").parquet(f"{rejects_path}/batch={batch}")
 
 
-def ingest_skills(spark: SparkSession, path: str, index_path: str, ledger_path: str, rejects_path: str) -> None:
+def ingest_skills(
+    spark: SparkSession, path: str, index_path: str, ledger_path: str, rejects_path: str, multi_line: bool = True
+) -> None:
     """All pending files at once."""
-    ingest_batch(read_pending_skills(spark, path), index_path, ledger_path, rejects_path)
+    ingest_batch(read_pending_skills(spark, path, multi_line=multi_line), index_path, ledger_path, rejects_path)
 
 
 def ingest_skills_stream(
-    spark: SparkSession, path: str, index_path: str, ledger_path: str, rejects_path: str, checkpoint: str
+    spark: SparkSession,
+    path: str,
+    index_path: str,
+    ledger_path: str,
+    rejects_path: str,
+    checkpoint: str,
+    multi_line: bool = True,
 ) -> StreamingQuery:
     """Every file once as it arrives; stops when the folder is used up."""
 
@@ -70,7 +78,7 @@ def ingest_skills_stream(
         ingest_batch(batch, index_path, ledger_path, rejects_path, str(number))
 
     return (
-        read_pending_skills(spark, path, streaming=True)
+        read_pending_skills(spark, path, True, multi_line)
         .writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
