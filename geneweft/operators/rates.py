@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geneweft.config import RateConfig
@@ -10,15 +10,17 @@ from geneweft.functions import kinetics as K
 from geneweft.functions.values import param
 from geneweft.operators.topology import expand_topology
 
-P = F.col("params")
+
+def _param(key: str, species: Column | None, default: float) -> Column:
+    return param(F.col("params"), key, species, default)
 
 
 def edge_activity(expanded: DataFrame, cfg: RateConfig = RateConfig()) -> DataFrame:
     """Hill factor of every (snapshot, interaction); needs ``params`` on the rows."""
-    kd = param(P, "kd", F.col("source"), cfg.kd)
-    n = param(P, "n", F.col("source"), cfg.n)
-    kd_ind = F.coalesce(F.try_element_at(P, F.concat(F.lit("kd_inducer_"), F.col("inducer"))), F.lit(cfg.kd_inducer))
-    n_ind = F.coalesce(F.try_element_at(P, F.concat(F.lit("n_inducer_"), F.col("inducer"))), F.lit(cfg.n_inducer))
+    kd = _param("kd", F.col("source"), cfg.kd)
+    n = _param("n", F.col("source"), cfg.n)
+    kd_ind = F.coalesce(F.try_element_at("params", F.concat(F.lit("kd_inducer_"), F.col("inducer"))), F.lit(cfg.kd_inducer))
+    n_ind = F.coalesce(F.try_element_at("params", F.concat(F.lit("n_inducer_"), F.col("inducer"))), F.lit(cfg.n_inducer))
     active = F.when(
         F.col("inducer").isNotNull(),
         K.active_repressor(F.col("level"), F.coalesce("inducer_level", F.lit(0.0)), kd_ind, n_ind),
@@ -48,8 +50,8 @@ def promoter_activity(
 def resource_load(active: DataFrame, keys: tuple[str, ...], cfg: RateConfig = RateConfig()) -> DataFrame:
     """Sums of polymerase and ribosome binding per snapshot."""
     species = F.col("species")
-    rnap = F.lit(cfg.plasmid) * F.col("activity") / param(P, "km_rnap", species, cfg.km_rnap)
-    ribo = F.col("mrna") / param(P, "km_ribo", species, cfg.km_ribo)
+    rnap = F.lit(cfg.plasmid) * F.col("activity") / _param("km_rnap", species, cfg.km_rnap)
+    ribo = F.col("mrna") / _param("km_ribo", species, cfg.km_ribo)
     return active.groupBy("design_id", *keys).agg(F.sum(rnap).alias("rnap_load"), F.sum(ribo).alias("ribo_load"))
 
 
@@ -67,28 +69,28 @@ def rate_table(
     active = promoter_activity(snapshots, interactions, keys, inducer_targets, cfg)
     rows = active.join(resource_load(active, keys, cfg), ["design_id", *keys])
     s = F.col("species")
-    free_rnap = K.free_pool(param(P, "total_rnap", None, cfg.total_rnap), F.col("rnap_load"))
-    free_ribo = K.free_pool(param(P, "total_ribosomes", None, cfg.total_ribosomes), F.col("ribo_load"))
+    free_rnap = K.free_pool(_param("total_rnap", None, cfg.total_rnap), F.col("rnap_load"))
+    free_ribo = K.free_pool(_param("total_ribosomes", None, cfg.total_ribosomes), F.col("ribo_load"))
     tx = K.transcription(
-        param(P, "transcription_rate", s, cfg.transcription_rate),
-        param(P, "leakage", s, cfg.leakage),
+        _param("transcription_rate", s, cfg.transcription_rate),
+        _param("leakage", s, cfg.leakage),
         F.col("activity"),
         F.col("free_rnap"),
-        param(P, "km_rnap", s, cfg.km_rnap),
+        _param("km_rnap", s, cfg.km_rnap),
     )
     tl = K.translation(
-        param(P, "translation_rate", s, cfg.translation_rate),
+        _param("translation_rate", s, cfg.translation_rate),
         F.col("mrna"),
         F.col("free_ribo"),
-        param(P, "km_ribo", s, cfg.km_ribo),
+        _param("km_ribo", s, cfg.km_ribo),
     )
     return (
         rows.withColumns({"free_rnap": free_rnap, "free_ribo": free_ribo})
         .withColumns({"tx_rate": tx, "tl_rate": tl})
         .withColumns(
             {
-                "d_mrna": F.col("tx_rate") - param(P, "mrna_deg_rate", s, cfg.mrna_deg_rate) * F.col("mrna"),
-                "d_protein": F.col("tl_rate") - param(P, "protein_deg_rate", s, cfg.protein_deg_rate) * F.col("protein"),
+                "d_mrna": F.col("tx_rate") - _param("mrna_deg_rate", s, cfg.mrna_deg_rate) * F.col("mrna"),
+                "d_protein": F.col("tl_rate") - _param("protein_deg_rate", s, cfg.protein_deg_rate) * F.col("protein"),
             }
         )
     )

@@ -11,7 +11,9 @@ from geneweft.config import PENALTY_TEXT, FunctionalConfig, KineticConfig, Verdi
 from geneweft.functions import scores as S
 from geneweft.operators.series import SAMPLE, in_tail, max_burden, rise_time
 
-LEVEL = F.col("value")
+
+def level() -> Column:
+    return F.col("value")
 
 
 # --- joining levels to the truth table ---------------------------------------------------
@@ -32,8 +34,8 @@ def join_spec(
     return wanted.join(levels, [*keys, "state_name"], "left").withColumn("value", F.coalesce("value", F.lit(fill)))
 
 
-def on_off_columns(value: Column = LEVEL) -> list[Column]:
-    on, off = F.col("expected") == 1, F.col("expected") == 0
+def on_off_columns() -> list[Column]:
+    value, on, off = level(), F.col("expected") == 1, F.col("expected") == 0
     return [
         F.coalesce(F.min(F.when(on, value)), F.lit(0.0)).alias("min_on"),
         F.coalesce(F.max(F.when(off, value)), F.lit(0.0)).alias("max_off"),
@@ -59,8 +61,8 @@ def fold_change(matched: DataFrame, rule: str, keys: tuple[str, ...] = ("design_
     """
     if rule == "verdict":
         on = F.col("expected") == 1
-        low = F.coalesce(F.min(F.when(on, LEVEL)), F.lit(float("inf")))
-        high = F.coalesce(F.max(F.when(~on, LEVEL)), F.lit(float("-inf")))
+        low = F.coalesce(F.min(F.when(on, level())), F.lit(float("inf")))
+        high = F.coalesce(F.max(F.when(~on, level())), F.lit(float("-inf")))
         bounds = matched.groupBy(*keys).agg(low.alias("_low"), high.alias("_high"))
         return bounds.select(*keys, _verdict_fold(F.col("_low"), F.col("_high"), zero_off).alias("fold_change"))
     empty = {"functional": 0.0, "kinetic": 1.0}[rule]
@@ -79,7 +81,7 @@ def _verdict_fold(low: Column, high: Column, zero_off: str) -> Column:
 def logic_compliance(
     matched: DataFrame, cfg: FunctionalConfig = FunctionalConfig(), keys: tuple[str, ...] = ("design_id",)
 ) -> DataFrame:
-    term = S.compliance_term(LEVEL, F.col("expected"), cfg)
+    term = S.compliance_term(level(), F.col("expected"), cfg)
     return matched.groupBy(*keys).agg(F.coalesce(F.product(term), F.lit(1.0)).alias("compliance"))
 
 
@@ -87,7 +89,7 @@ def functional_score(
     matched: DataFrame, cfg: FunctionalConfig = FunctionalConfig(), keys: tuple[str, ...] = ("design_id",)
 ) -> DataFrame:
     """Compliance times the weighted fold-change and margin scores, all from one aggregation."""
-    term = S.compliance_term(LEVEL, F.col("expected"), cfg)
+    term = S.compliance_term(level(), F.col("expected"), cfg)
     base = matched.groupBy(*keys).agg(*on_off_columns(), F.coalesce(F.product(term), F.lit(1.0)).alias("compliance"))
     fc = F.when(two_sided(), S.fold_ratio(F.col("min_on"), F.col("max_off"))).otherwise(F.lit(0.0))
     scored = base.withColumn("fold_change", fc).withColumns(
@@ -352,10 +354,10 @@ def verdict_from_levels(levels: DataFrame, spec: DataFrame, cfg: VerdictConfig =
     rows = join_spec(levels.drop("has_target"), spec, "left", 0.0, SAMPLE)
     on = F.col("expected") == 1
     checks = rows.groupBy(*SAMPLE).agg(
-        F.count_if(on & (LEVEL < cfg.on)).alias("logic_failures"),
-        F.count_if(~on & (LEVEL > cfg.off)).alias("leak_failures"),
-        F.coalesce(F.min(F.when(on, LEVEL)), F.lit(float("inf"))).alias("_low"),
-        F.coalesce(F.max(F.when(~on, LEVEL)), F.lit(float("-inf"))).alias("_high"),
+        F.count_if(on & (level() < cfg.on)).alias("logic_failures"),
+        F.count_if(~on & (level() > cfg.off)).alias("leak_failures"),
+        F.coalesce(F.min(F.when(on, level())), F.lit(float("inf"))).alias("_low"),
+        F.coalesce(F.max(F.when(~on, level())), F.lit(float("-inf"))).alias("_high"),
     )
     joined = complete.join(checks, list(SAMPLE), "left")
     usable = F.col("has_target") & F.col("_low").isNotNull()
@@ -386,7 +388,7 @@ def verdict_failures(levels: DataFrame, spec: DataFrame, cfg: VerdictConfig = Ve
     """One row per failed state with its level and the threshold it missed."""
     rows = join_spec(levels.drop("has_target"), spec, "left", 0.0, SAMPLE)
     on = F.col("expected") == 1
-    kind = F.when(on & (LEVEL < cfg.on), F.lit("ON")).when(~on & (LEVEL > cfg.off), F.lit("OFF"))
+    kind = F.when(on & (level() < cfg.on), F.lit("ON")).when(~on & (level() > cfg.off), F.lit("OFF"))
     return rows.withColumn("failed", kind).where("failed is not null").select(
         *SAMPLE,
         "state_name",
