@@ -43,6 +43,7 @@ def main() -> None:
         f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
         spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "12g"),
         spark__checkpoint__dir=os.environ.get("BENCH_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geneweft.config import COMPONENT_TEXT
 from geneweft.functions.components import (
@@ -145,12 +146,21 @@ def with_ids(df: DataFrame, text: str = "document") -> DataFrame:
     return df.where(F.trim(F.col(text), F.lit(" \n\r\t")) != "").withColumn("part_id", content_id(F.col(text)))
 
 
-def distinct_documents(df: DataFrame) -> DataFrame:
-    """One row per content id; copies collapse before the shuffle, so a hot text costs nothing."""
-    rest = [c for c in df.columns if c != "part_id"]
-    return df.groupBy("part_id").agg(*[F.first(c).alias(c) for c in rest]) if rest else df.distinct()
+def distinct_documents(df: DataFrame, text: str = "document") -> DataFrame:
+    """One row per content id; copies collapse before the shuffle, so a hot text costs nothing.
+
+    Id and text alone are simply distinct. With further columns exact copies go first, then
+    each id keeps the row that is smallest in those columns.
+    """
+    rest = [c for c in df.columns if c not in ("part_id", text)]
+    if not rest:
+        return df.distinct()
+    keep = [c for c in df.columns if c != "part_id"]
+    sortable = [c for c in rest if not isinstance(df.schema[c].dataType, T.MapType)]
+    rank = F.struct(*(sortable or ["part_id"]))
+    return df.groupBy("part_id").agg(F.min_by(F.struct(*keep), rank).alias("_row")).select("part_id", "_row.*")
 
 
-def missing_documents(new: DataFrame, index: DataFrame) -> DataFrame:
+def missing_documents(new: DataFrame, index: DataFrame, text: str = "document") -> DataFrame:
     """Distinct new documents whose id the index does not hold."""
-    return distinct_documents(new).join(index.select("part_id"), "part_id", "left_anti")
+    return distinct_documents(new, text).join(index.select("part_id"), "part_id", "left_anti")

@@ -47,12 +47,32 @@ def promoter_activity(
     return snapshots.join(products, [*at, "species"], "left").withColumn("activity", F.coalesce("activity", F.lit(1.0)))
 
 
-def resource_load(active: DataFrame, keys: tuple[str, ...], cfg: RateConfig = RateConfig()) -> DataFrame:
-    """Sums of polymerase and ribosome binding per snapshot."""
+def _binding(cfg: RateConfig) -> list[Column]:
     species = F.col("species")
     rnap = F.lit(cfg.plasmid) * F.col("activity") / _param("km_rnap", species, cfg.km_rnap)
     ribo = F.col("mrna") / _param("km_ribo", species, cfg.km_ribo)
-    return active.groupBy("design_id", *keys).agg(F.sum(rnap).alias("rnap_load"), F.sum(ribo).alias("ribo_load"))
+    return [F.sum(rnap).alias("rnap_load"), F.sum(ribo).alias("ribo_load")]
+
+
+def resource_load(active: DataFrame, keys: tuple[str, ...], cfg: RateConfig = RateConfig()) -> DataFrame:
+    """Sums of polymerase and ribosome binding per snapshot."""
+    return active.groupBy("design_id", *keys).agg(*_binding(cfg))
+
+
+def with_load(active: DataFrame, keys: tuple[str, ...], cfg: RateConfig = RateConfig()) -> DataFrame:
+    """Rows with the load of their snapshot.
+
+    A snapshot is one time point of one sample, so it holds as many rows as the circuit has
+    species; they are kept beside the sums instead of joining the sums back.
+    """
+    at = ["design_id", *keys]
+    members = F.collect_list(F.struct(*[c for c in active.columns if c not in at])).alias("_rows")
+    return (
+        active.groupBy(*at)
+        .agg(*_binding(cfg), members)
+        .select(*at, "rnap_load", "ribo_load", F.explode("_rows").alias("_row"))
+        .select(*at, "rnap_load", "ribo_load", "_row.*")
+    )
 
 
 def rate_table(
@@ -67,7 +87,7 @@ def rate_table(
     snapshots: (design_id, *keys, species, protein, mrna, params). Nothing is integrated.
     """
     active = promoter_activity(snapshots, interactions, keys, inducer_targets, cfg)
-    rows = active.join(resource_load(active, keys, cfg), ["design_id", *keys])
+    rows = with_load(active, keys, cfg)
     s = F.col("species")
     free_rnap = K.free_pool(_param("total_rnap", None, cfg.total_rnap), F.col("rnap_load"))
     free_ribo = K.free_pool(_param("total_ribosomes", None, cfg.total_ribosomes), F.col("ribo_load"))

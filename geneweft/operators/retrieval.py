@@ -45,11 +45,13 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     """Word counts hashed into ``dim`` buckets: a deterministic stand-in for an embedding service."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dim)
-    held = F.filter(F.array(F.array_sort(buckets)), lambda b: b.isNotNull())
-    per_bucket = lambda b: F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(b, lambda x: x == d)).cast("float")
-    )
-    return F.get(F.transform(held, per_bucket), F.lit(0))
+
+    def counts(held: Column) -> Column:
+        count = lambda d: (F.size(held) - F.size(F.array_remove(held, d))).cast("float")
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), count)
+
+    # the one-element array binds the buckets to a name, so they are hashed once and counted dim times
+    return F.get(F.transform(F.array(buckets), counts), F.lit(0))
 
 
 def hash_embed(df: DataFrame, text: str = "document", dim: int = 64) -> DataFrame:

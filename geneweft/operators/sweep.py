@@ -81,7 +81,9 @@ def memo_key(df: DataFrame, json_columns: list[str], scalar_columns: list[str],
 def pending_runs(grid: DataFrame, store: DataFrame | None, key: str = "memo_key") -> DataFrame:
     """Runs whose key has no stored result, each once; without a store all are pending."""
     rest = [c for c in grid.columns if c != key]
-    runs = grid.groupBy(key).agg(*[F.min_by(c, F.struct(*rest)).alias(c) for c in rest]) if rest else grid.distinct()
+    runs = grid.distinct()  # exact copies collapse before anything is moved
+    if rest:
+        runs = runs.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*")
     return runs if store is None else runs.join(store.select(key).distinct(), key, "left_anti")
 
 

@@ -25,13 +25,11 @@ def display_name() -> Column:
 
 def split_netlists(netlists: DataFrame, text: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Node rows, edge rows and error rows of netlist JSON texts, one design per text."""
-    raw = F.from_json(text, "map<string,string>")
-    parsed = netlists.withColumn("_n", F.from_json(text, NETLIST)).withColumn(
-        "_ok", F.coalesce(F.map_contains_key(raw, "nodes") & F.map_contains_key(raw, "edges"), F.lit(False))
-    )
-    errors = parsed.where(~F.col("_ok")).select("design_id", F.lit("invalid netlist").alias("error"))
-    good = parsed.where("_ok")
-    nodes = good.select("design_id", F.posexplode("_n.nodes").alias("pos", "n")).select(
+    parsed = netlists.select("design_id", F.from_json(text, NETLIST).alias("_n"))
+    complete = F.col("_n.nodes").isNotNull() & F.col("_n.edges").isNotNull()
+    errors = parsed.where(~F.coalesce(complete, F.lit(False))).select("design_id", F.lit("invalid netlist").alias("error"))
+    # an incomplete netlist explodes to nothing
+    nodes = parsed.select("design_id", F.posexplode(F.when(complete, F.col("_n.nodes"))).alias("pos", "n")).select(
         "design_id",
         F.col("pos").cast("long").alias("pos"),
         F.col("n.id").alias("node_id"),
@@ -41,7 +39,7 @@ def split_netlists(netlists: DataFrame, text: str = "content") -> tuple[DataFram
         "n.name",
         "n.parameters",
     )
-    edges = good.select("design_id", F.posexplode("_n.edges").alias("pos", "e")).select(
+    edges = parsed.select("design_id", F.posexplode(F.when(complete, F.col("_n.edges"))).alias("pos", "e")).select(
         "design_id",
         F.col("pos").cast("long").alias("edge_pos"),
         F.col("e.source").alias("source_id"),

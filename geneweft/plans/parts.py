@@ -218,7 +218,7 @@ def _content_id(spark, sf):
 
 @query("distinct_documents", f"select distinct {ID_SQL} as part_id, text from documents")
 def _distinct(spark, sf):
-    return O.distinct_documents(O.with_ids(table(spark, sf, "documents").select("text"), "text"))
+    return O.distinct_documents(O.with_ids(table(spark, sf, "documents").select("text"), "text"), "text")
 
 
 @query(
@@ -230,4 +230,4 @@ def _missing(spark, sf):
     """The index holds the labelled documents; everything else is missing from it."""
     documents = table(spark, sf, "documents").select("doc_id", "text")
     index = O.with_ids(documents.join(table(spark, sf, "labels"), "doc_id"), "text")
-    return O.missing_documents(O.with_ids(documents.select("text"), "text"), index)
+    return O.missing_documents(O.with_ids(documents.select("text"), "text"), index, "text")
