@@ -1,3 +1,10 @@
 """Genetic-circuit design analytics as plain PySpark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run inside tasks travel with them, so workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

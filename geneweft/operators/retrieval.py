@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +17,7 @@ from geneweft.functions.values import contains_any
 from geneweft.operators.components import missing_documents, with_ids
 
 BLANK = " \n\r\t"
+WORD = re.compile(r"\S+", re.ASCII)
 RESULT = "query_id string, part_id string, distance double"
 # Distances are compared at this resolution; ties go to the smaller id.
 DECIMALS = 9
@@ -41,21 +44,28 @@ def embed(df: DataFrame, fn: Callable[[list[str]], list[list[float]]], text: str
     return df.mapInPandas(run, schema)
 
 
-def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """Word counts hashed into ``dim`` buckets: a deterministic stand-in for an embedding service."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dim)
+def hashing_embedder(dim: int = 64, cached_words: int = 1 << 16) -> Callable[[list[str]], list[np.ndarray]]:
+    """An embedder that counts words by hash bucket: deterministic, needs no service, for tests and offline use."""
+    known: dict[str, int] = {}
 
-    def counts(held: Column) -> Column:
-        count = lambda d: (F.size(held) - F.size(F.array_remove(held, d))).cast("float")
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), count)
+    def bucket(word: str) -> int:
+        found = known.get(word)
+        if found is None:
+            if len(known) >= cached_words:
+                known.clear()
+            found = known[word] = int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % dim
+        return found
 
-    # the one-element array binds the buckets to a name, so they are hashed once and counted dim times
-    return F.get(F.transform(F.array(buckets), counts), F.lit(0))
+    def counts(text: str) -> np.ndarray:
+        words = WORD.findall(text.lower())
+        return np.bincount(np.fromiter(map(bucket, words), dtype=np.int64, count=len(words)), minlength=dim)
+
+    return lambda texts: [counts(t) for t in texts]
 
 
 def hash_embed(df: DataFrame, text: str = "document", dim: int = 64) -> DataFrame:
-    return df.withColumn("embedding", hash_embedding(F.col(text), dim))
+    """Add the hashed word counts of a text as its embedding."""
+    return embed(df, hashing_embedder(dim), text)
 
 
 def build_index(new: DataFrame, index: DataFrame, embedder: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -144,6 +154,16 @@ def _block_pairs(queries: DataFrame, index: DataFrame, k: int, metric: str, n_q:
     return left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(pair, RESULT)
 
 
+def _keyed(queries: DataFrame) -> DataFrame:
+    return queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding").where("embedding is not null")
+
+
+def few_queries(queries: DataFrame, limit: int = BROADCAST_QUERIES) -> list | None:
+    """The queries themselves if there are at most ``limit`` of them, else None; never reads more than one over."""
+    found = _keyed(queries).limit(limit + 1).collect()
+    return found if len(found) <= limit else None
+
+
 def knn_join(
     queries: DataFrame,
     index: DataFrame,
@@ -151,38 +171,49 @@ def knn_join(
     metric: str = "l2sq",
     broadcast_queries: int = BROADCAST_QUERIES,
     block_rows: int = BLOCK_ROWS,
+    few: list | None = None,
 ) -> DataFrame:
     """The k nearest index rows of every query, exact: (query_id, part_id, distance, rank).
 
     queries: (query_id, embedding); index: (part_id, embedding). Up to ``broadcast_queries``
     queries are sent to all tasks and the index is only scanned. More queries are joined in
-    blocks of bounded size. Either way a task returns no more than k rows per query.
+    blocks of bounded size. Either way a task returns no more than k rows per query. ``few`` is
+    the outcome of :func:`few_queries` where it is already known.
     """
     if metric not in ("l2sq", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
-    q = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding").where("embedding is not null")
+    q = _keyed(queries)
     i = index.select(F.col("part_id").cast("string").alias("part_id"), "embedding").where("embedding is not null")
-    if k <= 0:
+    if few is None:
+        few = few_queries(queries, broadcast_queries)
+    if k <= 0 or few == []:
         return index.sparkSession.createDataFrame([], RESULT + ", rank int")
-    few = q.limit(broadcast_queries + 1).collect()
-    if not few:
-        return index.sparkSession.createDataFrame([], RESULT + ", rank int")
-    if len(few) <= broadcast_queries:
+    if few is not None:
         return _rank(_scan(few, i, k, metric), k)
     n_q = -(-q.count() // block_rows)
     n_i = max(1, -(-i.count() // block_rows))
     return _rank(_block_pairs(q, i, k, metric, n_q, n_i), k)
 
 
+def asked(queries: DataFrame) -> DataFrame:
+    """Queries that are not blank, where they carry their text."""
+    if "text" not in queries.columns:
+        return queries
+    return queries.where(F.trim(F.col("text"), F.lit(BLANK)) != "")
+
+
 def search(
-    queries: DataFrame, index: DataFrame, k: int = 5, metric: str = "l2sq", exclude: tuple[str, str] | None = None
+    queries: DataFrame,
+    index: DataFrame,
+    k: int = 5,
+    metric: str = "l2sq",
+    exclude: tuple[str, object] | None = None,
+    few: list | None = None,
 ) -> DataFrame:
     """k nearest documents of every non-blank query; ``exclude`` is a (column, value) left out before the search."""
-    if "text" in queries.columns:
-        queries = queries.where(F.trim(F.col("text"), F.lit(BLANK)) != "")
     if exclude is not None:
         index = exclude_experiment(index, exclude[1], exclude[0])
-    return knn_join(queries, index, k, metric)
+    return knn_join(asked(queries), index, k, metric, few=few)
 
 
 def exclude_experiment(df: DataFrame, experiment: object, column: str = "experiment_id") -> DataFrame:
@@ -193,13 +224,23 @@ def exclude_experiment(df: DataFrame, experiment: object, column: str = "experim
 # --- context -----------------------------------------------------------------------------
 
 
-def keyword_filter(df: DataFrame, key: str = "query_id", text: str = "text", words: tuple[str, ...] = COMPONENT_WORDS) -> DataFrame:
+def keyword_filter(
+    df: DataFrame,
+    key: str = "query_id",
+    text: str = "text",
+    words: tuple[str, ...] = COMPONENT_WORDS,
+    few_per_query: bool = False,
+) -> DataFrame:
     """Texts with any of the words; a query for which none is left keeps all its texts.
 
-    The queries with a hit are found by an aggregation that shrinks before its shuffle. Rows
-    without a hit are the only ones joined against them.
+    The queries with a hit are found by an aggregation that shrinks before its shuffle, and
+    only rows without a hit are joined against them. Where a query has few rows, as after a
+    top-k search, ``few_per_query`` looks at them in one window and reads the input once.
     """
     flagged = df.withColumn("_hit", F.coalesce(contains_any(F.col(text), words), F.lit(False)))
+    if few_per_query:
+        any_hit = F.max("_hit").over(Window.partitionBy(key))
+        return flagged.withColumn("_any", any_hit).where("_hit or not _any").drop("_hit", "_any")
     hits = flagged.where("_hit")
     answered = hits.select(key).distinct()
     rest = flagged.where("not _hit").join(answered, key, "left_anti")
@@ -244,10 +285,13 @@ def join_lines(kept: DataFrame, key: str = "query_id", text: str = "text") -> Da
     return kept.groupBy(key).agg(F.array_join(F.transform(lines, lambda r: r["line"]), "\n").alias("context"))
 
 
-def compact_context(results: DataFrame, max_items: int = 8, max_chars: int = 2400) -> DataFrame:
+def compact_context(
+    results: DataFrame, max_items: int = 8, max_chars: int = 2400, few_per_query: bool = False
+) -> DataFrame:
     """Filter, dedupe and fit search results (query_id, rank, text) into one context per query."""
     trimmed = results.withColumn("text", F.trim(F.col("text"), F.lit(BLANK))).where("text != ''")
-    kept = budget(dedup_ordered(keyword_filter(trimmed)), max_items=max_items, max_chars=max_chars)
+    filtered = keyword_filter(trimmed, few_per_query=few_per_query)
+    kept = budget(dedup_ordered(filtered), max_items=max_items, max_chars=max_chars)
     return join_lines(kept)
 
 
@@ -263,8 +307,11 @@ def retrieve_context(
 
     queries: (query_id, embedding[, text]); index: (part_id, document, embedding).
     """
-    found = search(queries, index, k, metric)
-    texts = found.join(index.select(F.col("part_id").cast("string").alias("part_id"), F.col("document").alias("text")), "part_id")
-    contexts = compact_context(texts, max_items, max_chars)
+    few = few_queries(asked(queries))
+    found = search(queries, index, k, metric, few=few)
+    documents = index.select(F.col("part_id").cast("string").alias("part_id"), F.col("document").alias("text"))
+    # with few queries there are at most k rows for each: small enough to send to the index
+    texts = documents.join(F.broadcast(found) if few is not None else found, "part_id")
+    contexts = compact_context(texts, max_items, max_chars, few_per_query=True)
     wanted = queries.select(F.col("query_id").cast("string").alias("query_id")).distinct()
     return wanted.join(contexts, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(NO_RESULTS)))

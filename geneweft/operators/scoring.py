@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geneweft.config import PENALTY_TEXT, FunctionalConfig, KineticConfig, VerdictConfig, ViabilityConfig
 from geneweft.functions import scores as S
-from geneweft.operators.series import SAMPLE, in_tail, max_burden, rise_time
+from geneweft.operators.series import SAMPLE, in_tail, is_protein, max_burden, rise_column, rise_time
 
 
 def level() -> Column:
@@ -25,13 +25,16 @@ def join_spec(
     """Levels per (keys, state) against the truth table (design, state, expected).
 
     ``left`` keeps every row of the table for every group, with ``fill`` where a level is
-    missing; ``inner`` ignores states the table does not name.
+    missing; ``inner`` ignores states the table does not name. For ``left`` the levels of a
+    group, one per state of its circuit, are packed into a map and looked up, so they are
+    computed once.
     """
     if how == "inner":
         return levels.join(spec, ["design_id", "state_name"])
-    groups = levels.select(*keys).distinct()
-    wanted = groups.join(spec, ["design_id"])
-    return wanted.join(levels, [*keys, "state_name"], "left").withColumn("value", F.coalesce("value", F.lit(fill)))
+    entries = F.collect_list(F.struct("state_name", "value"))
+    packed = levels.groupBy(*keys).agg(F.map_from_entries(entries).alias("_levels"))
+    value = F.coalesce(F.try_element_at("_levels", F.col("state_name")), F.lit(fill))
+    return packed.join(spec, "design_id").withColumn("value", value).drop("_levels")
 
 
 def on_off_columns() -> list[Column]:
@@ -145,18 +148,39 @@ def burden(traj: DataFrame, target: str, cfg: KineticConfig = KineticConfig()) -
 
 
 def kinetic_score(traj: DataFrame, spec: DataFrame, target: str, cfg: KineticConfig = KineticConfig()) -> DataFrame:
-    """Retention, temporal score and burden penalty per design, and their product."""
-    no_burden = S.burden_penalty(F.lit(0.0), cfg)
+    """Retention, temporal score and burden penalty per design, and their product.
+
+    The target's rows are read once for fold changes and rise times, the other rows once for
+    the burden.
+    """
+    series = (
+        traj.where(F.col("species") == target)
+        .groupBy(*SAMPLE, "state_name")
+        .agg(F.max_by("value", "seq").alias("value"), rise_column(cfg.on).alias("_rise"))
+    )
+    on = F.col("expected") == 1
+    samples = (
+        series.join(spec, ["design_id", "state_name"], "left")
+        .groupBy(*SAMPLE)
+        .agg(*on_off_columns(), F.sum(F.when(on, F.col("_rise"))).alias("_rise"))
+        .withColumn("_fold", F.when(two_sided(), S.fold_ratio(F.col("min_on"), F.col("max_off"))).otherwise(F.lit(1.0)))
+    )
+    designs = samples.groupBy("design_id").agg(
+        F.avg("_fold").alias("fc_mean"),
+        F.stddev_pop("_fold").alias("_std"),
+        F.coalesce(F.try_divide(F.sum("_rise"), F.sum("n_on")), F.lit(0.0)).alias("t_rise_avg"),
+    )
+    scored = designs.withColumns(
+        {
+            "cv": S.variation(F.col("fc_mean"), F.col("_std")),
+            "r_kinetic": S.retention(F.col("fc_mean"), F.col("_std"), cfg),
+            "score_temporal": S.temporal_score(F.col("t_rise_avg"), cfg),
+        }
+    ).drop("_std")
     return (
-        robustness(traj, spec, target, cfg)
-        .join(temporal(traj, spec, target, cfg), "design_id")
-        .join(burden(traj, target, cfg), "design_id", "left")
-        .withColumns(
-            {
-                "max_burden": F.coalesce("max_burden", F.lit(0.0)),
-                "p_burden": F.coalesce(F.col("p_burden"), no_burden),
-            }
-        )
+        scored.join(max_burden(traj, "design", target), "design_id", "left")
+        .withColumn("max_burden", F.coalesce("max_burden", F.lit(0.0)))
+        .withColumn("p_burden", S.burden_penalty(F.col("max_burden"), cfg))
         .withColumn("kinetic_multiplier", F.col("r_kinetic") * F.col("score_temporal") * F.col("p_burden"))
     )
 
@@ -342,6 +366,23 @@ def state_levels(traj: DataFrame, target: str) -> DataFrame:
     )
 
 
+def levels_and_burden(traj: DataFrame, target: str) -> DataFrame:
+    """As :func:`state_levels`, with the largest total protein level of the state; one pass over the points."""
+    hit = F.col("species") == target
+    tail = F.when(hit & in_tail(0.9), F.col("value"))
+    by_point = traj.groupBy(*SAMPLE, "state_name", "seq").agg(
+        F.sum(F.when(is_protein(), F.col("value"))).alias("_burden"),
+        F.sum(tail).alias("_sum"),
+        F.count(tail).alias("_n"),
+        F.max(hit).alias("_hit"),
+    )
+    return by_point.groupBy(*SAMPLE, "state_name").agg(
+        F.try_divide(F.sum("_sum"), F.sum("_n")).alias("value"),
+        F.max("_hit").alias("has_target"),
+        F.greatest(F.coalesce(F.max("_burden"), F.lit(0.0)), F.lit(0.0)).alias("max_burden"),
+    )
+
+
 def verdict_from_levels(levels: DataFrame, spec: DataFrame, cfg: VerdictConfig = VerdictConfig()) -> DataFrame:
     """Truth-table verdict per sample from levels (design, sample, state, value[, has_target]).
 
@@ -350,32 +391,50 @@ def verdict_from_levels(levels: DataFrame, spec: DataFrame, cfg: VerdictConfig =
     """
     if "has_target" not in levels.columns:
         levels = levels.withColumn("has_target", F.lit(True))
-    complete = levels.groupBy(*SAMPLE).agg(F.min("has_target").alias("has_target"))
-    rows = join_spec(levels.drop("has_target"), spec, "left", 0.0, SAMPLE)
-    on = F.col("expected") == 1
-    checks = rows.groupBy(*SAMPLE).agg(
-        F.count_if(on & (level() < cfg.on)).alias("logic_failures"),
-        F.count_if(~on & (level() > cfg.off)).alias("leak_failures"),
-        F.coalesce(F.min(F.when(on, level())), F.lit(float("inf"))).alias("_low"),
-        F.coalesce(F.max(F.when(~on, level())), F.lit(float("-inf"))).alias("_high"),
+    carried = [F.max(c).alias(c) for c in ("max_burden",) if c in levels.columns]
+    on, other = F.col("expected") == 1, F.col("expected") != 1
+    seen = (
+        levels.join(spec, ["design_id", "state_name"], "left")
+        .groupBy(*SAMPLE)
+        .agg(
+            F.min("has_target").alias("has_target"),
+            F.count_if(on & (level() < cfg.on)).alias("_logic"),
+            F.count_if(other & (level() > cfg.off)).alias("_leak"),
+            F.min(F.when(on, level())).alias("_low"),
+            F.max(F.when(other, level())).alias("_high"),
+            F.count_if(on).alias("_on"),
+            F.count_if(other).alias("_off"),
+            *carried,
+        )
+    )
+    wanted = spec.groupBy("design_id").agg(F.count_if(on).alias("_want_on"), F.count_if(other).alias("_want_off"))
+    # states without a level stand at 0: they miss every ON threshold above 0 and pull both extremes to 0
+    no_on, no_off = F.col("_want_on") - F.col("_on"), F.col("_want_off") - F.col("_off")
+    zero, count = F.lit(0.0), F.lit(0).cast("long")
+    judged = seen.join(wanted, "design_id", "left").withColumns(
+        {
+            "logic_failures": F.col("_logic") + (no_on if cfg.on > 0 else count),
+            "leak_failures": F.col("_leak") + (no_off if cfg.off < 0 else count),
+            "_low": F.coalesce(F.when(no_on > 0, F.least("_low", zero)).otherwise(F.col("_low")), F.lit(float("inf"))),
+            "_high": F.coalesce(F.when(no_off > 0, F.greatest("_high", zero)).otherwise(F.col("_high")), F.lit(float("-inf"))),
+            "evaluated": F.col("has_target") & F.col("_want_on").isNotNull(),
+        }
     )
-    joined = complete.join(checks, list(SAMPLE), "left")
-    usable = F.col("has_target") & F.col("_low").isNotNull()
     clean = (F.col("logic_failures") == 0) & (F.col("leak_failures") == 0)
-    partial = F.greatest(F.lit(0.0), F.lit(100.0) - 20 * F.col("logic_failures") - 10 * F.col("leak_failures"))
-    zero = F.lit(0).cast("long")
+    partial = F.greatest(zero, F.lit(100.0) - 20 * F.col("logic_failures") - 10 * F.col("leak_failures"))
     return (
-        joined.withColumn("fold_change", F.when(usable, _verdict_fold(F.col("_low"), F.col("_high"), cfg.zero_off)).otherwise(0.0))
-        .withColumn("pass", F.coalesce(usable & clean & (F.col("fold_change") >= cfg.on / cfg.off), F.lit(False)))
-        .withColumn("score", F.when(~usable, 0.0).when(F.col("pass"), 100.0).otherwise(partial))
+        judged.withColumn("fold_change", F.when(F.col("evaluated"), _verdict_fold(F.col("_low"), F.col("_high"), cfg.zero_off)).otherwise(zero))
+        .withColumn("pass", F.col("evaluated") & clean & (F.col("fold_change") >= cfg.on / cfg.off))
+        .withColumn("pass", F.coalesce("pass", F.lit(False)))
+        .withColumn("score", F.when(~F.col("evaluated"), zero).when(F.col("pass"), F.lit(100.0)).otherwise(partial))
         .select(
             *SAMPLE,
             "pass",
             "score",
             "fold_change",
-            F.when(usable, F.col("logic_failures")).otherwise(zero).alias("logic_failures"),
-            F.when(usable, F.col("leak_failures")).otherwise(zero).alias("leak_failures"),
-            usable.alias("evaluated"),
+            *[F.when(F.col("evaluated"), F.col(c)).otherwise(count).alias(c) for c in ("logic_failures", "leak_failures")],
+            "evaluated",
+            *[c for c in ("max_burden",) if c in levels.columns],
         )
     )
 
@@ -402,7 +461,7 @@ def sample_outcomes(
     traj: DataFrame, spec: DataFrame, target: str, cfg: VerdictConfig = VerdictConfig(), intents: DataFrame | None = None
 ) -> DataFrame:
     """Verdict and toxicity per sample; ``intents`` is (design_id, expects_death)."""
-    outcomes = verdict(traj, spec, target, cfg).join(max_burden(traj, "sample"), list(SAMPLE), "left")
+    outcomes = verdict_from_levels(levels_and_burden(traj, target), spec, cfg)
     if intents is not None:
         outcomes = outcomes.join(intents.select("design_id", "expects_death"), "design_id", "left")
     else:

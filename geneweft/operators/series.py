@@ -134,13 +134,13 @@ def oscillation(
     )
 
 
-def _rise(threshold: float) -> Column:
+def rise_column(threshold: float) -> Column:
     return F.coalesce(F.min(F.when(F.col("value") >= threshold, F.col("time"))), F.max("time"))
 
 
 def rise_time(traj: DataFrame, threshold: float = 1000.0, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """First time at or above the threshold, else the last time."""
-    return traj.groupBy(*keys).agg(_rise(threshold).alias("rise_time"))
+    return traj.groupBy(*keys).agg(rise_column(threshold).alias("rise_time"))
 
 
 def leakage_window() -> Column:
@@ -169,18 +169,17 @@ def summarize(
 ) -> DataFrame:
     """Initial mean, peak, final value, dynamic range and leakage ratio per series.
 
-    With ``output`` only that species is summarised; a group that lacks it falls back to its
-    last column, the species with the highest ``position``.
+    With ``output`` only that species is kept; a group that lacks it falls back to its last
+    column, the species with the highest ``position`` (by name unless given).
     """
-    if output is not None:
-        groups = [k for k in keys if k != "species"]
-        chosen = traj.groupBy(*groups).agg(
-            F.coalesce(
-                F.max(F.when(F.col("species") == output, F.col("species"))), F.max_by("species", position or "species")
-            ).alias("species")
-        )
-        traj = traj.join(chosen, [*groups, "species"])
-    return _with_ranges(traj.groupBy(*keys).agg(*_summary_columns()))
+    position = F.max(position or "species").alias("_position")
+    summary = _with_ranges(traj.groupBy(*keys).agg(*_summary_columns(), position))
+    if output is None:
+        return summary.drop("_position")
+    groups = [k for k in keys if k != "species"]
+    rest = [c for c in summary.columns if c not in groups and c != "_position"]
+    chosen = F.max_by(F.struct(*rest), F.struct(F.col("species") == output, F.col("_position"))).alias("_row")
+    return summary.groupBy(*groups).agg(chosen).select(*groups, "_row.*").select(*keys, *[c for c in rest if c != "species"])
 
 
 def series_metrics(traj: DataFrame, threshold: float = 1000.0, keys: tuple[str, ...] = SERIES) -> DataFrame:
@@ -189,7 +188,7 @@ def series_metrics(traj: DataFrame, threshold: float = 1000.0, keys: tuple[str,
         traj.groupBy(*keys).agg(
             F.max("n_points").alias("n_points"),
             F.avg(F.when(in_tail(0.9), F.col("value"))).alias("steady_state"),
-            _rise(threshold).alias("rise_time"),
+            rise_column(threshold).alias("rise_time"),
             *_summary_columns(),
         )
     )

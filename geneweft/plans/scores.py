@@ -27,8 +27,7 @@ def levels(spark, sf, view="t1d"):
 
 
 def matched(spark, sf, view="t1d", spec=V.SPEC):
-    points = V.points(spark, sf, view)
-    return O.join_spec(levels(spark, sf, view), V.spec_for(points, spec), "inner")
+    return O.join_spec(levels(spark, sf, view), V.spec_for(spark, sf, view, spec), "inner")
 
 
 def levels_sql(view="t1d"):
@@ -62,7 +61,7 @@ ALL_FUNCTIONAL = (*base_sql(), MATCHED_SQL, ONOFF_SQL, FUNCTIONAL_SQL)
       left join levels l on l.design_id = g.design_id and l.sample_id = g.sample_id and l.state_name = s.state_name""",
 )
 def _left(spark, sf):
-    spec = V.spec_for(V.points(spark, sf, "t1d"), V.SPEC_PARTIAL)
+    spec = V.spec_for(spark, sf, "t1d", V.SPEC_PARTIAL)
     return O.join_spec(levels(spark, sf), spec, "left", 0.0, SAMPLE)
 
 
@@ -138,7 +137,7 @@ KINETIC_BASE = (V.points_sql("t1d"), V.spec_sql("t1d"), *kinetic_sql("t1d"))
 )
 def _fold_kinetic(spark, sf):
     points = V.points(spark, sf, "t1d")
-    joined = O.last_levels(points, V.TARGET).join(V.spec_for(points), ["design_id", "state_name"], "left")
+    joined = O.last_levels(points, V.TARGET).join(V.spec_for(spark, sf, "t1d"), ["design_id", "state_name"], "left")
     return O.fold_change(joined, "kinetic", SAMPLE)
 
 
@@ -186,7 +185,7 @@ def _functional(spark, sf):
 )
 def _robustness(spark, sf):
     points = V.points(spark, sf, "t1d")
-    return O.robustness(points, V.spec_for(points), V.TARGET, KINETIC)
+    return O.robustness(points, V.spec_for(spark, sf, "t1d"), V.TARGET, KINETIC)
 
 
 @query(
@@ -196,7 +195,7 @@ def _robustness(spark, sf):
 )
 def _temporal(spark, sf):
     points = V.points(spark, sf, "t1d")
-    return O.temporal(points, V.spec_for(points), V.TARGET, KINETIC)
+    return O.temporal(points, V.spec_for(spark, sf, "t1d"), V.TARGET, KINETIC)
 
 
 @query(
@@ -217,7 +216,7 @@ def _burden(spark, sf):
 )
 def _kinetic(spark, sf):
     points = V.points(spark, sf, "t1d")
-    return O.kinetic_score(points, V.spec_for(points), V.TARGET, KINETIC)
+    return O.kinetic_score(points, V.spec_for(spark, sf, "t1d"), V.TARGET, KINETIC)
 
 
 # --- plausibility and viability: one design per user or order ----------------------------
@@ -250,7 +249,7 @@ VIABLE_SQL = (
 
 def viable(spark, sf):
     points = V.points(spark, sf, "t1u")
-    spec = V.spec_for(points)
+    spec = V.spec_for(spark, sf, "t1u")
     means = levels(spark, sf, "t1u").groupBy("design_id", "state_name").agg(F.avg("value").alias("value"))
     functional = O.functional_score(O.join_spec(means, spec, "inner"), FUNCTIONAL)
     kinetic = O.kinetic_score(points, spec, V.TARGET, KINETIC)
@@ -330,7 +329,7 @@ def _scorers(spark, sf):
     points = V.points(spark, sf, "t1u")
     tables = {
         "nodes": V.nodes(spark, sf), "edges": V.edges(spark, sf), "parts": V.parts(spark, sf),
-        "traj": points, "spec": V.spec_for(points), "target": V.TARGET, "config": VIABILITY,
+        "traj": points, "spec": V.spec_for(spark, sf, "t1u"), "target": V.TARGET, "config": VIABILITY,
     }
     return O.run_scorers(tables, ["plausibility", "kinetic"]).select("design_id", "c_plausibility", "kinetic_multiplier")
 
@@ -365,7 +364,7 @@ VERDICT_SQL = """checked as (select g.design_id, g.sample_id, count(*) filter (e
 )
 def _verdict(spark, sf):
     points = V.points(spark, sf, "t1d")
-    return O.verdict(points, V.spec_for(points), V.TARGET, VERDICT)
+    return O.verdict(points, V.spec_for(spark, sf, "t1d"), V.TARGET, VERDICT)
 
 
 @query(
@@ -379,7 +378,7 @@ def _verdict(spark, sf):
 )
 def _failures(spark, sf):
     points = V.points(spark, sf, "t1d")
-    return O.verdict_failures(O.state_levels(points, V.TARGET), V.spec_for(points, V.SPEC_PARTIAL), VERDICT)
+    return O.verdict_failures(O.state_levels(points, V.TARGET), V.spec_for(spark, sf, "t1d", V.SPEC_PARTIAL), VERDICT)
 
 
 OUTCOME_SQL = """burdens as (select design_id, sample_id, greatest(max(b), 0) as max_burden from
@@ -399,7 +398,7 @@ def outcomes(spark, sf):
     intents = table(spark, sf, "documents").select(
         F.col("doc_id").alias("design_id"), expects_death(F.col("text")).alias("expects_death")
     )
-    return O.sample_outcomes(points, V.spec_for(points), V.TARGET, VERDICT, intents)
+    return O.sample_outcomes(points, V.spec_for(spark, sf, "t1d"), V.TARGET, VERDICT, intents)
 
 
 def mc_sql(reason):

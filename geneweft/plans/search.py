@@ -72,7 +72,7 @@ def _knn(spark, sf):
 
 
 @query(
-    "hash_embedding",
+    "hash_embed",
     f"""with docs as (select doc_id, text from documents), {_counts('doc', 'docs', 'doc_id')}
     select id as doc_id, d, cast(c as double) as n from doc_counts""",
 )

@@ -245,7 +245,8 @@ def snapshots(spark, sf):
 
 def ring(spark, sf):
     """Species in a ring by name, alternately repressing and activating, plus one more repression of each third."""
-    names = V.points(spark, sf).groupBy("design_id").agg(F.array_sort(F.collect_set("species")).alias("names"))
+    kinds = table(spark, sf, "events").select(F.lit(0).cast("long").alias("design_id"), "event_type")
+    names = kinds.groupBy("design_id").agg(F.array_sort(F.collect_set("event_type")).alias("names"))
     size = F.size("names")
     link = lambda i, step, kind: F.struct(
         F.get("names", i).alias("source"), F.get("names", (i + step) % size).alias("target"), kind.alias("type")

@@ -59,9 +59,11 @@ SPEC = {"00_state": 0, "01_state": 1, "10_state": 1, "11_state": 0}
 SPEC_PARTIAL = {"00_state": 0, "01_state": 1, "10_state": 1, "zz_state": 1}
 
 
-def spec_for(points_df: DataFrame, spec: dict[str, int] = SPEC) -> DataFrame:
+def spec_for(spark: SparkSession, sf_dir: str, view: str, spec: dict[str, int] = SPEC) -> DataFrame:
+    """The truth table for every design of a view."""
     rows = F.explode(F.array(*[F.struct(F.lit(s).alias("state_name"), F.lit(e).alias("expected")) for s, e in spec.items()]))
-    return points_df.select("design_id").distinct().select("design_id", rows.alias("r")).select("design_id", "r.*")
+    designs = table(spark, sf_dir, "events").select(F.expr(f"cast({POINT_KEYS[view][0]} as bigint)").alias("design_id"))
+    return designs.distinct().select("design_id", rows.alias("r")).select("design_id", "r.*")
 
 
 def spec_sql(view: str, spec: dict[str, int] = SPEC) -> str:

@@ -11,10 +11,10 @@ from geneweft.schemas import SKILL_RECORD
 
 def read_texts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per file: (path, content)."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def read_components(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

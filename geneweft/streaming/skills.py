@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from geneweft.functions.values import content_id
-from geneweft.operators.components import distinct_documents
 from geneweft.sources.readers import read_pending_skills
 from geneweft.sources.sinks import archive_ingested, pending_records, upsert_documents
 
@@ -48,12 +47,14 @@ def ingest_batch(records: DataFrame, index_path: str, ledger_path: str, rejects_
 
     Every step leaves out what is already there, so a batch that runs twice stores nothing twice.
     """
-    fresh = pending_records(records, ledger_path)
-    documents = skill_documents(fresh)
-    upsert_documents(documents, index_path)
-    stored = distinct_documents(skill_documents(records)).withColumn("has_skills", F.lit(True))
-    archive_ingested(stored, ledger_path)
-    rejected_skills(records).write.mode("overwrite").parquet(f"{rejects_path}/batch={batch}")
+    records = records.persist()  # read and parsed once for documents, ledger and rejects
+    try:
+        upsert_documents(skill_documents(pending_records(records, ledger_path)), index_path)
+        stored = records.where(F.col("_corrupt_record").isNull()).withColumn("has_skills", has_skills())
+        archive_ingested(stored, ledger_path)
+        rejected_skills(records).write.mode("overwrite").parquet(f"{rejects_path}/batch={batch}")
+    finally:
+        records.unpersist()
 
 
 def ingest_skills(
