@@ -63,8 +63,11 @@ def with_length(traj: DataFrame, keys: tuple[str, ...] = SERIES, block: int = 65
 def points_from_events(
     df: DataFrame, keys: tuple[str, ...] = SERIES, order_by: tuple[str, ...] = ("ts", "event_id"), cell: Column | None = None
 ) -> DataFrame:
-    """Number raw readings into points; cells are hours of ``ts`` unless given."""
-    cell = cell if cell is not None else F.date_trunc("hour", "ts")
+    """Number raw readings into points; cells are minutes of ``ts`` unless given.
+
+    Only raw readings need this. Stored trajectories carry their positions.
+    """
+    cell = cell if cell is not None else F.date_trunc("minute", "ts")
     return index_points(df, list(keys), list(order_by), cell)
 
 

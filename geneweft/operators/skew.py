@@ -16,9 +16,10 @@ def index_points(
 ) -> DataFrame:
     """Number the rows of every group from 0 without putting a whole group into one task.
 
-    ``cell`` is a value that never decreases along ``order_by`` (for example the hour of a
+    ``cell`` is a value that never decreases along ``order_by`` (for example the minute of a
     timestamp). Rows are numbered inside (keys, cell); the counts per cell, which shrink
-    before their shuffle, give the offset of each cell and the length of the group.
+    before their shuffle, give the offset of each cell and the length of the group. So the
+    largest sort is one cell of one group: choose cells fine enough for the busiest group.
     Keys and cell must not be null.
     """
     keyed = df.withColumn("_cell", cell)

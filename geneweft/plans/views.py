@@ -38,8 +38,8 @@ def points(spark: SparkSession, sf_dir: str, view: str = "t1") -> DataFrame:
         F.expr("value * 10").alias("value"),
         "event_id",
     )
-    hour = F.floor(F.col("time") / F.lit(3600.0))
-    return points_from_events(raw, order_by=("time", "event_id"), cell=hour).drop("event_id")
+    slot = F.floor(F.col("time") / F.lit(600.0))
+    return points_from_events(raw, order_by=("time", "event_id"), cell=slot).drop("event_id")
 
 
 def points_sql(view: str = "t1") -> str:
