@@ -91,6 +91,19 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype(np.float64)
 
 
+def _k_smallest(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k smallest entries of every row, ties by column, without sorting whole rows."""
+    if dist.shape[1] > k:
+        bound = np.partition(dist, k - 1, axis=1)[:, k - 1]
+        rows, cols = np.nonzero(dist <= bound[:, None])
+    else:
+        rows, cols = (a.ravel() for a in np.indices(dist.shape))
+    order = np.lexsort((cols, dist[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], cols[place < k]
+
+
 def _nearest(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, metric: str) -> pd.DataFrame:
     """The k nearest of one block of vectors for every query, ties by id."""
     order = np.argsort(ids, kind="stable")
@@ -99,15 +112,9 @@ def _nearest(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np
     step = max(1, 2_000_000 // max(1, len(ids)))
     for start in range(0, len(qids), step):
         dist = _distances(queries[start : start + step], vectors, metric)
-        top = np.argsort(dist, axis=1, kind="stable")[:, :k]
+        rows, cols = _k_smallest(dist, k)
         out.append(
-            pd.DataFrame(
-                {
-                    "query_id": np.repeat(qids[start : start + step], top.shape[1]),
-                    "part_id": ids[top].ravel(),
-                    "distance": np.take_along_axis(dist, top, axis=1).ravel(),
-                }
-            )
+            pd.DataFrame({"query_id": qids[start + rows], "part_id": ids[cols], "distance": dist[rows, cols]})
         )
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "part_id": [], "distance": []})
 

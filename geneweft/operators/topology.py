@@ -146,8 +146,8 @@ def expand_topology(
     """Every (snapshot, interaction) with the level of its source species and of the inducer that acts on it.
 
     snapshots: (design_id, *keys, species, protein, mrna); interactions: (design_id, edge_pos, source,
-    target, type); inducer_targets: (design_id, *keys, inducer, species, level, pos). Of several
-    inducers on one species the last wins.
+    target, type); inducer_targets: (design_id, inducer, species, level, pos) and any of the keys the
+    level depends on, say only the state. Of several inducers on one species the last wins.
     """
     at = ["design_id", *keys]
     signed = interactions.select(
@@ -158,7 +158,8 @@ def expand_topology(
     expanded = levels.join(signed, ["design_id", "source"])
     if inducer_targets is None:
         return expanded.withColumns({"inducer": F.lit(None).cast("string"), "inducer_level": F.lit(None).cast("double")})
-    acting = inducer_targets.groupBy(*at, F.col("species").alias("source")).agg(
+    on = [c for c in at if c in inducer_targets.columns]
+    acting = inducer_targets.groupBy(*on, F.col("species").alias("source")).agg(
         F.max_by("inducer", "pos").alias("inducer"), F.max_by("level", "pos").alias("inducer_level")
     )
-    return expanded.join(acting, [*at, "source"], "left")
+    return expanded.join(acting, [*on, "source"], "left")

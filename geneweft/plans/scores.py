@@ -253,7 +253,7 @@ def viable(spark, sf):
     means = levels(spark, sf, "t1u").groupBy("design_id", "state_name").agg(F.avg("value").alias("value"))
     functional = O.functional_score(O.join_spec(means, spec, "inner"), FUNCTIONAL)
     kinetic = O.kinetic_score(points, spec, V.TARGET, KINETIC)
-    plausible = O.plausibility(V.nodes(spark, sf), V.edges(spark, sf), V.parts(spark, sf))
+    plausible = O.plausibility(V.nodes(spark, sf), V.unordered_parts(spark, sf), V.unordered_parts(spark, sf))
     return O.viability(plausible, functional, kinetic, VIABILITY)
 
 
@@ -263,7 +263,7 @@ def viable(spark, sf):
     + "select design_id, n_nodes, n_edges, n_repeats, round(c_plausibility, 6) as c_plausibility from plausible",
 )
 def _plausibility(spark, sf):
-    return O.plausibility(V.nodes(spark, sf), V.edges(spark, sf), V.parts(spark, sf))
+    return O.plausibility(V.nodes(spark, sf), V.unordered_parts(spark, sf), V.unordered_parts(spark, sf))
 
 
 @query("first_repeat", V.with_sql(*PLAUSIBLE_SQL) + "select design_id, first_repeat from repeated")
@@ -328,7 +328,7 @@ def _report(spark, sf):
 def _scorers(spark, sf):
     points = V.points(spark, sf, "t1u")
     tables = {
-        "nodes": V.nodes(spark, sf), "edges": V.edges(spark, sf), "parts": V.parts(spark, sf),
+        "nodes": V.nodes(spark, sf), "edges": V.unordered_parts(spark, sf), "parts": V.unordered_parts(spark, sf),
         "traj": points, "spec": V.spec_for(spark, sf, "t1u"), "target": V.TARGET, "config": VIABILITY,
     }
     return O.run_scorers(tables, ["plausibility", "kinetic"]).select("design_id", "c_plausibility", "kinetic_multiplier")

@@ -261,18 +261,19 @@ def ring(spark, sf):
 
 
 def inducers(spark, sf):
-    """Two inducers on one species; the second has the last word."""
-    at = snapshots(spark, sf).where("species = 'click'").select("design_id", *SNAPSHOT)
+    """Two inducers on one species in every state; the second has the last word."""
+    states = table(spark, sf, "events").select(
+        F.lit(0).cast("long").alias("design_id"), F.expr(V.STATE_SQL).alias("state_name")
+    ).distinct()
     kinds = F.array(
         F.struct(F.lit("IPTG").alias("inducer"), F.lit(900.0).alias("level"), F.lit(0).alias("pos")),
         F.struct(F.lit("aTc").alias("inducer"), F.lit(5000.0).alias("level"), F.lit(1).alias("pos")),
     )
-    return at.select("*", F.lit("click").alias("species"), F.explode(kinds).alias("i")).select(
-        "design_id", *SNAPSHOT, "species", "i.*"
+    return states.select("*", F.lit("click").alias("species"), F.explode(kinds).alias("i")).select(
+        "design_id", "state_name", "species", "i.*"
     )
 
 
-
 RATES_SQL = V.with_sql(
     T1,
     """snap as (select design_id, sample_id, state_name, seq, species, value as protein, value / 100.0e0 as mrna,

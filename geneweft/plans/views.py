@@ -151,11 +151,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected parts of a design in list order."""
     return lines(spark, sf_dir).select(
         F.col("l_orderkey").alias("design_id"), "pos", F.expr("l_suppkey % 10").alias("part")
     )
 
 
+def unordered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same parts without their positions, for counting; there is one edge for each."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("design_id"), F.expr("l_suppkey % 10").alias("part")
+    )
+
+
 NODES_SQL = f"""t7n as (select distinct l_orderkey as design_id, cast(l_suppkey % 10 as varchar) as node_id,
       {NODE_TYPE_SQL} as node_type from lineitem)"""
 LINES_SQL = """lines as (select l_orderkey, l_partkey, l_suppkey, row_number() over (partition by l_orderkey
