@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geneweft.functions.values import clamp_log
-from geneweft.operators.skew import index_points
+from geneweft.operators.skew import even_cell, index_points
 from geneweft.schemas import SERIES
 
 SAMPLE = ("design_id", "sample_id")
@@ -63,11 +63,11 @@ def with_length(traj: DataFrame, keys: tuple[str, ...] = SERIES, block: int = 65
 def points_from_events(
     df: DataFrame, keys: tuple[str, ...] = SERIES, order_by: tuple[str, ...] = ("ts", "event_id"), cell: Column | None = None
 ) -> DataFrame:
-    """Number raw readings into points; cells are minutes of ``ts`` unless given.
+    """Number raw readings into points; cells are even steps of the first order column unless given.
 
     Only raw readings need this. Stored trajectories carry their positions.
     """
-    cell = cell if cell is not None else F.date_trunc("minute", "ts")
+    cell = cell if cell is not None else even_cell(df, F.col(order_by[0]).cast("double"))
     return index_points(df, list(keys), list(order_by), cell)
 
 

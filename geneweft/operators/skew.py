@@ -40,6 +40,19 @@ def index_points(
     return numbered.drop("_cell", "_local", "_before", "_total")
 
 
+def even_cell(df: DataFrame, order: Column, rows_per_cell: int = 1_000_000) -> Column:
+    """A cell for :func:`index_points`: equal steps of a number, as many as the row count asks for.
+
+    One small aggregate reads count and range. There are so many steps that even if all rows
+    were one group a cell would hold about ``rows_per_cell`` of them; little data gets one cell.
+    """
+    n, low, high = df.agg(F.count(order), F.min(order), F.max(order)).first()
+    steps = -(-n // rows_per_cell)
+    if steps <= 1 or high == low:
+        return F.lit(0).cast("long")
+    return F.floor((order - F.lit(low)) / F.lit(float(high - low) / steps))
+
+
 def concat_pages(
     df: DataFrame, keys: list[str], pos: str, text: str, sep: str, out: str = "text", page_rows: int = 512
 ) -> DataFrame:

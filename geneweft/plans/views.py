@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geneweft.operators.series import points_from_events
-from geneweft.operators.skew import index_points
+from geneweft.operators.skew import even_cell, index_points
 from geneweft.plans.registry import table
 
 STATES = ("00_state", "01_state", "10_state", "11_state")
@@ -38,8 +38,7 @@ def points(spark: SparkSession, sf_dir: str, view: str = "t1") -> DataFrame:
         F.expr("value * 10").alias("value"),
         "event_id",
     )
-    slot = F.floor(F.col("time") / F.lit(600.0))
-    return points_from_events(raw, order_by=("time", "event_id"), cell=slot).drop("event_id")
+    return points_from_events(raw, order_by=("time", "event_id")).drop("event_id")
 
 
 def points_sql(view: str = "t1") -> str:
@@ -134,7 +133,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items numbered from 1 inside their order."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
-    return index_points(rows, ["l_orderkey"], LINE_ORDER, F.col("l_linenumber"), "pos", None).withColumn(
+    return index_points(rows, ["l_orderkey"], LINE_ORDER, even_cell(rows, F.col("l_linenumber")), "pos", None).withColumn(
         "pos", F.col("pos") + 1
     )
 
@@ -199,7 +198,8 @@ def iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("design"),
         F.expr("cast(floor(o_totalprice) as bigint) % 101").alias("score"),
     )
-    numbered = index_points(rows, ["run_id"], ["o_orderdate", "design"], F.date_trunc("month", "o_orderdate"), "_i", None)
+    cell = even_cell(rows, F.col("o_orderdate").cast("timestamp").cast("double"))
+    numbered = index_points(rows, ["run_id"], ["o_orderdate", "design"], cell, "_i", None)
     return numbered.withColumn("iteration", F.col("_i") + 1).drop("_i", "o_orderdate")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geneweft.config import FunctionalConfig
 from geneweft.operators import retrieval, runs, scoring, series, sweep, topology
 from geneweft.operators.components import distinct_documents, with_ids
-from geneweft.operators.skew import concat_pages, index_points
+from geneweft.operators.skew import concat_pages, even_cell
 from geneweft.plans import views as V
 from geneweft.plans.registry import table
 
@@ -215,3 +215,13 @@ def test_filters_reach_the_scan(spark):
 def test_noise_does_not_shuffle(spark):
     params = table(spark, SF, "part").select(F.col("p_partkey").alias("design_id"), F.lit("kd").alias("key"), F.col("p_retailprice").alias("value"))
     assert "Exchange" not in plan(sweep.noisy_parameters(params))
+
+
+def test_even_cells(spark):
+    raw = hot_points(spark)
+    base = numbered(raw)
+    same(series.points_from_events(raw, order_by=("time", "event_id")), base)
+    fine = even_cell(raw, F.col("time"), rows_per_cell=50)
+    assert raw.select(fine.alias("c")).distinct().count() >= 59
+    assert raw.groupBy(fine.alias("c")).count().agg(F.max("count")).first()[0] < 120
+    same(series.points_from_events(raw, order_by=("time", "event_id"), cell=fine), base)
