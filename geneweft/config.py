@@ -94,6 +94,40 @@ COMPONENT_TEXT = {
     "component": "這是一個 UCF 元件。",
 }
 
+GUARD_TEXT = {"blank": "Empty Verilog code provided.", "invalid": "Invalid Verilog: "}
+
+DECISION_TEXT = {
+    "decision": "REVISE",
+    "error_type": "NONE",
+    "feedback": "No feedback provided.",
+    "warning": "Warning: Valid PASS but invalid selected_index %s. ",
+    "route": "[ROUTE: %s] [ERROR: %s] ",
+    "ucf": "[UCF: %s] ",
+}
+
+CONTEXT_TEXT = {
+    "header": "\n--- Search results for %s in %s ---\n",
+    "failure": "\nFailed to scrape %s: %s",
+    "none": "No specific database context could be retrieved.",
+}
+
+TRANSCRIPT_TEXT = {
+    "session": "════════ 在線迭代對抗紀錄 %d ════════",
+    "round": "\n── 迭代輪次 %d ──",
+    "builder": "\n【合成生物學系統工程師】\n",
+    "critic": "\n\n【嚴苛的生物安全與可行性審查員】\n",
+}
+
+CARRY_TEXT = {"user": "\n\n【使用者追加條件】\n", "oracle": "\n\n【Automated Oracle 反饋】\n"}
+
+CANDIDATE_TEXT = {
+    "index": "=== 候選方案 Index: %d ===\n",
+    "topology": "【拓樸結構】\n%s\n\n",
+    "result": "【ODE 模擬分數/結果】\n%s\n\n",
+}
+
+DIALOGUE_TEXT = {"builder": "【Builder (Round %d)】\n%s", "critic": "【Critic (Round %d)】\n%s"}
+
 # --- fixed values end ------------------------------------------------------------------
 
 

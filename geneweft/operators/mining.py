@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geneweft.config import KM_DEFAULTS
+from geneweft.config import CONTEXT_TEXT, KM_DEFAULTS
 from geneweft.functions.text import html_text, relevant_paragraphs
 from geneweft.functions.units import canonical_parameter, host_baseline, normalize_host, normalize_unit
 from geneweft.functions.values import literal_map
@@ -59,17 +59,12 @@ def page_paragraphs(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("text", html_text(F.col(html))).withColumn("snippet", relevant_paragraphs(F.col("text")))
 
 
-NO_CONTEXT = "No specific database context could be retrieved."
-
-
 def snippet_section(part: Column, host: Column, snippet: Column, failure: Column | None, max_chars: int) -> Column:
     """Header line and the snippet of one part, held to the budget; a failed fetch leaves its own line."""
-    good = F.concat(
-        F.lit("\n--- Search results for "), part, F.lit(" in "), host, F.lit(" ---\n"), F.substring(snippet, 1, max_chars)
-    )
+    good = F.concat(F.format_string(CONTEXT_TEXT["header"], part, host), F.substring(snippet, 1, max_chars))
     if failure is None:
         return good
-    return F.when(failure.isNotNull(), F.concat(F.lit("\nFailed to scrape "), part, F.lit(": "), failure)).otherwise(good)
+    return F.when(failure.isNotNull(), F.format_string(CONTEXT_TEXT["failure"], part, failure)).otherwise(good)
 
 
 def assemble_context(df: DataFrame, max_chars: int = 4000, page_rows: int = 512) -> DataFrame:
@@ -82,4 +77,4 @@ def assemble_context(df: DataFrame, max_chars: int = 4000, page_rows: int = 512)
     section = snippet_section(F.col("part"), F.col("host"), F.coalesce("snippet", F.lit("")), failure, max_chars)
     context = concat_pages(df.withColumn("_section", section), ["request_id"], "pos", "_section", "", "context", page_rows)
     blank = F.trim(F.col("context"), F.lit(" \n\r\t")) == ""
-    return context.withColumn("context", F.when(blank, F.lit(NO_CONTEXT)).otherwise(F.col("context")))
+    return context.withColumn("context", F.when(blank, F.lit(CONTEXT_TEXT["none"])).otherwise(F.col("context")))

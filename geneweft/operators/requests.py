@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geneweft.config import GUARD_TEXT
 from geneweft.functions.text import is_error
 from geneweft.functions.values import is_json
 
@@ -16,8 +17,8 @@ BLANK = " \n\r\t"
 def guard_inputs(df: DataFrame, text: str = "code") -> tuple[DataFrame, DataFrame]:
     """Usable inputs, and error rows for blank texts and texts that already report an error."""
     body = F.trim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANK))
-    error = F.when(body == "", F.lit("Empty Verilog code provided.")).when(
-        is_error(body), F.concat(F.lit("Invalid Verilog: "), body)
+    error = F.when(body == "", F.lit(GUARD_TEXT["blank"])).when(
+        is_error(body), F.concat(F.lit(GUARD_TEXT["invalid"]), body)
     )
     flagged = df.withColumn("error", error)
     return flagged.where("error is null").drop("error"), flagged.where("error is not null").drop(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geneweft.config import CANDIDATE_TEXT, CARRY_TEXT, DECISION_TEXT, DIALOGUE_TEXT, TRANSCRIPT_TEXT
 from geneweft.functions.text import strip_fences
 from geneweft.functions.values import is_json
 from geneweft.operators.skew import concat_pages, index_points
@@ -33,18 +34,19 @@ def parse_decision(df: DataFrame, response: str = "response", candidates: str =
     approved = (F.col("decision") == "PASS") & F.col("_d.selected_index").isNotNull()
     parsed = d.withColumns(
         {
-            "decision": F.when(decided, F.coalesce("_d.decision", F.lit("REVISE"))),
-            "error_type": F.when(decided, F.coalesce("_d.error_type", F.lit("NONE"))),
-            "_said": F.when(decided, F.coalesce("_d.feedback", F.lit("No feedback provided."))),
+            "decision": F.when(decided, F.coalesce("_d.decision", F.lit(DECISION_TEXT["decision"]))),
+            "error_type": F.when(decided, F.coalesce("_d.error_type", F.lit(DECISION_TEXT["error_type"]))),
+            "_said": F.when(decided, F.coalesce("_d.feedback", F.lit(DECISION_TEXT["feedback"]))),
             "recommended_ucf": F.col("_d.recommended_ucf"),
         }
     ).withColumn("approved", F.coalesce(approved, F.lit(False)))
     chosen = F.when(F.col("approved") & in_range, F.get(F.col(candidates), index))
+    ucf = F.col("recommended_ucf")
     tags = F.concat(
-        F.lit("[ROUTE: "), F.col("decision"), F.lit("] [ERROR: "), F.col("error_type"), F.lit("] "),
-        F.when(F.coalesce("recommended_ucf", F.lit("")) != "", F.concat(F.lit("[UCF: "), F.col("recommended_ucf"), F.lit("] "))).otherwise(F.lit("")),
+        F.format_string(DECISION_TEXT["route"], F.col("decision"), F.col("error_type")),
+        F.when(F.coalesce(ucf, F.lit("")) != "", F.format_string(DECISION_TEXT["ucf"], ucf)).otherwise(F.lit("")),
     )
-    warning = F.concat(F.lit("Warning: Valid PASS but invalid selected_index "), F.col("_d.selected_index"), F.lit(". "))
+    warning = F.format_string(DECISION_TEXT["warning"], F.col("_d.selected_index"))
     prefix = (
         F.when(~F.col("approved"), tags).when(F.coalesce(in_range, F.lit(False)), F.lit("")).otherwise(warning)
     )
@@ -150,15 +152,6 @@ def append_rounds(history: DataFrame, new: DataFrame) -> DataFrame:
     return history.unionByName(new, allowMissingColumns=True)
 
 
-# fixed values: labels of the transcript
-TRANSCRIPT_TEXT = {
-    "session": "════════ 在線迭代對抗紀錄 %d ════════",
-    "round": "\n── 迭代輪次 %d ──",
-    "builder": "\n【合成生物學系統工程師】\n",
-    "critic": "\n\n【嚴苛的生物安全與可行性審查員】\n",
-}
-
-
 def round_records(turns: DataFrame, key: str = "session_id") -> DataFrame:
     """One row per round with the builder's and the critic's text; the last turn of a role wins."""
     return turns.groupBy(key, "round_number").agg(
@@ -189,10 +182,6 @@ def render_transcript(
     return concat_pages(lines, [key], "_pos", "_line", "\n", "transcript", page_rows)
 
 
-# fixed values: section labels of a carried intent
-CARRY_TEXT = {"user": "\n\n【使用者追加條件】\n", "oracle": "\n\n【Automated Oracle 反饋】\n"}
-
-
 def carry_intent(df: DataFrame, labels: dict[str, str] = CARRY_TEXT) -> DataFrame:
     """Intent with a new condition appended; ``source`` is user or oracle, a blank condition is rejected."""
     condition = F.when(F.col("source") == "oracle", F.coalesce("condition", F.lit(""))).otherwise(
@@ -206,12 +195,6 @@ def carry_intent(df: DataFrame, labels: dict[str, str] = CARRY_TEXT) -> DataFram
     )
 
 
-# fixed values: sections of the candidate table
-CANDIDATE_TEXT = {
-    "index": "=== 候選方案 Index: %d ===\n",
-    "topology": "【拓樸結構】\n%s\n\n",
-    "result": "【ODE 模擬分數/結果】\n%s\n\n",
-}
 NO_CANDIDATES = "ERROR: no candidate topologies or simulation results"
 
 
@@ -237,8 +220,11 @@ def candidate_sections(
 
 def experiment_summary(iterations: DataFrame, rounds: DataFrame, metadata: DataFrame) -> DataFrame:
     """Best design, score, iteration count, metadata and dialogue of every experiment (keyed by run_id)."""
-    builder = F.concat(F.lit("【Builder (Round "), F.col("round_number").cast("string"), F.lit(")】\n"), F.col("builder_output"))
-    critic = F.concat(F.lit("【Critic (Round "), F.col("round_number").cast("string"), F.lit(")】\n"), F.col("critic_output"))
+    def said(role: str, text: str) -> Column:
+        line = F.format_string(DIALOGUE_TEXT[role], F.col("round_number").cast("long"), F.col(text))
+        return F.when(F.col(text).isNotNull(), line)
+
+    builder, critic = said("builder", "builder_output"), said("critic", "critic_output")
     spoken = rounds.withColumn("_line", F.concat_ws("\n\n", builder, critic)).withColumn("_pos", F.col("round_number") - 1)
     dialogue = concat_pages(spoken, ["run_id"], "_pos", "_line", "\n\n", "dialogue_text")
     return metadata.join(best_design(iterations), "run_id", "left").join(dialogue, "run_id", "left")

@@ -225,3 +225,10 @@ def test_even_cells(spark):
     assert raw.select(fine.alias("c")).distinct().count() >= 59
     assert raw.groupBy(fine.alias("c")).count().agg(F.max("count")).first()[0] < 120
     same(series.points_from_events(raw, order_by=("time", "event_id"), cell=fine), base)
+
+
+def test_top_k_is_cut_before_the_shuffle(spark):
+    from geneweft.plans import load_all
+
+    for name in ("first_repeat", "failure_sample", "prefer_netlists", "context_budget", "search"):
+        assert "WindowGroupLimit" in plan(load_all()[0][name](spark, SF)), name
