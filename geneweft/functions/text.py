@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,26 +108,30 @@ def truncate_context(text: Column, max_chars: int = 2400) -> Column:
     return F.substring(F.trim(text, F.lit(BLANK)), 1, max_chars)
 
 
-# fixed values: character references decoded in page text; the ampersand comes last
-ENTITIES = (
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&micro;", "µ"),
-    ("&deg;", "°"),
-    ("&plusmn;", "±"),
-    ("&times;", "×"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&hellip;", "…"),
-    ("&amp;", "&"),
-)
+REFERENCE = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+
+
+def decode_references(text: Column) -> Column:
+    """Character references, named and numeric, each decoded once; unknown names stay.
+
+    The text is cut before every reference, so all of them are looked up in one pass.
+    """
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def decoded(piece: Column) -> Column:
+        decimal = F.regexp_extract(piece, r"^&#([0-9]{1,7});", 1)
+        hexadecimal = F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]{1,6});", 1)
+        code = F.when(decimal != "", F.conv(decimal, 10, 16)).when(hexadecimal != "", hexadecimal)
+        by_code = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        by_name = F.try_element_at(named, F.regexp_extract(piece, r"^&([A-Za-z][A-Za-z0-9]*);", 1))
+        rest = F.regexp_replace(piece, "^" + REFERENCE, "")
+        return F.coalesce(F.concat(F.coalesce(by_code, by_name), rest), piece)
+
+    pieces = F.transform(F.split(text, f"(?={REFERENCE})"), decoded)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+
 BOUNDARY = "\u0001"
 
 
@@ -136,7 +142,5 @@ def html_text(html: Column, keep_scripts: bool = False) -> Column:
         body = F.regexp_replace(body, r"(?is)<script\b[^>]*>.*?</script\s*>", BOUNDARY)
         body = F.regexp_replace(body, r"(?is)<style\b[^>]*>.*?</style\s*>", BOUNDARY)
     body = F.regexp_replace(body, r"(?s)<[!/?A-Za-z][^>]*>", BOUNDARY)
-    for entity, char in ENTITIES:
-        body = F.replace(body, F.lit(entity), F.lit(char))
-    nodes = F.transform(F.split(body, BOUNDARY), lambda s: F.trim(s, F.lit(BLANK)))
+    nodes = F.transform(F.split(body, BOUNDARY), lambda s: F.trim(decode_references(s), F.lit(BLANK)))
     return F.array_join(F.filter(nodes, lambda s: s != ""), "\n")

@@ -30,10 +30,13 @@ def _pages(spark, sf):
     return page_lines(rows).select("page_id", "url", "scrape_note")
 
 
+# the references that occur in the pages; the ampersand comes last
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
 def _entities(sql: str) -> str:
-    for entity, char in X.ENTITIES:
-        quoted = char.replace("'", "''")
-        sql = f"replace({sql}, '{entity}', '{quoted}')"
+    for entity, char in ENTITIES:
+        sql = f"replace({sql}, '{entity}', '{char}')"
     return sql
 
 

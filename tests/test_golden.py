@@ -538,3 +538,12 @@ def test_requests(spark):
     assert got[1] == ("a", 5, None)
     assert got[2][2] == "TOOL_ERROR: blank query" and got[3][2] == "TOOL_ERROR: invalid JSON"
     assert got[4][2].startswith("TOOL_ERROR: n_results") and got[5][2].startswith("TOOL_ERROR: n_results")
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [("&eacute;&#233;&#xE9;", "ééé"), ("&amp;#39; &#39;", "&#39; '"), ("&bogus; & &lt", "&bogus; & &lt"), ("&#128512;", "😀"), ("a&nbsp;b", "a\xa0b"),
+     ("&amp;lt;", "&lt;"), ("plain", "plain")],
+)
+def test_references(spark, text, expected):
+    assert one(spark, X.decode_references(F.lit(text))) == expected
