@@ -346,21 +346,27 @@ def _rating(spark, sf):
 
 # --- verdicts ----------------------------------------------------------------------------
 
-VERDICT_SQL = """checked as (select g.design_id, g.sample_id, count(*) filter (expected = 1 and coalesce(value, 0) < 350) as logic_failures,
+VERDICT_SQL = """states as (select design_id, sample_id, state_name, bool_or(species = 'purchase') as has_target,
+      coalesce(avg(value) filter (species = 'purchase' and seq >= cast(floor(n_points * cast(0.9 as double)) as bigint)), 0) as value
+      from t1d group by all),
+    checked as (select g.design_id, g.sample_id, evaluated, count(*) filter (expected = 1 and coalesce(value, 0) < 350) as logic_failures,
       count(*) filter (expected <> 1 and coalesce(value, 0) > 650) as leak_failures,
       min(coalesce(value, 0)) filter (expected = 1) as low, max(coalesce(value, 0)) filter (expected <> 1) as high
-      from (select distinct design_id, sample_id from levels) g join spec s using (design_id)
-      left join levels l on l.design_id = g.design_id and l.sample_id = g.sample_id and l.state_name = s.state_name group by all),
-    folded as (select *, case when high > 0 then low / high else 0 end as fold_change from checked),
-    verdicts as (select *, logic_failures = 0 and leak_failures = 0 and fold_change >= 350e0 / 650e0 as passed from folded),
-    judged as (select *, case when passed then 100e0 else greatest(0e0, 100e0 - 20 * logic_failures - 10 * leak_failures) end as score from verdicts)"""
+      from (select design_id, sample_id, bool_and(has_target) as evaluated from states group by all) g join spec s using (design_id)
+      left join states l on l.design_id = g.design_id and l.sample_id = g.sample_id and l.state_name = s.state_name group by all),
+    folded as (select design_id, sample_id, evaluated, case when evaluated then logic_failures else 0 end as logic_failures,
+      case when evaluated then leak_failures else 0 end as leak_failures,
+      case when evaluated and high > 0 then low / high else 0 end as fold_change from checked),
+    verdicts as (select *, evaluated and logic_failures = 0 and leak_failures = 0 and fold_change >= 350e0 / 650e0 as passed from folded),
+    judged as (select *, case when not evaluated then 0e0 when passed then 100e0
+      else greatest(0e0, 100e0 - 20 * logic_failures - 10 * leak_failures) end as score from verdicts)"""
 
 
 @query(
     "verdict",
     V.with_sql(*base_sql(), VERDICT_SQL)
     + """select design_id, sample_id, passed as pass, round(score, 6) as score, round(fold_change, 6) as fold_change,
-      logic_failures, leak_failures, true as evaluated from judged""",
+      logic_failures, leak_failures, evaluated from judged""",
 )
 def _verdict(spark, sf):
     points = V.points(spark, sf, "t1d")
