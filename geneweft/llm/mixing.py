@@ -77,7 +77,7 @@ def solve_rates(histogram: DataFrame, targets: DataFrame, cap: float = 3.0) -> D
         "mix-state",
     )
     cells = stored(
-        histogram.where("size > 0").join(targets.select(F.col("source").alias("s"), "rank"), F.col("source").eqNullSafe(F.col("s")))
+        histogram.where("size > 0").join(beside(state).select(F.col("source").alias("s"), "rank"), F.col("source").eqNullSafe(F.col("s")))
         .select("rank", F.col("size").cast("double").alias("size"), F.col("n").cast("double").alias("n")),
         "mix-cells",
     )
@@ -86,7 +86,7 @@ def solve_rates(histogram: DataFrame, targets: DataFrame, cap: float = 3.0) -> D
         share = F.col("size") / F.col("mean")
         rate = F.exp(F.least(F.col("tilt") * share, F.lit(50.0)))
         sums = (
-            cells.join(state.where("open").select("rank", "tilt", "mean"), "rank")
+            cells.join(beside(state).where("open").select("rank", "tilt", "mean"), "rank")
             .groupBy("rank")
             .agg(
                 F.sum(words * F.least(rate, F.lit(float(cap)))).alias("value"),
@@ -124,6 +124,14 @@ def solve_rates(histogram: DataFrame, targets: DataFrame, cap: float = 3.0) -> D
     return state
 
 
+SMALL = 100_000
+
+
+def beside(few: DataFrame) -> DataFrame:
+    """A stored table of one row per source, broadcast where counting it shows that it is small."""
+    return F.broadcast(few) if few.limit(SMALL + 1).count() <= SMALL else few
+
+
 def _rate(cap: float) -> Column:
     tilted = F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(50.0)))
     return F.when(F.col("open"), F.least(tilted, F.lit(float(cap)))).otherwise(F.when(F.col("source_size") > 0, F.lit(float(cap))).otherwise(F.lit(1.0)))
@@ -144,7 +152,7 @@ def solve_mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float
     histogram = stored(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
     solved = solve_rates(histogram, source_targets(histogram, weights, cap), cap)
     rows = (
-        sized.where("size > 0").join(solved.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        sized.where("size > 0").join(beside(solved).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .select("rank", "size", "target", _rate(cap).alias("rate"), "key")
         .select("rank", "size", "target", F.floor("rate").alias("whole"), _order(F.col("rate"), F.col("key")).alias("place"))
     )
@@ -160,7 +168,7 @@ def solve_mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float
         .where((F.col("missing") >= 0) & (F.col("missing") < F.col("words"))),
         "mix-turning",
     )
-    inside = rows.withColumn("cell", cell).join(turning.select("rank", "cell", "missing"), ["rank", "cell"])
+    inside = rows.withColumn("cell", cell).join(beside(turning).select("rank", "cell", "missing"), ["rank", "cell"])
     steps = inside.groupBy("rank", "missing", "place").agg(F.sum("size").alias("words")).withColumn(
         "after", F.sum("words").over(source.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     )
@@ -181,7 +189,7 @@ def solve_mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float
         "mix-cut",
     )
     # the draw stops short of its target: add the undrawn row, or swap the next row for the drawn one, that leaves least
-    marked = rows.join(cut.select("rank", "inner", "edge", "cross"), "rank").withColumn("drawn", _drawn(F.col("place")))
+    marked = rows.join(beside(cut).select("rank", "inner", "edge", "cross"), "rank").withColumn("drawn", _drawn(F.col("place")))
     left = marked.groupBy("rank").agg(
         (F.first("target") - F.sum(F.col("size") * (F.col("whole") + F.when(F.col("drawn"), 1).otherwise(0)))).alias("left")
     )
@@ -192,7 +200,7 @@ def solve_mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float
         miss.alias("miss"), F.when(F.col("drawn"), F.col("cross.place")).otherwise(F.col("place")).alias("add"),
         F.when(F.col("drawn"), F.col("place")).alias("remove"),
     )
-    best = moves.join(left, "rank").where(miss < F.abs("left")).groupBy("rank").agg(F.min(move).alias("move"))
+    best = moves.join(beside(stored(left, "mix-left")), "rank").where(miss < F.abs("left")).groupBy("rank").agg(F.min(move).alias("move"))
     return stored(cut.drop("cross").join(best.select("rank", "move.add", "move.remove"), "rank", "left"), "mix-solved")
 
 
@@ -203,7 +211,7 @@ def _drawn(place: Column) -> Column:
 def apply_mix(sized: DataFrame, solved: DataFrame, cap: float = 3.0) -> DataFrame:
     """``sized`` with source_size, target and copies (whole, at most ``cap``)."""
     place = _order(_rate(cap), F.col("key"))
-    plan = solved.select(
+    plan = beside(solved).select(
         F.col("source").alias("_source"), "source_size", "target", "tilt", "mean", "open", "inner", "edge", "add", "remove"
     )
     is_place = lambda c: F.coalesce(place == F.col(c), F.lit(False))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geneweft.llm import chat, mixing, url_rules
+from geneweft.llm import bpe, chat, mixing, secret_scan, url_rules
 from geneweft.llm.registry import QUERIES, SQL, query, table
 
 CHAT_SQL = r"""
@@ -31,6 +32,22 @@ FROM sized GROUP BY conv_id
 """
 
 
+@query("op3_bpe_tokens")
+def op3_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's token ids and of what they decode to."""
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, each distinct text scanned once."""
+    found = secret_scan.findings(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 @query("op5_mix_sources")
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
