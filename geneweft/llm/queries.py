@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geneweft.llm import bpe, chat, mixing, secret_scan, url_rules
+from geneweft.llm import bpe, chat, mixing, secret_scan, trie_join, url_rules
 from geneweft.llm.registry import QUERIES, SQL, query, table
 
 CHAT_SQL = r"""
@@ -56,6 +56,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_shingle_join")
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under shared shingles."""
+    return trie_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query("op9_chat_format", CHAT_SQL)
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation read back from its formatted text."""
