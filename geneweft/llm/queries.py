@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geneweft.llm import bpe, chat, mixing, secret_scan, trie_join, url_rules
+from geneweft.llm import bpe, chat, mixing, quality, secret_scan, toxicity, trie_join, url_rules
+from geneweft.llm.labelled import remainder
 from geneweft.llm.registry import QUERIES, SQL, query, table
 
 CHAT_SQL = r"""
@@ -32,6 +33,19 @@ FROM sized GROUP BY conv_id
 """
 
 
+def judged(docs: DataFrame, held_out) -> DataFrame:
+    return docs.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned where crc32 of the id modulo 5 is not 0."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = remainder(F.col("doc_id"), 5)
+    model = toxicity.fit(docs, labels, fold != 0)
+    return judged(toxicity.score(docs.select("doc_id", "text"), model), fold == 0)
+
+
 @query("op3_bpe_tokens")
 def op3_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's token ids and of what they decode to."""
@@ -62,6 +76,15 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned where crc32 of the id modulo 3 is not 1."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = remainder(F.col("doc_id"), 3)
+    trees = quality.fit(docs, labels, fold != 1)
+    return judged(quality.score(docs.select("doc_id", "text"), trees), fold == 1)
+
+
 @query("op9_chat_format", CHAT_SQL)
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation read back from its formatted text."""

@@ -66,6 +66,11 @@ class WordHasher:
 
     def __call__(self, held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(hash of every word, offset of every text's first word, with the end)."""
+        (hashes,), offsets = self.heads(held, ())
+        return hashes, offsets
+
+    def heads(self, held: list[bytes], sizes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+        """As a call, with the hashes of all words' first bytes for each of ``sizes`` after the hashes of the words."""
         data = np.frombuffer(b" ".join(held) + b" ", dtype=np.uint8)
         inside = self.inside[data]
         inside[-1] = False
@@ -75,14 +80,18 @@ class WordHasher:
         starts, ends = edges[::2], edges[1::2]
         offsets = np.concatenate([[0], np.searchsorted(starts, ends_of_texts)])
         if not len(starts):
-            return np.zeros(0, dtype=np.uint64), offsets
+            return [np.zeros(0, dtype=np.uint64)] * (1 + len(sizes)), offsets
         lengths = ends - starts
         if lengths.max() > len(self.powers):
             self._extend(int(lengths.max()))
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         place = np.arange(lengths.sum()) - np.repeat(first, lengths)
         terms = self.codes[data[inside]] * self.powers[place]
-        return mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64)), offsets
+        found = [mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64))]
+        for size in sizes:
+            kept = np.where(place < size, terms, np.uint64(0))
+            found.append(mix(np.add.reduceat(kept, first) + np.minimum(lengths, size).astype(np.uint64)))
+        return found, offsets
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
