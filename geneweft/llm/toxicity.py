@@ -1,6 +1,7 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A document is the set of its hashed features: words, pairs of neighbours, and pairs with one or two words between them.
+A document is the set of its hashed features: words, heads of words (their first bytes, which inflected forms share), pairs
+of neighbours, and pairs with one or two words between them.
 Each coordinate has its own learning rate, from the sum of its squared gradients, and an L1 threshold that holds weak
 coordinates at exactly zero, so that the fitted model is a short list of (feature, weight) which travels to every task.
 
@@ -23,13 +24,13 @@ from pyspark.sql import functions as F
 from geneweft.llm.labelled import sample
 from geneweft.llm.textblocks import WordHasher, blocks, letters_only, mix
 
-CLASS = None
-LEAST = 4
 BITS = 24
 PER_CLASS = 3000
-ALPHA, BETA, L1, L2, EPOCHS = 0.1, 1.0, 2.0, 1.0, 3
-GAPS = (1, 2, 3)
-_KINDS = np.random.default_rng(7).integers(1, 1 << 62, len(GAPS) + 1, dtype=np.uint64)
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 8.0, 0.1, 8
+#: A feature is learned from this many documents on.
+LEAST = 4
+GAPS, HEADS = (1, 2, 3), (4, 5, 6, 7)
+_KINDS = np.random.default_rng(7).integers(1, 1 << 62, 1 + len(GAPS) + len(HEADS), dtype=np.uint64)
 
 
 @dataclass(frozen=True)
@@ -39,26 +40,31 @@ class Model:
     bias: float
 
 
-def features(words: np.ndarray) -> np.ndarray:
-    """Hashed features of a run of words, repeats included."""
+def features(words: np.ndarray, heads: list[np.ndarray]) -> np.ndarray:
+    """Hashed features of a text's words and of their heads, repeats included."""
     with np.errstate(over="ignore"):
-        found = [mix(words + _KINDS[0])]
-        for gap, kind in zip(GAPS, _KINDS[1:]):
+        found = [mix(x + kind) for x, kind in zip([words, *heads], _KINDS[len(GAPS) :])]
+        for gap, kind in zip(GAPS, _KINDS):
             if len(words) > gap:
                 found.append(mix(words[:-gap] * np.uint64(3) + words[gap:] * np.uint64(5) + kind))
     return (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
+def text_features(texts) -> Iterator[np.ndarray]:
+    """Features of every text."""
+    hasher = WordHasher(letters_only())
+    for _, held in blocks(texts):
+        (words, *heads), offsets = hasher.heads(held, HEADS)
+        for a, b in zip(offsets, offsets[1:]):
+            yield features(words[a:b], [x[a:b] for x in heads])
+
+
 def document_features(docs: DataFrame) -> DataFrame:
     """doc_id, label, features (packed distinct int32)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher(letters_only())
         for batch in batches:
-            packed = []
-            for _, held in blocks(batch["text"]):
-                words, offsets = hasher(held)
-                packed += [np.unique(features(words[a:b])).tobytes() for a, b in zip(offsets, offsets[1:])]
+            packed = [np.unique(x).tobytes() for x in text_features(batch["text"])]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "features": packed})
 
     return docs.mapInPandas(run, "doc_id bigint, label int, features binary")
@@ -72,9 +78,6 @@ def ftrl(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[
     z, n = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     bias = len(known)
     mixed = np.random.default_rng(1)
-    ones = sum(y for _, y in examples)
-    # the rarer class weighs as much as the other, so that 0.5 parts them
-    share = CLASS if CLASS else (1.0, 1.0) if not 0 < ones < len(examples) else (max(1.0, ones / (len(examples) - ones)), max(1.0, (len(examples) - ones) / ones))
 
     def weights(at, z_at):
         shrunk = np.sign(z_at) * np.maximum(np.abs(z_at) - np.where(at == bias, 0.0, L1), 0.0)
@@ -85,7 +88,7 @@ def ftrl(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[
             x, y = rows[i]
             at = np.append(x, bias)
             w = weights(at, z[at])
-            gradient = share[y] * (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y)
+            gradient = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             rate = (np.sqrt(n[at] + gradient**2) - np.sqrt(n[at])) / ALPHA
             z[at] += gradient - rate * w
             n[at] += gradient**2
@@ -120,18 +123,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
-        hasher = WordHasher(letters_only())
         weighted = np.zeros(1 << BITS, dtype=bool)
         weighted[model.features] = True
         for texts in batches:
             sums = np.full(len(texts), model.bias)
-            for start, held in blocks(texts):
-                words, offsets = hasher(held)
-                for i, (a, b) in enumerate(zip(offsets, offsets[1:]), start):
-                    found = features(words[a:b])
-                    found = np.unique(found[weighted[found]])
-                    if len(found):
-                        sums[i] += model.weights[np.searchsorted(model.features, found)].sum()
+            for i, found in enumerate(text_features(texts)):
+                found = np.unique(found[weighted[found]])
+                if len(found):
+                    sums[i] += model.weights[np.searchsorted(model.features, found)].sum()
             yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
 
     return docs.withColumn(into, scored(F.col(text)))
