@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geneweft.llm import bpe, chat, mixing, quality, secret_scan, toxicity, trie_join, url_rules
+from geneweft.llm import bpe, chat, fingerprint, mixing, neighbours, quality, secret_scan, toxicity, trie_join, url_rules
 from geneweft.llm.labelled import remainder
 from geneweft.llm.registry import QUERIES, SQL, query, table
 
@@ -46,6 +46,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(toxicity.score(docs.select("doc_id", "text"), model), fold == 0)
 
 
+@query("op2_fingerprint")
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    docs = table(spark, sf_dir, "documents")
+    return fingerprint.compare_edited(docs, fingerprint.ranks(fingerprint.level_counts(docs)))
+
+
 @query("op3_bpe_tokens")
 def op3_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's token ids and of what they decode to."""
@@ -70,6 +77,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_one_bit_search")
+def op6_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op7_shingle_join")
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under shared shingles."""
