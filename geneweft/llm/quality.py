@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geneweft.llm.labelled import sample
@@ -146,13 +146,23 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quali
     return grow(x, rows["label"].to_numpy(np.int64))
 
 
-def score(docs: DataFrame, trees: Trees, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+def scorer(spark: SparkSession, trees: Trees):
+    """A column function from a text to the probability of label 1."""
+    shared = spark.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(1 / (1 + np.exp(-raw_scores(shared.value, statistics(texts)))))
 
-    return docs.withColumn(into, scored(F.col(text)))
+    return scored
+
+
+def score(docs: DataFrame, trees: Trees, text: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with the probability of label 1."""
+    return docs.withColumn(into, scorer(docs.sparkSession, trees)(F.col(text)))
+
+
+def accepted(docs: DataFrame, trees: Trees, least: float = 0.5) -> DataFrame:
+    """The documents that score ``least`` or more, with the columns of ``docs``."""
+    return docs.where(scorer(docs.sparkSession, trees)(F.col("text")) >= least)
