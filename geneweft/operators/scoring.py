@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geneweft.config import PENALTY_TEXT, FunctionalConfig, KineticConfig, VerdictConfig, ViabilityConfig
 from geneweft.functions import scores as S
-from geneweft.operators.series import SAMPLE, in_tail, is_protein, max_burden, rise_column, rise_time
+from geneweft.operators.series import SAMPLE, in_tail, is_protein, is_target, max_burden, rise_column, rise_time
 
 
 def level() -> Column:
@@ -25,16 +25,17 @@ def join_spec(
     """Levels per (keys, state) against the truth table (design, state, expected).
 
     ``left`` keeps every row of the table for every group, with ``fill`` where a level is
-    missing; ``inner`` ignores states the table does not name. For ``left`` the levels of a
-    group, one per state of its circuit, are packed into a map and looked up, so they are
-    computed once.
+    missing, and once for a design without any level (its other keys are null); ``inner``
+    ignores states the table does not name. For ``left`` the levels of a group, one per state
+    of its circuit, are packed into a map and looked up, so they are computed once.
     """
     if how == "inner":
         return levels.join(spec, ["design_id", "state_name"])
     entries = F.collect_list(F.struct("state_name", "value"))
     packed = levels.groupBy(*keys).agg(F.map_from_entries(entries).alias("_levels"))
     value = F.coalesce(F.try_element_at("_levels", F.col("state_name")), F.lit(fill))
-    return packed.join(spec, "design_id").withColumn("value", value).drop("_levels")
+    joined = spec.join(packed, "design_id", "left").withColumn("value", value)
+    return joined.select(*keys, *[c for c in spec.columns if c not in keys], "value")
 
 
 def on_off_columns() -> list[Column]:
@@ -111,7 +112,7 @@ def functional_score(
 def last_levels(traj: DataFrame, target: str) -> DataFrame:
     """Last value of the target species per (design, sample, state)."""
     return (
-        traj.where(F.col("species") == target)
+        traj.where(is_target(target))
         .groupBy(*SAMPLE, "state_name")
         .agg(F.max_by("value", "seq").alias("value"))
     )
@@ -136,7 +137,7 @@ def robustness(
 
 def temporal(traj: DataFrame, spec: DataFrame, target: str, cfg: KineticConfig = KineticConfig()) -> DataFrame:
     """Mean rise time over samples and ON states, and its score; designs without ON states have rise time 0."""
-    series = rise_time(traj.where(F.col("species") == target), cfg.on)
+    series = rise_time(traj.where(is_target(target)), cfg.on)
     rises = series.join(spec, ["design_id", "state_name"], "left").groupBy("design_id").agg(
         F.coalesce(F.avg(F.when(F.col("expected") == 1, F.col("rise_time"))), F.lit(0.0)).alias("t_rise_avg")
     )
@@ -154,7 +155,7 @@ def kinetic_score(traj: DataFrame, spec: DataFrame, target: str, cfg: KineticCon
     the burden.
     """
     series = (
-        traj.where(F.col("species") == target)
+        traj.where(is_target(target))
         .groupBy(*SAMPLE, "state_name")
         .agg(F.max_by("value", "seq").alias("value"), rise_column(cfg.on).alias("_rise"))
     )
@@ -360,7 +361,7 @@ def render_report(flat: DataFrame, full: bool = True) -> DataFrame:
 
 def state_levels(traj: DataFrame, target: str) -> DataFrame:
     """Steady state of the target per (design, sample, state), and whether the state has the target at all."""
-    hit = F.col("species") == target
+    hit = is_target(target)
     return traj.groupBy(*SAMPLE, "state_name").agg(
         F.avg(F.when(hit & in_tail(0.9), F.col("value"))).alias("value"), F.max(hit).alias("has_target")
     )
@@ -368,7 +369,7 @@ def state_levels(traj: DataFrame, target: str) -> DataFrame:
 
 def levels_and_burden(traj: DataFrame, target: str) -> DataFrame:
     """As :func:`state_levels`, with the largest total protein level of the state; one pass over the points."""
-    hit = F.col("species") == target
+    hit = is_target(target)
     tail = F.when(hit & in_tail(0.9), F.col("value"))
     by_point = traj.groupBy(*SAMPLE, "state_name", "seq").agg(
         F.sum(F.when(is_protein(), F.col("value"))).alias("_burden"),
@@ -470,24 +471,38 @@ def sample_outcomes(
     return outcomes.withColumn("toxic", toxic).withColumn("pass", F.col("pass") & ~F.col("toxic"))
 
 
-def mc_verdict(outcomes: DataFrame, noise: float = 0.05, iterations: int = 10, cfg: VerdictConfig = VerdictConfig()) -> DataFrame:
-    """Verdict over all samples of a design: pass rate, toxicity count and the reason of the decision."""
+def mc_verdict(
+    outcomes: DataFrame,
+    noise: float = 0.05,
+    iterations: int = 10,
+    cfg: VerdictConfig = VerdictConfig(),
+    designs: DataFrame | None = None,
+) -> DataFrame:
+    """Verdict over all samples of a design: pass rate, toxicity count and the reason of the decision.
+
+    ``designs`` (design_id) names those that must have a row; one without samples fails with score 0.
+    """
     counts = outcomes.groupBy("design_id").agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.count_if("pass").alias("n_pass"),
         F.count_if("toxic").alias("toxicity_failures"),
         F.max(F.coalesce("expects_death", F.lit(False))).alias("expects_death"),
     )
-    rate = F.col("n_pass") / F.col("n_samples")
+    if designs is not None:
+        counts = designs.select("design_id").distinct().join(counts, "design_id", "left").fillna(
+            {"n_samples": 0, "n_pass": 0, "toxicity_failures": 0, "expects_death": False}
+        )
+    rate = F.coalesce(F.try_divide("n_pass", "n_samples"), F.lit(0.0))
+    none = F.when(F.col("n_samples") == 0, F.lit("no samples"))
     if iterations == 1 or noise == 0.0:
         reason = (
-            F.when(F.col("toxicity_failures") > 0, F.lit("toxic"))
+            none.when(F.col("toxicity_failures") > 0, F.lit("toxic"))
             .when(rate * 100.0 >= 100.0, F.lit("pass"))
             .otherwise(F.lit("logic"))
         )
     else:
         reason = (
-            F.when(F.col("toxicity_failures") > F.col("n_samples") * 0.5, F.lit("mostly toxic"))
+            none.when(F.col("toxicity_failures") > F.col("n_samples") * 0.5, F.lit("mostly toxic"))
             .when(rate * 100.0 >= cfg.pass_threshold, F.lit("pass"))
             .otherwise(F.lit("not robust"))
         )

@@ -36,10 +36,26 @@ def melt_trajectories(df: DataFrame, id_cols: list[str], time_col: str | None =
     return long.select(*id_cols, "time", species.alias("species"), kind.alias("kind"), "value")
 
 
+def trajectory_points(df: DataFrame, id_cols: list[str], time_col: str | None = None) -> DataFrame:
+    """Wide simulation frames to numbered points: long rows with ``seq`` and ``n_points``.
+
+    A frame's rows are numbered by time before they are reshaped, once for all its columns.
+    """
+    others = [c for c in df.columns if c not in id_cols]
+    clock = time_col or next((c for c in ("Time", "time") if c in others), others[0])
+    numbered = index_points(df, id_cols, [clock], even_cell(df, F.col(clock).cast("double")))
+    return melt_trajectories(numbered, [*id_cols, "seq", "n_points"], clock)
+
+
 def is_protein() -> Column:
     return F.col("kind") == "protein"
 
 
+def is_target(target: str) -> Column:
+    """Rows of the target's protein; its mRNA and an input of the same name are other series."""
+    return is_protein() & (F.col("species") == target)
+
+
 def is_burden_species(target: str | None = None) -> Column:
     """Protein rows; the kinetic score also leaves out its target species."""
     return is_protein() if target is None else is_protein() & (F.col("species") != target)
@@ -172,17 +188,17 @@ def summarize(
 ) -> DataFrame:
     """Initial mean, peak, final value, dynamic range and leakage ratio per series.
 
-    With ``output`` only that species is kept; a group that lacks it falls back to its last
-    column, the species with the highest ``position`` (by name unless given).
+    With ``output`` only the protein of that species is kept; a group that lacks it falls back to its
+    last column, the series with the highest ``position`` (by name unless given).
     """
     position = F.max(position or "species").alias("_position")
     summary = _with_ranges(traj.groupBy(*keys).agg(*_summary_columns(), position))
     if output is None:
         return summary.drop("_position")
-    groups = [k for k in keys if k != "species"]
+    groups = [k for k in keys if k not in ("species", "kind")]
     rest = [c for c in summary.columns if c not in groups and c != "_position"]
-    chosen = F.max_by(F.struct(*rest), F.struct(F.col("species") == output, F.col("_position"))).alias("_row")
-    return summary.groupBy(*groups).agg(chosen).select(*groups, "_row.*").select(*keys, *[c for c in rest if c != "species"])
+    chosen = F.max_by(F.struct(*rest), F.struct(is_target(output), F.col("_position"))).alias("_row")
+    return summary.groupBy(*groups).agg(chosen).select(*groups, "_row.*").select(*keys, *[c for c in rest if c not in keys])
 
 
 def series_metrics(traj: DataFrame, threshold: float = 1000.0, keys: tuple[str, ...] = SERIES) -> DataFrame:
@@ -198,22 +214,23 @@ def series_metrics(traj: DataFrame, threshold: float = 1000.0, keys: tuple[str,
 
 
 def ensemble_mean(traj: DataFrame) -> DataFrame:
-    """Mean over samples per species and position, values clamped for a log axis."""
-    return traj.groupBy("design_id", "state_name", "species", "seq").agg(
+    """Mean over samples per species, kind and position, values clamped for a log axis."""
+    return traj.groupBy("design_id", "state_name", "species", "kind", "seq").agg(
         F.avg(clamp_log(F.col("value"))).alias("mean_value"), F.count(F.lit(1)).alias("n_samples")
     )
 
 
 def burden_by_point(traj: DataFrame, target: str | None = None) -> DataFrame:
-    return (
-        traj.where(is_burden_species(target)).groupBy(*STATE, "seq").agg(F.sum("value").alias("burden"))
-    )
+    """Total protein level of every point, null where no counted protein is there."""
+    counted = F.when(is_burden_species(target), F.col("value"))
+    return traj.groupBy(*STATE, "seq").agg(F.sum(counted).alias("burden"))
 
 
 def max_burden(traj: DataFrame, variant: str = "sample", target: str | None = None) -> DataFrame:
     """Largest total protein level at any point.
 
-    ``sample``: per sample over all proteins. ``design``: per design without the target species.
+    ``sample``: per sample over all proteins. ``design``: per design without the target species. A group
+    without any counted protein has burden 0.
     """
     if variant == "sample":
         keys, left_out = SAMPLE, None
@@ -222,7 +239,7 @@ def max_burden(traj: DataFrame, variant: str = "sample", target: str | None = No
     else:
         raise ValueError(f"unknown burden variant {variant!r}")
     highest = burden_by_point(traj, left_out).groupBy(*keys).agg(F.max("burden").alias("_b"))
-    return highest.select(*keys, F.greatest(F.col("_b"), F.lit(0.0)).alias("max_burden"))
+    return highest.select(*keys, F.greatest(F.coalesce("_b", F.lit(0.0)), F.lit(0.0)).alias("max_burden"))
 
 
 def drop_failed(runs: DataFrame, traj: DataFrame, keys: tuple[str, ...] = SAMPLE) -> tuple[DataFrame, DataFrame]:

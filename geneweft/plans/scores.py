@@ -22,7 +22,7 @@ SAMPLE = series.SAMPLE
 
 def levels(spark, sf, view="t1d"):
     """Steady state of the target per (design, sample, state)."""
-    target = V.points(spark, sf, view).where(F.col("species") == V.TARGET)
+    target = V.points(spark, sf, view).where(series.is_target(V.TARGET))
     return series.steady_state(target).select(*SAMPLE, "state_name", F.col("steady_state").alias("value"))
 
 
@@ -32,7 +32,7 @@ def matched(spark, sf, view="t1d", spec=V.SPEC):
 
 def levels_sql(view="t1d"):
     return f"""levels as (select design_id, sample_id, state_name, avg(value) as value from {view}
-      where species = 'purchase' and seq >= cast(floor(n_points * cast(0.9 as double)) as bigint) group by all)"""
+      where species = 'purchase' and kind = 'protein' and seq >= cast(floor(n_points * cast(0.9 as double)) as bigint) group by all)"""
 
 
 def base_sql(view="t1d", spec=V.SPEC):
@@ -56,8 +56,8 @@ ALL_FUNCTIONAL = (*base_sql(), MATCHED_SQL, ONOFF_SQL, FUNCTIONAL_SQL)
 @query(
     "spec_left_join",
     V.with_sql(*base_sql(spec=V.SPEC_PARTIAL))
-    + """select g.design_id, g.sample_id, s.state_name, s.expected, round(coalesce(l.value, 0), 6) as value
-      from (select distinct design_id, sample_id from levels) g join spec s using (design_id)
+    + """select s.design_id, g.sample_id, s.state_name, s.expected, round(coalesce(l.value, 0), 6) as value
+      from spec s left join (select distinct design_id, sample_id from levels) g using (design_id)
       left join levels l on l.design_id = g.design_id and l.sample_id = g.sample_id and l.state_name = s.state_name""",
 )
 def _left(spark, sf):
@@ -102,7 +102,7 @@ def _fold_functional(spark, sf):
     return O.fold_change(matched(spark, sf), "functional", SAMPLE)
 
 
-LAST_SQL = "last_level as (select design_id, sample_id, state_name, arg_max(value, seq) as value from {view} where species = 'purchase' group by all)"
+LAST_SQL = "last_level as (select design_id, sample_id, state_name, arg_max(value, seq) as value from {view} where species = 'purchase' and kind = 'protein' group by all)"
 FOLD_K_SQL = """fold_k as (select l.design_id, l.sample_id, case when count(*) filter (expected = 1) > 0 and count(*) filter (expected = 0) > 0
         then min(value) filter (expected = 1) / (max(value) filter (expected = 0) + cast(1e-6 as double)) else 1 end as fold_change
       from last_level l left join spec s using (design_id, state_name) group by all)"""
@@ -110,12 +110,12 @@ ROBUST_SQL = """robust as (select design_id, avg(fold_change) as fc_mean,
       case when avg(fold_change) > 0 then stddev_pop(fold_change) / avg(fold_change) else 0 end as cv from fold_k group by all),
     retained as (select *, exp(-2 * cv) * least(1, fc_mean / 1.0e0) as r_kinetic from robust)"""
 TEMPORAL_SQL = """rises as (select design_id, sample_id, state_name, coalesce(min(time) filter (value >= 350), max(time)) as rise
-      from {view} where species = 'purchase' group by all),
+      from {view} where species = 'purchase' and kind = 'protein' group by all),
     temporal as (select r.design_id, coalesce(avg(rise) filter (expected = 1), 0) as t_rise_avg
       from rises r left join spec s using (design_id, state_name) group by all),
     timed as (select *, exp(-ln(2) / 43200 * t_rise_avg) as score_temporal from temporal)"""
-BURDEN_SQL = """burden as (select design_id, greatest(max(b), 0) as max_burden from (select design_id, sample_id, state_name, seq, sum(value) as b
-      from {view} where species <> 'purchase' group by all) group by all),
+BURDEN_SQL = """burden as (select design_id, greatest(coalesce(max(b), 0), 0) as max_burden from (select design_id, sample_id, state_name, seq,
+      sum(value) filter (species <> 'purchase' and kind = 'protein') as b from {view} group by all) group by all),
     taxed as (select *, 1 / (1 + exp(least(500, greatest(-500, cast(0.001 as double) * (max_burden - 6000))))) as p_burden from burden)"""
 
 
@@ -346,8 +346,8 @@ def _rating(spark, sf):
 
 # --- verdicts ----------------------------------------------------------------------------
 
-VERDICT_SQL = """states as (select design_id, sample_id, state_name, bool_or(species = 'purchase') as has_target,
-      coalesce(avg(value) filter (species = 'purchase' and seq >= cast(floor(n_points * cast(0.9 as double)) as bigint)), 0) as value
+VERDICT_SQL = """states as (select design_id, sample_id, state_name, bool_or(species = 'purchase' and kind = 'protein') as has_target,
+      coalesce(avg(value) filter (species = 'purchase' and kind = 'protein' and seq >= cast(floor(n_points * cast(0.9 as double)) as bigint)), 0) as value
       from t1d group by all),
     checked as (select g.design_id, g.sample_id, evaluated, count(*) filter (expected = 1 and coalesce(value, 0) < 350) as logic_failures,
       count(*) filter (expected <> 1 and coalesce(value, 0) > 650) as leak_failures,
@@ -376,9 +376,9 @@ def _verdict(spark, sf):
 @query(
     "verdict_failures",
     V.with_sql(*base_sql(spec=V.SPEC_PARTIAL))
-    + """select g.design_id, g.sample_id, s.state_name, case when expected = 1 then 'ON' else 'OFF' end as failed,
+    + """select s.design_id, g.sample_id, s.state_name, case when expected = 1 then 'ON' else 'OFF' end as failed,
       round(coalesce(value, 0), 6) as value, case when expected = 1 then 350e0 else 650e0 end as threshold
-      from (select distinct design_id, sample_id from levels) g join spec s using (design_id)
+      from spec s left join (select distinct design_id, sample_id from t1d) g using (design_id)
       left join levels l on l.design_id = g.design_id and l.sample_id = g.sample_id and l.state_name = s.state_name
       where (expected = 1 and coalesce(value, 0) < 350) or (expected <> 1 and coalesce(value, 0) > 650)""",
 )
@@ -387,15 +387,16 @@ def _failures(spark, sf):
     return O.verdict_failures(O.state_levels(points, V.TARGET), V.spec_for(spark, sf, "t1d", V.SPEC_PARTIAL), VERDICT)
 
 
-OUTCOME_SQL = """burdens as (select design_id, sample_id, greatest(max(b), 0) as max_burden from
-      (select design_id, sample_id, state_name, seq, sum(value) as b from t1d group by all) group by all),
+OUTCOME_SQL = """burdens as (select design_id, sample_id, greatest(coalesce(max(b), 0), 0) as max_burden from
+      (select design_id, sample_id, state_name, seq, sum(value) filter (kind = 'protein') as b from t1d group by all) group by all),
     intents as (select doc_id as design_id, regexp_matches(lower(text), 'lysis|裂解|細胞死亡|suicide|cell death|死亡|凋亡|death') as expects_death from documents),
     outcomes as (select j.*, b.max_burden, coalesce(i.expects_death, false) as expects_death,
       b.max_burden > 7000 and not coalesce(i.expects_death, false) as toxic from judged j join burdens b using (design_id, sample_id)
       left join intents i using (design_id)),
     samples as (select *, passed and not toxic as pass from outcomes),
     counted as (select design_id, count(*) as n_samples, count(*) filter (pass) as n_pass, count(*) filter (toxic) as toxicity_failures,
-      bool_or(expects_death) as expects_death from samples group by all)"""
+      bool_or(expects_death) as expects_death from samples group by all
+      union all select -1, 0, 0, 0, false)"""
 
 
 def outcomes(spark, sf):
@@ -409,24 +410,24 @@ def outcomes(spark, sf):
 
 def mc_sql(reason):
     return V.with_sql(*base_sql(), VERDICT_SQL, OUTCOME_SQL) + f"""select *, reason = 'pass' as pass from (
-      select design_id, n_samples, n_pass, toxicity_failures, expects_death, round(n_pass / n_samples, 6) as pass_rate,
-      round(n_pass / n_samples * 100.0e0, 6) as score, {reason} as reason from counted)"""
+      select design_id, n_samples, n_pass, toxicity_failures, expects_death, round(coalesce(n_pass / nullif(n_samples, 0), 0), 6) as pass_rate,
+      round(coalesce(n_pass / nullif(n_samples, 0), 0) * 100.0e0, 6) as score, {reason} as reason from counted)"""
 
 
 @query(
     "mc_verdict",
-    mc_sql("""case when toxicity_failures > n_samples * 0.5e0 then 'mostly toxic' when n_pass / n_samples * 100.0e0 >= 90 then 'pass' else 'not robust' end"""),
+    mc_sql("""case when n_samples = 0 then 'no samples' when toxicity_failures > n_samples * 0.5e0 then 'mostly toxic' when n_pass / n_samples * 100.0e0 >= 90 then 'pass' else 'not robust' end"""),
 )
 def _mc(spark, sf):
-    return O.mc_verdict(outcomes(spark, sf), cfg=VERDICT)
+    return O.mc_verdict(outcomes(spark, sf), cfg=VERDICT, designs=V.spec_for(spark, sf, "t1d"))
 
 
 @query(
     "mc_verdict_noise_free",
-    mc_sql("""case when toxicity_failures > 0 then 'toxic' when n_pass = n_samples then 'pass' else 'logic' end"""),
+    mc_sql("""case when n_samples = 0 then 'no samples' when toxicity_failures > 0 then 'toxic' when n_pass = n_samples then 'pass' else 'logic' end"""),
 )
 def _mc_quiet(spark, sf):
-    return O.mc_verdict(outcomes(spark, sf), noise=0.0, iterations=1, cfg=VERDICT)
+    return O.mc_verdict(outcomes(spark, sf), noise=0.0, iterations=1, cfg=VERDICT, designs=V.spec_for(spark, sf, "t1d"))
 
 
 @query(

@@ -38,16 +38,36 @@ def _melt(spark, sf):
     return series.melt_trajectories(wide, ["design_id", "part", "line"])
 
 
+@query(
+    "trajectory_points",
+    """with wide as (select o_custkey as design_id, epoch(cast(o_orderdate as timestamp)) + o_orderkey / 1e6 as time, o_totalprice as gfp from orders),
+      numbered as (select *, row_number() over (partition by design_id order by time) - 1 as seq, count(*) over (partition by design_id) as n_points from wide)
+    select design_id, 'GFP' as species, kind, seq, n_points, round(time, 6) as time,
+      round(case kind when 'protein' then gfp when 'mrna' then gfp / 100 else 7.0e0 end, 6) as value
+    from numbered, (values ('protein'), ('mrna'), ('input')) k(kind)""",
+)
+def _points(spark, sf):
+    """Frames of a protein, its mRNA and an input of the same name."""
+    wide = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("design_id"),
+        (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") / 1e6).alias("Time"),
+        F.col("o_totalprice").alias("GFP"),
+        (F.col("o_totalprice") / 100).alias("GFP_mRNA"),
+        F.lit(7.0).alias("Input_GFP"),
+    )
+    return series.trajectory_points(wide, ["design_id"])
+
+
 @query(
     "tail_slice",
     V.with_sql(T1)
-    + """select sample_id, state_name, species, seq, round(value, 6) as value, fraction
+    + """select sample_id, state_name, species, kind, seq, round(value, 6) as value, fraction
       from t1, (values (cast(0.9 as double), 'tenth'), (cast(0.5 as double), 'half')) f(f, fraction)
       where seq >= cast(floor(n_points * f) as bigint)""",
 )
 def _tail(spark, sf):
     t1 = V.points(spark, sf)
-    keep = ["sample_id", "state_name", "species", "seq", "value"]
+    keep = ["sample_id", "state_name", "species", "kind", "seq", "value"]
     tenth = series.tail_slice(t1, 0.9).select(*keep, F.lit("tenth").alias("fraction"))
     return tenth.unionByName(series.tail_slice(t1, 0.5).select(*keep, F.lit("half").alias("fraction")))
 
@@ -55,7 +75,7 @@ def _tail(spark, sf):
 @query(
     "steady_state",
     V.with_sql(T1, V.STEADY_SQL.format(view="t1"))
-    + "select design_id, sample_id, state_name, species, round(steady_state, 6) as steady_state from steady",
+    + "select design_id, sample_id, state_name, species, kind, round(steady_state, 6) as steady_state from steady",
 )
 def _steady(spark, sf):
     return series.steady_state(V.points(spark, sf))
@@ -65,9 +85,9 @@ def _steady(spark, sf):
     "oscillation",
     V.with_sql(T1)
     + """, tail as (select * from t1 where seq >= cast(floor(n_points * cast(0.5 as double)) as bigint)),
-      centred as (select *, sign(value - avg(value) over (partition by design_id, sample_id, state_name, species)) as s from tail),
-      turned as (select *, lag(s) over (partition by design_id, sample_id, state_name, species order by seq) as p from centred)
-    select design_id, sample_id, state_name, species, max(n_points) as n_points,
+      centred as (select *, sign(value - avg(value) over (partition by design_id, sample_id, state_name, species, kind)) as s from tail),
+      turned as (select *, lag(s) over (partition by design_id, sample_id, state_name, species, kind order by seq) as p from centred)
+    select design_id, sample_id, state_name, species, kind, max(n_points) as n_points,
       cast(count(*) filter (s <> p) as bigint) as crossings, round(max(value) - min(value), 6) as amplitude,
       max(n_points) >= 100 and count(*) filter (s <> p) >= 3 and max(value) - min(value) > 100 as oscillates
     from turned group by all""",
@@ -79,7 +99,7 @@ def _oscillation(spark, sf):
 @query(
     "rise_time",
     V.with_sql(T1)
-    + """select design_id, sample_id, state_name, species,
+    + """select design_id, sample_id, state_name, species, kind,
       round(coalesce(min(case when value >= 350 then time end), max(time)), 6) as rise_time from t1 group by all""",
 )
 def _rise(spark, sf):
@@ -95,7 +115,7 @@ SUMMARY_SQL = """round(avg(case when seq < greatest(3, least(25, n_points // 20)
 
 @query(
     "trajectory_summary",
-    V.with_sql(T1) + f"select design_id, sample_id, state_name, species, {SUMMARY_SQL} from t1 group by all",
+    V.with_sql(T1) + f"select design_id, sample_id, state_name, species, kind, {SUMMARY_SQL} from t1 group by all",
 )
 def _summary(spark, sf):
     return series.summarize(V.points(spark, sf))
@@ -104,7 +124,7 @@ def _summary(spark, sf):
 @query(
     "trajectory_summary_output",
     V.with_sql(T1)
-    + f"select design_id, sample_id, state_name, species, {SUMMARY_SQL} from t1 where species = 'purchase' group by all",
+    + f"select design_id, sample_id, state_name, species, kind, {SUMMARY_SQL} from t1 where species = 'purchase' and kind = 'protein' group by all",
 )
 def _summary_output(spark, sf):
     return series.summarize(V.points(spark, sf), output=V.TARGET)
@@ -113,7 +133,7 @@ def _summary_output(spark, sf):
 @query(
     "series_metrics",
     V.with_sql(T1D)
-    + f"""select design_id, sample_id, state_name, species, max(n_points) as n_points,
+    + f"""select design_id, sample_id, state_name, species, kind, max(n_points) as n_points,
       round(avg(case when seq >= cast(floor(n_points * cast(0.9 as double)) as bigint) then value end), 6) as steady_state,
       round(coalesce(min(case when value >= 350 then time end), max(time)), 6) as rise_time, {SUMMARY_SQL}
       from t1d group by all""",
@@ -125,7 +145,7 @@ def _metrics(spark, sf):
 @query(
     "ensemble_mean",
     V.with_sql(T1D)
-    + """select design_id, state_name, species, seq, round(avg(greatest(value, 1e-3)), 6) as mean_value,
+    + """select design_id, state_name, species, kind, seq, round(avg(greatest(value, 1e-3)), 6) as mean_value,
       count(*) as n_samples from t1d group by all""",
 )
 def _ensemble(spark, sf):
@@ -147,7 +167,7 @@ def _clamp(spark, sf):
     "burden_species",
     V.with_sql(T1D)
     + """select design_id, sample_id, state_name, seq, round(sum(value), 6) as burden, count(*) as n_species
-      from t1d where species <> 'purchase' group by all""",
+      from t1d where species <> 'purchase' and kind = 'protein' group by all""",
 )
 def _burden_species(spark, sf):
     rows = V.points(spark, sf, "t1d").where(series.is_burden_species(V.TARGET))
@@ -157,8 +177,8 @@ def _burden_species(spark, sf):
 @query(
     "max_burden_sample",
     V.with_sql(T1D)
-    + """select design_id, sample_id, round(greatest(max(b), 0), 6) as max_burden from
-      (select design_id, sample_id, state_name, seq, sum(value) as b from t1d group by all) group by all""",
+    + """select design_id, sample_id, round(greatest(coalesce(max(b), 0), 0), 6) as max_burden from
+      (select design_id, sample_id, state_name, seq, sum(value) filter (kind = 'protein') as b from t1d group by all) group by all""",
 )
 def _burden_sample(spark, sf):
     return series.max_burden(V.points(spark, sf, "t1d"), "sample")
@@ -167,8 +187,8 @@ def _burden_sample(spark, sf):
 @query(
     "max_burden_design",
     V.with_sql(T1D)
-    + """select design_id, round(greatest(max(b), 0), 6) as max_burden from
-      (select design_id, sample_id, state_name, seq, sum(value) as b from t1d where species <> 'purchase' group by all)
+    + """select design_id, round(greatest(coalesce(max(b), 0), 0), 6) as max_burden from
+      (select design_id, sample_id, state_name, seq, sum(value) filter (species <> 'purchase' and kind = 'protein') as b from t1d group by all)
       group by all""",
 )
 def _burden_design(spark, sf):
@@ -231,7 +251,7 @@ OVERRIDES = {"kd_click": 300.0, "n_view": 1.5, "km_rnap_error": 80.0, "leakage":
 
 def snapshots(spark, sf):
     """Readings as protein levels, mRNA a hundredth of them, with the baseline of a host per sample."""
-    t1 = V.points(spark, sf)
+    t1 = V.points(spark, sf).where(series.is_protein())
     host = F.expr("case sample_id % 3 when 0 then 'Bacillus subtilis' when 1 then 'baker''s yeast' else 'E. coli' end")
     return t1.select(
         "design_id",
@@ -285,7 +305,7 @@ RATES_SQL = V.with_sql(
       case when species = 'view' then 1.5e0 else 2e0 end as n,
       case sample_id % 3 when 0 then 40e0 when 1 then 150e0 else 50e0 end as rnap,
       case sample_id % 3 when 0 then 400e0 when 1 then 2000e0 else 500e0 end as ribo,
-      case when species = 'error' then 80e0 else 100e0 end as km_rnap, 500e0 as km_ribo from t1)""",
+      case when species = 'error' then 80e0 else 100e0 end as km_rnap, 500e0 as km_ribo from t1 where kind = 'protein')""",
     "names as (select species, row_number() over (order by species) - 1 as i, count(*) over () as c from (select distinct species from t1))",
     """ring as (select a.i as edge_pos, a.species as source, b.species as target,
         case when a.i % 2 = 0 then 'repression' else 'activation' end as sign

@@ -25,15 +25,23 @@ STATE_SQL = (
 )
 
 
+KIND_SQL = (
+    "case cast(floor(event_id / 4.0e0) as bigint) % 7 when 5 then 'mrna' when 6 then 'input' else 'protein' end"
+)
+
+
 def points(spark: SparkSession, sf_dir: str, view: str = "t1") -> DataFrame:
-    """Events as trajectory points: one design (t1), seven designs (t1d) or one design per user (t1u)."""
+    """Events as trajectory points: one design (t1), seven designs (t1d) or one design per user (t1u).
+
+    A species has a protein, an mRNA and an input series.
+    """
     design, sample = POINT_KEYS[view]
     raw = table(spark, sf_dir, "events").select(
         F.expr(f"cast({design} as bigint)").alias("design_id"),
         F.expr(f"cast({sample} as bigint)").alias("sample_id"),
         F.expr(STATE_SQL).alias("state_name"),
         F.col("event_type").alias("species"),
-        F.lit("protein").alias("kind"),
+        F.expr(KIND_SQL).alias("kind"),
         F.expr("unix_micros(cast(ts as timestamp)) / 1e6 - 1704067200").alias("time"),
         F.expr("value * 10").alias("value"),
         "event_id",
@@ -43,10 +51,10 @@ def points(spark: SparkSession, sf_dir: str, view: str = "t1") -> DataFrame:
 
 def points_sql(view: str = "t1") -> str:
     design, sample = POINT_KEYS[view]
-    keys = f"{design}, {sample}, event_id % 4, event_type"
+    keys = f"{design}, {sample}, event_id % 4, event_type, {KIND_SQL}"
     return f"""{view} as (
       select cast({design} as bigint) as design_id, cast({sample} as bigint) as sample_id,
-             {STATE_SQL} as state_name, event_type as species,
+             {STATE_SQL} as state_name, event_type as species, {KIND_SQL} as kind,
              row_number() over (partition by {keys} order by ts, event_id) - 1 as seq,
              count(*) over (partition by {keys}) as n_points,
              epoch_us(ts) / 1e6 - 1704067200 as time, value * 10 as value
@@ -59,19 +67,20 @@ SPEC_PARTIAL = {"00_state": 0, "01_state": 1, "10_state": 1, "zz_state": 1}
 
 
 def spec_for(spark: SparkSession, sf_dir: str, view: str, spec: dict[str, int] = SPEC) -> DataFrame:
-    """The truth table for every design of a view."""
+    """The truth table for every design of a view, and for design -1, which has no points."""
     rows = F.explode(F.array(*[F.struct(F.lit(s).alias("state_name"), F.lit(e).alias("expected")) for s, e in spec.items()]))
     designs = table(spark, sf_dir, "events").select(F.expr(f"cast({POINT_KEYS[view][0]} as bigint)").alias("design_id"))
-    return designs.distinct().select("design_id", rows.alias("r")).select("design_id", "r.*")
+    designs = designs.union(designs.select(F.lit(-1).cast("long")).limit(1)).distinct()
+    return designs.select("design_id", rows.alias("r")).select("design_id", "r.*")
 
 
 def spec_sql(view: str, spec: dict[str, int] = SPEC) -> str:
     values = ", ".join(f"('{s}', {e})" for s, e in spec.items())
-    return f"""spec as (select d.design_id, v.state_name, v.expected from (select distinct design_id from {view}) d,
+    return f"""spec as (select d.design_id, v.state_name, v.expected from (select distinct design_id from {view} union select -1) d,
       (values {values}) v(state_name, expected))"""
 
 
-STEADY_SQL = """steady as (select design_id, sample_id, state_name, species, avg(value) as steady_state from {view}
+STEADY_SQL = """steady as (select design_id, sample_id, state_name, species, kind, avg(value) as steady_state from {view}
       where seq >= cast(floor(n_points * cast(0.9 as double)) as bigint) group by all)"""
 
 

@@ -35,4 +35,4 @@ TRAJECTORY = (
     "seq bigint, n_points bigint, time double, value double"
 )
 
-SERIES = ("design_id", "sample_id", "state_name", "species")
+SERIES = ("design_id", "sample_id", "state_name", "species", "kind")
