@@ -18,12 +18,14 @@ from geneweft.functions.values import contains_any, is_json
 
 ERROR_PREFIX = "ERROR:"
 BLANK = " \n\r\t"
+#: Everything that counts as white space at the ends of a text.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def strip_fences(text: Column) -> Column:
     """Remove a leading code fence (with or without ``json``) and a trailing one, then trim."""
-    opened = F.regexp_replace(F.trim(text), r"^```(json)?", "")
-    return F.trim(F.regexp_replace(opened, r"```$", ""), F.lit(BLANK))
+    opened = F.regexp_replace(F.trim(text, F.lit(WHITE)), r"^```(json)?", "")
+    return F.trim(F.regexp_replace(opened, r"```$", ""), F.lit(WHITE))
 
 
 def json_slice(text: Column) -> Column:
@@ -99,7 +101,7 @@ def relevant_paragraphs(text: Column, words: tuple[str, ...] = PARAGRAPH_WORDS,
     """Lines with a digit and a kinetic word, trimmed and joined again; no explode, so no shuffle."""
     digit = r"\p{N}" if unicode_digits else "[0-9]"
     any_word = "|".join(words)
-    lines = F.transform(F.split(text, "\n"), lambda p: F.trim(p, F.lit(" \t\r")))
+    lines = F.transform(F.split(text, "\n"), lambda p: F.trim(p, F.lit(WHITE)))
     kept = F.filter(lines, lambda p: p.rlike(digit) & F.lower(p).rlike(any_word))
     return F.array_join(kept, "\n")
 
@@ -110,6 +112,8 @@ def truncate_context(text: Column, max_chars: int = 2400) -> Column:
 
 REFERENCE = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
 NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+# numbers that stand for what Windows-1252 has there, as browsers read them
+CONTROL = {f"{c:08X}": bytes([c]).decode("cp1252") for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
 def decode_references(text: Column) -> Column:
@@ -118,12 +122,14 @@ def decode_references(text: Column) -> Column:
     The text is cut before every reference, so all of them are looked up in one pass.
     """
     named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    control = F.create_map(*[F.lit(x) for pair in CONTROL.items() for x in pair])
 
     def decoded(piece: Column) -> Column:
-        decimal = F.regexp_extract(piece, r"^&#([0-9]{1,7});", 1)
-        hexadecimal = F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]{1,6});", 1)
+        decimal = F.regexp_extract(piece, r"^&#0*([0-9]{1,7});", 1)
+        hexadecimal = F.regexp_extract(piece, r"^&#[xX]0*([0-9A-Fa-f]{1,6});", 1)
         code = F.when(decimal != "", F.conv(decimal, 10, 16)).when(hexadecimal != "", hexadecimal)
-        by_code = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        padded = F.upper(F.lpad(code, 8, "0"))
+        by_code = F.coalesce(F.try_element_at(control, padded), F.decode(F.unhex(padded), "UTF-32"))
         by_name = F.try_element_at(named, F.regexp_extract(piece, r"^&([A-Za-z][A-Za-z0-9]*);", 1))
         rest = F.regexp_replace(piece, "^" + REFERENCE, "")
         return F.coalesce(F.concat(F.coalesce(by_code, by_name), rest), piece)
@@ -141,6 +147,8 @@ def html_text(html: Column, keep_scripts: bool = False) -> Column:
     if not keep_scripts:
         body = F.regexp_replace(body, r"(?is)<script\b[^>]*>.*?</script\s*>", BOUNDARY)
         body = F.regexp_replace(body, r"(?is)<style\b[^>]*>.*?</style\s*>", BOUNDARY)
+    # quoted attributes may hold ">"; a tag with an unclosed quote ends at the next ">"
+    body = F.regexp_replace(body, r"""(?s)<[!/?A-Za-z](?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+>""", BOUNDARY)
     body = F.regexp_replace(body, r"(?s)<[!/?A-Za-z][^>]*>", BOUNDARY)
-    nodes = F.transform(F.split(body, BOUNDARY), lambda s: F.trim(decode_references(s), F.lit(BLANK)))
+    nodes = F.transform(F.split(body, BOUNDARY), lambda s: F.trim(decode_references(s), F.lit(WHITE)))
     return F.array_join(F.filter(nodes, lambda s: s != ""), "\n")

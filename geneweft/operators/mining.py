@@ -9,7 +9,6 @@ from geneweft.config import CONTEXT_TEXT, KM_DEFAULTS
 from geneweft.functions.text import html_text, relevant_paragraphs
 from geneweft.functions.units import canonical_parameter, host_baseline, normalize_host, normalize_unit
 from geneweft.functions.values import literal_map
-from geneweft.operators.skew import concat_pages
 
 
 def normalize_units(df: DataFrame) -> DataFrame:
@@ -67,14 +66,17 @@ def snippet_section(part: Column, host: Column, snippet: Column, failure: Column
     return F.when(failure.isNotNull(), F.format_string(CONTEXT_TEXT["failure"], part, failure)).otherwise(good)
 
 
-def assemble_context(df: DataFrame, max_chars: int = 4000, page_rows: int = 512) -> DataFrame:
-    """Sections of each request in part order, concatenated.
+def assemble_context(df: DataFrame, max_chars: int = 4000) -> DataFrame:
+    """Sections of each request in part order: (request_id, pos, section).
 
-    Input: (request_id, pos, part, host, snippet[, failure]). A request with more than
-    ``page_rows`` parts comes out as several pages, so its size does not matter.
+    Input: (request_id, pos, part, host, snippet[, failure]), one row per part. A request without
+    any part that says something has one section with the notice that nothing was found.
     """
     failure = F.col("failure") if "failure" in df.columns else None
     section = snippet_section(F.col("part"), F.col("host"), F.coalesce("snippet", F.lit("")), failure, max_chars)
-    context = concat_pages(df.withColumn("_section", section), ["request_id"], "pos", "_section", "", "context", page_rows)
-    blank = F.trim(F.col("context"), F.lit(" \n\r\t")) == ""
-    return context.withColumn("context", F.when(blank, F.lit(CONTEXT_TEXT["none"])).otherwise(F.col("context")))
+    blank = F.trim(section, F.lit(" \n\r\t")) == ""
+    sections = df.select("request_id", F.col("pos").cast("long").alias("pos"), section.alias("section"), blank.alias("_blank"))
+    said = sections.where(~F.col("_blank")).drop("_blank")
+    silent = sections.groupBy("request_id").agg(F.bool_and("_blank").alias("_silent")).where("_silent")
+    notice = silent.select("request_id", F.lit(0).cast("long").alias("pos"), F.lit(CONTEXT_TEXT["none"]).alias("section"))
+    return said.unionByName(notice)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geneweft.config import CANDIDATE_TEXT, CARRY_TEXT, DECISION_TEXT, DIALOGUE_TEXT, TRANSCRIPT_TEXT
 from geneweft.functions.text import strip_fences
 from geneweft.functions.values import is_json
-from geneweft.operators.skew import concat_pages, index_points
+from geneweft.operators.skew import index_points
 from geneweft.schemas import DECISION
 
 BLANK = " \n\r\t"
@@ -29,7 +29,7 @@ def parse_decision(df: DataFrame, response: str = "response", candidates: str =
     malformed = ~(is_json(cleaned) & F.coalesce(cleaned.startswith("{"), F.lit(False)))
     d = df.withColumn("_d", raw).withColumn("malformed", malformed)
     decided = ~F.col("malformed")
-    index = F.col("_d.selected_index").try_cast("int")
+    index = F.col("_d.selected_index").try_cast("double").try_cast("int")
     in_range = index.between(0, F.size(candidates) - 1)
     approved = (F.col("decision") == "PASS") & F.col("_d.selected_index").isNotNull()
     parsed = d.withColumns(
@@ -103,6 +103,7 @@ def fallback_design(results: DataFrame, key: str = "run_id") -> DataFrame:
     has_topology = F.col("has_topology") if "has_topology" in results.columns else F.lit(True)
     valid = F.col("error").isNull()
     number = F.coalesce(F.coalesce(F.col("score"), F.col("fold_change"), F.lit("0")).try_cast("double"), F.lit(0.0))
+    number = F.when(~F.isnan(number), number)  # a score that is not a number beats nothing
     rank = F.when(valid & has_topology, F.struct(number, F.col("pos")))
     return results.groupBy(key).agg(
         F.coalesce(F.max_by("pos", rank), F.when(~F.coalesce(F.max(valid & has_topology), F.lit(False)), F.lit(0))).alias("chosen_pos"),
@@ -160,26 +161,25 @@ def round_records(turns: DataFrame, key: str = "session_id") -> DataFrame:
     )
 
 
-def render_transcript(
-    rounds: DataFrame, key: str = "session_id", labels: dict[str, str] = TRANSCRIPT_TEXT, page_rows: int = 256
-) -> DataFrame:
-    """Readable text of every session, ``page_rows`` rounds to a page.
+def render_transcript(rounds: DataFrame, key: str = "session_id", labels: dict[str, str] = TRANSCRIPT_TEXT) -> DataFrame:
+    """Readable text of every session as ordered lines (session_id, pos, line), one per round.
 
     rounds: (session_id, round_number from 1, builder_output, critic_output). The session
-    header opens page 0.
+    header opens the first. A session has as many rows as rounds, however long it is; whoever
+    needs one text joins the lines by newline.
     """
     number = F.col("round_number").cast("long")
+    header = F.format_string(labels["session"].replace("%d", "%s"), F.col(key).cast("string"))
     body = F.concat_ws(
         "\n",
-        F.when(number == 1, F.format_string(labels["session"], F.col(key).cast("long"))),
+        F.when(number == 1, header),
         F.format_string(labels["round"], number),
         F.lit(labels["builder"]),
         F.coalesce("builder_output", F.lit("")),
         F.lit(labels["critic"]),
         F.coalesce("critic_output", F.lit("")),
     )
-    lines = rounds.withColumn("_pos", number - 1).withColumn("_line", body)
-    return concat_pages(lines, [key], "_pos", "_line", "\n", "transcript", page_rows)
+    return rounds.select(key, (number - 1).alias("pos"), body.alias("line"))
 
 
 def carry_intent(df: DataFrame, labels: dict[str, str] = CARRY_TEXT) -> DataFrame:
@@ -201,33 +201,35 @@ NO_CANDIDATES = "ERROR: no candidate topologies or simulation results"
 def candidate_sections(
     runs: DataFrame, topologies: DataFrame, results: DataFrame, key: str = "run_id", labels: dict[str, str] = CANDIDATE_TEXT
 ) -> DataFrame:
-    """One section per candidate in order, for every run; an error text where a side is empty."""
+    """One row per candidate in order (run_id, pos, section); an error text at position 0 where a side is empty."""
     both = zip_by_position(topologies.select(key, "pos", "topology"), results.select(key, "pos", "result"), key)
     section = F.concat(
         F.format_string(labels["index"], F.col("pos").cast("long")),
         F.format_string(labels["topology"], F.col("topology")),
         F.format_string(labels["result"], F.col("result")),
     )
-    pages = concat_pages(both.withColumn("_s", section), [key], "pos", "_s", "", "sections")
+    sections = both.select(key, F.col("pos").cast("long").alias("pos"), section.alias("section"))
     return (
         runs.select(key)
         .distinct()
-        .join(pages, key, "left")
-        .withColumn("page", F.coalesce("page", F.lit(0).cast("long")))
-        .withColumn("sections", F.coalesce("sections", F.lit(NO_CANDIDATES)))
+        .join(sections, key, "left")
+        .select(key, F.coalesce("pos", F.lit(0).cast("long")).alias("pos"), F.coalesce("section", F.lit(NO_CANDIDATES)).alias("section"))
     )
 
 
-def experiment_summary(iterations: DataFrame, rounds: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Best design, score, iteration count, metadata and dialogue of every experiment (keyed by run_id)."""
+def experiment_summary(iterations: DataFrame, metadata: DataFrame) -> DataFrame:
+    """One row per experiment: metadata with best design, score and iteration count (keyed by run_id)."""
+    return metadata.join(best_design(iterations), "run_id", "left")
+
+
+def experiment_dialogue(rounds: DataFrame) -> DataFrame:
+    """What was said in every round of an experiment, as ordered lines (run_id, pos, line)."""
     def said(role: str, text: str) -> Column:
         line = F.format_string(DIALOGUE_TEXT[role], F.col("round_number").cast("long"), F.col(text))
         return F.when(F.col(text).isNotNull(), line)
 
-    builder, critic = said("builder", "builder_output"), said("critic", "critic_output")
-    spoken = rounds.withColumn("_line", F.concat_ws("\n\n", builder, critic)).withColumn("_pos", F.col("round_number") - 1)
-    dialogue = concat_pages(spoken, ["run_id"], "_pos", "_line", "\n\n", "dialogue_text")
-    return metadata.join(best_design(iterations), "run_id", "left").join(dialogue, "run_id", "left")
+    line = F.concat_ws("\n\n", said("builder", "builder_output"), said("critic", "critic_output"))
+    return rounds.select("run_id", (F.col("round_number").cast("long") - 1).alias("pos"), line.alias("line"))
 
 
 # --- error flags -------------------------------------------------------------------------

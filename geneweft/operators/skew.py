@@ -51,21 +51,3 @@ def even_cell(df: DataFrame, order: Column, rows_per_cell: int = 1_000_000) -> C
     if steps <= 1 or high == low:
         return F.lit(0).cast("long")
     return F.floor((order - F.lit(low)) / F.lit(float(high - low) / steps))
-
-
-def concat_pages(
-    df: DataFrame, keys: list[str], pos: str, text: str, sep: str, out: str = "text", page_rows: int = 512
-) -> DataFrame:
-    """Join texts in position order, ``page_rows`` rows to a page.
-
-    ``pos`` counts from 0 without gaps inside a group, so a page never holds more than
-    ``page_rows`` rows however large the group is. A group that fits is one page, number 0.
-    """
-    page = F.floor(F.col(pos) / F.lit(page_rows)).cast("long")
-    rows = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))
-    return (
-        df.groupBy(*keys, page.alias("page"))
-        .agg(rows.alias("_rows"))
-        .withColumn(out, F.array_join(F.transform("_rows", lambda r: r["t"]), sep))
-        .drop("_rows")
-    )

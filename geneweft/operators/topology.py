@@ -23,6 +23,12 @@ def display_name() -> Column:
     return pick_first_of(F.col("gate_name"), F.col("protein"), F.col("name"), F.col("node_id"))
 
 
+def numbers(parameters: Column) -> Column:
+    """The parameters that are numbers; texts among them are left out."""
+    cast = F.transform_values(parameters, lambda _, v: v.try_cast("double"))
+    return F.map_filter(cast, lambda _, v: v.isNotNull())
+
+
 def split_netlists(netlists: DataFrame, text: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Node rows, edge rows and error rows of netlist JSON texts, one design per text."""
     parsed = netlists.select("design_id", F.from_json(text, NETLIST).alias("_n"))
@@ -37,14 +43,14 @@ def split_netlists(netlists: DataFrame, text: str = "content") -> tuple[DataFram
         "n.gate_name",
         "n.protein",
         "n.name",
-        "n.parameters",
+        numbers(F.col("n.parameters")).alias("parameters"),
     )
     edges = parsed.select("design_id", F.posexplode(F.when(complete, F.col("_n.edges"))).alias("pos", "e")).select(
         "design_id",
         F.col("pos").cast("long").alias("edge_pos"),
         F.col("e.source").alias("source_id"),
         F.col("e.target").alias("target_id"),
-        "e.parameters",
+        numbers(F.col("e.parameters")).alias("parameters"),
     )
     return nodes, edges, errors
 

@@ -52,7 +52,8 @@ def _write_rounds(spark, sf):
         "critic_output",
     )
     path = scratch_path(spark, "rounds")
-    K.write_rounds(K.round_artefacts(rounds), path, buckets=4)
+    for _ in range(2):  # a rerun adds nothing
+        K.write_rounds(K.round_artefacts(rounds), path, buckets=4)
     return spark.read.parquet(path).select("run_id", F.col("round_number").cast("long"), "artefact", "content")
 
 
@@ -61,14 +62,18 @@ def _write_rounds(spark, sf):
 RULE = "case when user_id % 3 = 0 then concat('rule of ', event_type) end"
 
 
-DOCUMENT_SQL = """'{"module_2_functional":{"has_skill":true' || case when user_id % 3 = 0 then ',"rule_summary":"rule of ' || event_type || '"' else '' end || '}}'"""
+DOCUMENT_SQL = """'{"module_2_functional":{"has_skill":true' || case when user_id % 3 = 0 then ',"rule_summary":"rule of ' || event_type || '"' else '' end
+      || '}' || case when user_id % 5 = 0 then ',"module_4_new":{"confidence":0.5}' else '' end || '}'"""
 
 
 def pending_json(spark, sf):
-    """Events as pending skill files; errors carry no skills."""
+    """Events as pending skill files; errors carry no skills, and some records have modules and fields of their own."""
     skills = F.when(
         F.col("event_type") != "error",
-        F.struct(F.struct(F.lit(True).alias("has_skill"), F.expr(RULE).alias("rule_summary")).alias("module_2_functional")),
+        F.struct(
+            F.struct(F.lit(True).alias("has_skill"), F.expr(RULE).alias("rule_summary")).alias("module_2_functional"),
+            F.when(F.col("user_id") % 5 == 0, F.struct(F.lit(0.5).alias("confidence"))).alias("module_4_new"),
+        ),
     )
     records = table(spark, sf, "events").select(
         F.concat(F.lit("EXP-"), "event_id").alias("experiment_id"),
@@ -76,6 +81,7 @@ def pending_json(spark, sf):
         F.lit("Escherichia coli").alias("host_organism"),
         F.col("value").alias("final_score"),
         F.expr("cast(user_id as int)").alias("iterations"),
+        F.when(F.col("user_id") % 7 == 0, F.lit("north")).alias("lab"),
         skills.alias("skills"),
     )
     path = scratch_path(spark, "pending")
@@ -91,7 +97,7 @@ def stored(spark, index):
 
 
 STORED_SQL = f"""select 'EXP-' || event_id as experiment_id, {DOCUMENT_SQL} as document, event_type as user_intent,
-      round(value, 6) as final_score, 5 as n_fields from events where event_type <> 'error'"""
+      round(value, 6) as final_score, 5 + case when user_id % 7 = 0 then 1 else 0 end as n_fields from events where event_type <> 'error'"""
 
 
 @query(
@@ -101,7 +107,8 @@ STORED_SQL = f"""select 'EXP-' || event_id as experiment_id, {DOCUMENT_SQL} as d
 )
 def _pending(spark, sf):
     rows = read_pending_skills(spark, pending_json(spark, sf), multi_line=False)
-    return rows.select("experiment_id", "user_intent", "iterations", F.to_json("skills").alias("skills"))
+    field = lambda name: F.try_element_at("fields", F.lit(name))
+    return rows.select("experiment_id", field("user_intent").alias("user_intent"), field("iterations").cast("long").alias("iterations"), "skills")
 
 
 @query("ingest_skills", STORED_SQL)
@@ -124,6 +131,39 @@ def _stream(spark, sf):
     return stored(spark, index)
 
 
+@query(
+    "write_skills",
+    f"""select 'EXP-' || event_id as experiment_id, {DOCUMENT_SQL} as skills, count(*) over (partition by event_id) as n
+      from events where event_type <> 'error'""",
+)
+def _write_skills(spark, sf):
+    """Packages written twice and read back: each record is there once."""
+    records = spark.read.json(pending_json(spark, sf)).where("skills is not null")
+    packages, path = K.package_skills(records, ["experiment_id", "iterations"]), scratch_path(spark, "packages")
+    for _ in range(2):
+        K.write_skills(packages, path)
+    back = read_pending_skills(spark, path, multi_line=False)
+    return back.groupBy("experiment_id", "skills").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "second_record_of_an_experiment",
+    f"""select 'EXP-' || event_id as experiment_id, user_id % 5 = 0 as changed, count(*) as n
+      from events, (values (false), (true)) v(later) where event_type <> 'error' and (not later or user_id % 5 = 0) group by all""",
+)
+def _second(spark, sf):
+    """A later file with new skills for a known experiment is stored beside the first."""
+    first = pending_json(spark, sf)
+    changed = spark.read.json(first).where("skills.module_4_new is not null").select("*", F.lit("later").alias("note"))
+    changed = changed.withColumn("skills", F.struct(F.struct(F.lit(True).alias("has_skill")).alias("module_5_later")))
+    later = scratch_path(spark, "pending")
+    changed.write.json(later)
+    index, ledger, rejects = (scratch_path(spark, n) for n in ("index", "ledger", "rejects"))
+    for path in (first, later, first):
+        S.ingest_skills(spark, path, index, ledger, rejects, multi_line=False)
+    return spark.read.parquet(index).groupBy("experiment_id").agg((F.count(F.lit(1)) > 1).alias("changed"), F.count(F.lit(1)).alias("n"))
+
+
 @query("pending_after_archive", "select 'EXP-' || event_id as experiment_id from events where event_type = 'error'")
 def _archive(spark, sf):
     """What is still pending once the records with skills are in the ledger."""

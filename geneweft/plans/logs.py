@@ -187,11 +187,11 @@ T = O.TRANSCRIPT_TEXT
 @query(
     "render_transcript",
     V.with_sql(V.TURNS_SQL, ROUNDS_SQL)
-    + f"""select session_id, (round_number - 1) // 256 as page, string_agg(case when round_number = 1 then
+    + f"""select session_id, round_number - 1 as pos, case when round_number = 1 then
       '{T['session'].split('%d')[0]}' || session_id || '{T['session'].split('%d')[1]}' || chr(10) else '' end
       || chr(10) || '{T['round'].strip().split('%d')[0]}' || round_number || '{T['round'].split('%d')[1]}' || chr(10)
       || {_quoted(T['builder'])} || chr(10) || coalesce(builder_output, '') || chr(10) || {_quoted(T['critic'])} || chr(10)
-      || coalesce(critic_output, ''), chr(10) order by round_number) as transcript from rounds group by all""",
+      || coalesce(critic_output, '') as line from rounds""",
 )
 def _transcript(spark, sf):
     return O.render_transcript(O.round_records(V.turns(spark, sf)))
@@ -240,12 +240,12 @@ def _around(label: str, value: str) -> str:
 @query(
     "candidate_sections",
     V.with_sql(V.TURNS_SQL)
-    + f"""select r.run_id, coalesce(page, 0) as page, coalesce(sections, '{O.NO_CANDIDATES}') as sections from
-      (select distinct conv_id as run_id from conversations) r left join (select run_id, pos // 512 as page,
-        string_agg({_around('index', 'pos')} || {_around('topology', 'topology')} || {_around('result', 'result')}, '' order by pos) as sections
+    + f"""select r.run_id, coalesce(pos, 0) as pos, coalesce(section, '{O.NO_CANDIDATES}') as section from
+      (select distinct conv_id as run_id from conversations) r left join (select run_id, pos,
+        {_around('index', 'pos')} || {_around('topology', 'topology')} || {_around('result', 'result')} as section
       from (select session_id as run_id, round_number - 1 as pos, arg_max(text, turn) as topology from t6 where role = 'builder' group by all)
-      join (select session_id as run_id, round_number - 1 as pos, arg_max(text, turn) as result from t6 where role = 'critic' group by all) using (run_id, pos)
-      group by all) s using (run_id)""",
+      join (select session_id as run_id, round_number - 1 as pos, arg_max(text, turn) as result from t6 where role = 'critic' group by all)
+        using (run_id, pos)) s using (run_id)""",
 )
 def _sections(spark, sf):
     """Builder texts stand for topologies and critic texts for results."""
@@ -259,17 +259,23 @@ def _sections(spark, sf):
 
 @query(
     "experiment_summary",
-    V.with_sql(V.ITERATIONS_SQL, BEST_SQL, V.TURNS_SQL, ROUNDS_SQL)
-    + """select c.c_custkey as run_id, c_name as user_intent, best_design, best_score, iterations, page, dialogue_text from customer c
-      left join best on best.run_id = c.c_custkey left join (select session_id as run_id, (round_number - 1) // 512 as page,
-        string_agg(concat_ws(chr(10) || chr(10), '【Builder (Round ' || round_number || ')】' || chr(10) || builder_output,
-          '【Critic (Round ' || round_number || ')】' || chr(10) || critic_output), chr(10) || chr(10) order by round_number) as dialogue_text
-        from rounds group by all) d on d.run_id = c.c_custkey""",
+    V.with_sql(V.ITERATIONS_SQL, BEST_SQL)
+    + """select c.c_custkey as run_id, c_name as user_intent, best_design, best_score, iterations from customer c
+      left join best on best.run_id = c.c_custkey""",
 )
 def _summary(spark, sf):
-    rounds = O.round_records(V.turns(spark, sf)).withColumnRenamed("session_id", "run_id")
     metadata = table(spark, sf, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_name").alias("user_intent"))
-    return O.experiment_summary(V.iterations(spark, sf), rounds, metadata)
+    return O.experiment_summary(V.iterations(spark, sf), metadata)
+
+
+@query(
+    "experiment_dialogue",
+    V.with_sql(V.TURNS_SQL, ROUNDS_SQL)
+    + """select session_id as run_id, round_number - 1 as pos, concat_ws(chr(10) || chr(10), '【Builder (Round ' || round_number || ')】' || chr(10)
+      || builder_output, '【Critic (Round ' || round_number || ')】' || chr(10) || critic_output) as line from rounds""",
+)
+def _dialogue(spark, sf):
+    return O.experiment_dialogue(O.round_records(V.turns(spark, sf)).withColumnRenamed("session_id", "run_id"))
 
 
 @query(
@@ -301,4 +307,4 @@ def _package(spark, sf):
             ).alias("module_1_plausibility")
         ).alias("skills"),
     )
-    return package_skills(rows, ["experiment_id", "user_intent", "iterations"])
+    return package_skills(rows, ["experiment_id", "user_intent", "iterations"]).drop("record")

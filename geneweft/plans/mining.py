@@ -79,8 +79,8 @@ def _page_paragraphs(spark, sf):
 
 @query(
     "assemble_context",
-    """select conv_id as request_id, turn // 512 as page, string_agg(chr(10) || '--- Search results for turn ' || turn || ' in ' || role
-      || ' ---' || chr(10) || substr(text, 1, 4000), '' order by turn) as context from conversations group by all""",
+    """select conv_id as request_id, turn as pos, chr(10) || '--- Search results for turn ' || turn || ' in ' || role
+      || ' ---' || chr(10) || substr(text, 1, 4000) as section from conversations""",
 )
 def _context(spark, sf):
     """Turns as parts of a request, their role as host."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -255,7 +257,9 @@ TURNS_SQL = """t6 as (select conv_id as session_id, turn, cast(floor(turn / 2) a
 
 
 def with_sql(*views: str) -> str:
-    return "with " + ",\n".join(views) + "\n"
+    """The views as common tables, each computed once."""
+    once = [re.sub(r"(?m)^( *)(\w+) as \(", r"\1\2 as materialized (", v) for v in views]
+    return "with " + ",\n".join(once) + "\n"
 
 
 def col(expr: str) -> Column:

@@ -7,8 +7,8 @@ PARAMETERS = "map<string,double>"
 NETLIST = (
     "struct<"
     "nodes: array<struct<id: string, node_type: string, gate_name: string, protein: string, "
-    "name: string, parameters: map<string,double>>>, "
-    "edges: array<struct<source: string, target: string, parameters: map<string,double>>>>"
+    "name: string, parameters: map<string,string>>>, "
+    "edges: array<struct<source: string, target: string, parameters: map<string,string>>>>"
 )
 
 DECISION = (
@@ -16,16 +16,6 @@ DECISION = (
     "recommended_ucf: string, feedback: string>"
 )
 
-SKILL_ENTRY = "struct<has_skill: boolean, rule_summary: string>"
-SKILLS = (
-    f"struct<module_1_plausibility: {SKILL_ENTRY}, "
-    f"module_2_functional: {SKILL_ENTRY}, module_3_kinetic: {SKILL_ENTRY}>"
-)
-SKILL_RECORD = (
-    "experiment_id string, user_intent string, host_organism string, timestamp string, "
-    f"final_score double, iterations int, skills {SKILLS}, _corrupt_record string"
-)
-
 MINED = "map<string, struct<raw_value: double, raw_unit: string, is_empirical: boolean>>"
 
 STIMULUS = "struct<type: string, start: double, duration: double, amp: double, freq: double>"

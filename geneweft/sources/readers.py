@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geneweft.functions.text import BLANK
+from geneweft.functions.values import content_id, is_json
 from geneweft.operators.components import parse_components
-from geneweft.schemas import SKILL_RECORD
 
 
 def read_texts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -56,9 +57,11 @@ def prefer_netlists(files: DataFrame) -> DataFrame:
 def read_netlists(spark: SparkSession, path: str) -> DataFrame:
     """Preferred netlist of every folder below a path: (design_id, path, content).
 
-    Files are chosen by name first; only the chosen ones keep their text.
+    Files are chosen by name alone; then only the chosen ones are joined to their text.
     """
-    return prefer_netlists(read_texts(spark, path, "*.json")).withColumnRenamed("folder", "design_id")
+    files = read_texts(spark, path, "*.json")
+    chosen = prefer_netlists(files.select("path")).withColumnRenamed("folder", "design_id")
+    return chosen.join(files, "path").select("path", "content", "design_id")
 
 
 def missing_netlists(folders: DataFrame, netlists: DataFrame) -> DataFrame:
@@ -85,15 +88,21 @@ def page_lines(pages: DataFrame, failure: str | None = None) -> DataFrame:
 def read_pending_skills(
     spark: SparkSession, path: str, streaming: bool = False, multi_line: bool = True
 ) -> DataFrame:
-    """Skill records of all ``*.json`` files; a malformed one has its text in ``_corrupt_record``.
+    """Skill records of all ``*.json`` files: (record_id, experiment_id, fields, skills, _corrupt_record).
 
+    ``fields`` holds every member but ``skills`` as text, ``skills`` is its JSON. A text that is not a
+    JSON object stands in ``_corrupt_record``. ``record_id`` is the content id of the text.
     ``multi_line`` is for one record per file; otherwise every line is a record.
     """
     reader = spark.readStream if streaming else spark.read
-    return (
-        reader.schema(SKILL_RECORD)
-        .option("multiLine", multi_line)
-        .option("pathGlobFilter", "*.json")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
+    raw = reader.option("pathGlobFilter", "*.json").text(path, wholetext=multi_line)
+    text = F.col("value")
+    good = is_json(text) & F.ltrim(text, F.lit(BLANK)).startswith("{")
+    members = F.when(good, F.from_json(text, "map<string,string>"))
+    return raw.where(F.trim(text, F.lit(BLANK)) != "").select(
+        content_id(text).alias("record_id"),
+        F.try_element_at(members, F.lit("experiment_id")).alias("experiment_id"),
+        F.map_filter(members, lambda k, v: (k != "skills") & v.isNotNull()).alias("fields"),
+        F.try_element_at(members, F.lit("skills")).alias("skills"),
+        F.when(~good, text).alias("_corrupt_record"),
     )

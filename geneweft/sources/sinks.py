@@ -27,6 +27,15 @@ def upsert_documents(new: DataFrame, index_path: str) -> None:
     rows.write.mode("append").parquet(index_path)
 
 
+def append_missing(new: DataFrame, path: str, keys: list[str], **layout) -> None:
+    """Append the rows whose keys a Parquet folder lacks, so that a rerun stores nothing twice."""
+    spark = new.sparkSession
+    if table_exists(spark, path):
+        new = new.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
+    writer = new.write.mode("append")
+    (writer.partitionBy(*layout["partition_by"]) if layout else writer).parquet(path)
+
+
 def candidate_letter(pos: Column) -> Column:
     """A for position 0, B for 1 and so on."""
     return F.char(pos + 65)
@@ -64,14 +73,13 @@ def write_rounds(df: DataFrame, path: str, buckets: int = 64) -> None:
     and stay a column; rows of a run are written together.
     """
     bucketed = df.withColumn("run_bucket", F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int"))
-    bucketed.repartition("round_number", "run_bucket", F.col("artefact")).write.mode("append").partitionBy(
-        "round_number", "run_bucket"
-    ).parquet(path)
+    dealt = bucketed.repartition("round_number", "run_bucket", F.col("artefact"))
+    append_missing(dealt, path, ["run_id", "round_number", "artefact"], partition_by=("round_number", "run_bucket"))
 
 
 def write_specifications(df: DataFrame, path: str) -> None:
-    """Final specification per run: (run_id, specification)."""
-    df.where("specification is not null").write.mode("append").parquet(path)
+    """Final specification per run: (run_id, specification); runs that have one are left out."""
+    append_missing(df.where("specification is not null"), path, ["run_id"])
 
 
 def skill_file_id(experiment: Column) -> Column:
@@ -79,31 +87,39 @@ def skill_file_id(experiment: Column) -> Column:
 
 
 def package_skills(df: DataFrame, metadata: list[str], skills: str = "skills") -> DataFrame:
-    """File id and JSON of every experiment: metadata and skills, without null fields."""
+    """File id, JSON and fields of every experiment: metadata and skills, the JSON without null fields."""
+    record = F.struct(*metadata, skills)
     return df.select(
         F.col("experiment_id"),
         skill_file_id(F.col("experiment_id")).alias("file_id"),
-        F.to_json(F.struct(*metadata, skills)).alias("package"),
+        F.to_json(record).alias("package"),
+        record.alias("record"),
     )
 
 
 def write_skills(packages: DataFrame, path: str) -> None:
-    """One JSON document per line under a staging folder."""
-    packages.select(F.col("package").alias("value")).write.mode("append").text(path)
+    """One JSON record per line in ``*.json`` files under a staging folder, each once.
+
+    ``read_pending_skills(..., multi_line=False)`` reads them back.
+    """
+    spark = packages.sparkSession
+    if table_exists(spark, path):
+        packages = packages.join(spark.read.text(path).select(F.col("value").alias("package")).distinct(), "package", "left_anti")
+    packages.select("record.*").write.mode("append").json(path)
 
 
-def archive_ingested(records: DataFrame, ledger_path: str, key: str = "experiment_id") -> None:
-    """Enter stored records in the ledger; records without skills are not entered and stay pending."""
+def archive_ingested(records: DataFrame, ledger_path: str) -> None:
+    """Enter stored records in the ledger by their content; records without skills are not entered and stay pending."""
     spark = records.sparkSession
-    stored = records.where("has_skills").select(key).distinct()
+    stored = records.where("has_skills").select("record_id", "experiment_id").dropDuplicates(["record_id"])
     if table_exists(spark, ledger_path):
-        stored = stored.join(spark.read.parquet(ledger_path), key, "left_anti")
+        stored = stored.join(spark.read.parquet(ledger_path), "record_id", "left_anti")
     stored.write.mode("append").parquet(ledger_path)
 
 
-def pending_records(records: DataFrame, ledger_path: str, key: str = "experiment_id") -> DataFrame:
-    """Records the ledger does not list."""
+def pending_records(records: DataFrame, ledger_path: str) -> DataFrame:
+    """Records whose content the ledger does not list; a changed record of a known experiment is pending."""
     spark = records.sparkSession
     if not table_exists(spark, ledger_path):
         return records
-    return records.join(spark.read.parquet(ledger_path), key, "left_anti")
+    return records.join(spark.read.parquet(ledger_path).select("record_id"), "record_id", "left_anti")

@@ -10,28 +10,22 @@ from geneweft.functions.values import content_id
 from geneweft.sources.readers import read_pending_skills
 from geneweft.sources.sinks import archive_ingested, pending_records, upsert_documents
 
-METADATA = ("experiment_id", "user_intent", "host_organism", "timestamp", "final_score", "iterations")
+#: Skills that hold nothing.
+EMPTY = ("{}", "[]", "null", "false", "0", "0.0", "")
 
 
 def has_skills() -> Column:
-    """A skills object with any content."""
-    return F.coalesce(F.to_json("skills") != "{}", F.lit(False))
+    """A skills member with any content."""
+    return F.coalesce(~F.col("skills").isin(*EMPTY), F.lit(False))
 
 
 def skill_documents(records: DataFrame) -> DataFrame:
     """Document (the skills as JSON), metadata (all other fields) and content id of every record with skills."""
-    metadata = F.map_filter(
-        F.map_from_arrays(
-            F.array(*[F.lit(c) for c in METADATA]), F.array(*[F.col(c).cast("string") for c in METADATA])
-        ),
-        lambda _, value: value.isNotNull(),
-    )
-    document = F.to_json("skills")
     return records.where(F.col("_corrupt_record").isNull() & has_skills()).select(
         # experiments may share a rule, so the id covers the experiment as well
-        content_id(F.concat_ws("|", "experiment_id", document)).alias("part_id"),
-        document.alias("document"),
-        metadata.alias("metadata"),
+        content_id(F.concat_ws("|", "experiment_id", "skills")).alias("part_id"),
+        F.col("skills").alias("document"),
+        F.col("fields").alias("metadata"),
         "experiment_id",
     )
 

@@ -253,13 +253,47 @@ def test_hill(spark):
     assert one(spark, K.hill_rep(active, kd, n)) == pytest.approx(0.5)
 
 
+def test_frames_to_scores(spark):
+    """A protein, its mRNA and an input of the same name stay apart on the way from frames to levels."""
+    frame = rows(spark, [(1, 0, "1", float(t), 2000.0, 20.0, 7.0) for t in range(20)] + [(1, 0, "0", float(t), 50.0, 500.0, 7.0) for t in range(20)],
+                 "design_id long, sample_id long, state_name string, Time double, GFP double, GFP_mRNA double, Input_GFP double")
+    points = series.trajectory_points(frame, ["design_id", "sample_id", "state_name"])
+    assert points.count() == 120 and {r.n_points for r in points.collect()} == {20}
+    levels = {(r.state_name, r.kind): r.steady_state for r in series.steady_state(points).collect()}
+    assert levels[("1", "protein")] == 2000 and levels[("1", "mrna")] == 20 and levels[("1", "input")] == 7
+    spec = rows(spark, [(1, "1", 1), (1, "0", 0), (2, "1", 1)], "design_id long, state_name string, expected int")
+    verdict = scoring.verdict(points, spec, "GFP").first()
+    assert verdict["pass"] and verdict.fold_change == 40
+    empty = scoring.join_spec(scoring.state_levels(points, "GFP"), spec, "left").where("design_id = 2").first()
+    assert empty.value == 0
+    assert {r.design_id: r.max_burden for r in series.max_burden(points, "design", "GFP").collect()} == {1: 0}
+    mc = {r.design_id: (r.n_samples, r["pass"], r.reason) for r in scoring.mc_verdict(scoring.sample_outcomes(points, spec, "GFP"), designs=spec).collect()}
+    assert mc == {1: (1, True, "pass"), 2: (0, False, "no samples")}
+
+
+def test_decision_numbers_and_scores(spark):
+    df = rows(spark, [('{"decision":"PASS","selected_index":0.0}', ["a", "b"])], "response string, candidates array<string>")
+    assert runs.parse_decision(df).first().best_topology == "a"
+    results = rows(spark, [("r", 0, "NaN", None, None), ("r", 1, "5", None, None)], "run_id string, pos long, score string, fold_change string, error string")
+    assert runs.fallback_design(results).first().chosen_pos == 1
+    turns = rows(spark, [("s-1", 1, "b", "c")], "session_id string, round_number long, builder_output string, critic_output string")
+    assert "s-1" in runs.render_transcript(turns).first().line
+
+
+def test_netlist_with_text_parameters(spark):
+    text = '{"nodes":[{"id":"a","node_type":"x","parameters":{"promoter":"pTac","kd":2}}],"edges":[]}'
+    nodes = topology.split_netlists(rows(spark, [(1, text)], "design_id long, content string"))[0]
+    assert nodes.first().parameters == {"kd": 2.0}
+
+
 def test_stimulus(spark):
     df = rows(spark, [(float(t),) for t in (0, 10, 15, 20, 21)], "t double")
     spec = F.from_json(F.lit('{"type":"pulse","start":10,"duration":10,"amp":5}'), "struct<type:string,start:double,duration:double,amp:double,freq:double>")
     assert [r[0] for r in df.select(K.stimulus(F.col("t"), spec)).collect()] == [0, 5, 5, 5, 0]
     expr = [r[0] for r in df.select(K.stimulus_expression("15: 2 * t + exp(0)")).collect()]
     assert expr == [0, 0, 31, 41, 43]
-    for bad in ("100: import os", "t; drop", "x: t", "2 ** t", "sha2(t, 256)"):
+    assert [r[0] for r in df.select(K.stimulus_expression("15: t ** 2 + cos(pi) + 0 * e")).collect()] == [0, 0, 224, 399, 440]
+    for bad in ("100: import os", "t; drop", "x: t", "2 * (t", "sha2(t, 256)", "t.real", "pow(t)"):
         assert [r[0] for r in df.select(K.stimulus_expression(bad)).collect()] == [0.0] * 5
 
 
@@ -304,20 +338,23 @@ def test_fallback_parameters(spark):
 def test_context_of_blank_request(spark):
     df = rows(spark, [(1, 0, "p", "h", "x" * 5000, None), (1, 1, "q", "h", None, "timeout")],
               "request_id long, pos long, part string, host string, snippet string, failure string")
-    text = M.assemble_context(df).first().context
-    assert text.count("x") == 4000 and text.endswith("\nFailed to scrape q: timeout")
+    parts = [r.section for r in M.assemble_context(df).orderBy("pos").collect()]
+    assert parts[0].count("x") == 4000 and parts[1].endswith("\nFailed to scrape q: timeout")
 
 
 def test_html(spark):
     html = "<!DOCTYPE html><head><title>A &amp;amp; B</title><script>var t='</p>';</script></head><p> one <b>two</b>\n</p><!-- c -->3 &lt; 4"
     assert one(spark, X.html_text(F.lit(html))) == "A &amp; B\none\ntwo\n3 < 4"
     assert "var t" in one(spark, X.html_text(F.lit(html), keep_scripts=True))
+    odd = '<p title="a > b">one</p><p>&nbsp;</p>two&#150;three&#x000000041;<p title="open>four</p>'
+    assert one(spark, X.html_text(F.lit(odd))) == "one\ntwo\u2013threeA\nfour"
 
 
 def test_paragraphs(spark):
     text = "Kd is 5\n  no number rate \nrate 3 \n\n12 apples"
     assert one(spark, X.relevant_paragraphs(F.lit(text))) == "Kd is 5\nrate 3"
     assert one(spark, X.relevant_paragraphs(F.lit("rate ٣"))) == ""
+    assert one(spark, X.relevant_paragraphs(F.lit("\u3000Kd 5\u00a0\v"))) == "Kd 5"
     assert one(spark, X.relevant_paragraphs(F.lit("rate ٣"), unicode_digits=True)) == "rate ٣"
 
 
@@ -326,6 +363,7 @@ def test_paragraphs(spark):
 
 def test_fences_and_slices(spark):
     assert one(spark, X.strip_fences(F.lit(' ```json\n{"a":1}\n``` '))) == '{"a":1}'
+    assert one(spark, X.strip_fences(F.lit('\n\n```json\n{"a":1}\n```\n'))) == '{"a":1}'
     assert one(spark, X.extract_proposals(F.lit('x {"a":{"b":1},"c":2} y'))) == ['{"b":1}']
     assert one(spark, X.extract_proposals(F.lit('x {"c":2} y'))) == ['{"c":2}']
     assert one(spark, X.extract_proposals(F.lit("plain"))) == ["plain"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geneweft.config import FunctionalConfig
 from geneweft.operators import retrieval, runs, scoring, series, sweep, topology
 from geneweft.operators.components import distinct_documents, with_ids
-from geneweft.operators.skew import concat_pages, even_cell
+from geneweft.operators.skew import even_cell
 from geneweft.plans import views as V
 from geneweft.plans.registry import table
 
@@ -68,7 +68,7 @@ def test_series_against_plain_python(spark):
     got = {}
     base = numbered(hot_points(spark))
     for r in series.oscillation(base, min_amp=0.0, block=64).join(series.steady_state(base), list(series.SERIES)).collect():
-        got[(r.design_id, r.sample_id, r.state_name, r.species)] = r
+        got[(r.design_id, r.sample_id, r.state_name, r.species, r.kind)] = r
     frame = base.toPandas().sort_values("seq")
     for key, group in frame.groupby(list(series.SERIES)):
         v = group["value"].to_numpy()
@@ -95,14 +95,6 @@ def test_functional_score_against_plain_python(spark):
         assert r.score_functional == pytest.approx(compliance * (0.6 * score + 0.4 * margin))
 
 
-def test_pages_hold_everything(spark):
-    df = spark.createDataFrame([("hot", i, f"t{i}") for i in range(1000)] + [("x", 0, "one")], "k string, pos long, text string")
-    pages = concat_pages(df.repartition(16), ["k"], "pos", "text", "|", page_rows=64)
-    assert pages.where("k = 'hot'").count() == 16
-    whole = "|".join(r.text for r in pages.where("k = 'hot'").orderBy("page").collect())
-    assert whole == "|".join(f"t{i}" for i in range(1000))
-
-
 def test_rounds_of_a_long_session(spark):
     turns = spark.createDataFrame([("a", 7 * i) for i in range(500)] + [("b", 3)], "session_id string, turn long")
     got = runs.number_rounds(turns.repartition(16), cell_turns=100).where("session_id = 'a'").orderBy("turn").collect()

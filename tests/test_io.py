@@ -79,7 +79,9 @@ def test_skill_packages(spark):
     assert json.loads(row.package) == {"experiment_id": "E:1 x", "iterations": 2, "skills": {"module_3_kinetic": {"has_skill": True}}}
     path = scratch_path(spark, "packages")
     sinks.write_skills(sinks.package_skills(df, ["experiment_id"]), path)
-    assert spark.read.text(path).count() == 1
+    sinks.write_skills(sinks.package_skills(df, ["experiment_id"]), path)
+    back = readers.read_pending_skills(spark, path, multi_line=False).collect()
+    assert [(r.experiment_id, r.skills) for r in back] == [("E:1 x", '{"module_3_kinetic":{"has_skill":true}}')]
 
 
 @pytest.fixture
