@@ -10,7 +10,7 @@ from geneweft.functions.text import expects_death
 from geneweft.operators import scoring as O
 from geneweft.operators import series
 from geneweft.plans import views as V
-from geneweft.plans.registry import query, table
+from geneweft.plans.registry import prepared, query, table
 
 # The readings lie between 98 and 992, so the thresholds are moved there.
 VERDICT = VerdictConfig(on=350.0, off=650.0, toxicity=7000.0)
@@ -21,8 +21,12 @@ SAMPLE = series.SAMPLE
 
 
 def levels(spark, sf, view="t1d"):
+    return levels_of(V.points(spark, sf, view))
+
+
+def levels_of(points):
     """Steady state of the target per (design, sample, state)."""
-    target = V.points(spark, sf, view).where(series.is_target(V.TARGET))
+    target = points.where(series.is_target(V.TARGET))
     return series.steady_state(target).select(*SAMPLE, "state_name", F.col("steady_state").alias("value"))
 
 
@@ -215,7 +219,7 @@ def _burden(spark, sf):
       round(p_burden, 6) as p_burden, round(r_kinetic * score_temporal * p_burden, 6) as kinetic_multiplier from kinetic""",
 )
 def _kinetic(spark, sf):
-    points = V.points(spark, sf, "t1d")
+    points = prepared(V.points(spark, sf, "t1d"), "points")
     return O.kinetic_score(points, V.spec_for(spark, sf, "t1d"), V.TARGET, KINETIC)
 
 
@@ -248,9 +252,9 @@ VIABLE_SQL = (
 
 
 def viable(spark, sf):
-    points = V.points(spark, sf, "t1u")
+    points = prepared(V.points(spark, sf, "t1u"), "points")  # stored trajectories carry their positions
     spec = V.spec_for(spark, sf, "t1u")
-    means = levels(spark, sf, "t1u").groupBy("design_id", "state_name").agg(F.avg("value").alias("value"))
+    means = levels_of(points).groupBy("design_id", "state_name").agg(F.avg("value").alias("value"))
     functional = O.functional_score(O.join_spec(means, spec, "inner"), FUNCTIONAL)
     kinetic = O.kinetic_score(points, spec, V.TARGET, KINETIC)
     plausible = O.plausibility(V.nodes(spark, sf), V.unordered_parts(spark, sf), V.unordered_parts(spark, sf))
@@ -326,7 +330,7 @@ def _report(spark, sf):
       from plausible p full join kinetic k using (design_id)""",
 )
 def _scorers(spark, sf):
-    points = V.points(spark, sf, "t1u")
+    points = prepared(V.points(spark, sf, "t1u"), "points")
     tables = {
         "nodes": V.nodes(spark, sf), "edges": V.unordered_parts(spark, sf), "parts": V.unordered_parts(spark, sf),
         "traj": points, "spec": V.spec_for(spark, sf, "t1u"), "target": V.TARGET, "config": VIABILITY,

@@ -10,7 +10,7 @@ from geneweft.functions.units import normalize_host
 from geneweft.operators import requests as Q
 from geneweft.operators import retrieval as O
 from geneweft.operators.components import distinct_documents, with_ids
-from geneweft.plans.registry import query, table
+from geneweft.plans.registry import prepared, query, table
 
 BLANK = "' ' || chr(10) || chr(13) || chr(9)"
 
@@ -39,9 +39,9 @@ def _search(spark, sf):
 
 
 def document_index(spark, sf):
-    """Distinct documents with hashed word counts as their vectors."""
+    """Distinct documents with hashed word counts as their vectors, embedded once and stored as an index is."""
     documents = distinct_documents(with_ids(table(spark, sf, "documents").select(F.col("text").alias("document"))))
-    return O.hash_embed(documents)
+    return prepared(O.hash_embed(documents), "index")
 
 
 def item_queries(spark, sf):

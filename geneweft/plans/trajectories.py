@@ -10,7 +10,7 @@ from geneweft.functions.values import clamp_log, literal_map, param
 from geneweft.operators import rates, series
 from geneweft.operators.topology import expand_topology
 from geneweft.plans import views as V
-from geneweft.plans.registry import query, table
+from geneweft.plans.registry import prepared, query, table
 
 T1 = V.points_sql("t1")
 T1D = V.points_sql("t1d")
@@ -93,7 +93,7 @@ def _steady(spark, sf):
     from turned group by all""",
 )
 def _oscillation(spark, sf):
-    return series.oscillation(V.points(spark, sf))
+    return series.oscillation(prepared(V.points(spark, sf), "points"))
 
 
 @query(
@@ -251,7 +251,7 @@ OVERRIDES = {"kd_click": 300.0, "n_view": 1.5, "km_rnap_error": 80.0, "leakage":
 
 def snapshots(spark, sf):
     """Readings as protein levels, mRNA a hundredth of them, with the baseline of a host per sample."""
-    t1 = V.points(spark, sf).where(series.is_protein())
+    t1 = prepared(V.points(spark, sf), "points").where(series.is_protein())
     host = F.expr("case sample_id % 3 when 0 then 'Bacillus subtilis' when 1 then 'baker''s yeast' else 'E. coli' end")
     return t1.select(
         "design_id",
