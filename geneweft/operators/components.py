@@ -162,5 +162,5 @@ def distinct_documents(df: DataFrame, text: str = "document") -> DataFrame:
 
 
 def missing_documents(new: DataFrame, index: DataFrame, text: str = "document") -> DataFrame:
-    """Distinct new documents whose id the index does not hold."""
-    return distinct_documents(new, text).join(index.select("part_id"), "part_id", "left_anti")
+    """Distinct new documents whose id the index does not hold; known ones go before any text is deduplicated."""
+    return distinct_documents(new.join(index.select("part_id"), "part_id", "left_anti"), text)

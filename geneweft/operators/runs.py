@@ -143,9 +143,9 @@ def latest_feedback(runs: DataFrame, log: DataFrame, key: str = "run_id", seq: s
 # --- rounds and transcripts --------------------------------------------------------------
 
 
-def number_rounds(turns: DataFrame, key: str = "session_id", turn: str = "turn", cell_turns: int = 1024) -> DataFrame:
+def number_rounds(turns: DataFrame, key: str = "session_id", turn: str = "turn") -> DataFrame:
     """Round number of every turn of a session, from 1 in turn order."""
-    numbered = index_points(turns, [key], [turn], F.floor(F.col(turn) / cell_turns), "_seq", None)
+    numbered = index_points(turns, [key], [turn], "_seq", None)
     return numbered.withColumn("round_number", F.col("_seq") + 1).drop("_seq")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geneweft.functions.values import clamp_log
-from geneweft.operators.skew import even_cell, index_points
+from geneweft.operators.skew import index_points
 from geneweft.schemas import SERIES
 
 SAMPLE = ("design_id", "sample_id")
@@ -43,7 +43,7 @@ def trajectory_points(df: DataFrame, id_cols: list[str], time_col: str | None =
     """
     others = [c for c in df.columns if c not in id_cols]
     clock = time_col or next((c for c in ("Time", "time") if c in others), others[0])
-    numbered = index_points(df, id_cols, [clock], even_cell(df, F.col(clock).cast("double")))
+    numbered = index_points(df, id_cols, [clock])
     return melt_trajectories(numbered, [*id_cols, "seq", "n_points"], clock)
 
 
@@ -77,14 +77,13 @@ def with_length(traj: DataFrame, keys: tuple[str, ...] = SERIES, block: int = 65
 
 
 def points_from_events(
-    df: DataFrame, keys: tuple[str, ...] = SERIES, order_by: tuple[str, ...] = ("ts", "event_id"), cell: Column | None = None
+    df: DataFrame, keys: tuple[str, ...] = SERIES, order_by: tuple[str, ...] = ("ts", "event_id")
 ) -> DataFrame:
-    """Number raw readings into points; cells are even steps of the first order column unless given.
+    """Number raw readings into points.
 
     Only raw readings need this. Stored trajectories carry their positions.
     """
-    cell = cell if cell is not None else even_cell(df, F.col(order_by[0]).cast("double"))
-    return index_points(df, list(keys), list(order_by), cell)
+    return index_points(df, list(keys), list(order_by))
 
 
 def in_tail(fraction: float) -> Column:

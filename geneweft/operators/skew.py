@@ -2,52 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geneweft.session import scratch_path
+
+#: Bits of a row's number inside its partition in ``monotonically_increasing_id``.
+PLACE_BITS = 33
+
 
 def index_points(
-    df: DataFrame,
-    keys: list[str],
-    order_by: list[str],
-    cell: Column,
-    seq: str = "seq",
-    length: str | None = "n_points",
+    df: DataFrame, keys: list[str], order_by: list[str], seq: str = "seq", length: str | None = "n_points"
 ) -> DataFrame:
     """Number the rows of every group from 0 without putting a whole group into one task.
 
-    ``cell`` is a value that never decreases along ``order_by`` (for example the minute of a
-    timestamp). Rows are numbered inside (keys, cell); the counts per cell, which shrink
-    before their shuffle, give the offset of each cell and the length of the group. So the
-    largest sort is one cell of one group: choose cells fine enough for the busiest group.
-    Keys and cell must not be null.
+    Rows are dealt by ranges of (keys, order), so a large group lies in several tasks, also where
+    its first order column is one value throughout. They are sorted there and written with their
+    places to the shared scratch folder; what each task holds of a group is counted, and the counts
+    of earlier tasks are the offsets. Keys must not be null; rows that tie in all of ``order_by``
+    are numbered in any order.
     """
-    keyed = df.withColumn("_cell", cell)
-    along = Window.partitionBy(*keys).orderBy("_cell")
-    offsets = (
-        keyed.groupBy(*keys, "_cell")
-        .agg(F.count(F.lit(1)).alias("_in_cell"))
-        .withColumn("_before", F.sum("_in_cell").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in_cell"))
-        .withColumn("_total", F.sum("_in_cell").over(Window.partitionBy(*keys)))
-        .drop("_in_cell")
+    path = scratch_path(df.sparkSession, "numbered")
+    placed = df.repartitionByRange(*keys, *order_by).sortWithinPartitions(*keys, *order_by)
+    placed = placed.withColumn("_at", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    rows = df.sparkSession.read.schema(placed.schema).parquet(path).withColumn("_part", F.shiftright("_at", PLACE_BITS))
+    along = Window.partitionBy(*keys).orderBy("_part")
+    parts = (
+        rows.groupBy(*keys, "_part")
+        .agg(F.count(F.lit(1)).alias("_held"), F.min("_at").alias("_first"))
+        .withColumn("_before", F.sum("_held").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_held"))
+        .withColumn("_total", F.sum("_held").over(Window.partitionBy(*keys)))
+        .drop("_held")
     )
-    local = keyed.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(*order_by)).cast("long")
-    )
-    numbered = local.join(offsets, [*keys, "_cell"]).withColumn(seq, F.col("_before") + F.col("_local") - 1)
+    numbered = rows.join(parts, [*keys, "_part"]).withColumn(seq, F.col("_before") + F.col("_at") - F.col("_first"))
     if length:
         numbered = numbered.withColumn(length, F.col("_total"))
-    return numbered.drop("_cell", "_local", "_before", "_total")
-
-
-def even_cell(df: DataFrame, order: Column, rows_per_cell: int = 1_000_000) -> Column:
-    """A cell for :func:`index_points`: equal steps of a number, as many as the row count asks for.
-
-    One small aggregate reads count and range. There are so many steps that even if all rows
-    were one group a cell would hold about ``rows_per_cell`` of them; little data gets one cell.
-    """
-    n, low, high = df.agg(F.count(order), F.min(order), F.max(order)).first()
-    steps = -(-n // rows_per_cell)
-    if steps <= 1 or high == low:
-        return F.lit(0).cast("long")
-    return F.floor((order - F.lit(low)) / F.lit(float(high - low) / steps))
+    return numbered.drop("_at", "_part", "_first", "_before", "_total")

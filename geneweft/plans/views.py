@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geneweft.operators.series import points_from_events
-from geneweft.operators.skew import even_cell, index_points
+from geneweft.operators.skew import index_points
 from geneweft.plans.registry import table
 
 STATES = ("00_state", "01_state", "10_state", "11_state")
@@ -144,7 +144,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items numbered from 1 inside their order."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
-    return index_points(rows, ["l_orderkey"], LINE_ORDER, even_cell(rows, F.col("l_linenumber")), "pos", None).withColumn(
+    return index_points(rows, ["l_orderkey"], LINE_ORDER, "pos", None).withColumn(
         "pos", F.col("pos") + 1
     )
 
@@ -209,8 +209,7 @@ def iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("design"),
         F.expr("cast(floor(o_totalprice) as bigint) % 101").alias("score"),
     )
-    cell = even_cell(rows, F.col("o_orderdate").cast("timestamp").cast("double"))
-    numbered = index_points(rows, ["run_id"], ["o_orderdate", "design"], cell, "_i", None)
+    numbered = index_points(rows, ["run_id"], ["o_orderdate", "design"], "_i", None)
     return numbered.withColumn("iteration", F.col("_i") + 1).drop("_i", "o_orderdate")
 
 

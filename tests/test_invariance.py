@@ -8,9 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from geneweft.config import FunctionalConfig
-from geneweft.operators import retrieval, runs, scoring, series, sweep, topology
+from geneweft.operators import retrieval, runs, scoring, series, skew, sweep, topology
 from geneweft.operators.components import distinct_documents, with_ids
-from geneweft.operators.skew import even_cell
 from geneweft.plans import views as V
 from geneweft.plans.registry import table
 
@@ -35,15 +34,15 @@ def hot_points(spark, n=3000):
     )
 
 
-def numbered(df, cell=3600.0):
-    return series.points_from_events(df, order_by=("time", "event_id"), cell=F.floor(F.col("time") / cell))
+def numbered(df):
+    return series.points_from_events(df, order_by=("time", "event_id"))
 
 
 @pytest.mark.parametrize("n", [1, 64])
 def test_positions(spark, n):
     raw = hot_points(spark)
     base = numbered(raw)
-    same(numbered(raw.repartition(n), cell=100.0), base)
+    same(numbered(raw.repartition(n)), base)
     rows = base.where("species = 'GFP'").orderBy("seq").collect()
     assert [r.seq for r in rows] == list(range(1000)) and {r.n_points for r in rows} == {1000}
     assert [r.time for r in rows] == sorted(r.time for r in rows)
@@ -97,7 +96,7 @@ def test_functional_score_against_plain_python(spark):
 
 def test_rounds_of_a_long_session(spark):
     turns = spark.createDataFrame([("a", 7 * i) for i in range(500)] + [("b", 3)], "session_id string, turn long")
-    got = runs.number_rounds(turns.repartition(16), cell_turns=100).where("session_id = 'a'").orderBy("turn").collect()
+    got = runs.number_rounds(turns.repartition(16)).where("session_id = 'a'").orderBy("turn").collect()
     assert [r.round_number for r in got] == list(range(1, 501))
 
 
@@ -209,14 +208,18 @@ def test_noise_does_not_shuffle(spark):
     assert "Exchange" not in plan(sweep.noisy_parameters(params))
 
 
-def test_even_cells(spark):
-    raw = hot_points(spark)
-    base = numbered(raw)
-    same(series.points_from_events(raw, order_by=("time", "event_id")), base)
-    fine = even_cell(raw, F.col("time"), rows_per_cell=50)
-    assert raw.select(fine.alias("c")).distinct().count() >= 59
-    assert raw.groupBy(fine.alias("c")).count().agg(F.max("count")).first()[0] < 120
-    same(series.points_from_events(raw, order_by=("time", "event_id"), cell=fine), base)
+def test_numbering_spreads_one_hot_time(spark, monkeypatch, tmp_path):
+    """A group with a single time value is dealt over many tasks and still numbered in order."""
+    monkeypatch.setattr(skew, "scratch_path", lambda *_: str(tmp_path / "numbered"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    raw = spark.range(20000).select(F.lit("hot").alias("k"), F.lit(1.0).alias("time"), (F.col("id") * 7919 % 20000).alias("event"))
+    try:
+        got = skew.index_points(raw.repartition(5), ["k"], ["time", "event"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.where("seq <> event or n_points <> 20000").count() == 0
+    files = spark.read.parquet(str(tmp_path / "numbered")).groupBy(F.input_file_name()).count()
+    assert files.agg(F.max("count")).first()[0] < 10000
 
 
 def test_top_k_is_cut_before_the_shuffle(spark):
