@@ -8,11 +8,13 @@ found in two rounds, and only until every component is connected:
    overlap of the path so far, shared by all sets below; a branch ends where the overlap plus what can still come is
    too little, or where all sets below are in the walker's component already.
 2. The rest must share a shingle among the first ``n - ceil(0.75 n) + 1`` of both sets in one global order, rare
-   shingles first. All these prefix shingles are grouped; pairs of sets of different components that share enough of
-   them to reach the threshold at best are walked through tries in the same way.
+   shingles first. All these prefix shingles are grouped. Where sets of different components meet, the sets of the
+   smaller component are matched with the larger one as a whole; those that share enough prefix shingles with it to
+   reach the threshold at best walk through the tries of its sets.
 
-The global order puts shingles that are met often last, those met most at the very end. Which ones stand there only
-changes the cost: any order finds the same links.
+The global order is by hash, with shingles that many documents hold moved to the end, the most frequent last. They are
+counted over all documents in the lower part of the hash range, which is where prefixes lie. Which shingles are moved
+only changes the cost: any order finds the same links.
 
 Defined cases: texts without words and null texts have an empty set and are linked with nothing; a text under five
 words has one shingle, all its words; repeated rows and repeated ids are in one component; a null id takes part and is
@@ -34,8 +36,12 @@ from geneweft.llm.textblocks import WordHasher, blocks, mix, shingles, space_sep
 
 WORDS = 5
 NUM, DEN = 75, 100
-#: A shingle met this often is ordered last; so many of them are known to all tasks (16 bytes each).
-FREQUENT, FREQUENT_KNOWN = 64, 1_000_000
+#: Shingles of this many documents are ordered last; so many of them, the most frequent, are known to all tasks (16 bytes each).
+FREQUENT, FREQUENT_KNOWN = 16, 1_000_000
+#: Frequent shingles are counted below this share of the hash range.
+COUNTED = 3 / 8
+#: Bits of the filter that keeps most unwanted sets out of a shuffle; 16 MB whatever the corpus.
+FILTER_BITS = 1 << 27
 #: Sets that meet in one trie, and prefix shingles that meet in one task.
 TRIE_SETS = 2048
 BUCKET = 1 << 20
@@ -55,8 +61,9 @@ def text_sets(texts, hasher: WordHasher) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of every text."""
     for _, held in blocks(texts):
         words, offsets = hasher(held)
+        runs = shingles(words, WORDS)
         for a, b in zip(offsets, offsets[1:]):
-            yield np.unique(shingles(words[a:b], WORDS))
+            yield np.unique(runs[a : b - WORDS + 1] if b - a >= WORDS else shingles(words[a:b], WORDS))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -65,58 +72,51 @@ def set_id(s: np.ndarray) -> int:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: rows (doc_id, n, set, least1, least2), and rows (shingle, n) of shingles met often.
-
-    ``set`` names the set, ``least1`` and ``least2`` are its smallest shingle in two orders.
-    """
-    columns = ["doc_id", "n", "set", "least1", "least2", "shingle"]
+    """doc_id, n, set, least1, least2: one pass over the texts. ``set`` names the set, ``least1`` and ``least2`` are its
+    smallest shingle in two orders."""
+    columns = ["doc_id", "n", "set", "least1", "least2"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher(space_separated())
-        met, held, size = set(), [], 0
-
-        def often() -> pd.DataFrame:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"shingle": values[counts >= 4].view(np.int64), "n": counts[counts >= 4]})
-
         for batch in batches:
             rows = []
             for doc, s in zip(batch["doc_id"], text_sets(batch["text"], hasher)):
-                one = set_id(s)
-                if len(s):
-                    rows.append((doc and int(doc), len(s), one, int(s[0].view(np.int64)), int(mix(s ^ _SEED).min().view(np.int64))))
-                    if one not in met:
-                        met.add(one)
-                        held.append(s)
-                        size += len(s)
-                else:
-                    rows.append((doc and int(doc), 0, one, None, None))
-                if size > 4 * BUCKET:
-                    yield often().reindex(columns=columns).astype("Int64")
-                    met, held, size = set(), [], 0
-            out = {c: pd.array([r[i] for r in rows], dtype="Int64") for i, c in enumerate(columns[:5])}
-            yield pd.DataFrame(out).reindex(columns=columns).astype("Int64")
-        if held:
-            yield often().reindex(columns=columns).astype("Int64")
+                least = (int(s[0].view(np.int64)), int(mix(s ^ _SEED).min().view(np.int64))) if len(s) else (None, None)
+                rows.append((doc and int(doc), len(s), set_id(s), *least))
+            yield pd.DataFrame({c: pd.array([r[i] for r in rows], dtype="Int64") for i, c in enumerate(columns)})
 
+    # ids travel as text, which keeps null and large ones whole in pandas
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id bigint, n bigint, set bigint, least1 bigint, least2 bigint, shingle bigint"
+        run, "doc_id bigint, n bigint, set bigint, least1 bigint, least2 bigint"
     )
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set, n, shingles (packed, sorted) for the sets named by ``wanted`` (set, doc_id of one holder)."""
+    """set, shingles (packed, sorted) for the sets named by ``wanted`` (set), and for a few others.
+
+    A filter with one bit per named set goes to all tasks. It has a fixed size, so a large corpus only lets more of the
+    other sets pass; they meet nothing in the joins that follow.
+    """
+    spread = F.pmod(F.shiftrightunsigned("set", 6), F.lit(FILTER_BITS // 64))
+    marks = wanted.groupBy(spread.alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(set & 63 as int))")).alias("bits"))
+    marks = marks.toPandas()
+    places = marks["place"].to_numpy(np.int64)
+    order = np.argsort(places)
+    known = docs.sparkSession.sparkContext.broadcast((places[order], marks["bits"].to_numpy(np.int64)[order].view(np.uint64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher(space_separated())
+        places, bits = known.value
         for batch in batches:
-            rows = [(set_id(s), len(s), s.tobytes()) for s in text_sets(batch["text"], hasher)]
-            yield pd.DataFrame(rows, columns=["set", "n", "shingles"])
+            made = [(set_id(s), s) for s in text_sets(batch["text"], hasher)]
+            ids = np.array([one for one, _ in made], dtype=np.int64).view(np.uint64)
+            place = ((ids >> np.uint64(6)) % np.uint64(FILTER_BITS // 64)).astype(np.int64)
+            at = np.minimum(np.searchsorted(places, place), len(places) - 1)
+            kept = (places[at] == place) & ((bits[at] >> (ids & np.uint64(63))) & np.uint64(1)).astype(bool) if len(places) else np.zeros(len(made), bool)
+            named = {made[i][0]: made[i][1].tobytes() for i in np.flatnonzero(kept)}
+            yield pd.DataFrame({"set": np.array(list(named), dtype=np.int64), "shingles": list(named.values())})
 
-    holders = wanted.select(F.col("doc_id").alias("holder")).distinct()
-    texts = docs.select("doc_id", "text").join(holders, F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
-    made = texts.mapInPandas(run, "set bigint, n bigint, shingles binary")
-    return made.dropDuplicates(["set"])
+    return docs.select("text").mapInPandas(run, "set bigint, shingles binary").dropDuplicates(["set"])
 
 
 class Trie:
@@ -130,10 +130,13 @@ class Trie:
         self.one = one  # a set whose component holds all sets below, or None
 
 
-def group_links(sets: list[np.ndarray], first: list[int] | None = None) -> list[tuple[int, int]]:
+def group_links(
+    sets: list[np.ndarray], first: list[int] | None = None, guests: list[bool] | None = None
+) -> list[tuple[int, int]]:
     """Links among ``sets`` that join all sets connected by any links among them (a spanning forest).
 
-    ``first``: component labels known before; sets of one label are joined from the start.
+    ``first``: component labels known before; sets of one label are joined from the start. With ``guests``
+    only links between a guest and another set count: guests walk, and only the others are stored.
     """
     lengths = [len(s) for s in sets]
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -205,39 +208,43 @@ def group_links(sets: list[np.ndarray], first: list[int] | None = None) -> list[
                 child = upper
             node, at = child, at + same
 
-    for i in sorted(range(len(sets)), key=lambda i: lengths[i]):
+    apart = guests is not None and any(guests) and not all(guests)
+    for i in sorted(range(len(sets)), key=lambda i: (apart and guests[i], lengths[i])):
         x = ranked[i]
         if root is None:
             root = Trie(x[:0], 0, lengths[i], lengths[i], i)
-        held[x] = True
-        walk(i, x)
-        held[x] = False
-        put(i, x)
+        if not apart or guests[i]:
+            held[x] = True
+            walk(i, x)
+            held[x] = False
+        if not apart or not guests[i]:
+            put(i, x)
     return links
 
 
 def links_in_groups(members: DataFrame) -> DataFrame:
-    """a, b: links between sets of one group. ``members``: group, set, shingles, label (known component)."""
+    """a, b: links between sets of one group. ``members``: group, set, shingles, label (known component), guest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def close(ids, sets, labels):
-            found = group_links(sets, labels) if len(ids) > 1 else []
+        def close(ids, sets, labels, guests):
+            found = group_links(sets, labels, guests) if len(ids) > 1 else []
             return [(ids[i], ids[j]) for i, j in found]
 
-        current, ids, sets, labels = None, [], [], []
+        current, ids, sets, labels, guests = None, [], [], [], []
         for batch in batches:
             out = []
-            for group, one, packed, label in zip(batch["group"], batch["set"], batch["shingles"], batch["label"]):
+            for group, one, packed, label, guest in zip(*(batch[c] for c in ("group", "set", "shingles", "label", "guest"))):
                 if group != current:
-                    out += close(ids, sets, labels)
-                    current, ids, sets, labels = group, [], [], []
+                    out += close(ids, sets, labels, guests)
+                    current, ids, sets, labels, guests = group, [], [], [], []
                 ids.append(one)
                 sets.append(np.frombuffer(packed, dtype=np.uint64))
                 labels.append(label)
+                guests.append(guest)
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-        yield pd.DataFrame(close(ids, sets, labels), columns=["a", "b"]).astype("int64")
+        yield pd.DataFrame(close(ids, sets, labels, guests), columns=["a", "b"]).astype("int64")
 
-    return members.select("group", "set", "shingles", "label").repartition("group").sortWithinPartitions("group").mapInPandas(
+    return members.select("group", "set", "shingles", "label", "guest").repartition("group").sortWithinPartitions("group").mapInPandas(
         run, "a bigint, b bigint"
     )
 
@@ -262,28 +269,60 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def first_round(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links among sets that share a smallest shingle. ``sets``: set, n, doc_id, least1, least2."""
+    """Links among sets that share a smallest shingle. ``sets``: set, n, least1, least2."""
     groups = None
     for mine, other in (("least1", "least2"), ("least2", "least1")):
         sizes = sets.groupBy(F.col(mine).alias("least")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         # a large group is split by the other order, which keeps similar sets together
         part = F.pmod(F.xxhash64(other), F.ceil(F.col("size") / TRIE_SETS))
-        met = sets.join(sizes, F.col(mine) == F.col("least")).select("set", "doc_id", F.xxhash64(F.lit(mine), "least", part).alias("group"))
+        met = sets.join(sizes, F.col(mine) == F.col("least")).select("set", F.xxhash64(F.lit(mine), "least", part).alias("group"))
         groups = met if groups is None else groups.union(met)
     groups = stored(groups, "join-groups")
-    packed = stored(sets_of(docs, groups), "join-sets")
-    return links_in_groups(groups.join(packed, "set").withColumn("label", F.col("set")))
+    return links_in_groups(groups.join(sets_of(docs, groups), "set").withColumn("label", F.col("set")).withColumn("guest", F.lit(False)))
+
+
+def dealt(tokens: np.ndarray, buckets: int, **columns: np.ndarray) -> pd.DataFrame:
+    """One row per bucket of the shingles: bucket, and every column packed in bytes."""
+    bucket = (mix(tokens) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    split = lambda x: [part.tobytes() for part in np.split(x[order], cuts[1:])]
+    return pd.DataFrame({"bucket": bucket[order][cuts], "tokens": split(tokens), **{k: split(v) for k, v in columns.items()}})
+
+
+def frequent_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in order, rank of each: the more frequent, the higher); ``total`` is the number of shingles of all sets."""
+    limit, buckets = np.uint64(int(COUNTED * 2**64)), max(1, math.ceil(total * COUNTED / BUCKET))
 
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = WordHasher(space_separated())
+        held, size = [], 0
+        for batch in batches:
+            for s in text_sets(batch["text"], hasher):
+                held.append(s[: np.searchsorted(s, limit)])
+                size += len(held[-1])
+                if size > BUCKET:
+                    yield dealt(np.concatenate(held), buckets)
+                    held, size = [], 0
+        if held:
+            yield dealt(np.concatenate(held), buckets)
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        values, counts = np.unique(np.frombuffer(b"".join(group["tokens"]), dtype=np.uint64), return_counts=True)
+        often = counts >= FREQUENT
+        return pd.DataFrame({"shingle": values[often].view(np.int64), "n": counts[often]})
 
-def prefix_shingles(docs: DataFrame, often: DataFrame, total: int) -> DataFrame:
-    """shingle, set for every prefix shingle that at least two different sets hold; ``total`` sizes the buckets."""
-    counts = often.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT_KNOWN).toPandas()
+    counted = docs.select("text").mapInPandas(emit, "bucket bigint, tokens binary").groupBy("bucket").applyInPandas(count, "shingle bigint, n bigint")
+    top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT_KNOWN).toPandas()
     values = top["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
     by_value = np.argsort(values)
-    # the more often met, the later
-    known = docs.sparkSession.sparkContext.broadcast((values[by_value], (len(values) - by_value).astype(np.int64)))
-    buckets = max(1, math.ceil(total / BUCKET))
+    return values[by_value], (len(values) - by_value).astype(np.int64)
+
+
+def prefix_shingles(docs: DataFrame, total: int) -> DataFrame:
+    """shingle, set for every prefix shingle that at least two different sets hold."""
+    known = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, total))
+    buckets = max(1, math.ceil(total * (DEN - NUM) / DEN / BUCKET))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher(space_separated())
@@ -291,14 +330,8 @@ def prefix_shingles(docs: DataFrame, often: DataFrame, total: int) -> DataFrame:
         met, held, size = set(), [], 0
 
         def packed() -> pd.DataFrame:
-            tokens = np.concatenate([s for s, _ in held])
             ids = np.repeat(np.array([one for _, one in held], dtype=np.int64), [len(s) for s, _ in held])
-            held.clear()
-            bucket = (mix(tokens) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            split = lambda x: [part.tobytes() for part in np.split(x[order], cuts[1:])]
-            return pd.DataFrame({"bucket": bucket[order][cuts], "tokens": split(tokens), "sets": split(ids)})
+            return dealt(np.concatenate([s for s, _ in held]), buckets, sets=ids)
 
         for batch in batches:
             for s in text_sets(batch["text"], hasher):
@@ -316,7 +349,7 @@ def prefix_shingles(docs: DataFrame, often: DataFrame, total: int) -> DataFrame:
                 size += keep
                 if size > BUCKET:
                     yield packed()
-                    size = 0
+                    held, size = [], 0
         if held:
             yield packed()
 
@@ -336,54 +369,58 @@ def prefix_shingles(docs: DataFrame, often: DataFrame, total: int) -> DataFrame:
     return made.groupBy("bucket").applyInPandas(shared, "shingle bigint, set bigint")
 
 
-def second_round(nodes: DataFrame, docs: DataFrame, often: DataFrame) -> DataFrame:
-    """Links between components that the first round left apart. ``nodes``: set, n, doc_id, label."""
-    total = (nodes.agg(F.sum("n")).first()[0] or 0) * (DEN - NUM) // DEN
-    known = nodes.select("set", "n", "label")
-    held = prefix_shingles(docs, often, total).join(known, "set")
-    apart = stored(held, "join-prefixes")
-    mixed = apart.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
-    apart = apart.join(mixed, "shingle")
-    x, y = (apart.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("set", "n", "label")]) for side in "xy")
-    met = x.join(y, "shingle").where(
-        (F.col("set_x") < F.col("set_y")) & (F.col("label_x") != F.col("label_y"))
-        & (F.col("n_x") * DEN >= F.col("n_y") * NUM) & (F.col("n_y") * DEN >= F.col("n_x") * NUM)
-    )
-    pairs = met.groupBy("set_x", "set_y", "n_x", "n_y", "label_x", "label_y").agg(F.count(F.lit(1)).alias("common"))
-    # behind the shorter reach of the two prefixes lie at most this many of one set
-    rest = F.greatest(*[F.floor(F.col(n) - (F.col(n) - F.ceil(F.col(n) * NUM / DEN) + 1)) for n in ("n_x", "n_y")])
-    enough = F.ceil((F.col("n_x") + F.col("n_y")) * NUM / (NUM + DEN))
-    pairs = stored(pairs.where(F.col("common") + rest >= enough), "join-pairs")
-    hubs = pairs.groupBy("set_x").agg(F.count(F.lit(1)).alias("size"))
-    split = pairs.join(hubs, "set_x").withColumn(
-        "group", F.xxhash64("set_x", F.pmod(F.xxhash64("set_y"), F.ceil(F.col("size") / TRIE_SETS)))
+def enough_common(n, m):
+    """Prefix shingles that sets of sizes n and m must share to link.
+
+    Behind the prefix that ends first in the order lie at most that set's other shingles.
+    """
+    rest = lambda c: c - (c - F.ceil(c * NUM / DEN) + 1)
+    return F.ceil((n + m) * NUM / (NUM + DEN)) - F.greatest(rest(n), rest(m))
+
+
+def second_round(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components that the first round left apart. ``nodes``: set, n, label, size (sets of the label)."""
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    held = stored(prefix_shingles(docs, total), "join-prefixes").join(nodes, "set")
+    mixed = held.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
+    mine = held.join(mixed, "shingle")
+    theirs = mine.groupBy("shingle", F.col("label").alias("into"), F.col("size").alias("into_size")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # the smaller component comes to the larger one; only sizes that may link meet
+    n, least, most = F.col("n"), F.ceil(F.col("n") * NUM / DEN), F.floor(F.col("n") * DEN / NUM)
+    met = mine.join(theirs, "shingle").where(
+        (F.struct("into_size", "into") > F.struct("size", "label")) & (F.col("high") >= least) & (F.col("low") <= most)
     )
-    members = stored(split.select("group", F.col("set_x").alias("set")).union(split.select("group", "set_y")).distinct(), "join-hubs")
-    wanted = members.select("set").distinct().join(nodes, "set")
-    packed = stored(sets_of(docs, wanted.select("set", "doc_id")), "join-sets")
-    return links_in_groups(members.join(packed, "set").join(nodes.select("set", "label"), "set"))
+    met = met.groupBy("set", "n", "into", "into_size").agg(F.count(F.lit(1)).alias("common"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # what is needed rises up to equal sizes and falls after them, so the least is at an end of the range
+    wanted = F.least(*[enough_common(n, end) for end in (F.greatest("low", least), F.least("high", most))])
+    pairs = stored(met.where(F.col("common") >= wanted).select("set", "into", "into_size"), "join-pairs")
+    parts = lambda size: F.ceil(size / TRIE_SETS).cast("int")
+    hubs = pairs.groupBy("into", "into_size").agg(F.count(F.lit(1)).alias("guests"))
+    hubs = hubs.select("into", parts(F.col("into_size")).alias("rows"), parts(F.col("guests")).alias("columns"))
+    place = lambda count: F.pmod(F.xxhash64("set"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    hosts = nodes.select("set", F.col("label").alias("into")).join(hubs, "into").select("set", "into", place("rows").alias("row"), every("columns").alias("column"))
+    guests = pairs.select("set", "into").join(hubs, "into").select("set", "into", every("rows").alias("row"), place("columns").alias("column"))
+    both = hosts.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    members = stored(both.select("set", "guest", F.xxhash64("into", "row", "column").alias("group")), "join-members")
+    return links_in_groups(members.join(sets_of(docs, members), "set").join(nodes.select("set", "label"), "set"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    described = stored(describe(docs), "join-described")
-    rows = described.where("shingle is null")
-    often = described.where("shingle is not null").select("shingle", "n")
-    sets = stored(
-        rows.where("n > 0").groupBy("set").agg(
-            F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("least1").alias("least1"), F.first("least2").alias("least2")
-        ),
-        "join-distinct",
-    )
+    rows = stored(describe(docs), "join-described")
+    sets = rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("least1").alias("least1"), F.first("least2").alias("least2"))
+    sets = stored(sets, "join-distinct")
     near = stored(first_round(sets, docs), "join-first")
-    label = F.coalesce("label", "set").alias("label")
-    nodes = stored(
-        sets.select("set", "n", "doc_id").join(components(near).withColumnRenamed("node", "set"), "set", "left").select("set", "n", "doc_id", label),
-        "join-nodes",
+    joined = components(near)
+    sizes = joined.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    known = stored(joined.join(sizes, "label").select(F.col("node").alias("set"), "label", "size"), "join-known")
+    nodes = sets.select("set", "n").join(known, "set", "left").select(
+        "set", "n", F.coalesce("label", "set").alias("label"), F.coalesce("size", F.lit(1)).alias("size")
     )
-    links = near.union(second_round(nodes, docs, often))
+    links = near.union(second_round(stored(nodes, "join-nodes"), docs))
     named = rows.select("doc_id", "n", "set").join(components(links).withColumnRenamed("node", "set"), "set", "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, label).alias("label")
+        "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "set")).alias("label")
     )
     named = stored(named, "join-labelled")
     smallest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
