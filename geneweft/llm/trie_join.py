@@ -10,11 +10,12 @@ found in two rounds, and only until every component is connected:
 2. The rest must share a shingle among the first ``n - ceil(0.75 n) + 1`` of both sets in one global order, rare
    shingles first. All these prefix shingles are grouped. Where sets of different components meet, the sets of the
    smaller component are matched with the larger one as a whole; those that share enough prefix shingles with it to
-   reach the threshold at best walk through the tries of its sets.
+   reach the threshold at best walk through the tries of its sets. Where a prefix shingle joins a crowd of components,
+   all sets of the crowds that hang together are compared in tries, block against block.
 
 The global order is by hash, with shingles that many documents hold moved to the end, the most frequent last. They are
-counted over all documents in the lower part of the hash range, which is where prefixes lie. Which shingles are moved
-only changes the cost: any order finds the same links.
+counted over all documents by the upper 40 bits of their hashes. Which shingles are moved only changes the cost: any
+order finds the same links.
 
 Defined cases: texts without words and null texts have an empty set and are linked with nothing; a text under five
 words has one shingle, all its words; repeated rows and repeated ids are in one component; a null id takes part and is
@@ -24,6 +25,7 @@ never the smallest; a component of null ids alone has a null id; an empty table
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +40,15 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Shingles of this many documents are ordered last; so many of them, the most frequent, are known to all tasks (16 bytes each).
 FREQUENT, FREQUENT_KNOWN = 16, 1_000_000
-#: Frequent shingles are counted below this share of the hash range.
-COUNTED = 3 / 8
+#: Bytes of a shingle's hash by which it is counted.
+COUNTED_BYTES = 5
 #: Bits of the filter that keeps most unwanted sets out of a shuffle; 16 MB whatever the corpus.
 FILTER_BITS = 1 << 27
 #: Sets that meet in one trie, and prefix shingles that meet in one task.
 TRIE_SETS = 2048
 BUCKET = 1 << 20
+#: Components beyond which a prefix shingle's sets meet in tries at once instead of pair by pair.
+CROWD = 64
 _SEED = np.uint64(0x632BE59BD9B4E019)
 
 
@@ -209,7 +213,10 @@ def group_links(
             node, at = child, at + same
 
     apart = guests is not None and any(guests) and not all(guests)
-    for i in sorted(range(len(sets)), key=lambda i: (apart and guests[i], lengths[i])):
+    crowd = Counter(first) if first is not None else {}
+    # the largest known component is stored before anything walks
+    rank = (lambda i: (-crowd[first[i]], first[i])) if first is not None else (lambda i: ())
+    for i in sorted(range(len(sets)), key=lambda i: (apart and guests[i], *rank(i), lengths[i])):
         x = ranked[i]
         if root is None:
             root = Trie(x[:0], 0, lengths[i], lengths[i], i)
@@ -290,29 +297,41 @@ def dealt(tokens: np.ndarray, buckets: int, **columns: np.ndarray) -> pd.DataFra
     return pd.DataFrame({"bucket": bucket[order][cuts], "tokens": split(tokens), **{k: split(v) for k, v in columns.items()}})
 
 
+def cut(tokens: np.ndarray) -> np.ndarray:
+    """The upper bits by which shingles are counted, the others zero."""
+    return tokens & ~np.uint64((1 << 8 * (8 - COUNTED_BYTES)) - 1)
+
+
 def frequent_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles in order, rank of each: the more frequent, the higher); ``total`` is the number of shingles of all sets."""
-    limit, buckets = np.uint64(int(COUNTED * 2**64)), max(1, math.ceil(total * COUNTED / BUCKET))
+    """(cut shingles in order, rank of each: the more frequent, the higher); ``total``: number of shingles of all sets."""
+    buckets = max(1, math.ceil(total / BUCKET))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher(space_separated())
         held, size = [], 0
         for batch in batches:
             for s in text_sets(batch["text"], hasher):
-                held.append(s[: np.searchsorted(s, limit)])
-                size += len(held[-1])
+                held.append(s)
+                size += len(s)
                 if size > BUCKET:
-                    yield dealt(np.concatenate(held), buckets)
+                    yield packed(np.concatenate(held))
                     held, size = [], 0
         if held:
-            yield dealt(np.concatenate(held), buckets)
+            yield packed(np.concatenate(held))
+
+    def packed(tokens: np.ndarray) -> pd.DataFrame:
+        upper = cut(tokens)
+        return dealt(upper, buckets, upper=upper.view(np.uint8).reshape(-1, 8)[:, 8 - COUNTED_BYTES :])[["bucket", "upper"]]
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        values, counts = np.unique(np.frombuffer(b"".join(group["tokens"]), dtype=np.uint64), return_counts=True)
+        upper = np.frombuffer(b"".join(group["upper"]), dtype=np.uint8).reshape(-1, COUNTED_BYTES)
+        whole = np.zeros((len(upper), 8), dtype=np.uint8)
+        whole[:, 8 - COUNTED_BYTES :] = upper
+        values, counts = np.unique(whole.view(np.uint64).ravel(), return_counts=True)
         often = counts >= FREQUENT
         return pd.DataFrame({"shingle": values[often].view(np.int64), "n": counts[often]})
 
-    counted = docs.select("text").mapInPandas(emit, "bucket bigint, tokens binary").groupBy("bucket").applyInPandas(count, "shingle bigint, n bigint")
+    counted = docs.select("text").mapInPandas(emit, "bucket bigint, upper binary").groupBy("bucket").applyInPandas(count, "shingle bigint, n bigint")
     top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT_KNOWN).toPandas()
     values = top["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
     by_value = np.argsort(values)
@@ -341,8 +360,8 @@ def prefix_shingles(docs: DataFrame, total: int) -> DataFrame:
                 met.add(one)
                 keep = prefix_length(len(s))
                 if len(values):
-                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    late = values[at] == s
+                    at = np.minimum(np.searchsorted(values, cut(s)), len(values) - 1)
+                    late = values[at] == cut(s)
                     if late.any():
                         s = np.concatenate([s[~late], s[late][np.argsort(ranks[at[late]], kind="stable")]])
                 held.append((s[:keep], one))
@@ -378,12 +397,29 @@ def enough_common(n, m):
     return F.ceil((n + m) * NUM / (NUM + DEN)) - F.greatest(rest(n), rest(m))
 
 
+def crowd_members(crowded: DataFrame) -> DataFrame:
+    """set, guest, group: sets that share crowded shingles (shingle, set, label), each block of them against each other."""
+    hubs = crowded.groupBy("shingle").agg(F.min("label").alias("a"))
+    links = crowded.select("shingle", F.col("label").alias("b")).join(hubs, "shingle").where("a <> b").select("a", "b").distinct()
+    clusters = components(links).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+    sets = stored(crowded.select("set", "label").distinct().join(clusters, "label").select("set", "cluster"), "join-clustered")
+    sizes = sets.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TRIE_SETS).cast("int").alias("parts"))
+    own = sets.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = F.xxhash64(F.lit("crowd"), "cluster", F.least("part", "other"), F.greatest("part", "other"))
+    return met.select("set", (F.col("part") > F.col("other")).alias("guest"), group.alias("group"))
+
+
 def second_round(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between components that the first round left apart. ``nodes``: set, n, label, size (sets of the label)."""
     total = nodes.agg(F.sum("n")).first()[0] or 0
     held = stored(prefix_shingles(docs, total), "join-prefixes").join(nodes, "set")
     mixed = held.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
     mine = held.join(mixed, "shingle")
+    crowds = mine.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("shingle").agg(F.count(F.lit(1)).alias("labels"))
+    crowds = stored(crowds.where(F.col("labels") > CROWD), "join-crowds")
+    crowded = stored(mine.join(crowds, "shingle").select("shingle", "set", "label"), "join-crowded")
+    mine = mine.join(crowds, "shingle", "left_anti")
     theirs = mine.groupBy("shingle", F.col("label").alias("into"), F.col("size").alias("into_size")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     # the smaller component comes to the larger one; only sizes that may link meet
     n, least, most = F.col("n"), F.ceil(F.col("n") * NUM / DEN), F.floor(F.col("n") * DEN / NUM)
@@ -402,7 +438,8 @@ def second_round(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     hosts = nodes.select("set", F.col("label").alias("into")).join(hubs, "into").select("set", "into", place("rows").alias("row"), every("columns").alias("column"))
     guests = pairs.select("set", "into").join(hubs, "into").select("set", "into", every("rows").alias("row"), place("columns").alias("column"))
     both = hosts.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
-    members = stored(both.select("set", "guest", F.xxhash64("into", "row", "column").alias("group")), "join-members")
+    both = both.select("set", "guest", F.xxhash64("into", "row", "column").alias("group"))
+    members = stored(both.unionByName(crowd_members(crowded)), "join-members")
     return links_in_groups(members.join(sets_of(docs, members), "set").join(nodes.select("set", "label"), "set"))
 
 

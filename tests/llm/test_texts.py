@@ -214,12 +214,14 @@ def family(r, size, words, edits):
         yield " ".join(copy)
 
 
-def test_join_families_around_the_threshold(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_join_families_around_the_threshold(spark, monkeypatch, crowd):
     r = random.Random(5)
     texts = [t for words in (8, 20, 40, 80) for t in family(r, 60, words, words // 8 + 3)]
     docs = list(enumerate(texts))
     monkeypatch.setattr(trie_join, "TRIE_SETS", 16)
     monkeypatch.setattr(trie_join, "FREQUENT", 4)
+    monkeypatch.setattr(trie_join, "CROWD", crowd)
     got = trie_join.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string"))
     assert sorted(map(tuple, got.collect()), key=repr) == brute_components(docs)
 
