@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from geneweft.llm.registry import stored
 
 #: Width of the error bound in standard deviations of the estimate.
-WIDTH = 1.9
+WIDTH = 2.5
 ROWS, QUERIES, FIRST = 8192, 1024, 64
 
 
