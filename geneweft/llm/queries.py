@@ -33,6 +33,24 @@ FROM sized GROUP BY conv_id
 """
 
 
+JOIN_SQL = r"""
+WITH RECURSIVE texts AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words FROM documents
+), grams AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS gram
+    FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(1, len(words) - 4))) AS i FROM texts WHERE len(words) > 0)
+), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), shared AS MATERIALIZED (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+    SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * common >= 75 * (a.n + b.n - common)
+), reached AS (SELECT doc_id AS x, doc_id AS y FROM sizes UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, coalesce(min(y), d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reached ON x = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def judged(docs: DataFrame, held_out) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -83,7 +101,7 @@ def op6_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-@query("op7_shingle_join")
+@query("op7_shingle_join", JOIN_SQL)
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under shared shingles."""
     return trie_join.jaccard_components(table(spark, sf_dir, "documents"))
