@@ -468,8 +468,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one whose id names it. Rows that repeat it stand once."""
-    named = jaccard_components(docs)
-    keepers = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keeper")).distinct()
-    kept = docs.join(keepers, F.col("doc_id").eqNullSafe(F.col("_keeper")), "left_semi")
+    named = stored(jaccard_components(docs), "join-named")
+    keepers = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keeper")).agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    # few ids repeat, so only their texts are compared; hashing the ids spares a sort of all texts
+    match = F.col("doc_id").eqNullSafe(F.col("_keeper"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = docs.join(keepers.where("_rows = 1").hint("shuffle_hash"), match, "left_semi").select(*columns)
+    again = docs.join(keepers.where("_rows > 1").hint("shuffle_hash"), match, "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(1)))
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(again.withColumn("_nth", nth).where("_nth = 1").select(*columns))
