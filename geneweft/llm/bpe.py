@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 #: Fixed value: the published pre-tokenizer pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 300_000
+CACHE = 200_000
 OUTPUT_BYTES = 1 << 23
 
 
