@@ -397,6 +397,15 @@ def enough_common(n, m):
     return F.ceil((n + m) * NUM / (NUM + DEN)) - F.greatest(rest(n), rest(m))
 
 
+def least_common(n, low, high):
+    """The least of :func:`enough_common` over the sizes from ``low`` to ``high``.
+
+    It rises up to equal sizes. Behind them it falls in steps: d sizes before the end it is less than at the end by at
+    most ceil(3d / 7) - floor(3d / 4), which is 1 for d = 1 and never above 0 for other d.
+    """
+    return F.least(*[enough_common(n, m) for m in (low, F.greatest(low, high - 1), high)])
+
+
 def crowd_members(crowded: DataFrame) -> DataFrame:
     """set, guest, group: sets that share crowded shingles (shingle, set, label), each block of them against each other."""
     hubs = crowded.groupBy("shingle").agg(F.min("label").alias("a"))
@@ -427,8 +436,7 @@ def second_round(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         (F.struct("into_size", "into") > F.struct("size", "label")) & (F.col("high") >= least) & (F.col("low") <= most)
     )
     met = met.groupBy("set", "n", "into", "into_size").agg(F.count(F.lit(1)).alias("common"), F.min("low").alias("low"), F.max("high").alias("high"))
-    # what is needed rises up to equal sizes and falls after them, so the least is at an end of the range
-    wanted = F.least(*[enough_common(n, end) for end in (F.greatest("low", least), F.least("high", most))])
+    wanted = least_common(n, F.greatest("low", least), F.least("high", most))
     pairs = stored(met.where(F.col("common") >= wanted).select("set", "into", "into_size"), "join-pairs")
     parts = lambda size: F.ceil(size / TRIE_SETS).cast("int")
     hubs = pairs.groupBy("into", "into_size").agg(F.count(F.lit(1)).alias("guests"))

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from odd_rows import rows_of_documents
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from geneweft.llm import bpe, fingerprint, secret_scan, trie_join
@@ -226,6 +227,42 @@ def test_join_families_around_the_threshold(spark, monkeypatch, crowd):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_components(docs)
 
 
+def test_join_bound_between_the_ends_of_a_component(spark, monkeypatch):
+    """A set of 100 links, at exactly 0.75, with the 103 of a component of sizes 97, 103 and 104 alone."""
+    monkeypatch.setattr(trie_join, "FREQUENT", 2)
+    hasher = trie_join.WordHasher(trie_join.space_separated())
+
+    def least(text):
+        s = next(iter(trie_join.text_sets([text], hasher)))
+        return int(s[0]), int(trie_join.mix(s ^ trie_join._SEED).min())
+
+    def texts(seed):
+        word = lambda n: [f"{seed}w{r.randrange(10**9)}" for _ in range(n)]
+        r = random.Random(seed)
+        passage = word(91)
+        y = word(16) + passage
+        # the others hold the passage's end, which puts it last in the order
+        return [" ".join(t) for t in (word(13) + passage, y[:-6], y, word(1) + y, *(word(40) + passage[-10:] for _ in range(3)))]
+
+    def apart(seed):
+        """The first round joins the three and leaves the set of 100 alone."""
+        x, *ys = map(least, texts(seed)[:4])
+        return all(x[0] != y[0] and x[1] != y[1] for y in ys) and all(y[0] == ys[1][0] or y[1] == ys[1][1] for y in ys)
+
+    docs = list(enumerate(texts(next(filter(apart, range(2000))))))
+    got = sorted(map(tuple, trie_join.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()), key=repr)
+    assert [row[1] for row in got[:4]] == [100, 97, 103, 104]
+    assert got == brute_components(docs)
+
+
+def test_least_common_is_the_least_of_the_range(spark):
+    sizes = [(n, low, high) for n in (1, 4, 7, 28, 99, 100, 101) for low in range(-(-3 * n // 4), 4 * n // 3 + 1) for high in range(low, 4 * n // 3 + 1)]
+    need = lambda n, m: -(-3 * (n + m) // 7) - -(-3 * max(n, m) // 4) + 1
+    least = trie_join.least_common(*map(F.col, ("n", "low", "high")))
+    for n, low, high, got in spark.createDataFrame(sizes, "n bigint, low bigint, high bigint").select("*", least).collect():
+        assert got == min(need(n, m) for m in range(low, high + 1)), (n, low, high)
+
+
 def test_trie_finds_the_forest_of_all_links():
     r = random.Random(9)
     for _ in range(60):
