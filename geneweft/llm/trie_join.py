@@ -282,7 +282,12 @@ def first_round(sets: DataFrame, docs: DataFrame) -> DataFrame:
         sizes = sets.groupBy(F.col(mine).alias("least")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         # a large group is split by the other order, which keeps similar sets together
         part = F.pmod(F.xxhash64(other), F.ceil(F.col("size") / TRIE_SETS))
-        met = sets.join(sizes, F.col(mine) == F.col("least")).select("set", F.xxhash64(F.lit(mine), "least", part).alias("group"))
+        met = sets.join(sizes, F.col(mine) == F.col("least")).select("set", F.xxhash64(F.lit(mine), "least", part).alias("part"))
+        # what is still large is cut into blocks, different ones in each order, so that the blocks of one overlap those of
+        # the other; what remains apart is left to the second round
+        large = met.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / TRIE_SETS).alias("blocks")).where("blocks > 1")
+        block = F.coalesce(F.pmod(F.xxhash64(F.lit(mine), "set"), F.col("blocks")), F.lit(0))
+        met = met.join(large, "part", "left").select("set", F.xxhash64("part", block).alias("group"))
         groups = met if groups is None else groups.union(met)
     groups = stored(groups, "join-groups")
     return links_in_groups(groups.join(sets_of(docs, groups), "set").withColumn("label", F.col("set")).withColumn("guest", F.lit(False)))

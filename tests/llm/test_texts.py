@@ -255,6 +255,31 @@ def test_join_bound_between_the_ends_of_a_component(spark, monkeypatch):
     assert got == brute_components(docs)
 
 
+def test_first_round_cuts_copies_with_equal_minima(spark, monkeypatch):
+    """300 near copies with both minima in common meet in blocks of about TRIE_SETS sets, and are one component."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+    copies = [" ".join(base + [f"e{i}"]) for i in range(900)]
+    hasher = trie_join.WordHasher(trie_join.space_separated())
+    met = {}
+    for text, s in zip(copies, trie_join.text_sets(copies, hasher)):
+        met.setdefault((s[0], trie_join.mix(s ^ trie_join._SEED).min()), []).append(text)
+    docs = list(enumerate(max(met.values(), key=len)[:300]))
+    assert len(docs) == 300
+    largest = []
+    links = trie_join.links_in_groups
+
+    def noted(members):
+        largest.append(members.groupBy("group").count().agg(F.max("count")).first()[0])
+        return links(members)
+
+    monkeypatch.setattr(trie_join, "TRIE_SETS", 16)
+    monkeypatch.setattr(trie_join, "links_in_groups", noted)
+    got = trie_join.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_components(docs)
+    assert largest[0] <= 3 * 16
+
+
 def test_least_common_is_the_least_of_the_range(spark):
     sizes = [(n, low, high) for n in (1, 4, 7, 28, 99, 100, 101) for low in range(-(-3 * n // 4), 4 * n // 3 + 1) for high in range(low, 4 * n // 3 + 1)]
     need = lambda n, m: -(-3 * (n + m) // 7) - -(-3 * max(n, m) // 4) + 1
