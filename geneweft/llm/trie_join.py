@@ -293,13 +293,36 @@ def first_round(sets: DataFrame, docs: DataFrame) -> DataFrame:
     return links_in_groups(groups.join(sets_of(docs, groups), "set").withColumn("label", F.col("set")).withColumn("guest", F.lit(False)))
 
 
-def dealt(tokens: np.ndarray, buckets: int, **columns: np.ndarray) -> pd.DataFrame:
-    """One row per bucket of the shingles: bucket, and every column packed in bytes."""
-    bucket = (mix(tokens) % np.uint64(buckets)).astype(np.int64)
+def dealt(bucket: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
+    """One row per bucket: bucket, and every column packed in bytes."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     split = lambda x: [part.tobytes() for part in np.split(x[order], cuts[1:])]
-    return pd.DataFrame({"bucket": bucket[order][cuts], "tokens": split(tokens), **{k: split(v) for k, v in columns.items()}})
+    return pd.DataFrame({"bucket": bucket[order][cuts], **{k: split(v) for k, v in columns.items()}})
+
+
+def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(tokens) % np.uint64(buckets)).astype(np.int64)
+
+
+def by_bucket(made: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over the rows that :func:`dealt` made, those of one bucket behind each other in one task."""
+    return made.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, schema)
+
+
+def pieces(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple[int, list[bytes]]]:
+    """(bucket, columns) of sorted rows, joined until the first column has BUCKET * 8 bytes; a large bucket comes in several."""
+    current, held, size = None, [], 0
+    for batch in batches:
+        for bucket, *row in zip(batch["bucket"], *(batch[c] for c in columns)):
+            if held and (bucket != current or size > BUCKET * 8):
+                yield current, [b"".join(c) for c in zip(*held)]
+                held, size = [], 0
+            current = bucket
+            held.append(row)
+            size += len(row[0])
+    if held:
+        yield current, [b"".join(c) for c in zip(*held)]
 
 
 def cut(tokens: np.ndarray) -> np.ndarray:
@@ -308,7 +331,11 @@ def cut(tokens: np.ndarray) -> np.ndarray:
 
 
 def frequent_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cut shingles in order, rank of each: the more frequent, the higher); ``total``: number of shingles of all sets."""
+    """(cut shingles in order, rank of each: the more frequent, the higher); ``total``: number of shingles of all sets.
+
+    Copies and common shingles are counted where they are read, and the counts of a bucket are added up piece by piece, so
+    a task holds the different shingles of a bucket and not their rows.
+    """
     buckets = max(1, math.ceil(total / BUCKET))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,26 +352,68 @@ def frequent_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarr
             yield packed(np.concatenate(held))
 
     def packed(tokens: np.ndarray) -> pd.DataFrame:
-        upper = cut(tokens)
-        return dealt(upper, buckets, upper=upper.view(np.uint8).reshape(-1, 8)[:, 8 - COUNTED_BYTES :])[["bucket", "upper"]]
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        upper = np.frombuffer(b"".join(group["upper"]), dtype=np.uint8).reshape(-1, COUNTED_BYTES)
-        whole = np.zeros((len(upper), 8), dtype=np.uint8)
-        whole[:, 8 - COUNTED_BYTES :] = upper
-        values, counts = np.unique(whole.view(np.uint64).ravel(), return_counts=True)
-        often = counts >= FREQUENT
-        return pd.DataFrame({"shingle": values[often].view(np.int64), "n": counts[often]})
-
-    counted = docs.select("text").mapInPandas(emit, "bucket bigint, upper binary").groupBy("bucket").applyInPandas(count, "shingle bigint, n bigint")
+        values, counts = np.unique(cut(tokens), return_counts=True)
+        upper = values.view(np.uint8).reshape(-1, 8)[:, 8 - COUNTED_BYTES :]
+        return dealt(bucket_of(values, buckets), upper=upper, counts=counts.astype(np.uint32))
+
+    def often(values: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"shingle": values[counts >= FREQUENT].view(np.int64), "n": counts[counts >= FREQUENT]})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        last, (values, counts) = None, none
+        for bucket, (upper, more) in pieces(batches, "upper", "counts"):
+            if bucket != last:
+                yield often(values, counts)
+                last, (values, counts) = bucket, none
+            upper = np.frombuffer(upper, dtype=np.uint8).reshape(-1, COUNTED_BYTES)
+            whole = np.zeros((len(upper), 8), dtype=np.uint8)
+            whole[:, 8 - COUNTED_BYTES :] = upper
+            values, at = np.unique(np.concatenate([values, whole.view(np.uint64).ravel()]), return_inverse=True)
+            more = np.concatenate([counts, np.frombuffer(more, dtype=np.uint32).astype(np.int64)])
+            counts = np.bincount(at, weights=more, minlength=len(values)).astype(np.int64)
+        yield often(values, counts)
+
+    made = docs.select("text").mapInPandas(emit, "bucket bigint, upper binary, counts binary")
+    counted = by_bucket(made, count, "shingle bigint, n bigint")
     top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT_KNOWN).toPandas()
     values = top["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
     by_value = np.argsort(values)
     return values[by_value], (len(values) - by_value).astype(np.int64)
 
 
+class Shared:
+    """The (shingle, set) pairs of a bucket whose shingle is in several sets, piece by piece.
+
+    Of every shingle the first set is held back until another one comes, so what is held is one set per shingle.
+    """
+
+    def __init__(self):
+        self.tokens, self.first = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.told = np.zeros(0, dtype=bool)
+
+    def add(self, tokens: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new, at = np.unique(tokens, return_index=True)
+        fresh = ~np.isin(new, self.tokens, assume_unique=True)
+        every = np.concatenate([self.tokens, new[fresh]])
+        order = np.argsort(every, kind="stable")
+        self.tokens = every[order]
+        self.first = np.concatenate([self.first, ids[at[fresh]]])[order]
+        self.told = np.concatenate([self.told, np.zeros(np.count_nonzero(fresh), dtype=bool)])[order]
+        at = np.searchsorted(self.tokens, tokens)
+        other = ids != self.first[at]
+        several = np.zeros(len(self.tokens), dtype=bool)
+        several[at[other]] = True
+        several &= ~self.told
+        self.told |= several
+        return np.concatenate([self.tokens[several], tokens[other]]), np.concatenate([self.first[several], ids[other]])
+
+
 def prefix_shingles(docs: DataFrame, total: int) -> DataFrame:
-    """shingle, set for every prefix shingle that at least two different sets hold."""
+    """shingle, set for every prefix shingle that at least two different sets hold, and for every frequent one.
+
+    The frequent ones are dealt by set, so that no task gets all sets of a shingle.
+    """
     known = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, total))
     buckets = max(1, math.ceil(total * (DEN - NUM) / DEN / BUCKET))
 
@@ -354,8 +423,10 @@ def prefix_shingles(docs: DataFrame, total: int) -> DataFrame:
         met, held, size = set(), [], 0
 
         def packed() -> pd.DataFrame:
-            ids = np.repeat(np.array([one for _, one in held], dtype=np.int64), [len(s) for s, _ in held])
-            return dealt(np.concatenate([s for s, _ in held]), buckets, sets=ids)
+            tokens, often = (np.concatenate([row[i] for row in held]) for i in (0, 2))
+            ids = np.repeat(np.array([row[1] for row in held], dtype=np.int64), [len(row[0]) for row in held])
+            bucket = np.where(often, buckets + bucket_of(ids.view(np.uint64), buckets), bucket_of(tokens, buckets))
+            return dealt(bucket, tokens=tokens, sets=ids)
 
         for batch in batches:
             for s in text_sets(batch["text"], hasher):
@@ -364,12 +435,14 @@ def prefix_shingles(docs: DataFrame, total: int) -> DataFrame:
                     continue
                 met.add(one)
                 keep = prefix_length(len(s))
+                often = np.zeros(len(s), dtype=bool)
                 if len(values):
                     at = np.minimum(np.searchsorted(values, cut(s)), len(values) - 1)
                     late = values[at] == cut(s)
                     if late.any():
                         s = np.concatenate([s[~late], s[late][np.argsort(ranks[at[late]], kind="stable")]])
-                held.append((s[:keep], one))
+                        often[np.count_nonzero(~late) :] = True
+                held.append((s[:keep], one, often[:keep]))
                 size += keep
                 if size > BUCKET:
                     yield packed()
@@ -377,20 +450,23 @@ def prefix_shingles(docs: DataFrame, total: int) -> DataFrame:
         if held:
             yield packed()
 
-    def shared(group: pd.DataFrame) -> pd.DataFrame:
-        tokens = np.frombuffer(b"".join(group["tokens"]), dtype=np.uint64)
-        ids = np.frombuffer(b"".join(group["sets"]), dtype=np.int64)
-        order = np.lexsort((ids, tokens))
-        tokens, ids = tokens[order], ids[order]
-        new = np.ones(len(tokens), dtype=bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])
-        tokens, ids = tokens[new], ids[new]
-        same = tokens[1:] == tokens[:-1]
-        several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        return pd.DataFrame({"shingle": tokens[several].view(np.int64), "set": ids[several]})
+    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, bucket_pairs = None, None
+        for bucket, (tokens, ids) in pieces(batches, "tokens", "sets"):
+            tokens, ids = np.frombuffer(tokens, dtype=np.uint64), np.frombuffer(ids, dtype=np.int64)
+            order = np.lexsort((ids, tokens))
+            tokens, ids = tokens[order], ids[order]
+            new = np.ones(len(tokens), dtype=bool)
+            new[1:] = (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])
+            tokens, ids = tokens[new], ids[new]
+            if bucket < buckets:
+                if bucket != last:
+                    last, bucket_pairs = bucket, Shared()
+                tokens, ids = bucket_pairs.add(tokens, ids)
+            yield pd.DataFrame({"shingle": tokens.view(np.int64), "set": ids})
 
     made = docs.select("text").mapInPandas(emit, "bucket bigint, tokens binary, sets binary")
-    return made.groupBy("bucket").applyInPandas(shared, "shingle bigint, set bigint")
+    return by_bucket(made, shared, "shingle bigint, set bigint").dropDuplicates(["shingle", "set"])
 
 
 def enough_common(n, m):

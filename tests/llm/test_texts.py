@@ -280,6 +280,45 @@ def test_first_round_cuts_copies_with_equal_minima(spark, monkeypatch):
     assert largest[0] <= 3 * 16
 
 
+def test_shingles_are_counted_before_they_move(spark, monkeypatch):
+    """A line that all rows hold reaches no task row by row, neither to be counted nor with its sets."""
+    r = random.Random(8)
+    line = [f"w{i}" for i in range(30)]
+    texts = [" ".join([f"e{r.randrange(10**6)}" for _ in range(4)] + line) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    read = []
+    frame = type(docs)
+
+    def noted(self, run, schema, **rest):
+        if "bucket" in self.columns and schema.startswith("shingle"):
+            rows = self.collect()
+            sizes = {}
+            for row in rows:
+                sizes[row["bucket"]] = sizes.get(row["bucket"], 0) + len(row[1]) // (8 if "sets" in self.columns else 5)
+            read.append(sizes)
+        return plain(self, run, schema, **rest)
+
+    plain = frame.mapInPandas
+    monkeypatch.setattr(frame, "mapInPandas", noted)
+    monkeypatch.setattr(trie_join, "BUCKET", 1 << 9)
+    total = 30 * 400
+    held = [tuple(row) for row in trie_join.prefix_shingles(docs, total).collect()]
+    assert len(held) == len(set(held)) and len(read) == 2
+    # 12,000 shingles, of which 26 are in all rows
+    assert sum(read[0].values()) < 6000
+    assert max(read[1].values()) < 400
+
+
+def test_shared_shingles_piece_by_piece():
+    r = np.random.default_rng(2)
+    tokens, ids = r.integers(0, 60, 300).astype(np.uint64), r.integers(0, 5, 300)
+    pairs, got = trie_join.Shared(), set()
+    for a in range(0, 300, 7):
+        got |= set(zip(*(x.tolist() for x in pairs.add(tokens[a : a + 7], ids[a : a + 7]))))
+    every = set(zip(tokens.tolist(), ids.tolist()))
+    assert got == {(t, i) for t, i in every if len({j for u, j in every if u == t}) > 1}
+
+
 def test_least_common_is_the_least_of_the_range(spark):
     sizes = [(n, low, high) for n in (1, 4, 7, 28, 99, 100, 101) for low in range(-(-3 * n // 4), 4 * n // 3 + 1) for high in range(low, 4 * n // 3 + 1)]
     need = lambda n, m: -(-3 * (n + m) // 7) - -(-3 * max(n, m) // 4) + 1
