@@ -32,6 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from geneweft.llm.registry import stored
 from geneweft.llm.textblocks import WordHasher, blocks, mix, shingles, space_separated
@@ -348,7 +349,7 @@ def frequent_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarr
                 if size > BUCKET:
                     yield packed(np.concatenate(held))
                     held, size = [], 0
-        if held:
+        if size:
             yield packed(np.concatenate(held))
 
     def packed(tokens: np.ndarray) -> pd.DataFrame:
@@ -532,8 +533,8 @@ def second_round(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return links_in_groups(members.join(sets_of(docs, members), "set").join(nodes.select("set", "label"), "set"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, n, set, label (of the component, null for an empty set) of every row of ``docs`` (doc_id, text)."""
     rows = stored(describe(docs), "join-described")
     sets = rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("least1").alias("least1"), F.first("least2").alias("least2"))
     sets = stored(sets, "join-distinct")
@@ -546,25 +547,47 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     links = near.union(second_round(stored(nodes, "join-nodes"), docs))
     named = rows.select("doc_id", "n", "set").join(components(links).withColumnRenamed("node", "set"), "set", "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "set")).alias("label")
+        "doc_id", "n", "set", F.when(F.col("n") > 0, F.coalesce("label", "set")).alias("label")
     )
-    named = stored(named, "join-labelled")
+    return stored(named, "join-labelled")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    named = labelled(docs)
     smallest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
     return named.join(smallest, "label", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+@F.pandas_udf(LongType())
+def set_of_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The digest of a text's set, null for an empty set."""
+    hasher = WordHasher(space_separated())
+    for batch in texts:
+        yield pd.Series([set_id(s) if len(s) else None for s in text_sets(batch, hasher)], dtype="Int64")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id names it. Rows that repeat it stand once."""
-    named = stored(jaccard_components(docs), "join-named")
-    keepers = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keeper")).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
-    # few ids repeat, so only their texts are compared; hashing the ids spares a sort of all texts
-    match = F.col("doc_id").eqNullSafe(F.col("_keeper"))
+    """``docs`` with one row of each component: of the smallest id, and of its smallest set where the id repeats.
+
+    A row with an empty set is alone. Rows that repeat it stand once.
+    """
+    named = labelled(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set")).alias("first")
+    keepers = named.where("n > 0").groupBy("label").agg(first).select(F.col("first.doc_id").alias("_keeper"), F.col("first.set").alias("_kept"))
+    empty = named.where("n = 0").select(F.col("doc_id").alias("_keeper"), F.lit(None).cast("bigint").alias("_kept")).distinct()
+    keepers = stored(keepers.unionByName(empty), "join-keepers")
+    # an id of one row names it; few ids repeat or are null, and only their texts are hashed to tell the rows apart
+    repeated = stored(named.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "join-repeated")
+    alone = keepers.where("_keeper is not null").join(repeated, F.col("_keeper") == F.col("_id"), "left_anti")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = docs.join(keepers.where("_rows = 1").hint("shuffle_hash"), match, "left_semi").select(*columns)
-    again = docs.join(keepers.where("_rows > 1").hint("shuffle_hash"), match, "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(1)))
+    # hashing the ids spares a sort of all texts
+    once = docs.join(alone.hint("shuffle_hash"), F.col("doc_id") == F.col("_keeper"), "left_semi").select(*columns)
+    again = docs.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(docs.where("doc_id is null")).withColumn("_set", set_of_text("text"))
+    again = again.join(keepers, F.col("doc_id").eqNullSafe(F.col("_keeper")) & F.col("_set").eqNullSafe(F.col("_kept")), "left_semi")
+    # texts of one set may differ in case and spaces; those of empty sets are different documents
+    apart = F.when(F.col("_set").isNull(), F.col("text"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_set", apart).orderBy("text"))
     return once.unionByName(again.withColumn("_nth", nth).where("_nth = 1").select(*columns))

@@ -357,3 +357,17 @@ def test_one_of_each(odd_docs):
     assert kept.columns == odd_docs.columns
     ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
     assert ids == [1, 4, 5, 6, 7, 8, 10, 11, 12, 13, 15, 16, 17, 17]
+
+
+def test_one_of_each_by_row_and_component(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    a, b, c = text("a"), text("b"), text("c")
+    rows = [
+        (1, a), (None, a), (None, a + " x"), (None, b), (None, b + " x"), (None, b.upper()), (None, ""), (None, None),
+        (3, c), (5, c + " x"), (5, text("d")), (5, text("d").upper()), (6, text("d") + " y"), (7, ""), (7, " "),
+    ]
+    kept = [tuple(row) for row in trie_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    named = [(doc, (text or "").lower().split(" ")[0][:1]) for doc, text in kept]
+    assert sorted(named, key=repr) == sorted(
+        [(1, "a"), (None, "b"), (None, ""), (None, ""), (3, "c"), (5, "d"), (7, ""), (7, "")], key=repr
+    )
