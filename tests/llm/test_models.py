@@ -139,6 +139,20 @@ def test_search_odd_rows(spark):
     assert neighbours.search(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_keeps_repeated_ids_and_all_lengths(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS", 3)
+    monkeypatch.setattr(neighbours, "QUERIES", 1)
+    rows = [(0, [1.0, 0.0]), (0, [5.0, 1.0]), (1, [3.0, 0.0]), (1, [2.0, 0.0]), (3, [1.0, 1.0]), (20, [1.0, 1.0, 1.0]), (4, [2.0, 2.0, 2.0]), (40, [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    got = sorted(tuple(r) for r in neighbours.search(vectors, F.col("vec_id") % 20 == 0, 3).collect())
+    want = []
+    for a, (q, x) in enumerate(rows):
+        if q % 20 == 0:
+            near = sorted((-sum(s * t for s, t in zip(x, y)), i) for b, (i, y) in enumerate(rows) if b != a and len(y) == len(x))
+            want += [(q, n + 1, i, -score) for n, (score, i) in enumerate(near[:3])]
+    assert got == sorted(want)
+
+
 def test_search_recall_and_ties(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "ROWS", 300)
     monkeypatch.setattr(neighbours, "QUERIES", 20)
