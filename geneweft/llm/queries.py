@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geneweft.llm import bpe, chat, fingerprint, mixing, neighbours, quality, secret_scan, toxicity, trie_join, url_rules
+from geneweft.llm import (
+    alignment, bpe, chat, conversation_trie, fingerprint, mixing, neighbours, quality, secret_scan, shards, toxicity, trie_join, url_rules,
+)
 from geneweft.llm.labelled import remainder
 from geneweft.llm.registry import QUERIES, SQL, query, table
 
@@ -51,6 +53,44 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reached ON x = d.doc_i
 """
 
 
+TRIE_SQL = r"""
+WITH numbered AS MATERIALIZED (
+    SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), digest) AS p
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+            lambda v, i: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END)::BIGINT))) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM numbered)
+), rebuilt AS (
+    SELECT c.conv_id, p, digest, words FROM convs c JOIN numbered n ON n.conv_id = c.conv_id - c.conv_id % 20 AND p <= h
+    UNION ALL SELECT c.conv_id, p, digest, words FROM convs c JOIN numbered n ON n.conv_id = c.conv_id AND p > h
+), placed AS (
+    SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS depth FROM rebuilt
+), prefixes AS MATERIALIZED (
+    SELECT conv_id, depth, words, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path,
+        count(*) OVER (PARTITION BY conv_id) AS turns FROM placed
+    UNION ALL SELECT conv_id, 0, 0, '', (SELECT count(*) FROM placed p WHERE p.conv_id = c.conv_id) FROM convs c
+), nodes AS MATERIALIZED (
+    SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+        coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE turns = depth), '') AS ends
+    FROM prefixes GROUP BY path, depth
+), family AS (
+    SELECT n.path, count(c.path) AS n_children FROM nodes n LEFT JOIN nodes c ON c.depth = n.depth + 1 AND left(c.path, n.depth * 64) = n.path GROUP BY n.path
+), under AS (
+    SELECT left(path, above * 64) AS path, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+    FROM (SELECT n.path, n_convs, words, n_children, unnest(generate_series(0, depth)) AS above FROM nodes n JOIN family f USING (path))
+    GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+    CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN family USING (path) JOIN under USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = left(n.path, p.depth * 64)
+"""
+
+
 def judged(docs: DataFrame, held_out) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -141,4 +181,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op11_pack_shards")
+def op11_pack_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, bytes, words and rows balanced jointly."""
+    rows = shards.measured(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return shards.shard(rows, 16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document."""
+    files = alignment.read_files(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"), *files)
+
+
 __all__ = ["QUERIES", "SQL"]
