@@ -282,7 +282,7 @@ def spans(df: DataFrame, a_json: str, b_model: bytes) -> DataFrame:
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
 
 
-def blocks(docs: DataFrame, a_json: str, b_model: bytes) -> DataFrame:
+def blocks(docs: DataFrame, a_json: str, b_model: bytes, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Stored rows of two kinds: one per document, and one per block with its distinct pairs and their documents."""
     shared = docs.sparkSession.sparkContext.broadcast((a_json, b_model))
     schema = T._parse_datatype_string(BLOCKS)
@@ -307,7 +307,7 @@ def blocks(docs: DataFrame, a_json: str, b_model: bytes) -> DataFrame:
                 ids.append(doc_id)
                 texts.append(text.as_py())
                 size += len(texts[-1] or "") + 64
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield flush()
                     block, ids, texts, size = block + 1, [], [], 0
         if ids:
@@ -329,9 +329,9 @@ def pair_counts(blocked: DataFrame) -> DataFrame:
     )
 
 
-def alignment_digests(docs: DataFrame, a_json: str, b_model: bytes) -> DataFrame:
+def alignment_digests(docs: DataFrame, a_json: str, b_model: bytes, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
-    blocked = blocks(docs, a_json, b_model)
+    blocked = blocks(docs, a_json, b_model, block_bytes)
     rated = pair_counts(blocked).select("pairs", "documents", "best")
     asked = blocked.where("pairs IS NOT NULL").select(F.col("block").alias("asking"), F.posexplode("pairs").alias("at", "pairs"))
     answers = asked.join(rated, "pairs").select("asking", "at", "documents", "best")

@@ -137,8 +137,8 @@ class Walk:
     A finished node waits for its parent, whose smallest member it names; a child of a skeleton node names that node.
     """
 
-    def __init__(self, known: Skeleton, shard: int):
-        self.known, self.shard, self.rows = known, shard, []
+    def __init__(self, known: Skeleton, shard: int, ends_chars: int):
+        self.known, self.shard, self.ends_chars, self.rows = known, shard, ends_chars, []
         self.last, self.chain, self.open = [], [0], []
         self.parts: dict[int, Node] = {}
         self.ends: dict[int, list[str]] = {}
@@ -199,7 +199,7 @@ class Walk:
             node, text = self.part(self.chain[-1], len(turns)), str(conv_id)
             self.ends.setdefault(self.chain[-1], []).append(text)
             self.size += len(text)
-            if self.size > ENDS_CHARS:
+            if self.size > self.ends_chars:
                 self.flush()
         node.take(conv_id, 1)
 
@@ -212,7 +212,7 @@ class Walk:
         self.parts = {}
 
 
-def walked(pathed: DataFrame, known: Skeleton, shards: int) -> DataFrame:
+def walked(pathed: DataFrame, known: Skeleton, shards: int, ends_chars: int) -> DataFrame:
     """Stored parts of the trie: finished nodes (with a depth), partial aggregates of skeleton nodes, pieces of their ends."""
     shared = pathed.sparkSession.sparkContext.broadcast(known)
 
@@ -225,7 +225,7 @@ def walked(pathed: DataFrame, known: Skeleton, shards: int) -> DataFrame:
         for batch in batches:
             for shard, path, conv_id, words in zip(batch["shard"].tolist(), batch["path"], batch["conv_id"].tolist(), batch["words"]):
                 if walk is None:
-                    walk = Walk(shared.value, shard)
+                    walk = Walk(shared.value, shard, ends_chars)
                 walk.add(path, conv_id, words)
                 if len(walk.rows) >= 5000:
                     yield framed(walk)
@@ -291,13 +291,13 @@ def digested_ends(pieces: DataFrame) -> DataFrame:
     return pieces.repartition(n, "node").sortWithinPartitions("node", "shard", "piece").mapInPandas(run, "node int, ends_sha256 string")
 
 
-def trie(pathed: DataFrame, shards: int | None = None) -> DataFrame:
+def trie(pathed: DataFrame, shards: int | None = None, ends_chars: int = ENDS_CHARS) -> DataFrame:
     """One row per node of the trie over ``pathed`` (conv_id, path, words), see :func:`paths`."""
     spark = pathed.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pathed = stored(pathed, "trie-paths")
     known = skeleton(pathed, shards)
-    parts = walked(pathed, known, shards)
+    parts = walked(pathed, known, shards, ends_chars)
     partial = parts.where("node IS NOT NULL AND ends IS NULL").groupBy("node").agg(
         F.min("conv_id"), F.sum("n_convs"), F.sum("n_children"), F.sum("n_leaves"), F.sum("saved_tokens"), F.max("words")
     )
