@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from geneweft.functions.values import canonical_json, pick_first, pick_present, present
+from geneweft.functions.values import is_filled, members_of, pick_present, present, variant_json, variant_text
 
 # fixed values: synonyms of each promoted field, in order of preference
 FIELD_KEYS = {
@@ -24,6 +24,7 @@ FIELD_KEYS = {
 EQUATION_KEYS = ("equation", "model", "name", "type")
 PARAMETER_KEYS = ("parameters", "params", "parameter", "coefficients")
 WRAPPER_KEYS = ("ucf", "UCF", "data", "entries", "objects", "components")
+# end of fixed values
 
 
 def field(fields: Column, name: str) -> Column:
@@ -56,21 +57,21 @@ def component_role(collection: Column) -> Column:
 
 
 def response_function(value: Column) -> Column:
-    """Struct of equation, parameters and raw from a response given as JSON or as plain text.
+    """Struct of equation (text), parameters and raw (JSON) from a response given as a variant.
 
     An object yields its equation and parameters, or itself as raw when it has neither;
-    anything else is kept as raw.
+    anything else is kept as raw, a text with its quotes.
     """
-    as_map = F.when(value.startswith("{"), F.from_json(value, "map<string,string>"))
-    equation = pick_first(as_map, *EQUATION_KEYS)
-    parameters = canonical_json(pick_first(as_map, *PARAMETER_KEYS))
+    members = F.map_filter(members_of(value), lambda _, v: is_filled(v))
+    equation = variant_text(pick_present(members, *EQUATION_KEYS))
+    parameters = variant_json(pick_present(members, *PARAMETER_KEYS))
     parsed = equation.isNotNull() | parameters.isNotNull()
     return F.when(
-        value.isNotNull(),
+        is_filled(value),
         F.struct(
             equation.alias("equation"),
             parameters.alias("parameters"),
-            F.when(~parsed, canonical_json(value)).alias("raw"),
+            F.when(~parsed, variant_json(value)).alias("raw"),
         ),
     )
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,6 +54,57 @@ def is_json(text: Column) -> Column:
     return F.coalesce(in_list & in_object & (F.trim(text) != ""), F.lit(False))
 
 
+@contextmanager
+def last_key_wins(spark: SparkSession) -> Iterator[None]:
+    """JSON read by frames that are built inside takes the last of an object's equal keys instead of being refused."""
+    key = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def json_variant(text: Column) -> Column:
+    """Variant of text that is one whole JSON value, else null; ``NaN`` and the infinities count as numbers."""
+
+    def read(t: Column) -> Column:
+        return F.coalesce(F.try_parse_json(t), F.from_json(t, "variant", {"allowNonNumericNumbers": "true"}))
+
+    in_list, in_object = read(F.concat(F.lit("["), text, F.lit("]"))), read(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when((F.trim(text) != "") & in_list.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
+
+
+def members_of(value: Column) -> Column:
+    """The members of a variant object, null for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def elements_of(value: Column) -> Column:
+    """The elements of a variant array, null for anything else."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def variant_text(value: Column) -> Column:
+    """A variant string as it is, anything else as JSON."""
+    return F.try_variant_get(value, "$", "string")
+
+
+def variant_json(value: Column) -> Column:
+    """JSON of a variant, keys sorted; strings keep their quotes, a number that is not finite is written without any."""
+    number = F.try_variant_get(value, "$", "double")
+    odd = (F.schema_of_variant(value) == "DOUBLE") & (F.isnan(number) | (F.abs(number) == float("inf")))
+    return F.when(odd, variant_text(value)).otherwise(F.to_json(value))
+
+
+def is_filled(value: Column) -> Column:
+    """Whether a variant stands for something: not null, empty text, ``[]`` or ``{}``; ``0`` and ``false`` do."""
+    size = F.coalesce(F.size(elements_of(value)), F.size(members_of(value)))
+    filled = F.when(size.isNotNull(), size > 0).otherwise(variant_text(value) != "")
+    return F.coalesce(value.isNotNull() & ~F.is_variant_null(value) & filled, F.lit(False))
+
+
 def canonical_json(text: Column) -> Column:
     """JSON with the keys of every object sorted; text that is not JSON is returned unchanged."""
     return F.coalesce(F.to_json(F.try_parse_json(text)), text)

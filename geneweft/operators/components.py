@@ -7,64 +7,70 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geneweft.config import COMPONENT_TEXT
-from geneweft.functions.components import (
-    FIELD_KEYS,
-    WRAPPER_KEYS,
-    component_role,
-    field,
-    response_function,
+from geneweft.functions.components import FIELD_KEYS, WRAPPER_KEYS, component_role, field, response_function
+from geneweft.functions.values import (
+    canonical_json,
+    content_id,
+    elements_of,
+    is_filled,
+    json_variant,
+    last_key_wins,
+    members_of,
+    nullif_empty,
+    pick_first_of,
+    variant_json,
+    variant_text,
 )
-from geneweft.functions.values import canonical_json, content_id, is_json, nullif_empty, pick_first_of, pick_present, present
-
-ITEM = "map<string,string>"
 
 
 def parse_components(files: DataFrame, text: str = "content") -> tuple[DataFrame, DataFrame]:
     """Component records out of JSON texts, and the texts that are not usable.
 
     A list gives its objects. An object gives the list under the first wrapper key that is not
-    empty, otherwise all its values with lists flattened one level. Anything that is not an
-    object is dropped. Other top levels and broken JSON go to the second result.
+    empty, otherwise all its values with lists flattened one level. Values keep their JSON types, so a
+    string that looks like an object is no component. Of equal keys of an object the last wins, at
+    the place of the first; ``NaN`` and the infinities are numbers, and in an object that holds one the
+    members go by key. A text with both oddities, other top levels and broken JSON go to the second result.
     """
     body = F.trim(F.regexp_replace(F.col(text), "^﻿", ""), F.lit(" \n\r\t"))
-    shaped = files.withColumn("_body", body).withColumn(
-        "_usable", is_json(F.col("_body")) & F.substring("_body", 1, 1).isin("[", "{")
-    )
-    broken = shaped.where(~F.col("_usable")).drop("_body", "_usable")
-
-    shaped = shaped.withColumn("_members", F.from_json("_body", ITEM)).withColumn(
-        "_wrapped", pick_present(present(F.col("_members")), *WRAPPER_KEYS)
-    )
-    wrapped, values = F.col("_wrapped"), F.map_values("_members")
-    flattened = F.flatten(
-        F.transform(
-            F.filter(values, lambda v: v.isNotNull()),
-            lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v)),
-        )
-    )
-    items = (
-        F.when(F.col("_body").startswith("["), F.from_json("_body", "array<string>"))
-        .when(wrapped.startswith("["), F.from_json(wrapped, "array<string>"))
-        .otherwise(flattened)
-    )
+    with last_key_wins(files.sparkSession):
+        shaped = files.withColumn("_body", body).withColumn("_value", json_variant(F.col("_body")))
+    shaped = shaped.withColumns({"_members": members_of(F.col("_value")), "_elements": elements_of(F.col("_value"))})
+    usable = F.col("_members").isNotNull() | F.col("_elements").isNotNull()
+    broken = shaped.where(~usable).drop("_body", "_value", "_members", "_elements")
+
+    members = F.col("_members")
+    wrapped = F.coalesce(*[F.when(is_filled(m), m) for m in (F.try_element_at(members, F.lit(k)) for k in WRAPPER_KEYS)])
+    in_order = F.coalesce(F.array_distinct(F.json_object_keys("_body")), F.map_keys(members))
+    values = F.transform(in_order, lambda k: F.try_element_at(members, k))
+    flattened = F.flatten(F.transform(values, lambda v: F.coalesce(elements_of(v), F.array(v))))
+    items = F.coalesce(F.col("_elements"), elements_of(wrapped), flattened)
     # texts that are not usable explode to nothing, so no filter is pushed below the parsing
-    items = F.when(F.col("_usable"), items)
-    records = shaped.select(*files.drop(text).columns, F.posexplode(items).alias("pos", "raw"))
-    return promote_fields(records.where(F.col("raw").startswith("{"))), broken
+    items = F.when(usable, items)
+    records = shaped.select(*files.drop(text).columns, F.posexplode(items).alias("pos", "_item"))
+    return promote_fields(records), broken
 
 
 def promote_fields(records: DataFrame) -> DataFrame:
-    """Typed component columns from the JSON text in ``raw``."""
-    fields = present(F.from_json("raw", ITEM))
+    """Component columns from the variant objects in ``_item``, and ``raw``, their JSON; anything but objects is dropped.
+
+    Labels are texts; toxicity, burden and the parts of the response are JSON. An entry whose name is an object
+    cannot be described and is ``malformed``.
+    """
+    fields = F.map_filter(members_of(F.col("_item")), lambda _, v: is_filled(v))
     direct = ("name", "organism", "gate_type", "gate_family", "sensor_type", "output_type", "description")
+    held = F.col("_fields")
     return (
         records.withColumn("_fields", fields)
-        .withColumns({n: field(F.col("_fields"), n) for n in direct})
-        .withColumn("collection", F.coalesce(F.trim(field(F.col("_fields"), "collection")), F.lit("")))
-        .withColumn("response", response_function(field(F.col("_fields"), "response")))
-        .withColumn("toxicity", canonical_json(field(F.col("_fields"), "toxicity")))
-        .withColumn("metabolic_burden", canonical_json(field(F.col("_fields"), "metabolic_burden")))
-        .drop("_fields")
+        .where(held.isNotNull())
+        .withColumns({n: variant_text(field(held, n)) for n in direct})
+        .withColumn("collection", F.coalesce(F.trim(variant_text(field(held, "collection"))), F.lit("")))
+        .withColumn("response", response_function(field(held, "response")))
+        .withColumn("toxicity", variant_json(field(held, "toxicity")))
+        .withColumn("metabolic_burden", variant_json(field(held, "metabolic_burden")))
+        .withColumn("malformed", members_of(field(held, "name")).isNotNull())
+        .withColumn("raw", F.to_json("_item"))
+        .drop("_fields", "_item")
     )
 
 
@@ -73,11 +79,17 @@ def with_all_fields(df: DataFrame) -> DataFrame:
     missing = {n: F.lit(None).cast("string") for n in FIELD_KEYS if n not in df.columns and n != "response"}
     if "response" not in df.columns:
         missing["response"] = F.lit(None).cast("struct<equation:string,parameters:string,raw:string>")
+    if "malformed" not in df.columns:
+        missing["malformed"] = F.lit(False)
     return df.withColumns(missing) if missing else df
 
 
 def describe(df: DataFrame, labels: dict[str, str] = COMPONENT_TEXT) -> DataFrame:
-    """Add ``role`` and ``document``, the description of a component; missing pieces vanish."""
+    """Add ``role`` and ``document``, the description of a component; missing pieces vanish.
+
+    Toxicity, burden and the parts of the response are JSON texts and stand as they are, so a text keeps its
+    quotes. A malformed entry has no document.
+    """
     df = with_all_fields(df)
     kept = df.columns
 
@@ -109,7 +121,8 @@ def describe(df: DataFrame, labels: dict[str, str] = COMPONENT_TEXT) -> DataFram
     response = F.col("response")
     other = F.coalesce(
         response["raw"],
-        F.to_json(F.struct(response["equation"].alias("equation"), response["parameters"].alias("parameters"))),
+        F.to_json(F.when(response["equation"].isNotNull(), F.struct(response["equation"].alias("equation")))),
+        F.concat(F.lit('{"parameters":'), response["parameters"], F.lit("}")),
     )
     both = response["equation"].isNotNull() & response["parameters"].isNotNull()
     document = F.concat_ws(
@@ -124,11 +137,11 @@ def describe(df: DataFrame, labels: dict[str, str] = COMPONENT_TEXT) -> DataFram
         F.when(F.col("_toxicity").isNotNull(), fill("toxicity", F.col("_toxicity"))),
         F.when(F.col("_metabolic_burden").isNotNull(), fill("burden", F.col("_metabolic_burden"))),
     )
-    return prepared.withColumn("document", document).select(*kept, "role", "document")
+    return prepared.withColumn("document", F.when(~F.col("malformed"), document)).select(*kept, "role", "document")
 
 
 def select_components(df: DataFrame, labels: dict[str, str] = COMPONENT_TEXT) -> DataFrame:
-    """Sensors, gates and output devices with their documents; an entry that cannot be described keeps its raw text."""
+    """Sensors, gates and output devices with their documents; a malformed entry shows its raw fields instead."""
     described = describe(df, labels).where(F.col("role") != "component")
     raw = F.col("raw") if "raw" in df.columns else F.lit("")
     fallback = F.format_string(

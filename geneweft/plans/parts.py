@@ -43,7 +43,7 @@ def component_files(spark, sf):
     select p_partkey, p_name as name, collection, case when p_size % 2 = 0 then p_brand end as gate_type, 'E. coli' as organism,
       cast(p_size as varchar) as toxicity, '0' as metabolic_burden, case kind when 'full' then 'hill' end as equation,
       case kind when 'full' then '{{"K":' || p_size || ',"n":2}}' end as parameters,
-      case kind when 'other' then '{{"K":' || p_size || ',"z":1}}' when 'plain' then 'linear' end as raw_response,
+      case kind when 'other' then '{{"K":' || p_size || ',"z":1}}' when 'plain' then '"linear"' end as raw_response,
       {V.ROLE_SQL} as role from s""",
 )
 def _read(spark, sf):
@@ -136,15 +136,15 @@ def _role(spark, sf):
     f"""with s as (select *, {RESPONSE_KIND} as kind from part)
     select p_partkey, case kind when 'full' then 'hill' end as equation,
       case kind when 'full' then '{{"K":' || p_size || ',"n":2}}' end as parameters,
-      case kind when 'other' then '{{"K":' || p_size || '}}' when 'plain' then p_type end as raw from s""",
+      case kind when 'other' then '{{"K":' || p_size || '}}' when 'plain' then '"' || p_type || '"' end as raw from s""",
 )
 def _response(spark, sf):
     rows = table(spark, sf, "part").withColumn("kind", F.expr(RESPONSE_KIND))
-    value = (
+    text = (
         F.when(F.col("kind") == "full", F.expr("""concat('{"equation": "hill", "coefficients": {"n": 2, "K": ', p_size, '}}')"""))
         .when(F.col("kind") == "other", F.expr("""concat('{"K": ', p_size, '}')"""))
-        .when(F.col("kind") == "plain", F.col("p_type"))
     )
+    value = F.when(F.col("kind") == "plain", F.col("p_type").cast("variant")).otherwise(F.parse_json(text))
     return rows.select("p_partkey", C.response_function(value).alias("r")).select("p_partkey", "r.*")
 
 
@@ -208,6 +208,40 @@ def _select(spark, sf):
     return O.select_components(described(spark, sf)).select("comp_id", "role", "document")
 
 
+ODD_FILES = """case p_partkey % 6
+  when 0 then concat('["{\\\\"collection\\\\":\\\\"gates\\\\",\\\\"name\\\\":\\\\"ghost\\\\"}", {"collection":"gates","name":"', p_name, '","toxicity":1}]')
+  when 1 then concat('{"z":{"collection":"gates","name":"', p_name, '","toxicity":"high"},"a":"text"}')
+  when 2 then concat('{"ucf":[{"collection":"input_sensors","name":"first","name":"', p_name, '","toxicity":2,"toxicity":', p_size, '}]}')
+  when 3 then concat('[{"collection":"output_devices","name":"', p_name, '","toxicity":NaN}]')
+  when 4 then concat('[{"collection":"gates","name":{"en":"', p_name, '"},"toxicity":[]}]')
+  else concat('[{"collection":"gates","name":"', p_name, '","response":"linear","burden":{"b":1,"a":[]}}]') end"""
+
+
+def _odd_sql():
+    body = lambda collection, role, function, *more: " || ' ' || ".join((
+        _fill("name", "p_name"), _fill("type", f"'{collection}'", f"'{L['role_' + role]}'"),
+        _fill("function", f"'{L[function]}'", f"'{L['unspecified_host']}'"), *more,
+    ))
+    raw = """'{"collection":"gates","name":{"en":"' || p_name || '"},"toxicity":[]}'"""
+    return f"""select p_partkey, case p_partkey % 6 when 2 then 'sensor' when 3 then 'output' else 'gate' end as role, document,
+      'part_' || substr(sha256(document), 1, 16) as part_id from (select p_partkey, case p_partkey % 6
+      when 0 then {body("gates", "gate", "gate", _fill("toxicity", "'1'"))}
+      when 1 then {body("gates", "gate", "gate", _fill("toxicity", "'" + chr(34) + "high" + chr(34) + "'"))}
+      when 2 then {body("input_sensors", "sensor", "sensor", _fill("toxicity", "p_size"))}
+      when 3 then {body("output_devices", "output", "output", _fill("toxicity", "'NaN'"))}
+      when 4 then {_fill("failed", '\'{"en":"\' || p_name || \'"}\'', "'gates'", raw)}
+      else {body("gates", "gate", "gate", _fill("response_other", "'" + chr(34) + "linear" + chr(34) + "'"), _fill("burden", "'" + '{"a":[],"b":1}' + "'"))}
+      end as document from part)"""
+
+
+@query("odd_components", _odd_sql())
+def _odd(spark, sf):
+    """Strings that look like components, text toxicity, equal keys, NaN and a name that is no text."""
+    files = table(spark, sf, "part").select("p_partkey", F.expr(ODD_FILES).alias("content"))
+    selected = O.with_ids(O.select_components(O.parse_components(files)[0]))
+    return selected.select("p_partkey", "role", "document", "part_id")
+
+
 ID_SQL = "'part_' || substr(sha256(text), 1, 16)"
 
 

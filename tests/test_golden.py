@@ -481,6 +481,28 @@ def test_component_shapes(spark):
     assert got[("bom", "0", "gate")].organism is None
 
 
+def test_component_values_keep_their_types(spark):
+    files = rows(spark, [
+        ("string", '["{\\"collection\\":\\"gates\\",\\"name\\":\\"ghost\\"}", [{"collection":"gates","name":"nested"}]]'),
+        ("order", '{"z":[{"collection":"gate","name":"first"}],"a":{"collection":"gate","name":"second"},"z2":"{}"}'),
+        ("equal", '{"a":{"collection":"gate","name":"old","name":"new","toxicity":"high"},"a":{"collection":"gate","name":"last"}}'),
+        ("nan", '{"b":{"collection":"gate","name":"n","toxicity":NaN},"a":{"collection":"gate","name":"i","burden":-Infinity}}'),
+        ("named", '[{"collection":"gate","name":{"x":1},"response":{"model":"hill"}}]'),
+        ("params", '[{"collection":"gate","name":"p","response":{"params":{"n":2}},"tox":"0.2","burden":false}]'),
+        ("tail", '[{"collection":"gate","name":"p"}] x'), ("none", None), ("empty", " "),
+    ], "path string, content string")
+    records, broken = C.parse_components(files)
+    got = {(r.path, r.pos): r for r in C.select_components(records).collect()}
+    assert {k: r.name for k, r in got.items()} == {
+        ("order", 0): "first", ("order", 1): "second", ("equal", 0): "last", ("nan", 0): "i", ("nan", 1): "n", ("named", 0): '{"x":1}', ("params", 0): "p",
+    }
+    assert "毒性：NaN。" in got["nan", 1].document and "代謝負擔：-Infinity。" in got["nan", 0].document
+    assert got["named", 0].document.endswith('{"collection":"gate","name":{"x":1},"response":{"model":"hill"}}')
+    assert '反應函數：{"parameters":{"n":2}}。 毒性："0.2"。 代謝負擔：false。' in got["params", 0].document
+    assert {r.path for r in broken.collect()} == {"tail", "none", "empty"}
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
 def test_content_id(spark):
     assert one(spark, V.content_id(F.lit("abc"))) == "part_ba7816bf8f01cfea"
     docs = rows(spark, [("a",), ("a",), (" ",), ("b",)], "document string")
