@@ -47,30 +47,30 @@ def parse_components(files: DataFrame, text: str = "content") -> tuple[DataFrame
     items = F.coalesce(F.col("_elements"), elements_of(wrapped), flattened)
     # texts that are not usable explode to nothing, so no filter is pushed below the parsing
     items = F.when(usable, items)
-    records = shaped.select(*files.drop(text).columns, F.posexplode(items).alias("pos", "_item"))
+    # objects and their filled members come out of the generator together: nothing above it repeats this work
+    objects = F.transform(items, lambda v: F.struct(v.alias("item"), F.map_filter(members_of(v), lambda _, m: is_filled(m)).alias("fields")))
+    records = shaped.select(*files.drop(text).columns, F.posexplode(objects).alias("pos", "_object"))
     return promote_fields(records), broken
 
 
 def promote_fields(records: DataFrame) -> DataFrame:
-    """Component columns from the variant objects in ``_item``, and ``raw``, their JSON; anything but objects is dropped.
+    """Component columns from ``_object`` (item, fields), and ``raw``, the item's JSON; anything but objects is dropped.
 
     Labels are texts; toxicity, burden and the parts of the response are JSON. An entry whose name is an object
     cannot be described and is ``malformed``.
     """
-    fields = F.map_filter(members_of(F.col("_item")), lambda _, v: is_filled(v))
-    direct = ("name", "organism", "gate_type", "gate_family", "sensor_type", "output_type", "description")
-    held = F.col("_fields")
+    labels = ("name", "organism", "gate_type", "gate_family", "sensor_type", "output_type", "description")
+    fields = F.col("_object")["fields"]
+    # every field is a column of its own before it is used, so that no lookup is repeated
+    picked = records.where(fields.isNotNull()).withColumns({f"_{n}": field(fields, n) for n in FIELD_KEYS})
     return (
-        records.withColumn("_fields", fields)
-        .where(held.isNotNull())
-        .withColumns({n: variant_text(field(held, n)) for n in direct})
-        .withColumn("collection", F.coalesce(F.trim(variant_text(field(held, "collection"))), F.lit("")))
-        .withColumn("response", response_function(field(held, "response")))
-        .withColumn("toxicity", variant_json(field(held, "toxicity")))
-        .withColumn("metabolic_burden", variant_json(field(held, "metabolic_burden")))
-        .withColumn("malformed", members_of(field(held, "name")).isNotNull())
-        .withColumn("raw", F.to_json("_item"))
-        .drop("_fields", "_item")
+        picked.withColumns({n: variant_text(F.col(f"_{n}")) for n in labels})
+        .withColumn("collection", F.coalesce(F.trim(variant_text(F.col("_collection"))), F.lit("")))
+        .withColumn("response", response_function(F.col("_response")))
+        .withColumns({n: variant_json(F.col(f"_{n}")) for n in ("toxicity", "metabolic_burden")})
+        .withColumn("malformed", members_of(F.col("_name")).isNotNull())
+        .withColumn("raw", F.to_json(F.col("_object")["item"]))
+        .drop("_object", *[f"_{n}" for n in FIELD_KEYS])
     )
 
 
@@ -147,7 +147,8 @@ def select_components(df: DataFrame, labels: dict[str, str] = COMPONENT_TEXT) ->
     fallback = F.format_string(
         labels["failed"], F.coalesce(F.col("name"), F.lit(labels["unnamed"])), F.col("collection"), canonical_json(raw)
     )
-    return described.withColumn("document", F.coalesce("document", fallback))
+    # out of a generator, so that later filters on the document do not build it a second time
+    return described.withColumn("document", F.explode(F.array(F.coalesce("document", fallback))))
 
 
 def component_documents(df: DataFrame) -> DataFrame:
