@@ -5,26 +5,28 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geneweft.config import COMPONENT_WORDS
 from geneweft.functions.values import contains_any
 from geneweft.operators.components import missing_documents, with_ids
+from geneweft.session import stored
 
 BLANK = " \n\r\t"
 WORD = re.compile(r"\S+", re.ASCII)
 RESULT = "query_id string, part_id string, distance double"
 # Distances are compared at this resolution; ties go to the smaller id.
 DECIMALS = 9
-# Query sets up to this many rows travel to every task; larger ones are joined block by block.
-BROADCAST_QUERIES = 4096
 # Largest side of one block pair.
 BLOCK_ROWS = 4096
+# Bounds of the pivots, which the driver holds and every task gets.
+CELLS, PIVOT_NUMBERS = 4096, 1 << 22
 
 
 # --- embedding ---------------------------------------------------------------------------
@@ -124,24 +126,143 @@ def _rank(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scan(queries: list, index: DataFrame, k: int, metric: str) -> DataFrame:
-    """Every task holds all queries and keeps the k best of each batch of index rows; the index never moves."""
-    qids = np.array([r["query_id"] for r in queries], dtype=object)
-    matrix = np.array([r["embedding"] for r in queries], dtype=np.float64)
-    shared = index.sparkSession.sparkContext.broadcast((qids, matrix))
+@dataclass(frozen=True)
+class CellIndex:
+    """Index rows clustered by cell, and the cells.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, vectors = shared.value
-        best = None
+    rows: (cell, block, part_id, embedding), a block holding about :data:`BLOCK_ROWS` rows; cells: (cell, pivot,
+    radius, n, blocks), at most :data:`CELLS` rows. A row's cell is that of the nearest pivot, and the radius is
+    the largest distance of a row from its pivot, both in the space in which the metric is a length.
+    """
+
+    rows: DataFrame
+    cells: DataFrame
+    metric: str
+
+    def write(self, path: str) -> None:
+        self.rows.write.parquet(f"{path}/rows")
+        self.cells.withColumn("metric", F.lit(self.metric)).write.parquet(f"{path}/cells")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> CellIndex:
+        cells = spark.read.parquet(f"{path}/cells")
+        found = cells.select("metric").limit(1).collect()
+        return cls(spark.read.parquet(f"{path}/rows"), cells.drop("metric"), found[0]["metric"] if found else "l2sq")
+
+
+def _placed(vectors: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors where the metric is a length: as they are, or of length one for the cosine; zero stays zero."""
+    if metric == "l2sq":
+        return vectors
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``a`` from all rows of ``b``."""
+    squares = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2.0 * (a @ b.T)
+    return np.sqrt(np.maximum(squares, 0.0))
+
+
+def cell_index(index: DataFrame, metric: str = "l2sq", cells: int | None = None) -> CellIndex:
+    """Cluster (part_id, embedding) by cells around pivots that a hash of the id draws from the rows.
+
+    Without ``cells`` there are about as many cells as rows in a cell, at most :data:`CELLS` and
+    :data:`PIVOT_NUMBERS` numbers in all pivots together; only the pivots pass through the driver. Under the cosine, zero
+    vectors have a cell of their own. Rows without a vector are left out.
+    """
+    if metric not in ("l2sq", "cosine"):
+        raise ValueError(f"unknown metric {metric!r}")
+    rows = index.select(F.col("part_id").cast("string").alias("part_id"), "embedding").where("embedding is not null")
+    size, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    wanted = min(cells or max(1, int(size**0.5)), CELLS, max(1, PIVOT_NUMBERS // (dim or 1)))
+    drawn = rows.select("embedding").orderBy(F.xxhash64("part_id"), "part_id").limit(wanted).collect()
+    pivots = _placed(np.array([r["embedding"] for r in drawn], dtype=np.float64).reshape(len(drawn), dim or 0), metric)
+    shared = index.sparkSession.sparkContext.broadcast(pivots)
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if len(frame):
-                found = _nearest(names, vectors, frame["part_id"].to_numpy(), _matrix(frame["embedding"]), k, metric)
-                best = found if best is None else pd.concat([best, found])
-                best = best.sort_values(["query_id", "distance", "part_id"]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
+            for start in range(0, len(frame), BLOCK_ROWS):
+                part = frame.iloc[start : start + BLOCK_ROWS]
+                vectors = _placed(_matrix(part["embedding"]), metric)
+                far = _lengths(vectors, shared.value)
+                cell = far.argmin(axis=1)
+                away = np.linalg.norm(vectors - shared.value[cell], axis=1)
+                if metric == "cosine":
+                    zero = ~vectors.any(axis=1)
+                    cell, away = np.where(zero, -1, cell), np.where(zero, 0.0, away)
+                yield part.assign(cell=cell.astype(np.int32), away=away)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
+    assigned = stored(rows.mapInPandas(assign, schema), "assigned")
+    sizes = stored(assigned.groupBy("cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n")), "cell-sizes")
+    at = index.sparkSession.createDataFrame(
+        [(-1, [0.0] * (dim or 0)), *((c, p.tolist()) for c, p in enumerate(pivots))], "cell int, pivot array<double>"
+    )
+    # at most CELLS rows and one on the right
+    known = sizes.join(F.broadcast(at), "cell").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    block = F.pmod(F.xxhash64("part_id"), F.col("blocks").cast("long")).cast("int")
+    clustered = assigned.drop("away").join(F.broadcast(known.select("cell", "blocks")), "cell").withColumn("block", block)
+    clustered = clustered.select("cell", "block", "part_id", "embedding").repartitionByRange("cell", "block").sortWithinPartitions("cell", "block")
+    return CellIndex(stored(clustered, "cells"), known.select("cell", "pivot", "radius", "n", "blocks"), metric)
+
 
-    return index.mapInPandas(run, RESULT)
+def _visits(queries: DataFrame, index: CellIndex, k: int, reach: bool) -> DataFrame:
+    """(query_id, embedding, cell) of the cells to be read for every query.
+
+    First the nearest cells that hold k rows together; then, with ``reach`` (the query's k-th distance so far, infinite
+    where it has fewer), the others that the triangle inequality does not rule out.
+    """
+    metric = index.metric
+    cells = index.cells.orderBy("cell").collect()  # at most CELLS rows and one
+    pivots = np.array([r["pivot"] for r in cells], dtype=np.float64)
+    numbers, radius, n = np.array([r["cell"] for r in cells]), np.array([r["radius"] for r in cells]), np.array([r["n"] for r in cells])
+    shared = queries.sparkSession.sparkContext.broadcast((pivots, numbers, radius, n))
+
+    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, numbers, radius, n = shared.value
+        for frame in frames:
+            for start in range(0, len(frame), 256):
+                part = frame.iloc[start : start + 256]
+                vectors = _placed(_matrix(part["embedding"]), metric)
+                far = _lengths(vectors, pivots)
+                order = far.argsort(axis=1, kind="stable")
+                before = np.cumsum(n[order], axis=1) - n[order]
+                first = np.zeros(far.shape, dtype=bool)
+                np.put_along_axis(first, order, before < k, axis=1)
+                chosen = first
+                if reach:
+                    # the squared length is the metric, or twice the cosine distance; the margin covers rounding
+                    bound = part["reach"].to_numpy(dtype=np.float64) * (1 if metric == "l2sq" else 2)
+                    nearest = far - radius[None, :]
+                    chosen = ~first & (nearest * (1 - 1e-6) - 1e-6 <= np.sqrt(bound)[:, None])
+                    if metric == "cosine":
+                        chosen |= ~first & ((numbers == -1)[None, :] | ~vectors.any(axis=1)[:, None])
+                rows, cols = np.nonzero(chosen)
+                yield pd.DataFrame({
+                    "query_id": part["query_id"].to_numpy()[rows], "embedding": part["embedding"].to_numpy()[rows], "cell": numbers[cols].astype(np.int32),
+                })
+
+    return queries.mapInPandas(visit, "query_id string, embedding array<double>, cell int")
+
+
+def _meet(visits: DataFrame, index: CellIndex, k: int, n_q: int) -> DataFrame:
+    """The k best of every (query, block of a visited cell); blocks go only where a query asks for them."""
+    blocks = F.broadcast(index.cells.select("cell", "blocks"))
+    left = visits.join(blocks, "cell").select(
+        "query_id", "embedding", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("part"),
+    )
+    asked_for = left.select("cell", "block", F.col("part").alias("asking")).distinct()
+    right = index.rows.join(asked_for, ["cell", "block"])
+    metric = index.metric
+
+    def pair(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": [], "part_id": [], "distance": []})
+        return _nearest(q["query_id"].to_numpy(), _matrix(q["embedding"]), v["part_id"].to_numpy(), _matrix(v["embedding"]), k, metric)
+
+    return left.groupBy("cell", "block", "part").cogroup(right.groupBy("cell", "block", "asking")).applyInPandas(pair, RESULT)
 
 
 def _block_pairs(queries: DataFrame, index: DataFrame, k: int, metric: str, n_q: int, n_i: int) -> DataFrame:
@@ -161,47 +282,62 @@ def _block_pairs(queries: DataFrame, index: DataFrame, k: int, metric: str, n_q:
     return left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(pair, RESULT)
 
 
-def _keyed(queries: DataFrame) -> DataFrame:
-    return queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding").where("embedding is not null")
-
-
-def few_queries(queries: DataFrame, limit: int = BROADCAST_QUERIES) -> list | None:
-    """The queries themselves if there are at most ``limit`` of them, else None; never reads more than one over."""
-    found = _keyed(queries).limit(limit + 1).collect()
-    return found if len(found) <= limit else None
+def _keyed(df: DataFrame, key: str) -> DataFrame:
+    return df.select(F.col(key).cast("string").alias(key), "embedding").where("embedding is not null")
 
 
 def knn_join(
-    queries: DataFrame,
-    index: DataFrame,
-    k: int = 5,
-    metric: str = "l2sq",
-    broadcast_queries: int = BROADCAST_QUERIES,
-    block_rows: int = BLOCK_ROWS,
-    few: list | None = None,
+    queries: DataFrame, index: DataFrame | CellIndex, k: int = 5, metric: str = "l2sq", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """The k nearest index rows of every query, exact: (query_id, part_id, distance, rank).
 
-    queries: (query_id, embedding); index: (part_id, embedding). Up to ``broadcast_queries``
-    queries are sent to all tasks and the index is only scanned. More queries are joined in
-    blocks of bounded size. Either way a task returns no more than k rows per query. ``few`` is
-    the outcome of :func:`few_queries` where it is already known.
+    queries: (query_id, embedding). Queries and rows meet in blocks of bounded size, at every number of queries, and a
+    pair of blocks returns no more than k rows per query. A plain index (part_id, embedding) is read as a whole. A stored
+    :class:`CellIndex`, whose metric counts, is pruned, see :func:`pruned_join`.
     """
+    if isinstance(index, CellIndex):
+        return pruned_join(queries, index, k)
     if metric not in ("l2sq", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
-    q = _keyed(queries)
-    i = index.select(F.col("part_id").cast("string").alias("part_id"), "embedding").where("embedding is not null")
-    if few is None:
-        few = few_queries(queries, broadcast_queries)
-    if k <= 0 or few == []:
-        return index.sparkSession.createDataFrame([], RESULT + ", rank int")
-    if few is not None:
-        return _rank(_scan(few, i, k, metric), k)
-    n_q = -(-q.count() // block_rows)
-    n_i = max(1, -(-i.count() // block_rows))
+    q, i = stored(_keyed(queries, "query_id"), "queries"), _keyed(index, "part_id")
+    n_q, n_i = -(-q.count() // block_rows), -(-i.count() // block_rows)
+    if k <= 0 or not n_q or not n_i:
+        return queries.sparkSession.createDataFrame([], RESULT + ", rank int")
     return _rank(_block_pairs(q, i, k, metric, n_q, n_i), k)
 
 
+def pruned_join(queries: DataFrame, index: CellIndex, k: int = 5) -> DataFrame:
+    """As :func:`knn_join`, reading only the cells that can hold one of the k nearest.
+
+    A query first meets its nearest cells; its k-th distance there rules out every cell whose pivot is farther away
+    than that distance and the cell's radius together.
+    """
+    q = stored(_keyed(queries, "query_id").withColumn("embedding", F.col("embedding").cast("array<double>")), "queries")
+    n_q = -(-q.count() // BLOCK_ROWS)
+    if k <= 0 or not n_q or not index.cells.limit(1).count():
+        return queries.sparkSession.createDataFrame([], RESULT + ", rank int")
+    near = stored(_rank(_meet(_visits(q, index, k, False), index, k, n_q), k), "near")
+    further = _meet(_visits(_reached(q, near, k), index, k, True), index, k, n_q)
+    return _rank(near.drop("rank").unionByName(further), k)
+
+
+def _reached(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """Queries with their k-th distance so far, infinite where there are fewer rows."""
+    reach = found.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("distance").alias("reach"))
+    joined = queries.distinct().join(reach, F.col("query_id") == F.col("_q"), "left")
+    return joined.select("query_id", "embedding", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+
+
+def cells_read(queries: DataFrame, index: CellIndex, k: int = 5) -> DataFrame:
+    """query_id, first, further, cells: how many cells a search reads for every query, out of how many."""
+    q = _keyed(queries, "query_id").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    reached = _reached(q, pruned_join(queries, index, k), k)
+    count = lambda visits, name: visits.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    first, further = count(_visits(q.distinct(), index, k, False), "first"), count(_visits(reached, index, k, True), "further")
+    total = F.lit(index.cells.count()).alias("cells")
+    return first.join(further, "query_id", "left").select("query_id", "first", F.coalesce("further", F.lit(0)).alias("further"), total)
+
+
 def asked(queries: DataFrame) -> DataFrame:
     """Queries that are not blank, where they carry their text."""
     if "text" not in queries.columns:
@@ -215,12 +351,11 @@ def search(
     k: int = 5,
     metric: str = "l2sq",
     exclude: tuple[str, object] | None = None,
-    few: list | None = None,
 ) -> DataFrame:
     """k nearest documents of every non-blank query; ``exclude`` is a (column, value) left out before the search."""
     if exclude is not None:
         index = exclude_experiment(index, exclude[1], exclude[0])
-    return knn_join(asked(queries), index, k, metric, few=few)
+    return knn_join(asked(queries), index, k, metric)
 
 
 def exclude_experiment(df: DataFrame, experiment: object, column: str = "experiment_id") -> DataFrame:
@@ -314,11 +449,9 @@ def retrieve_context(
 
     queries: (query_id, embedding[, text]); index: (part_id, document, embedding).
     """
-    few = few_queries(asked(queries))
-    found = search(queries, index, k, metric, few=few)
+    found = search(queries, index, k, metric)
     documents = index.select(F.col("part_id").cast("string").alias("part_id"), F.col("document").alias("text"))
-    # with few queries there are at most k rows for each: small enough to send to the index
-    texts = documents.join(F.broadcast(found) if few is not None else found, "part_id")
+    texts = documents.join(found, "part_id")
     contexts = compact_context(texts, max_items, max_chars, few_per_query=True)
     wanted = queries.select(F.col("query_id").cast("string").alias("query_id")).distinct()
     return wanted.join(contexts, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(NO_RESULTS)))

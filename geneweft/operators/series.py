@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from geneweft.functions.values import clamp_log
 from geneweft.operators.skew import index_points
 from geneweft.schemas import SERIES
+from geneweft.session import stored
 
 SAMPLE = ("design_id", "sample_id")
 STATE = ("design_id", "sample_id", "state_name")
@@ -65,15 +66,17 @@ def with_length(traj: DataFrame, keys: tuple[str, ...] = SERIES, block: int = 65
     """Add ``n_points`` to points that only carry ``seq``.
 
     The lengths are spread over blocks of positions and joined by (series, block), so a long
-    series is looked up by many tasks.
+    series is looked up by many tasks. Null keys are keys like any other.
     """
     lengths = traj.groupBy(*keys).agg((F.max("seq") + 1).alias("n_points"))
     spread = lengths.withColumn(
         "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_points") - 1) / block)))
     )
-    return (
-        traj.withColumn("_block", F.floor(F.col("seq") / block)).join(spread, [*keys, "_block"]).drop("_block")
-    )
+    same = F.floor(F.col("seq") / block) == F.col("_block")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    spread = spread.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    return traj.join(spread, same).drop("_block", *[f"_of_{k}" for k in keys])
 
 
 def points_from_events(
@@ -99,6 +102,22 @@ def steady_state(traj: DataFrame, keys: tuple[str, ...] = SERIES, fraction: floa
     return tail_slice(traj, fraction).groupBy(*keys).agg(F.avg("value").alias("steady_state"))
 
 
+def turns(values: Column, mean: Column) -> Column:
+    """struct(head, last, turns) of values in order: the first and last side of the mean and the changes of side between.
+
+    Summaries of neighbouring stretches join to the summary of both: turns add up, and one more where the sides
+    at the edge differ.
+    """
+    side = lambda v: F.signum(v - mean)
+    start = F.struct(side(F.element_at(values, 1)).alias("last"), F.lit(0).cast("long").alias("turns"))
+    step = lambda acc, v: F.struct(
+        side(v).alias("last"), (acc["turns"] + F.coalesce((side(v) != acc["last"]).cast("long"), F.lit(0))).alias("turns")
+    )
+    return F.aggregate(
+        values, start, step, lambda acc: F.struct(side(F.element_at(values, 1)).alias("head"), acc["last"].alias("last"), acc["turns"].alias("turns"))
+    )
+
+
 def oscillation(
     traj: DataFrame,
     min_points: int = 100,
@@ -108,47 +127,40 @@ def oscillation(
 ) -> DataFrame:
     """Crossings of the tail mean over the last half of each series, and whether it oscillates.
 
-    Signs are compared inside blocks of positions and then across block edges, so a task sees
-    one block of a series at a time.
+    The tail is read once and packed into blocks of at most ``block`` values in order, which are
+    stored. Their sums give the mean; every block is then reduced to its turns, and the few
+    summaries of a series are joined across the block edges. A task sees one block at a time.
     """
     k = list(keys)
-    position = F.floor(F.col("seq") / block)
-    tail = tail_slice(traj, 0.5)
-    stats = tail.groupBy(*k).agg(
-        F.avg("value").alias("mean"),
-        (F.max("value") - F.min("value")).alias("amplitude"),
-        F.min("seq").alias("_first"),
-        F.max("n_points").alias("n_points"),
-    )
-    spread = stats.select(
-        *k,
-        "mean",
-        F.explode(F.sequence(F.floor(F.col("_first") / block), F.floor((F.col("n_points") - 1) / block))).alias("_block"),
-    )
-    inside = Window.partitionBy(*k, "_block").orderBy("seq")
-    blocks = (
-        tail.select(*k, "seq", "value", position.alias("_block"))
-        .join(spread, [*k, "_block"])
-        .withColumn("_sign", F.signum(F.col("value") - F.col("mean")))
-        .withColumn("_turn", (F.col("_sign") != F.lag("_sign").over(inside)).cast("long"))
-        .groupBy(*k, "_block")
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "value")))
+    packed = stored(
+        tail_slice(traj, 0.5)
+        .groupBy(*k, F.floor(F.col("seq") / block).alias("_block"))
         .agg(
-            F.coalesce(F.sum("_turn"), F.lit(0)).alias("_turns"),
-            F.min_by("_sign", "seq").alias("_head"),
-            F.max_by("_sign", "seq").alias("_last"),
-        )
+            F.sum("value").alias("_sum"), F.count("value").alias("_count"), F.min("value").alias("_low"), F.max("value").alias("_high"),
+            F.max("n_points").alias("n_points"), F.transform(ordered, lambda p: p["value"]).alias("_values"),
+        ),
+        "blocks",
     )
-    edge = F.coalesce(
-        (F.col("_head") != F.lag("_last").over(Window.partitionBy(*k).orderBy("_block"))).cast("long"), F.lit(0)
+    stats = packed.groupBy(*[F.col(c).alias(f"_of_{c}") for c in k]).agg(
+        (F.sum("_sum") / F.sum("_count")).alias("mean"),
+        (F.max("_high") - F.min("_low")).alias("amplitude"),
+        F.max("n_points").alias("n_points"),
     )
-    crossings = blocks.withColumn("_edge", edge).groupBy(*k).agg(F.sum(F.col("_turns") + F.col("_edge")).alias("crossings"))
+    same = F.lit(True)
+    for c in k:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    summaries = packed.drop("n_points").join(stats, same).select(*k, "_block", "amplitude", "n_points", turns(F.col("_values"), F.col("mean")).alias("_t"))
+    edge = F.col("_t")["head"] != F.lag(F.col("_t")["last"]).over(Window.partitionBy(*k).orderBy("_block"))
+    crossings = F.sum(F.col("_t")["turns"] + F.coalesce(F.col("_edge").cast("long"), F.lit(0)))
     return (
-        stats.join(crossings, k)
+        summaries.withColumn("_edge", edge)
+        .groupBy(*k)
+        .agg(F.max("n_points").alias("n_points"), crossings.alias("crossings"), F.max("amplitude").alias("amplitude"))
         .withColumn(
             "oscillates",
             (F.col("n_points") >= min_points) & (F.col("crossings") >= 3) & (F.col("amplitude") > min_amp),
         )
-        .select(*k, "n_points", "crossings", "amplitude", "oscillates")
     )
 
 

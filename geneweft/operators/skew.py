@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geneweft.session import scratch_path
+from geneweft.session import stored
 
 #: Bits of a row's number inside its partition in ``monotonically_increasing_id``.
 PLACE_BITS = 33
@@ -19,23 +19,27 @@ def index_points(
     Rows are dealt by ranges of (keys, order), so a large group lies in several tasks, also where
     its first order column is one value throughout. They are sorted there and written with their
     places to the shared scratch folder; what each task holds of a group is counted, and the counts
-    of earlier tasks are the offsets. Keys must not be null; rows that tie in all of ``order_by``
-    are numbered in any order.
+    of earlier tasks are the offsets, which are stored too: the result can be read several times.
+    Rows with null keys form groups like any other; rows that tie in all of ``order_by`` are numbered
+    in any order.
     """
-    path = scratch_path(df.sparkSession, "numbered")
     placed = df.repartitionByRange(*keys, *order_by).sortWithinPartitions(*keys, *order_by)
-    placed = placed.withColumn("_at", F.monotonically_increasing_id())
-    placed.write.parquet(path)
-    rows = df.sparkSession.read.schema(placed.schema).parquet(path).withColumn("_part", F.shiftright("_at", PLACE_BITS))
-    along = Window.partitionBy(*keys).orderBy("_part")
-    parts = (
-        rows.groupBy(*keys, "_part")
+    rows = stored(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("_part", F.shiftright("_at", PLACE_BITS))
+    names = [f"_key{n}" for n in range(len(keys))]
+    along = Window.partitionBy(*names).orderBy("_in")
+    parts = stored(
+        rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_part").alias("_in"))
         .agg(F.count(F.lit(1)).alias("_held"), F.min("_at").alias("_first"))
         .withColumn("_before", F.sum("_held").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_held"))
-        .withColumn("_total", F.sum("_held").over(Window.partitionBy(*keys)))
-        .drop("_held")
+        .withColumn("_total", F.sum("_held").over(Window.partitionBy(*names)))
+        .drop("_held"),
+        "offsets",
     )
-    numbered = rows.join(parts, [*keys, "_part"]).withColumn(seq, F.col("_before") + F.col("_at") - F.col("_first"))
+    same = F.col("_part") == F.col("_in")
+    for k, n in zip(keys, names):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    numbered = rows.join(parts, same).withColumn(seq, F.col("_before") + F.col("_at") - F.col("_first"))
     if length:
         numbered = numbered.withColumn(length, F.col("_total"))
-    return numbered.drop("_at", "_part", "_first", "_before", "_total")
+    return numbered.drop("_at", "_part", "_in", "_first", "_before", "_total", *names)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geneweft.session import scratch_path
+from geneweft.session import stored as prepared  # views that a query reads more than once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,12 +45,5 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def prepared(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared scratch folder and read back, for views that a query reads more than once."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -219,7 +219,7 @@ def _burden(spark, sf):
       round(p_burden, 6) as p_burden, round(r_kinetic * score_temporal * p_burden, 6) as kinetic_multiplier from kinetic""",
 )
 def _kinetic(spark, sf):
-    points = prepared(V.points(spark, sf, "t1d"), "points")
+    points = V.points(spark, sf, "t1d")
     return O.kinetic_score(points, V.spec_for(spark, sf, "t1d"), V.TARGET, KINETIC)
 
 
@@ -252,7 +252,7 @@ VIABLE_SQL = (
 
 
 def viable(spark, sf):
-    points = prepared(V.points(spark, sf, "t1u"), "points")  # stored trajectories carry their positions
+    points = V.points(spark, sf, "t1u")  # stored trajectories carry their positions
     spec = V.spec_for(spark, sf, "t1u")
     means = levels_of(points).groupBy("design_id", "state_name").agg(F.avg("value").alias("value"))
     functional = O.functional_score(O.join_spec(means, spec, "inner"), FUNCTIONAL)
@@ -330,7 +330,7 @@ def _report(spark, sf):
       from plausible p full join kinetic k using (design_id)""",
 )
 def _scorers(spark, sf):
-    points = prepared(V.points(spark, sf, "t1u"), "points")
+    points = V.points(spark, sf, "t1u")
     tables = {
         "nodes": V.nodes(spark, sf), "edges": V.unordered_parts(spark, sf), "parts": V.unordered_parts(spark, sf),
         "traj": points, "spec": V.spec_for(spark, sf, "t1u"), "target": V.TARGET, "config": VIABILITY,

@@ -67,8 +67,8 @@ NEAREST_SQL = f"""docs as (select distinct 'part_' || substr(sha256(text), 1, 16
 
 @query("knn_join", f"with {NEAREST_SQL} select query_id, part_id, round(distance, 6) as distance, rank from nearest")
 def _knn(spark, sf):
-    """Benchmark items against all documents, both sides cut into blocks."""
-    return O.knn_join(item_queries(spark, sf), document_index(spark, sf), 5, "cosine", broadcast_queries=0, block_rows=512)
+    """Benchmark items against all documents, through a cell index."""
+    return O.knn_join(item_queries(spark, sf), O.cell_index(document_index(spark, sf), "cosine"), 5)
 
 
 @query(

@@ -1,6 +1,7 @@
 """Same rows whatever the partitioning, hot keys included; and agreement with plain Python on random tables."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -11,7 +12,10 @@ from geneweft.config import FunctionalConfig
 from geneweft.operators import retrieval, runs, scoring, series, skew, sweep, topology
 from geneweft.operators.components import distinct_documents, with_ids
 from geneweft.plans import views as V
+from geneweft.operators.skew import index_points
 from geneweft.plans.registry import table
+from geneweft import session
+from geneweft.session import clear_scratch, stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -138,28 +142,74 @@ def test_copies_collapse(spark):
 
 
 @pytest.mark.parametrize("metric", ["l2sq", "cosine"])
-@pytest.mark.parametrize("path", ["broadcast", "blocks"])
+@pytest.mark.parametrize("path", ["blocks", "cells"])
 def test_neighbours_against_brute_force(spark, metric, path):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(300, 8)).astype(np.float32)
     vectors[100:200] = vectors[0]  # a third of all rows are copies
+    vectors[200:240] += 20 * rng.normal(size=8)  # far away
+    vectors[[7, 30]] = 0
     queries = vectors[::10]
     index = spark.createDataFrame([(f"p{i:03d}", v.tolist()) for i, v in enumerate(vectors)], "part_id string, embedding array<float>")
     asked = spark.createDataFrame([(f"q{i:02d}", v.tolist()) for i, v in enumerate(queries)], "query_id string, embedding array<float>")
-    limits = {} if path == "broadcast" else {"broadcast_queries": 3, "block_rows": 40}
+    held = retrieval.cell_index(index.repartition(7), metric) if path == "cells" else index.repartition(7)
     got = {}
-    for r in retrieval.knn_join(asked, index.repartition(7), 4, metric, **limits).orderBy("query_id", "rank").collect():
+    for r in retrieval.knn_join(asked, held, 4, metric, block_rows=40).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.part_id)
     for i, q in enumerate(queries.astype(np.float64)):
         v = vectors.astype(np.float64)
         if metric == "l2sq":
             d = ((v - q) ** 2).sum(axis=1)
         else:
-            d = 1 - v @ q / np.linalg.norm(v, axis=1) / np.linalg.norm(q)
+            norms = np.linalg.norm(v, axis=1) * np.linalg.norm(q)
+            d = 1 - np.divide(v @ q, norms, out=np.zeros(300), where=norms > 0)
         want = [f"p{j:03d}" for j in sorted(range(300), key=lambda j: (round(d[j], 9) + 0.0, j))[:4]]
         assert got[f"q{i:02d}"] == want
 
 
+def test_cells_far_away_are_not_read(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 6)) * 50
+    vectors = np.concatenate([c + rng.normal(size=(40, 6)) for c in centres])
+    index = spark.createDataFrame([(f"p{i:03d}", v.tolist()) for i, v in enumerate(vectors)], "part_id string, embedding array<double>")
+    asked = spark.createDataFrame([(f"q{i:02d}", v.tolist()) for i, v in enumerate(centres)], "query_id string, embedding array<double>")
+    retrieval.cell_index(index, cells=24).write(str(tmp_path / "cells"))
+    held = retrieval.CellIndex.read(spark, str(tmp_path / "cells"))
+    assert held.rows.count() == 480 and held.cells.agg(F.sum("n")).first()[0] == 480
+    same(retrieval.knn_join(asked, held, 7), retrieval.knn_join(asked, index, 7))
+    share = retrieval.cells_read(asked, held, 7).agg(F.avg((F.col("first") + F.col("further")) / F.col("cells"))).first()[0]
+    assert share < 0.5
+    assert retrieval.knn_join(asked, retrieval.cell_index(index.limit(0)), 7).count() == 0
+
+
+def test_null_keys_are_numbered(spark):
+    rows = [(None, i) for i in range(30)] + [("a", i) for i in range(5)] + [(None, 7)]
+    df = spark.createDataFrame(rows, "k string, t int").repartition(5)
+    got = index_points(df, ["k"], ["t"]).collect()
+    assert sorted((r.k or "", r.seq, r.n_points) for r in got) == sorted([("", i, 31) for i in range(31)] + [("a", i, 5) for i in range(5)])
+    bare = spark.createDataFrame([(r.k, r.seq) for r in got], "k string, seq long")
+    assert sorted((r.k or "", r.n_points) for r in series.with_length(bare, ("k",), block=8).collect()) == [("", 31)] * 31 + [("a", 5)] * 5
+
+
+def test_oscillation_over_block_edges(spark):
+    r = np.random.default_rng(5)
+    rows = [(k, i, 500, float(v)) for k in ("a", None) for i, v in enumerate(r.integers(-300, 300, 500))] + [("flat", i, 200, 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, seq long, n_points long, value double").repartition(6)
+    got = {x.k: (x.crossings, x.amplitude, x.oscillates) for x in series.oscillation(df, keys=("k",), block=7).collect()}
+    for k, n in (("a", 500), (None, 500), ("flat", 200)):
+        tail = [v for kk, i, _, v in sorted(rows, key=lambda x: x[1]) if kk == k and i >= n // 2]
+        side = np.sign(np.array(tail) - np.mean(tail))
+        crossings = int((side[1:] != side[:-1]).sum())
+        amplitude = max(tail) - min(tail)
+        assert got[k] == (crossings, amplitude, crossings >= 3 and amplitude > 100)
+
+
+def test_scratch_is_cleared(spark):
+    df = stored(spark.range(5), "probe")
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(folder) and clear_scratch(spark) >= 1 and not os.path.exists(folder)
+
+
 # --- plans -------------------------------------------------------------------------------
 
 
@@ -210,7 +260,7 @@ def test_noise_does_not_shuffle(spark):
 
 def test_numbering_spreads_one_hot_time(spark, monkeypatch, tmp_path):
     """A group with a single time value is dealt over many tasks and still numbered in order."""
-    monkeypatch.setattr(skew, "scratch_path", lambda *_: str(tmp_path / "numbered"))
+    monkeypatch.setattr(session, "scratch_path", lambda _, name: str(tmp_path / name))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     raw = spark.range(20000).select(F.lit("hot").alias("k"), F.lit(1.0).alias("time"), (F.col("id") * 7919 % 20000).alias("event"))
     try:
