@@ -15,7 +15,7 @@ found in two rounds, and only until every component is connected:
 
 The global order is by hash, with shingles that many documents hold moved to the end, the most frequent last. They are
 counted over all documents by the upper 40 bits of their hashes. Which shingles are moved only changes the cost: any
-order finds the same links.
+order finds the same links. Shingles, and sets, are told apart by 64-bit hashes alone.
 
 Defined cases: texts without words and null texts have an empty set and are linked with nothing; a text under five
 words has one shingle, all its words; repeated rows and repeated ids are in one component; a null id takes part and is
@@ -30,9 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from geneweft.llm.registry import stored
 from geneweft.llm.textblocks import WordHasher, blocks, mix, shingles, space_separated
@@ -48,6 +51,8 @@ FILTER_BITS = 1 << 27
 #: Sets that meet in one trie, and prefix shingles that meet in one task.
 TRIE_SETS = 2048
 BUCKET = 1 << 20
+#: Bytes of texts or shingles that a task turns into Python objects at once.
+SLICE_BYTES = 1 << 21
 #: Components beyond which a prefix shingle's sets meet in tries at once instead of pair by pair.
 CROWD = 64
 _SEED = np.uint64(0x632BE59BD9B4E019)
@@ -76,6 +81,30 @@ def set_id(s: np.ndarray) -> int:
     return int(mix(s).sum(dtype=np.uint64).view(np.int64))
 
 
+def in_slices(df: DataFrame, run, schema: str, wide: str) -> DataFrame:
+    """``run`` over frames that hold about ``SLICE_BYTES`` of column ``wide``, or one longer row.
+
+    Spark bounds its batches in rows; only slices of them become Python objects.
+    """
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(wide)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                before = ends[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+                yield batch.slice(start, end - start).to_pandas()
+                start = end
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(slices(batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(go, schema)
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """doc_id, n, set, least1, least2: one pass over the texts. ``set`` names the set, ``least1`` and ``least2`` are its
     smallest shingle in two orders."""
@@ -91,9 +120,8 @@ def describe(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({c: pd.array([r[i] for r in rows], dtype="Int64") for i, c in enumerate(columns)})
 
     # ids travel as text, which keeps null and large ones whole in pandas
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id bigint, n bigint, set bigint, least1 bigint, least2 bigint"
-    )
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return in_slices(rows, run, "doc_id bigint, n bigint, set bigint, least1 bigint, least2 bigint", "text")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -121,7 +149,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             named = {made[i][0]: made[i][1].tobytes() for i in np.flatnonzero(kept)}
             yield pd.DataFrame({"set": np.array(list(named), dtype=np.int64), "shingles": list(named.values())})
 
-    return docs.select("text").mapInPandas(run, "set bigint, shingles binary").dropDuplicates(["set"])
+    return in_slices(docs.select("text"), run, "set bigint, shingles binary", "text").dropDuplicates(["set"])
 
 
 class Trie:
@@ -252,9 +280,8 @@ def links_in_groups(members: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
         yield pd.DataFrame(close(ids, sets, labels, guests), columns=["a", "b"]).astype("int64")
 
-    return members.select("group", "set", "shingles", "label", "guest").repartition("group").sortWithinPartitions("group").mapInPandas(
-        run, "a bigint, b bigint"
-    )
+    ordered = members.select("group", "set", "shingles", "label", "guest").repartition("group").sortWithinPartitions("group")
+    return in_slices(ordered, run, "a bigint, b bigint", "shingles")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -375,7 +402,7 @@ def frequent_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarr
             counts = np.bincount(at, weights=more, minlength=len(values)).astype(np.int64)
         yield often(values, counts)
 
-    made = docs.select("text").mapInPandas(emit, "bucket bigint, upper binary, counts binary")
+    made = in_slices(docs.select("text"), emit, "bucket bigint, upper binary, counts binary", "text")
     counted = by_bucket(made, count, "shingle bigint, n bigint")
     top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT_KNOWN).toPandas()
     values = top["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
@@ -466,7 +493,7 @@ def prefix_shingles(docs: DataFrame, total: int) -> DataFrame:
                 tokens, ids = bucket_pairs.add(tokens, ids)
             yield pd.DataFrame({"shingle": tokens.view(np.int64), "set": ids})
 
-    made = docs.select("text").mapInPandas(emit, "bucket bigint, tokens binary, sets binary")
+    made = in_slices(docs.select("text"), emit, "bucket bigint, tokens binary, sets binary", "text")
     return by_bucket(made, shared, "shingle bigint, set bigint").dropDuplicates(["shingle", "set"])
 
 
@@ -561,7 +588,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(LongType())
+@F.pandas_udf(T.LongType())
 def set_of_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The digest of a text's set, null for an empty set."""
     hasher = WordHasher(space_separated())
