@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geneweft.config import RateConfig
 from geneweft.functions import kinetics as K
 from geneweft.functions.values import param
-from geneweft.operators.topology import expand_topology
+from geneweft.operators.topology import packed_edges, with_inducers
 
 
 def _param(key: str, species: Column | None, default: float) -> Column:
     return param(F.col("params"), key, species, default)
 
 
-def edge_activity(expanded: DataFrame, cfg: RateConfig = RateConfig()) -> DataFrame:
-    """Hill factor of every (snapshot, interaction); needs ``params`` on the rows."""
-    kd = _param("kd", F.col("source"), cfg.kd)
-    n = _param("n", F.col("source"), cfg.n)
+def hill_factors(rows: DataFrame, cfg: RateConfig = RateConfig()) -> DataFrame:
+    """Rows with ``rep`` and ``act``, the factors by which their species represses or activates any target.
+
+    A factor depends on its source alone (level, parameters, inducer), so it is computed once per species and not per edge.
+    """
+    kd = _param("kd", F.col("species"), cfg.kd)
+    n = _param("n", F.col("species"), cfg.n)
     kd_ind = F.coalesce(F.try_element_at("params", F.concat(F.lit("kd_inducer_"), F.col("inducer"))), F.lit(cfg.kd_inducer))
     n_ind = F.coalesce(F.try_element_at("params", F.concat(F.lit("n_inducer_"), F.col("inducer"))), F.lit(cfg.n_inducer))
+    level = F.col("protein")
     active = F.when(
-        F.col("inducer").isNotNull(),
-        K.active_repressor(F.col("level"), F.coalesce("inducer_level", F.lit(0.0)), kd_ind, n_ind),
-    ).otherwise(F.col("level"))
-    factor = F.when(F.col("sign") == "repression", K.hill_rep(active, kd, n)).otherwise(K.hill_act(F.col("level"), kd, n))
-    return expanded.withColumn("factor", factor)
+        F.col("inducer").isNotNull(), K.active_repressor(level, F.coalesce("inducer_level", F.lit(0.0)), kd_ind, n_ind)
+    ).otherwise(level)
+    return rows.withColumns({"rep": K.hill_rep(active, kd, n), "act": K.hill_act(level, kd, n)})
 
 
 def promoter_activity(
@@ -36,43 +38,49 @@ def promoter_activity(
     inducer_targets: DataFrame | None = None,
     cfg: RateConfig = RateConfig(),
 ) -> DataFrame:
-    """Snapshot rows with ``activity``, the product of the factors of all regulators (1 without any)."""
+    """Snapshot rows with ``activity``, the product of the factors of all regulators (1 without any).
+
+    One exchange: the rows of a snapshot (one time point of one sample, as many as the circuit has species) meet in a
+    window, and every row looks its regulators up in the design's packed edges. Factors without a value count as 1, edges
+    from a species that the snapshot lacks do not count, rows that repeat a species each count. The exchange is stated
+    because the join before it is by design alone: a hot design is split there and dealt by snapshot here.
+    """
     at = ["design_id", *keys]
-    expanded = expand_topology(snapshots, interactions, inducer_targets, keys)
-    products = (
-        edge_activity(expanded, cfg)
-        .groupBy(*at, F.col("target").alias("species"))
-        .agg(F.product("factor").alias("activity"))
-    )
-    return snapshots.join(products, [*at, "species"], "left").withColumn("activity", F.coalesce("activity", F.lit(1.0)))
+    factors = hill_factors(with_inducers(snapshots, inducer_targets, at, "species"), cfg)
+    sources = F.collect_list(F.struct("species", "rep", "act")).over(Window.partitionBy(*at))
+    rows = factors.join(packed_edges(interactions), "design_id", "left").repartition(*at).withColumn("sources", sources)
+
+    def factor(edge: Column) -> Column:
+        return F.aggregate(
+            F.filter("sources", lambda s: s["species"] == edge["source"]),
+            F.lit(1.0),
+            lambda p, s: p * F.coalesce(F.when(edge["sign"] == "repression", s["rep"]).otherwise(s["act"]), F.lit(1.0)),
+        )
+
+    entering = F.filter("edges", lambda e: e["target"] == F.col("species"))
+    activity = F.aggregate(entering, F.lit(1.0), lambda p, e: p * factor(e))
+    return rows.select(*snapshots.columns, F.coalesce(activity, F.lit(1.0)).alias("activity"))
 
 
 def _binding(cfg: RateConfig) -> list[Column]:
+    """Polymerase and ribosome binding of one species."""
     species = F.col("species")
     rnap = F.lit(cfg.plasmid) * F.col("activity") / _param("km_rnap", species, cfg.km_rnap)
     ribo = F.col("mrna") / _param("km_ribo", species, cfg.km_ribo)
-    return [F.sum(rnap).alias("rnap_load"), F.sum(ribo).alias("ribo_load")]
+    return [rnap, ribo]
 
 
 def resource_load(active: DataFrame, keys: tuple[str, ...], cfg: RateConfig = RateConfig()) -> DataFrame:
     """Sums of polymerase and ribosome binding per snapshot."""
-    return active.groupBy("design_id", *keys).agg(*_binding(cfg))
+    rnap, ribo = _binding(cfg)
+    return active.groupBy("design_id", *keys).agg(F.sum(rnap).alias("rnap_load"), F.sum(ribo).alias("ribo_load"))
 
 
 def with_load(active: DataFrame, keys: tuple[str, ...], cfg: RateConfig = RateConfig()) -> DataFrame:
-    """Rows with the load of their snapshot.
-
-    A snapshot is one time point of one sample, so it holds as many rows as the circuit has
-    species; they are kept beside the sums instead of joining the sums back.
-    """
-    at = ["design_id", *keys]
-    members = F.collect_list(F.struct(*[c for c in active.columns if c not in at])).alias("_rows")
-    return (
-        active.groupBy(*at)
-        .agg(*_binding(cfg), members)
-        .select(*at, "rnap_load", "ribo_load", F.explode("_rows").alias("_row"))
-        .select(*at, "rnap_load", "ribo_load", "_row.*")
-    )
+    """Rows with the load of their snapshot, summed over the window that ``promoter_activity`` has dealt them by."""
+    snapshot = Window.partitionBy("design_id", *keys)
+    rnap, ribo = _binding(cfg)
+    return active.withColumns({"rnap_load": F.sum(rnap).over(snapshot), "ribo_load": F.sum(ribo).over(snapshot)})
 
 
 def rate_table(

@@ -146,6 +146,29 @@ def regulators(interactions: DataFrame) -> DataFrame:
     )
 
 
+def packed_edges(interactions: DataFrame) -> DataFrame:
+    """(design_id, edges): the signed interactions of every design as one array, bounded by the circuit's size."""
+    signed = interactions.withColumn("sign", interaction_sign(F.col("type"))).where("sign is not null")
+    edges = F.array_sort(F.collect_list(F.struct("edge_pos", "source", "target", "sign")))
+    return signed.groupBy("design_id").agg(edges.alias("edges"))
+
+
+def with_inducers(rows: DataFrame, inducer_targets: DataFrame | None, at: list[str], species: str) -> DataFrame:
+    """Rows with the inducer, and its level, that acts on column ``species``; the last by ``pos`` wins.
+
+    The inducers of a design (and of those of the keys ``at`` that they depend on) are one map, met by one row each.
+    """
+    if inducer_targets is None:
+        return rows.withColumns({"inducer": F.lit(None).cast("string"), "inducer_level": F.lit(None).cast("double")})
+    on = [c for c in at if c in inducer_targets.columns]
+    last = inducer_targets.where("species is not null").groupBy(*on, "species").agg(
+        F.struct(F.max_by("inducer", "pos").alias("inducer"), F.max_by("level", "pos").alias("level")).alias("acting")
+    )
+    maps = last.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("species", "acting"))).alias("_acting"))
+    acting = F.try_element_at("_acting", F.col(species))
+    return rows.join(maps, on, "left").withColumns({"inducer": acting["inducer"], "inducer_level": acting["level"]}).drop("_acting")
+
+
 def expand_topology(
     snapshots: DataFrame, interactions: DataFrame, inducer_targets: DataFrame | None, keys: tuple[str, ...]
 ) -> DataFrame:
@@ -154,18 +177,15 @@ def expand_topology(
     snapshots: (design_id, *keys, species, protein, mrna); interactions: (design_id, edge_pos, source,
     target, type); inducer_targets: (design_id, inducer, species, level, pos) and any of the keys the
     level depends on, say only the state. Of several inducers on one species the last wins.
+
+    A row meets its design's packed edges, one row per design, and unfolds those that leave its species.
     """
     at = ["design_id", *keys]
-    signed = interactions.select(
-        "design_id", "edge_pos", "source", "target", interaction_sign(F.col("type")).alias("sign")
-    ).where("sign is not null")
     carried = [c for c in ("params",) if c in snapshots.columns]
     levels = snapshots.select(*at, F.col("species").alias("source"), F.col("protein").alias("level"), *carried)
-    expanded = levels.join(signed, ["design_id", "source"])
-    if inducer_targets is None:
-        return expanded.withColumns({"inducer": F.lit(None).cast("string"), "inducer_level": F.lit(None).cast("double")})
-    on = [c for c in at if c in inducer_targets.columns]
-    acting = inducer_targets.groupBy(*on, F.col("species").alias("source")).agg(
-        F.max_by("inducer", "pos").alias("inducer"), F.max_by("level", "pos").alias("inducer_level")
+    leaving = F.transform(
+        F.filter("edges", lambda e: e["source"] == F.col("source")),
+        lambda e: F.struct(e["edge_pos"].alias("edge_pos"), e["target"].alias("target"), e["sign"].alias("sign")),
     )
-    return expanded.join(acting, [*on, "source"], "left")
+    expanded = levels.join(packed_edges(interactions), "design_id").select(*levels.columns, F.inline(leaving))
+    return with_inducers(expanded, inducer_targets, at, "source")
