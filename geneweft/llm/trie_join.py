@@ -52,7 +52,7 @@ FILTER_BITS = 1 << 27
 TRIE_SETS = 2048
 BUCKET = 1 << 20
 #: Bytes of texts or shingles that a task turns into Python objects at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 #: Components beyond which a prefix shingle's sets meet in tries at once instead of pair by pair.
 CROWD = 64
 _SEED = np.uint64(0x632BE59BD9B4E019)
