@@ -16,13 +16,14 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
+from hashlib import sha256
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed value: the published pre-tokenizer pattern of the byte-level vocabularies.
@@ -101,6 +102,7 @@ class Tokenizer:
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.flat = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
+        self.decimal = [b"%d" % i for i in range(size)]
 
     def untouched(self, left: int, right: int, limit: int) -> bool:
         """No merge of a rank under ``limit`` joins the two tokens while their bytes are merged up to them.
@@ -170,16 +172,17 @@ class Tokenizer:
         return self.flat[np.repeat(shift, lengths) + np.arange(lengths.sum())].tobytes().decode("utf-8", errors="replace")
 
 
-_BUILT: dict[int, Tokenizer] = {}
+@contextmanager
+def tokenizer_of(text: str) -> Iterator[Tokenizer]:
+    """The tokenizer of a vocabulary for one task.
 
-
-def built(text: str) -> Tokenizer:
-    """The tokenizer of a vocabulary, made once per Python worker."""
-    key = hash(text)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Tokenizer(text)
-    return _BUILT[key]
+    Python workers outlive their tasks, so tokenizer and caches go at the task's end and leave their memory to other stages.
+    """
+    tokenizer = Tokenizer(text)
+    try:
+        yield tokenizer
+    finally:
+        vars(tokenizer).clear()
 
 
 def read_vocabulary(path: str) -> str:
@@ -194,17 +197,17 @@ def _mapped(df: DataFrame, added: T.StructField, vocabulary: str, source: str, c
     schema = T.StructType([*[f for f in df.schema.fields if f.name != added.name], added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = built(shared.value)
-        for batch in batches:
-            kept = batch.drop_columns([added.name]) if added.name in batch.schema.names else batch
-            column, start, size, made = batch.column(source), 0, 0, []
-            for row in range(batch.num_rows):
-                made.append(convert(tokenizer, column[row]))
-                size += 4 * len(made[-1])
-                if size >= OUTPUT_BYTES or row + 1 == batch.num_rows:
-                    part = kept.slice(start, row + 1 - start)
-                    yield pa.RecordBatch.from_arrays([*part.columns, _array(made)], names=[*part.schema.names, added.name])
-                    start, size, made = row + 1, 0, []
+        with tokenizer_of(shared.value) as tokenizer:
+            for batch in batches:
+                kept = batch.drop_columns([added.name]) if added.name in batch.schema.names else batch
+                column, start, size, made = batch.column(source), 0, 0, []
+                for row in range(batch.num_rows):
+                    made.append(convert(tokenizer, column[row]))
+                    size += 4 * len(made[-1])
+                    if size >= OUTPUT_BYTES or row + 1 == batch.num_rows:
+                        part = kept.slice(start, row + 1 - start)
+                        yield pa.RecordBatch.from_arrays([*part.columns, _array(made)], names=[*part.schema.names, added.name])
+                        start, size, made = row + 1, 0, []
 
     return df.mapInArrow(run, schema)
 
@@ -233,11 +236,32 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
 
 
 def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    encoded = encode(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids")
-    both = decode(encoded, vocabulary)
-    return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document.
+
+    Encoding, decoding and hashing share one pass over a text, so neither ids nor decoded texts leave the task.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows = docs.select("doc_id", "text")
+    schema = T.StructType([
+        rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tokenizer_of(shared.value) as tokenizer:
+            for batch in batches:
+                made = [digests(tokenizer, text.as_py() or "") for text in batch.column("text")]
+                counts, ids, decoded = zip(*made) if made else ((), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                    names=schema.names,
+                )
+
+    return rows.mapInArrow(run, schema)
+
+
+def digests(tokenizer: Tokenizer, text: str) -> tuple[int, str, str]:
+    """Number of ids, digest of the ids joined by commas, digest of the text they decode to."""
+    ids = tokenizer.encode(text)
+    joined = b",".join(map(tokenizer.decimal.__getitem__, ids.tolist()))
+    return len(ids), sha256(joined).hexdigest(), sha256(tokenizer.decode(ids).encode("utf-8")).hexdigest()
