@@ -34,7 +34,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every document of the mix and of what they decode to."""
-    return bpe.token_digests(docs, bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    return bpe.token_digests(docs, bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")), keep=False)
 
 
 STAGES = [
