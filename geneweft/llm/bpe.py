@@ -14,7 +14,7 @@ ids outside the vocabulary decode to nothing; repeated rows are encoded each for
 from __future__ import annotations
 
 import json
-import struct
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from hashlib import sha256
@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE = 200_000
 OUTPUT_BYTES = 1 << 23
+#: Two token ids make one number: the left one above these bits.
+PAIR_BITS = 32
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -40,7 +42,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}i", *ids)
+    return array("i", ids).tobytes()
 
 
 class Cache(dict):
@@ -94,9 +96,9 @@ class Tokenizer:
             if self.parts[i] is None or self.untouched(*self.parts[i], self.rank[i]):
                 self.suffixes.add_word(s, (i, len(s)))
         self.suffixes.make_automaton()
-        self.pairs = Cache(lambda pair: self.untouched(*pair, len(model["merges"])))
-        self.words = Cache(self.encode_word)
-        self.chunks = Cache(lambda chunk: self.encode_words(" " + chunk))
+        self.pairs = Cache(lambda pair: self.untouched(pair >> PAIR_BITS, pair & (1 << PAIR_BITS) - 1, len(model["merges"])))
+        self.words = Cache(lambda word: self.chunks[word[1:]] if word[0] == " " and word[1:].isalpha() else self.encode_word(word))
+        self.chunks = Cache(self.encode_chunk)
         self.pattern = regex.compile(PATTERN)
         self.loose = regex.compile(r"\s \s|\s \Z")
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
@@ -131,19 +133,25 @@ class Tokenizer:
 
     def encode_word(self, word: str) -> bytes:
         """Packed ids of one pre-tokenized word."""
-        s = word.encode("utf-8").decode("latin-1")
-        last, back = [-1] * (len(s) + 1), [0] * (len(s) + 1)
+        s = word if word.isascii() else word.encode("utf-8").decode("latin-1")
+        size = len(s)
+        last, back = [-1] * size, [-1] * size  # by the prefix's last byte; a back-pointer of -1 is the word's start
         pairs = self.pairs
         for end, (token, length) in self.suffixes.iter(s):
-            end += 1
-            start = end - length
-            if last[end] < 0 and (start == 0 or last[start] >= 0 and pairs[last[start], token]):
-                last[end], back[end] = token, start
-        out, end = [], len(s)
-        while end:
+            if last[end] < 0:
+                before = end - length
+                if before < 0 or last[before] >= 0 and pairs[last[before] << PAIR_BITS | token]:
+                    last[end], back[end] = token, before
+        out, end = [], size - 1
+        while end >= 0:
             out.append(last[end])
             end = back[end]
-        return pack(out[::-1])
+        out.reverse()
+        return pack(out)
+
+    def encode_chunk(self, chunk: str) -> bytes:
+        """Packed ids of what stands between two spaces, with the space before it; letters alone are one word."""
+        return self.encode_word(" " + chunk) if chunk.isalpha() else self.encode_words(" " + chunk)
 
     def encode_words(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
