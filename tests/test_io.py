@@ -128,6 +128,48 @@ def test_batch_and_stream_agree(spark, tmp_path, places):
     assert [s[0] for s in stored] == ["E:1 x", "E:6 x"] and ledger == ["E:1 x", "E:6 x"]
 
 
+def test_replayed_batch_and_other_writers(spark, tmp_path, places):
+    folder, more = tmp_path / "pending", tmp_path / "more"
+    write(folder, "a.json", record(1))
+    write(folder, "b.json", record(2))
+    records = readers.read_pending_skills(spark, str(folder))
+    for _ in range(2):  # a batch delivered twice
+        skills.ingest_batch(records, *places, "q-0", "q")
+    assert [d[0] for d in contents(spark, places)[0]] == ["E:1 x", "E:2 x"]
+    # what others stored is found, also by a stream whose state is empty
+    write(more, "c.json", record(2))
+    write(more, "d.json", record(3))
+    skills.ingest_skills(spark, str(more), *places)
+    stream = lambda: skills.ingest_skills_stream(spark, str(folder), *places, scratch_path(spark, "state")).awaitTermination()
+    stream()
+    write(folder, "e.json", record(3))
+    stream()
+    stored, ledger, _ = contents(spark, places)
+    assert [d[0] for d in stored] == ledger == ["E:1 x", "E:2 x", "E:3 x"]
+
+
+def test_stream_reads_only_its_batch(spark, tmp_path, places):
+    folder, checkpoint = tmp_path / "pending", scratch_path(spark, "state")
+    stream = lambda: skills.ingest_skills_stream(spark, str(folder), *places, checkpoint)
+    write(folder, "a.json", record(1))
+    first = stream()
+    first.awaitTermination()
+    write(folder, "b.json", record(1))
+    write(folder, "c.json", record(2))
+    second = stream()
+    second.awaitTermination()
+    assert first.id == second.id
+    assert second.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+    own = {r.batch for r in spark.read.parquet(places[0]).select("batch").collect()}
+    assert own == {f"{first.id}-0", f"{first.id}-1"}
+    for path, key in zip(places, ("part_id", "record_id")):
+        assert skills.known_elsewhere(spark, path, key, str(first.id)).inputFiles() and not (
+            skills.known_elsewhere(spark, path, key, str(first.id)).count()
+        )
+        plan = skills.known_elsewhere(spark, path, key, str(first.id))._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(batch" in plan
+
+
 def test_pages_and_failures(spark):
     df = spark.createDataFrame([("u", "<p>x</p>", None), ("v", None, "timeout")], "url string, html string, failure string")
     assert [r.scrape_note for r in readers.page_lines(df, "failure").collect()] == [None, "Failed to scrape v: timeout"]
