@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geneweft.config import CONTEXT_TEXT, KM_DEFAULTS
-from geneweft.functions.text import html_text, relevant_paragraphs
+from geneweft.functions.text import html_text, relevant_paragraphs, strip_fences
 from geneweft.functions.units import canonical_parameter, host_baseline, normalize_host, normalize_unit
-from geneweft.functions.values import literal_map
+from geneweft.functions.values import is_json, literal_map
+from geneweft.schemas import MINED
 
 
 def normalize_units(df: DataFrame) -> DataFrame:
@@ -53,6 +54,37 @@ def fallback_parameters(df: DataFrame, params: str, host: str = "host") -> DataF
     )
 
 
+#: Parameters of a mined record, in the order in which they are checked.
+MINED_KEYS = ("transcription_rate", "translation_rate", "mrna_deg_rate", "protein_deg_rate", "kd", "n", "km_rnap", "km_ribo")
+
+
+def mined_parameters(df: DataFrame, answer: str = "answer", host: str = "host") -> DataFrame:
+    """Parameter map out of a miner's answer: all of its members, or none of them.
+
+    The answer is a JSON object (a code fence around it is removed) of ``schemas.MINED``. One member without value,
+    with a text that is no number or with an unknown unit turns the whole map into the baseline of the host and the
+    binding defaults; ``error`` holds the first such fault in the order of ``MINED_KEYS``, else null. Further
+    members are ignored.
+    """
+    text = strip_fences(F.col(answer))
+    members = F.when(is_json(text) & text.startswith("{"), F.from_json(text, MINED))
+
+    def checked(key: Column) -> Column:
+        raw = F.try_element_at(members, key)["raw_value"]
+        number = raw.try_cast("double")
+        norm = normalize_unit(number, F.try_element_at(members, key)["raw_unit"], key)
+        fault = F.when(raw.isNull(), F.lit("no value")).when(number.isNull(), F.lit("not a number")).otherwise(norm["error"])
+        return F.struct(key.alias("key"), norm["value"].alias("value"), F.concat(key, F.lit(": "), fault).alias("error"))
+
+    rows = df.withColumn("_checked", F.transform(F.array(*map(F.lit, MINED_KEYS)), checked))
+    fault = F.filter("_checked", lambda c: c["error"].isNotNull())
+    rows = rows.withColumn(
+        "error", F.when(members.isNull(), F.lit("answer is not a JSON object")).otherwise(F.get(fault, F.lit(0))["error"])
+    )
+    mined = F.map_from_entries(F.transform("_checked", lambda c: F.struct(c["key"], c["value"])))
+    return fallback_parameters(rows.withColumn("params", F.when(F.col("error").isNull(), mined)), "params", host).drop("_checked")
+
+
 def page_paragraphs(pages: DataFrame, html: str = "html") -> DataFrame:
     """Visible text of each page and its relevant paragraphs."""
     return pages.withColumn("text", html_text(F.col(html))).withColumn("snippet", relevant_paragraphs(F.col("text")))

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geneweft.config import GUARD_TEXT
 from geneweft.functions.text import is_error
-from geneweft.functions.values import is_json
+from geneweft.functions.values import is_json, literal_map
+from geneweft.session import scratch_path
 
 BLANK = " \n\r\t"
+#: Route of the requests that no operator takes.
+UNKNOWN = -1
 
 
 def guard_inputs(df: DataFrame, text: str = "code") -> tuple[DataFrame, DataFrame]:
@@ -48,15 +52,20 @@ def validate_requests(df: DataFrame, arguments: str = "arguments", query: str =
 def dispatch(requests: DataFrame, registry: dict[str, Callable[[DataFrame], DataFrame]], name: str = "tool") -> DataFrame:
     """Run every request with the operator of its name; an unknown name gives an error row.
 
-    An operator takes its requests and returns (request_id, content).
+    An operator takes its requests and returns (request_id, content). The requests are read once whatever the
+    number of operators: one pass writes them to the shared folder by operator, and each reads its own part.
     """
-    answers = [
-        run(requests.where(F.col(name) == tool)).select("request_id", "content") for tool, run in registry.items()
-    ]
-    unknown = requests.where(~F.coalesce(F.col(name).isin(*registry), F.lit(False))).select(
+    spark = requests.sparkSession
+    routes = literal_map({tool: float(n) for n, tool in enumerate(registry)}) if registry else None
+    route = F.coalesce(F.try_element_at(routes, F.col(name)).cast("int"), F.lit(UNKNOWN)) if registry else F.lit(UNKNOWN)
+    path = scratch_path(spark, "requests")
+    requests.withColumn("_route", route).write.partitionBy("_route").parquet(path)
+    dealt = spark.read.schema(T.StructType([*requests.schema.fields, T.StructField("_route", T.IntegerType())])).parquet(path)
+    part = lambda n: dealt.where(F.col("_route") == n).drop("_route")
+    answers = part(UNKNOWN).select(
         "request_id",
         F.concat(F.lit("TOOL_ERROR: unknown tool `"), F.coalesce(F.col(name), F.lit("")), F.lit("`")).alias("content"),
     )
-    for answer in answers:
-        unknown = unknown.unionByName(answer)
-    return unknown
+    for n, run in enumerate(registry.values()):
+        answers = answers.unionByName(run(part(n)).select("request_id", "content"))
+    return answers

@@ -10,12 +10,35 @@ from pyspark.sql import functions as F
 from geneweft.functions.values import canonical_json
 
 
-def truth_table(designs: DataFrame, inputs: str = "inputs") -> DataFrame:
-    """All 0/1 assignments of each design's inputs in order; a design without inputs has one default state."""
+#: Inputs that one task expands when a truth table is dealt over tasks: 2^10 states.
+LOW_BITS = 10
+
+
+def counted(bits: Column) -> Column:
+    """The numbers of ``bits`` bits in order."""
+    return F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
+
+
+def truth_table(designs: DataFrame, inputs: str = "inputs", tasks: int | None = None, low_bits: int = LOW_BITS) -> DataFrame:
+    """All 0/1 assignments of each design's inputs in order; a design without inputs has one default state.
+
+    Without ``tasks`` every design is expanded where it stands. With it, the bits above the lowest ``low_bits``
+    are expanded first, these blocks are dealt over so many tasks, and the low bits follow there: no task makes more
+    than its share of a design with many inputs. ``state_index`` keeps the order.
+    """
     names = F.coalesce(F.col(inputs), F.array().cast("array<string>"))
     n = F.size(names)
-    last = F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
-    numbered = designs.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    if tasks is None:
+        numbered = designs.withColumn("_n", n).withColumn("_i", F.explode(counted(n)))
+    else:
+        low = F.least(F.col("_n"), F.lit(low_bits))
+        blocks = designs.withColumn("_n", n).withColumn("_high", F.explode(counted(F.col("_n") - low)))
+        numbered = (
+            blocks.repartition(tasks)
+            .withColumn("_low", F.explode(counted(low)))
+            .withColumn("_i", F.col("_high") * (1 << low_bits) + F.col("_low"))
+            .drop("_high", "_low")
+        )
     bits = F.lpad(F.bin(F.col("_i")), F.col("_n"), F.lit("0"))
     values = F.transform(
         F.sequence(F.lit(1), F.col("_n")), lambda p: F.substring(bits, p, F.lit(1)).cast("double")

@@ -181,6 +181,35 @@ def _complete(spark, sf):
     return O.complete_parameters(requests, mined).select("request_id", "key", "host_norm", "param_type", "is_mined", "value")
 
 
+MINED_KD = """case p_partkey % 7 when 1 then '{"raw_unit": "uM"}' when 2 then '{"raw_value": "about 5", "raw_unit": "uM"}'
+  when 3 then concat('{"raw_value": ', p_size, ', "raw_unit": "furlong"}') else concat('{"raw_value": "', p_size, '", "raw_unit": " uM"}') end"""
+MINED_BODY = f"""concat('{{"transcription_rate": {{"raw_value": ', p_size, ', "raw_unit": "nM/min"}}, "translation_rate": {{"raw_value": 0.5, "raw_unit": "1/min"}},
+  "mrna_deg_rate": {{"raw_value": 0.2, "raw_unit": "h^-1"}}, "protein_deg_rate": {{"raw_value": 0.1, "raw_unit": "1/h"}}, "kd": ', {MINED_KD},
+  ', "n": {{"raw_value": 2, "is_empirical": true}}, "km_rnap": {{"raw_value": 9, "raw_unit": "nM"}}, "km_ribo": {{"raw_value": 1, "raw_unit": "uM"}}, "note": null}}')"""
+MINED_ANSWER = f"""case p_partkey % 7 when 0 then concat('```json', chr(10), {MINED_BODY}, chr(10), '```') when 4 then concat({MINED_BODY}, ' done')
+  when 5 then null else {MINED_BODY} end"""
+
+
+@query(
+    "mined_parameters",
+    f"""select request_id, host_norm, error, case when error is null then p_size * 1000e0 else {_baseline_sql('kd')} end as kd,
+      round(case when error is null then p_size / 60e0 else {_baseline_sql('transcription_rate')} end, 6) as transcription_rate,
+      case when error is null then 1000e0 else 500e0 end as km_ribo, case when error is null then 8 else 10 end as n_params
+      from (select p_partkey as request_id, p_size, {HOST_SQL} as host_norm, case p_partkey % 7 when 1 then 'kd: no value'
+        when 2 then 'kd: not a number' when 3 then 'kd: unknown concentration unit' when 4 then 'answer is not a JSON object'
+        when 5 then 'answer is not a JSON object' end as error from (select *, {REQUEST_HOST} as host from part))""",
+)
+def _mined(spark, sf):
+    """Answers with a missing, an unreadable and an unknown member, with trailing text, and none at all."""
+    answers = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("request_id"), F.expr(REQUEST_HOST).alias("host"), F.expr(MINED_ANSWER).alias("answer")
+    )
+    value = lambda k: F.try_element_at("params", F.lit(k)).alias(k)
+    return O.mined_parameters(answers).select(
+        "request_id", "host_norm", "error", value("kd"), value("transcription_rate"), value("km_ribo"), F.size("params").alias("n_params")
+    )
+
+
 # --- answers and code --------------------------------------------------------------------
 
 FENCED = "case turn % 3 when 0 then concat('```json', chr(10), text, chr(10), '```') when 1 then concat('```', text, '```') else text end"

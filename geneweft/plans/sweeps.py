@@ -38,6 +38,23 @@ def _truth(spark, sf):
     return rows.select("design_id", "state_index", "state_name", value("IPTG").alias("iptg"), value("aTc").alias("atc"))
 
 
+WIDE_SQL = "(select o_orderkey, cast(o_orderkey % 8 as int) as n from orders)"
+
+
+@query(
+    "truth_table_dealt",
+    f"""select o_orderkey as design_id, i as state_index, case when n = 0 then 'default_state' else lpad(bin(i), n, '0') || '_state' end as state_name
+      from (select o_orderkey, n, unnest(range(cast(1 << n as bigint))) as i from {WIDE_SQL})""",
+)
+def _dealt(spark, sf):
+    """Orders as designs with none to seven inputs, expanded by two bits at the least in the tasks they are dealt to."""
+    wide = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("design_id"),
+        F.expr("transform(slice(sequence(1, 7), 1, cast(o_orderkey % 8 as int)), i -> concat('in', i))").alias("inputs"),
+    )
+    return O.truth_table(wide, tasks=16, low_bits=2).select("design_id", "state_index", "state_name")
+
+
 @query(
     "sweep_grid",
     """select s_suppkey as design_id, v.state_name, r.sample_id from supplier,

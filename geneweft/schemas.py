@@ -16,7 +16,7 @@ DECISION = (
     "recommended_ucf: string, feedback: string>"
 )
 
-MINED = "map<string, struct<raw_value: double, raw_unit: string, is_empirical: boolean>>"
+MINED = "map<string, struct<raw_value: string, raw_unit: string, is_empirical: boolean>>"
 
 STIMULUS = "struct<type: string, start: double, duration: double, amp: double, freq: double>"
 

@@ -536,6 +536,50 @@ def test_truth_table(spark):
     assert got[1][2] == {"a": 0.0, "b": 1.0} and got[4][2] == {}
 
 
+def test_truth_table_over_tasks(spark):
+    df = rows(spark, [(1, [f"i{n}" for n in range(14)]), (2, []), (3, None), (4, ["a"])], "design_id long, inputs array<string>")
+    flat = lambda t: t.withColumn("state_inputs", F.to_json("state_inputs")).drop("inputs")
+    dealt = sweep.truth_table(df, tasks=8, low_bits=6)
+    assert flat(dealt).exceptAll(flat(sweep.truth_table(df))).count() == 0 and dealt.count() == 2**14 + 4
+    shares = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) == 8 and max(shares) <= 2**11 + 2 * 64
+
+
+def test_dispatch_reads_requests_once(spark):
+    requests = rows(spark, [(1, "a", "x"), (2, "b", "y"), (3, None, "z"), (4, "c/d=", "w")], "request_id long, tool string, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    answer = lambda word: lambda r: r.select("request_id", F.concat(F.lit(word), "text").alias("content"))
+    got = R.dispatch(requests.mapInArrow(seen, requests.schema), {"a": answer("A"), "c/d=": answer("C")})
+    assert {(r.request_id, r.content) for r in got.collect()} == {
+        (1, "Ax"), (4, "Cw"), (2, "TOOL_ERROR: unknown tool `b`"), (3, "TOOL_ERROR: unknown tool ``"),
+    }
+    assert read.value == 4
+    assert R.dispatch(requests.limit(0), {"a": answer("A")}).count() == 0
+    assert R.dispatch(requests, {}).count() == 4
+
+
+def test_mined_parameters(spark):
+    good = '{"raw_value": 1, "raw_unit": "%s"}'
+    units = {"transcription_rate": "nM/s", "translation_rate": "1/s", "mrna_deg_rate": "1/s", "protein_deg_rate": "1/s",
+             "kd": "nM", "n": "", "km_rnap": "nM", "km_ribo": "nM"}
+    body = lambda **other: "{" + ", ".join(f'"{k}": {other.get(k, good % u)}' for k, u in units.items()) + "}"
+    answers = [(1, body()), (2, body(km_ribo="{}")), (3, body(kd="null", km_ribo="{}")), (4, "[]"), (5, ""), (6, None), (7, "{}"),
+               (8, body(n='{"raw_value": "2.5"}'))]
+    df = rows(spark, answers, "id long, answer string").withColumn("host", F.lit("yeast"))
+    got = {r.id: r for r in M.mined_parameters(df).collect()}
+    assert got[1].error is None and got[1].params == dict.fromkeys(units, 1.0)
+    assert got[2].error == "km_ribo: no value" and got[2].params["km_ribo"] == 500.0 and got[2].params["kd"] == 500.0
+    assert got[3].error == "kd: no value" and got[7].error == "transcription_rate: no value"
+    assert {got[i].error for i in (4, 5, 6)} == {"answer is not a JSON object"}
+    assert got[8].error is None and got[8].params["n"] == 2.5
+
+
 def test_noise_is_keyed_and_about_right(spark):
     params = rows(spark, [(i, "kd", 100.0) for i in range(20)] + [(1, "text", None)], "design_id long, key string, value double")
     noisy = sweep.noisy_parameters(params, 0.15, 100, seed=1)
