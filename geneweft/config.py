@@ -96,6 +96,32 @@ COMPONENT_TEXT = {
 
 GUARD_TEXT = {"blank": "Empty Verilog code provided.", "invalid": "Invalid Verilog: "}
 
+# Feedback of the verdicts; %s takes a state, a number of two decimals or a threshold.
+FEEDBACK_TEXT = {
+    "empty": "【ODE 驗證失敗】無完整的測試結果或目標真值表。",
+    "no_target": "【ODE 驗證失敗】找無目標輸出節點 '%s' 的資料。",
+    "pass": "【ODE 驗證成功】符合預期邏輯行為且 Fold Change 達標。",
+    "leak": "在輸入條件 %s 時，預期輸出為 OFF，但輸出元件的洩漏表現量達 %s a.u. (高於 OFF 閾值 %s)。",
+    "logic": "在輸入條件 %s 時，預期輸出為 ON，但模擬穩態值僅為 %s a.u. (低於 ON 閾值 %s)。電路拓樸可能存在邏輯短路或反轉。",
+    "prefix": "【ODE 驗證失敗】",
+    "fold": " 目前的 Fold Change 僅為 %s 倍。",
+    "leak_advice": "請 Builder 考慮引入更強的阻遏蛋白、增加降解標籤 (Degradation Tag)、或是更換 weaker promoter 降低 Leakage。",
+    "logic_advice": "請重新檢查邏輯閘的級聯關係或增加訊號放大。",
+    "weak_fold": "【ODE 驗證失敗】系統未能達到標準 Fold Change (目前為 %s)。",
+    "sample": "樣本 %s: %s",
+    "sample_burden": "UNINTENDED_BURDEN (Max burden %s > %s)",
+}
+MC_TEXT = {
+    "no samples": "未提供任何模擬數據。",
+    "toxic": "【ODE 驗證失敗】在理想無噪音環境下，您的設計未能通過毒性檢測。",
+    "quiet pass": "【ODE 快速驗證】在理想無噪音環境下，您的設計已通過邏輯與毒性檢測。%s",
+    "logic": "【ODE 驗證失敗】在理想無噪音環境下，您的設計未能通過邏輯檢測。",
+    "mostly toxic": "【ODE 驗證失敗】(UNINTENDED_BURDEN) 在 %s 組變異參數中，有 %s 組因蛋白質總代謝負荷（>%s）引發細胞毒性崩潰。請降低 promoter 強度或加入負回饋。",
+    "pass": "【ODE 壓力測試】在 %s%% 的系統噪音下，經過 %s 次模擬，電路的穩健度為 %s%%（大於或等於及格門檻 %s%%），驗證通過。%s",
+    "not robust": "【ODE 驗證警告】您的設計在壓力測試下未達標。在 %s%% 噪音與 %s 次模擬中，穩健度僅為 %s%% (未能達到及格門檻 %s%%)。建議重點重構電路拓樸或更換啟動子。",
+    "death": " (EXPECTED_DEATH)",
+}
+
 DECISION_TEXT = {
     "decision": "REVISE",
     "error_type": "NONE",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geneweft.config import PENALTY_TEXT, FunctionalConfig, KineticConfig, VerdictConfig, ViabilityConfig
+from geneweft.config import FEEDBACK_TEXT, MC_TEXT, PENALTY_TEXT, FunctionalConfig, KineticConfig, VerdictConfig, ViabilityConfig
 from geneweft.functions import scores as S
 from geneweft.operators.series import SAMPLE, in_tail, is_protein, is_target, max_burden, rise_column, rise_time
 
@@ -458,6 +458,81 @@ def verdict_failures(levels: DataFrame, spec: DataFrame, cfg: VerdictConfig = Ve
     )
 
 
+def two_decimals(x: Column) -> Column:
+    """A number as text with two decimals, ties of the binary value to the even digit."""
+    text = F.call_function("format_number", x, F.lit("0.00"))
+    return F.when(F.isnan(x), F.lit("nan")).when(x == float("inf"), F.lit("inf")).when(x == float("-inf"), F.lit("-inf")).otherwise(text)
+
+
+def verdict_feedback(levels: DataFrame, spec: DataFrame, target: str, cfg: VerdictConfig = VerdictConfig()) -> DataFrame:
+    """The verdict of every sample with ``feedback``: what each failed state missed and what to change.
+
+    Leaking states come before silent ones, each kind by name. A sample without truth table or without the target
+    in one of its states says so instead.
+    """
+    off = F.col("failed") == "OFF"
+    line = F.when(
+        off, F.format_string(FEEDBACK_TEXT["leak"], "state_name", two_decimals(F.col("value")), F.lit(str(cfg.off)))
+    ).otherwise(F.format_string(FEEDBACK_TEXT["logic"], "state_name", two_decimals(F.col("value")), F.lit(str(cfg.on))))
+    failed = verdict_failures(levels, spec, cfg).groupBy(*SAMPLE).agg(
+        # the states of one circuit
+        F.array_sort(F.collect_list(F.struct(F.when(off, 0).otherwise(1).alias("kind"), "state_name", line.alias("line")))).alias("_failed")
+    )
+    tables = spec.select("design_id").distinct().withColumn("_spec", F.lit(True))
+    judged = verdict_from_levels(levels, spec, cfg).join(failed, list(SAMPLE), "left").join(tables, "design_id", "left")
+    advice = lambda count, name: F.when(F.col(count) > 0, F.lit(FEEDBACK_TEXT[name])).otherwise(F.lit(""))
+    fold = two_decimals(F.col("fold_change"))
+    states = F.concat(
+        F.lit(FEEDBACK_TEXT["prefix"]),
+        F.array_join(F.transform("_failed", lambda f: f["line"]), " "),
+        F.format_string(FEEDBACK_TEXT["fold"], fold),
+        advice("leak_failures", "leak_advice"),
+        advice("logic_failures", "logic_advice"),
+    )
+    feedback = (
+        F.when(F.col("_spec").isNull(), F.lit(FEEDBACK_TEXT["empty"]))
+        .when(~F.col("evaluated"), F.lit(FEEDBACK_TEXT["no_target"] % target))
+        .when(F.col("pass"), F.lit(FEEDBACK_TEXT["pass"]))
+        .when(F.col("_failed").isNotNull(), states)
+        .otherwise(F.format_string(FEEDBACK_TEXT["weak_fold"], fold))
+    )
+    return judged.withColumn("feedback", feedback).drop("_failed", "_spec")
+
+
+def sample_feedback(outcomes: DataFrame, feedback: DataFrame, cfg: VerdictConfig = VerdictConfig()) -> DataFrame:
+    """One message per failed sample: its burden where it is toxic, else the feedback of its verdict."""
+    burden = F.format_string(FEEDBACK_TEXT["sample_burden"], two_decimals(F.col("max_burden")), F.lit(str(cfg.toxicity)))
+    failed = outcomes.where(~F.col("pass")).join(feedback.select(*SAMPLE, "feedback"), list(SAMPLE), "left")
+    body = F.when(F.col("toxic"), burden).otherwise(F.col("feedback"))
+    return failed.select(
+        *SAMPLE, "toxic", F.format_string(FEEDBACK_TEXT["sample"], F.col("sample_id").cast("string"), body).alias("message")
+    )
+
+
+def mc_feedback(
+    verdicts: DataFrame, noise: float = 0.05, iterations: int = 10, cfg: VerdictConfig = VerdictConfig()
+) -> DataFrame:
+    """Rows of ``mc_verdict`` (made with the same arguments) with the text of their decision."""
+    death = F.when(F.col("expects_death"), F.lit(MC_TEXT["death"])).otherwise(F.lit(""))
+    rate = F.bround("score", 0).cast("long").cast("string")
+    run = [F.lit(f"{noise * 100:.0f}"), F.lit(str(iterations)), rate, F.lit(str(cfg.pass_threshold))]
+    is_reason = lambda name: F.col("reason") == name
+    if iterations == 1 or noise == 0.0:
+        passed = F.format_string(MC_TEXT["quiet pass"], death)
+    else:
+        passed = F.format_string(MC_TEXT["pass"], *run, death)
+    n, toxic = F.col("n_samples").cast("string"), F.col("toxicity_failures").cast("string")
+    return verdicts.withColumn(
+        "feedback",
+        F.when(is_reason("pass"), passed)
+        .when(is_reason("mostly toxic"), F.format_string(MC_TEXT["mostly toxic"], n, toxic, F.lit(str(cfg.toxicity))))
+        .when(is_reason("not robust"), F.format_string(MC_TEXT["not robust"], *run))
+        .when(is_reason("no samples"), F.lit(MC_TEXT["no samples"]))
+        .when(is_reason("toxic"), F.lit(MC_TEXT["toxic"]))
+        .when(is_reason("logic"), F.lit(MC_TEXT["logic"])),
+    )
+
+
 def sample_outcomes(
     traj: DataFrame, spec: DataFrame, target: str, cfg: VerdictConfig = VerdictConfig(), intents: DataFrame | None = None
 ) -> DataFrame:

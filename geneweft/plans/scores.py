@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geneweft.config import FunctionalConfig, KineticConfig, VerdictConfig, ViabilityConfig
+from geneweft.config import FEEDBACK_TEXT, MC_TEXT, FunctionalConfig, KineticConfig, VerdictConfig, ViabilityConfig
 from geneweft.functions import scores as S
 from geneweft.functions.text import expects_death
 from geneweft.operators import scoring as O
 from geneweft.operators import series
 from geneweft.plans import views as V
-from geneweft.plans.registry import prepared, query, table
+from geneweft.plans.registry import SQL, prepared, query, table
 
 # The readings lie between 98 and 992, so the thresholds are moved there.
 VERDICT = VerdictConfig(on=350.0, off=650.0, toxicity=7000.0)
@@ -391,6 +391,35 @@ def _failures(spark, sf):
     return O.verdict_failures(O.state_levels(points, V.TARGET), V.spec_for(spark, sf, "t1d", V.SPEC_PARTIAL), VERDICT)
 
 
+# levels at six places, so that both engines print the same two
+ROUNDED_SQL = VERDICT_SQL.replace("coalesce(avg(value)", "round(coalesce(avg(value)").replace(", 0) as value\n", ", 0), 6) as value\n")
+_number = "' || printf('%.2f', {}) || '"
+
+
+@query(
+    "verdict_feedback",
+    V.with_sql(
+        *base_sql(),
+        ROUNDED_SQL,
+        f"""missed as (select s.design_id, g.sample_id, string_agg(case when expected = 1
+          then '{FEEDBACK_TEXT["logic"] % ("' || s.state_name || '", _number.format("coalesce(value, 0)"), "350.0")}'
+          else '{FEEDBACK_TEXT["leak"] % ("' || s.state_name || '", _number.format("coalesce(value, 0)"), "650.0")}' end, ' ' order by expected = 1, s.state_name) as lines
+          from spec s join (select distinct design_id, sample_id from states) g using (design_id)
+          left join states l on l.design_id = g.design_id and l.sample_id = g.sample_id and l.state_name = s.state_name
+          where (expected = 1 and coalesce(value, 0) < 350) or (expected <> 1 and coalesce(value, 0) > 650) group by all)""",
+    )
+    + f"""select design_id, sample_id, passed as pass, case when not evaluated then '{(FEEDBACK_TEXT["no_target"] % V.TARGET).replace("'", "''")}'
+      when passed then '{FEEDBACK_TEXT["pass"]}' when lines is not null then '{FEEDBACK_TEXT["prefix"]}' || lines
+        || '{FEEDBACK_TEXT["fold"] % _number.format("fold_change")}' || case when leak_failures > 0 then '{FEEDBACK_TEXT["leak_advice"]}' else '' end
+        || case when logic_failures > 0 then '{FEEDBACK_TEXT["logic_advice"]}' else '' end
+      else '{FEEDBACK_TEXT["weak_fold"] % _number.format("fold_change")}' end as feedback from judged left join missed using (design_id, sample_id)""",
+)
+def _feedback(spark, sf):
+    levels = O.state_levels(V.points(spark, sf, "t1d"), V.TARGET).withColumn("value", F.round("value", 6))
+    spec = V.spec_for(spark, sf, "t1d")
+    return O.verdict_feedback(levels, spec, V.TARGET, VERDICT).select("design_id", "sample_id", "pass", "feedback")
+
+
 OUTCOME_SQL = """burdens as (select design_id, sample_id, greatest(coalesce(max(b), 0), 0) as max_burden from
       (select design_id, sample_id, state_name, seq, sum(value) filter (kind = 'protein') as b from t1d group by all) group by all),
     intents as (select doc_id as design_id, regexp_matches(lower(text), 'lysis|裂解|細胞死亡|suicide|cell death|死亡|凋亡|death') as expects_death from documents),
@@ -434,6 +463,21 @@ def _mc_quiet(spark, sf):
     return O.mc_verdict(outcomes(spark, sf), noise=0.0, iterations=1, cfg=VERDICT, designs=V.spec_for(spark, sf, "t1d"))
 
 
+_run = ("5", "10", "' || cast(cast(round_even(score, 0) as bigint) as varchar) || '", "90.0")
+_death = f"' || case when expects_death then '{MC_TEXT['death']}' else '' end || '"
+
+
+@query(
+    "mc_feedback",
+    f"""select design_id, reason, case reason when 'no samples' then '{MC_TEXT["no samples"]}' when 'pass' then '{MC_TEXT["pass"] % (*_run, _death)}'
+      when 'mostly toxic' then '{MC_TEXT["mostly toxic"] % ("' || n_samples || '", "' || toxicity_failures || '", "7000.0")}'
+      else '{MC_TEXT["not robust"] % _run}' end as feedback from ({SQL["mc_verdict"]})""",
+)
+def _mc_feedback(spark, sf):
+    verdicts = O.mc_verdict(outcomes(spark, sf), cfg=VERDICT, designs=V.spec_for(spark, sf, "t1d"))
+    return O.mc_feedback(verdicts, cfg=VERDICT).select("design_id", "reason", "feedback")
+
+
 @query(
     "failure_sample",
     V.with_sql(*base_sql(), VERDICT_SQL, OUTCOME_SQL)

@@ -536,6 +536,37 @@ def test_truth_table(spark):
     assert got[1][2] == {"a": 0.0, "b": 1.0} and got[4][2] == {}
 
 
+def test_verdict_feedback(spark):
+    levels = rows(spark, [(1, 0, "0", 0.125), (1, 0, "1", 2000.0), (1, 1, "0", 600.125), (1, 1, "1", 30.0), (2, 0, "0", 1.0), (3, 0, "1", 5000.0), (4, 0, "0", 50.0), (4, 0, "1", 1000.0)], LEVELS)
+    levels = levels.withColumn("has_target", F.col("design_id") != 3)
+    spec = rows(spark, [(1, "0", 0), (1, "1", 1), (3, "1", 1), (4, "0", 0), (4, "1", 1), (4, "2", 0)], SPEC)
+    judged = scoring.verdict_feedback(levels, spec, "GFP", VerdictConfig(on=1000.0, off=100.0))
+    got = {(r.design_id, r.sample_id): r.feedback for r in judged.collect()}
+    assert got[1, 0].startswith("【ODE 驗證成功】")
+    parts = got[1, 1].split("。")
+    assert "條件 0 " in parts[0] and "達 600.12 a.u. (高於 OFF 閾值 100.0)" in parts[0]
+    assert "條件 1 " in parts[1] and "僅為 30.00 a.u. (低於 ON 閾值 1000.0)" in parts[1]
+    assert "僅為 0.05 倍" in got[1, 1] and got[1, 1].endswith("增加訊號放大。") and "降解標籤" in got[1, 1]
+    assert "真值表" in got[2, 0] and "'GFP'" in got[3, 0] and got[4, 0].startswith("【ODE 驗證成功】")
+    outcomes = judged.drop("feedback").withColumn("toxic", F.col("design_id") == 2).withColumn("max_burden", F.lit(60000.5))
+    messages = {(r.design_id, r.sample_id): r.message for r in scoring.sample_feedback(outcomes, judged).collect()}
+    assert messages[2, 0] == "樣本 0: UNINTENDED_BURDEN (Max burden 60,000.50 > 50000.0)".replace(",", "")
+    assert messages[1, 1] == "樣本 1: " + got[1, 1] and set(messages) == {(1, 1), (2, 0), (3, 0)}
+
+
+def test_mc_feedback(spark):
+    verdicts = rows(
+        spark, [(1, 8, 3, False, 12.5, "not robust"), (2, 9, 0, True, 100.0, "pass"), (3, 4, 3, False, 0.0, "mostly toxic"), (4, 0, 0, False, 0.0, "no samples")],
+        "design_id long, n_samples long, toxicity_failures long, expects_death boolean, score double, reason string",
+    )
+    got = {r.design_id: r.feedback for r in scoring.mc_feedback(verdicts).collect()}
+    assert "在 5% 噪音與 10 次模擬中，穩健度僅為 12% (未能達到及格門檻 90.0%)" in got[1]
+    assert "穩健度為 100%" in got[2] and got[2].endswith("驗證通過。 (EXPECTED_DEATH)")
+    assert "在 4 組變異參數中，有 3 組" in got[3] and ">50000.0" in got[3] and got[4] == "未提供任何模擬數據。"
+    quiet = {r.design_id: r.feedback for r in scoring.mc_feedback(verdicts, noise=0.0).where("design_id = 2").collect()}
+    assert quiet[2].startswith("【ODE 快速驗證】") and quiet[2].endswith("(EXPECTED_DEATH)")
+
+
 def test_truth_table_over_tasks(spark):
     df = rows(spark, [(1, [f"i{n}" for n in range(14)]), (2, []), (3, None), (4, ["a"])], "design_id long, inputs array<string>")
     flat = lambda t: t.withColumn("state_inputs", F.to_json("state_inputs")).drop("inputs")
