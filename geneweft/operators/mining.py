@@ -66,23 +66,27 @@ def mined_parameters(df: DataFrame, answer: str = "answer", host: str = "host")
     binding defaults; ``error`` holds the first such fault in the order of ``MINED_KEYS``, else null. Further
     members are ignored.
     """
-    text = strip_fences(F.col(answer))
-    members = F.when(is_json(text) & text.startswith("{"), F.from_json(text, MINED))
-
-    def checked(key: Column) -> Column:
-        raw = F.try_element_at(members, key)["raw_value"]
-        number = raw.try_cast("double")
-        norm = normalize_unit(number, F.try_element_at(members, key)["raw_unit"], key)
-        fault = F.when(raw.isNull(), F.lit("no value")).when(number.isNull(), F.lit("not a number")).otherwise(norm["error"])
-        return F.struct(key.alias("key"), norm["value"].alias("value"), F.concat(key, F.lit(": "), fault).alias("error"))
-
-    rows = df.withColumn("_checked", F.transform(F.array(*map(F.lit, MINED_KEYS)), checked))
-    fault = F.filter("_checked", lambda c: c["error"].isNotNull())
-    rows = rows.withColumn(
-        "error", F.when(members.isNull(), F.lit("answer is not a JSON object")).otherwise(F.get(fault, F.lit(0))["error"])
-    )
-    mined = F.map_from_entries(F.transform("_checked", lambda c: F.struct(c["key"], c["value"])))
-    return fallback_parameters(rows.withColumn("params", F.when(F.col("error").isNull(), mined)), "params", host).drop("_checked")
+    # every step is a column of its own: an answer is parsed once, and no step is repeated inside a function over an array
+    rows = df.withColumn("_text", strip_fences(F.col(answer)))
+    whole = is_json(F.col("_text")) & F.col("_text").startswith("{")
+    rows = rows.withColumn("_members", F.when(whole, F.from_json("_text", MINED)))
+    rows = rows.withColumns({f"_raw_{k}": F.try_element_at("_members", F.lit(k)) for k in MINED_KEYS})
+    rows = rows.withColumns({f"_number_{k}": F.col(f"_raw_{k}.raw_value").try_cast("double") for k in MINED_KEYS})
+
+    def norm(key: str) -> Column:
+        return normalize_unit(F.col(f"_number_{key}"), F.col(f"_raw_{key}.raw_unit"), F.lit(key))
+
+    def fault(key: str) -> Column:
+        found = F.when(F.col(f"_raw_{key}.raw_value").isNull(), F.lit("no value"))
+        found = found.when(F.col(f"_number_{key}").isNull(), F.lit("not a number")).otherwise(F.col(f"_norm_{key}.error"))
+        return F.concat(F.lit(f"{key}: "), found)
+
+    rows = rows.withColumns({f"_norm_{k}": norm(k) for k in MINED_KEYS})
+    unread = F.when(F.col("_members").isNull(), F.lit("answer is not a JSON object"))
+    rows = rows.withColumn("error", F.coalesce(unread, *[fault(k) for k in MINED_KEYS]))
+    mined = F.create_map(*[c for k in MINED_KEYS for c in (F.lit(k), F.col(f"_norm_{k}.value"))])
+    mapped = fallback_parameters(rows.withColumn("params", F.when(F.col("error").isNull(), mined)), "params", host)
+    return mapped.drop("_text", "_members", *[f"_{step}_{k}" for step in ("raw", "number", "norm") for k in MINED_KEYS])
 
 
 def page_paragraphs(pages: DataFrame, html: str = "html") -> DataFrame:

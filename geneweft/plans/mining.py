@@ -201,7 +201,9 @@ MINED_ANSWER = f"""case p_partkey % 7 when 0 then concat('```json', chr(10), {MI
 )
 def _mined(spark, sf):
     """Answers with a missing, an unreadable and an unknown member, with trailing text, and none at all."""
-    answers = table(spark, sf, "part").select(
+    # the columns read are a few bytes a row, so that a million rows are one task of a scan; the work on them is dealt to all cores
+    parts = table(spark, sf, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism)
+    answers = parts.select(
         F.col("p_partkey").alias("request_id"), F.expr(REQUEST_HOST).alias("host"), F.expr(MINED_ANSWER).alias("answer")
     )
     value = lambda k: F.try_element_at("params", F.lit(k)).alias(k)
