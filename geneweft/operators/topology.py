@@ -34,8 +34,9 @@ def split_netlists(netlists: DataFrame, text: str = "content") -> tuple[DataFram
     parsed = netlists.select("design_id", F.from_json(text, NETLIST).alias("_n"))
     complete = F.col("_n.nodes").isNotNull() & F.col("_n.edges").isNotNull()
     errors = parsed.where(~F.coalesce(complete, F.lit(False))).select("design_id", F.lit("invalid netlist").alias("error"))
-    # an incomplete netlist explodes to nothing
-    nodes = parsed.select("design_id", F.posexplode(F.when(complete, F.col("_n.nodes"))).alias("pos", "n")).select(
+    # an incomplete netlist has no position; outer, since a condition on the list would parse the texts again to test it
+    unfold = lambda member: F.posexplode_outer(F.when(complete, F.col(f"_n.{member}")))
+    nodes = parsed.select("design_id", unfold("nodes").alias("pos", "n")).where("pos is not null").select(
         "design_id",
         F.col("pos").cast("long").alias("pos"),
         F.col("n.id").alias("node_id"),
@@ -45,7 +46,7 @@ def split_netlists(netlists: DataFrame, text: str = "content") -> tuple[DataFram
         "n.name",
         numbers(F.col("n.parameters")).alias("parameters"),
     )
-    edges = parsed.select("design_id", F.posexplode(F.when(complete, F.col("_n.edges"))).alias("pos", "e")).select(
+    edges = parsed.select("design_id", unfold("edges").alias("pos", "e")).where("pos is not null").select(
         "design_id",
         F.col("pos").cast("long").alias("edge_pos"),
         F.col("e.source").alias("source_id"),
@@ -89,9 +90,8 @@ def interaction_type(source_type: Column, target_type: Column) -> Column:
     return F.when(gate, F.lit("repression")).otherwise(F.lit("expression"))
 
 
-def netlist_interactions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(design, edge_pos, source, target, type, parameters); parameters from the edge, else its source node."""
-    resolved = resolve_edges(nodes, edges)
+def shown_interactions(resolved: DataFrame) -> DataFrame:
+    """Interactions out of edges with both of their nodes."""
     own = F.when(F.size("parameters") > 0, F.col("parameters"))
     inherited = F.when(F.size("source_node.parameters") > 0, F.col("source_node.parameters"))
     return resolved.select(
@@ -104,6 +104,52 @@ def netlist_interactions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def netlist_interactions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(design, edge_pos, source, target, type, parameters); parameters from the edge, else its source node."""
+    return shown_interactions(resolve_edges(nodes, edges))
+
+
+#: Longest netlist text, in bytes, whose edges meet their nodes inside its own row.
+TEXT_BYTES = 1 << 16
+
+
+def text_interactions(netlists: DataFrame, text: str = "content", max_bytes: int = TEXT_BYTES) -> DataFrame:
+    """As :func:`netlist_interactions` over netlist texts, one design per text.
+
+    A text holds all nodes of its edges, so an edge finds its ends in its own row: the text is parsed once and
+    nothing is shuffled. In a row an edge is compared with every node; the texts of huge circuits, longer than
+    ``max_bytes``, are split and joined instead.
+    """
+    short = F.octet_length(text) <= max_bytes
+    parsed = netlists.where(short).select("design_id", F.from_json(text, NETLIST).alias("_n"))
+    held = parsed.select("design_id", "_n.nodes", F.col("_n.nodes.id").alias("_ids"), F.col("_n.nodes.name").alias("_names"), "_n.edges")
+    # outer, since a condition on the edges would parse the texts again to test it; what has no edge finds no ends
+    unfolded = F.posexplode_outer(F.when(F.col("nodes").isNotNull(), F.col("edges"))).alias("pos", "e")
+    edges = held.select("design_id", "nodes", "_ids", "_names", unfolded).select(
+        "design_id",
+        F.col("pos").cast("long").alias("edge_pos"),
+        F.col("e.source").alias("source_id"),
+        F.col("e.target").alias("target_id"),
+        numbers(F.col("e.parameters")).alias("parameters"),
+        "nodes", "_ids", "_names",
+    )
+    zero = F.lit(0).cast("long")
+    for end in ("source", "target"):
+        # positions from 1, 0 where there is none; the first node in order wins
+        by_id, by_name = (F.nullif(F.array_position(c, F.col(f"{end}_id")), zero) for c in ("_ids", "_names"))
+        edges = edges.withColumn(f"_{end}", F.least(by_id, by_name).cast("int"))
+    edges = edges.where("_source is not null and _target is not null")
+    for end in ("source", "target"):
+        edges = edges.withColumn(f"_{end}", F.get("nodes", F.col(f"_{end}") - 1))
+        node = F.col(f"_{end}")
+        shown = pick_first_of(node["gate_name"], node["protein"], node["name"], node["id"])
+        carried = F.struct(shown.alias("shown"), node["node_type"].alias("node_type"), numbers(node["parameters"]).alias("parameters"))
+        edges = edges.withColumn(f"{end}_node", carried)
+    # dealt once for both halves of the join
+    nodes, long_edges, _ = split_netlists(netlists.where(~short).select("design_id", text).repartition("design_id"), text)
+    return shown_interactions(edges).unionByName(netlist_interactions(nodes, long_edges))
+
+
 def netlist_species(nodes: DataFrame) -> DataFrame:
     """(design, pos, name, type) of named nodes."""
     named = nodes.withColumn("species_name", display_name()).where("species_name is not null")
@@ -114,8 +160,8 @@ def netlist_species(nodes: DataFrame) -> DataFrame:
 
 def parse_netlists(netlists: DataFrame, text: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Species, interactions and error rows of netlist texts."""
-    nodes, edges, errors = split_netlists(netlists, text)
-    return netlist_species(nodes), netlist_interactions(nodes, edges), errors
+    nodes, _, errors = split_netlists(netlists, text)
+    return netlist_species(nodes), text_interactions(netlists, text), errors
 
 
 def interaction_sign(kind: Column) -> Column:

@@ -1,6 +1,10 @@
 """Work per row that must not multiply, and memory that must not grow with the tables."""
 
-from geneweft.operators import mining
+import json
+
+from pyspark.sql import functions as F
+
+from geneweft.operators import mining, topology
 
 
 def optimized(df):
@@ -12,3 +16,31 @@ def test_a_mined_answer_is_parsed_once(spark):
     text = optimized(mining.mined_parameters(df.repartition(2)))
     # the result and two tests for trailing text
     assert text.count("from_json(") == 1 and text.count("TryParse") + text.count("parseJson") <= 2 and "transform(" not in text
+
+
+NETLISTS = [
+    ("a", {"nodes": [{"id": "n1", "name": "x", "parameters": {"kd": 1}}, None, {"id": "p", "name": "x", "protein": "P", "node_type": "NOR_GATE"}, {"id": "n1", "gate_name": "late"}],
+           "edges": [{"source": "x", "target": "n1"}, {"source": "n9", "target": "x"}, None, {"source": None, "target": "x"},
+                     {"source": "n1", "target": "p", "parameters": {"n": 2, "t": "text"}}]}),
+    ("b", {"nodes": [{"name": "only"}, {"id": "g", "name": "only"}], "edges": [{"source": "only", "target": "g"}, {"source": "g", "target": "only"}]}),
+    ("c", {"nodes": [{"id": "n"}], "edges": []}),
+    ("d", {"nodes": [{"id": "n"}]}),
+    ("e", {"edges": [{"source": "n", "target": "n"}]}),
+    ("f", {"nodes": [], "edges": [{"source": "n", "target": "n"}]}),
+]
+
+
+def test_edges_meet_their_nodes_in_the_text(spark):
+    rows = [(k, json.dumps(v)) for k, v in NETLISTS] + [("g", None), ("h", ""), ("i", "[1")]
+    texts = spark.createDataFrame(rows, "design_id string, content string")
+    shown = lambda df: sorted(map(repr, df.withColumn("parameters", F.to_json("parameters")).collect()))
+    own, joined = topology.text_interactions(texts), topology.text_interactions(texts, max_bytes=0)
+    assert shown(own) == shown(joined) == shown(topology.text_interactions(texts, max_bytes=120))
+    assert {(r.design_id, r.edge_pos, r.source, r.target, r.type) for r in own.collect()} == {
+        ("a", 0, "x", "x", "expression"), ("a", 4, "x", "P", "repression"),
+        ("b", 0, "only", "only", "expression"), ("b", 1, "only", "only", "expression"),
+    }
+    # one parse before the edges unfold and no exchange on the way of texts of usual length
+    branch = optimized(topology.parse_netlists(texts)[1]).split("Join")[0]
+    assert branch.count("from_json(") == 1 and "Aggregate" not in branch
+    assert optimized(topology.parse_netlists(texts)[0]).count("from_json(") == 1
