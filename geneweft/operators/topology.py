@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geneweft.functions.values import pick_first_of
+from geneweft.operators.skew import dealt
 from geneweft.schemas import NETLIST
 
 
@@ -56,13 +57,16 @@ def split_netlists(netlists: DataFrame, text: str = "content") -> tuple[DataFram
     return nodes, edges, errors
 
 
-def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def resolve_edges(nodes: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Both end nodes of every edge; edges with a missing end are dropped.
 
     An end matches a node by id or by name, and the first node in order wins. The nodes are
     first reduced to one row per (design, id or name), so an edge meets one row per end and
     no OR condition is joined. The edges of a hub node or a huge design land on one key; the
-    lookup side has one row there, so adaptive execution splits such a partition freely.
+    lookup side has one row there.
+
+    Both sides are sorted in their tasks. ``tasks`` deals them into that many, so that what a task holds is
+    the caller's choice (see ``skew.tasks_for``) and does not grow with the tables.
     """
     carried = F.struct(
         F.col("node_id"), display_name().alias("shown"), F.col("node_type"), F.col("parameters")
@@ -70,15 +74,14 @@ def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     by_id = nodes.select("design_id", F.col("node_id").alias("key"), "pos", carried.alias("node"))
     by_name = nodes.select("design_id", F.col("name").alias("key"), "pos", carried.alias("node"))
     first = (
-        by_id.unionByName(by_name)
-        .where("key is not null")
+        dealt(by_id.unionByName(by_name).where("key is not null"), tasks, "design_id", "key")
         .groupBy("design_id", "key")
         .agg(F.min_by("node", "pos").alias("node"))
     )
 
     def attach(rows: DataFrame, end: str) -> DataFrame:
         table = first.select("design_id", F.col("key").alias(f"{end}_id"), F.col("node").alias(f"{end}_node"))
-        return rows.join(table, ["design_id", f"{end}_id"])
+        return dealt(rows, tasks, "design_id", f"{end}_id").join(table, ["design_id", f"{end}_id"])
 
     return attach(attach(edges, "source"), "target")
 
@@ -104,9 +107,9 @@ def shown_interactions(resolved: DataFrame) -> DataFrame:
     )
 
 
-def netlist_interactions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def netlist_interactions(nodes: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """(design, edge_pos, source, target, type, parameters); parameters from the edge, else its source node."""
-    return shown_interactions(resolve_edges(nodes, edges))
+    return shown_interactions(resolve_edges(nodes, edges, tasks))
 
 
 #: Longest netlist text, in bytes, whose edges meet their nodes inside its own row.
@@ -171,19 +174,19 @@ def interaction_sign(kind: Column) -> Column:
     )
 
 
-def regulators(interactions: DataFrame) -> DataFrame:
+def regulators(interactions: DataFrame, tasks: int | None = None) -> DataFrame:
     """Repressors and activators of every target, as ordered lists of distinct sources with their counts.
 
     The lists are bounded by the species of one circuit: sources are reduced per (target, sign,
-    source) before they are collected.
+    source) before they are collected. ``tasks`` as in :func:`resolve_edges`.
     """
+    signed = interactions.withColumn("sign", interaction_sign(F.col("type"))).where("sign is not null")
     per_source = (
-        interactions.withColumn("sign", interaction_sign(F.col("type")))
-        .where("sign is not null")
+        dealt(signed, tasks, "design_id", "target", "sign", "source")
         .groupBy("design_id", "target", "sign", "source")
         .agg(F.count(F.lit(1)).alias("n_edges"), F.min("edge_pos").alias("_p"))
     )
-    return per_source.groupBy("design_id", "target", "sign").agg(
+    return dealt(per_source, tasks, "design_id", "target", "sign").groupBy("design_id", "target", "sign").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("_p", "source", "n_edges"))),
             lambda s: F.struct(s["source"].alias("source"), s["n_edges"].alias("n_edges")),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geneweft.operators.series import points_from_events
-from geneweft.operators.skew import index_points
+from geneweft.operators.skew import dealt, index_points, tasks_for
 from geneweft.plans.registry import table
 
 STATES = ("00_state", "01_state", "10_state", "11_state")
@@ -120,17 +120,20 @@ NODE_TYPE_SQL = (
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
 
 
+def line_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """In how many tasks the line items are sorted and grouped; their number stands in the footers of the files."""
+    return tasks_for(spark, table(spark, sf_dir, "lineitem").count())
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Netlist nodes; an id may have several nodes of different type, the first by type wins."""
-    rows = (
-        table(spark, sf_dir, "lineitem")
-        .select(
-            F.col("l_orderkey").alias("design_id"),
-            F.expr("cast(l_suppkey % 10 as string)").alias("node_id"),
-            F.expr(NODE_TYPE_SQL).alias("node_type"),
-        )
-        .distinct()
+    raw = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("design_id"),
+        F.expr("cast(l_suppkey % 10 as string)").alias("node_id"),
+        F.expr(NODE_TYPE_SQL).alias("node_type"),
     )
+    # few rows repeat, so each task of the scan would hold nearly all of its rows before dealing them
+    rows = dealt(raw, line_tasks(spark, sf_dir), *raw.columns).distinct()
     return rows.select(
         "*",
         F.concat_ws("|", "node_type", "node_id").alias("pos"),
@@ -144,7 +147,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items numbered from 1 inside their order."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
-    return index_points(rows, ["l_orderkey"], LINE_ORDER, "pos", None).withColumn(
+    return index_points(rows, ["l_orderkey"], LINE_ORDER, "pos", None, line_tasks(spark, sf_dir)).withColumn(
         "pos", F.col("pos") + 1
     )
 

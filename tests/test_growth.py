@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from geneweft.operators import mining, topology
 
+SF = "/root/testdata/sf0.001"
+
 
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -44,3 +46,23 @@ def test_edges_meet_their_nodes_in_the_text(spark):
     branch = optimized(topology.parse_netlists(texts)[1]).split("Join")[0]
     assert branch.count("from_json(") == 1 and "Aggregate" not in branch
     assert optimized(topology.parse_netlists(texts)[0]).count("from_json(") == 1
+
+
+def test_dealt_edges_are_the_same_edges(spark):
+    from geneweft.operators.skew import index_points
+    from geneweft.plans import views as V
+
+    nodes, edges = V.nodes(spark, SF), V.edges(spark, SF)
+    plain = topology.netlist_interactions(nodes, edges)
+    parts = topology.netlist_interactions(nodes, edges, 37)
+    shown = lambda df: sorted(map(repr, df.collect()))
+    assert shown(parts) == shown(plain)
+    signed = plain.withColumn("type", F.lit("repress"))
+    assert shown(topology.regulators(signed, 37)) == shown(topology.regulators(signed))
+    # the number of tasks holds at every step that sorts rows, whatever Spark's settings say
+    assert optimized(parts).count("RepartitionByExpression") >= 6 and ", 37" in optimized(parts)
+    # nodes are dealt before their copies are removed, not held by the tasks of the scan
+    assert optimized(nodes).index("Aggregate") < optimized(nodes).index("RepartitionByExpression")
+    raw = spark.createDataFrame([(k, i) for k in ("a", None) for i in range(300)], "k string, t int")
+    got = index_points(raw.repartition(5), ["k"], ["t"], tasks=7)
+    assert all(r.seq == r.t and r.n_points == 300 for r in got.collect()) and got.count() == 600
