@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,8 @@ RESULT = "query_id string, part_id string, distance double"
 DECIMALS = 9
 # Largest side of one block pair.
 BLOCK_ROWS = 4096
+# Numbers in the largest table of distances or of vectors that a task holds on its way.
+STEP_NUMBERS = 1 << 20
 # Bounds of the pivots, which the driver holds and every task gets.
 CELLS, PIVOT_NUMBERS = 4096, 1 << 22
 
@@ -33,17 +36,21 @@ CELLS, PIVOT_NUMBERS = 4096, 1 << 22
 
 
 def embed(df: DataFrame, fn: Callable[[list[str]], list[list[float]]], text: str = "document", batch: int = 64) -> DataFrame:
-    """Add ``embedding`` by calling ``fn`` on at most ``batch`` texts at a time, inside the tasks."""
+    """Add ``embedding`` by calling ``fn`` on at most ``batch`` texts at a time, inside the tasks.
+
+    No more than ``batch`` texts at a time are Python objects; the others stay in their Arrow batch.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for start in range(0, len(frame), batch):
-                piece = frame.iloc[start : start + batch]
-                vectors = fn(piece[text].tolist())
-                yield piece.assign(embedding=[np.asarray(v, dtype=np.float32) for v in vectors])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch):
+                piece = whole.slice(start, batch)
+                vectors = [np.asarray(v, dtype=np.float32) for v in fn(piece.column(text).to_pylist())]
+                made = pa.array(vectors, pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*piece.columns, made], names=[*piece.schema.names, "embedding"])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def hashing_embedder(dim: int = 64, cached_words: int = 1 << 16) -> Callable[[list[str]], list[np.ndarray]]:
@@ -182,8 +189,9 @@ def cell_index(index: DataFrame, metric: str = "l2sq", cells: int | None = None)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for start in range(0, len(frame), BLOCK_ROWS):
-                part = frame.iloc[start : start + BLOCK_ROWS]
+            step = max(1, STEP_NUMBERS // len(shared.value))
+            for start in range(0, len(frame), step):
+                part = frame.iloc[start : start + step]
                 vectors = _placed(_matrix(part["embedding"]), metric)
                 far = _lengths(vectors, shared.value)
                 cell = far.argmin(axis=1)
@@ -239,9 +247,12 @@ def _visits(queries: DataFrame, index: CellIndex, k: int, reach: bool) -> DataFr
                     if metric == "cosine":
                         chosen |= ~first & ((numbers == -1)[None, :] | ~vectors.any(axis=1)[:, None])
                 rows, cols = np.nonzero(chosen)
-                yield pd.DataFrame({
-                    "query_id": part["query_id"].to_numpy()[rows], "embedding": part["embedding"].to_numpy()[rows], "cell": numbers[cols].astype(np.int32),
-                })
+                ids, embeddings = part["query_id"].to_numpy(), part["embedding"].to_numpy()
+                # every visit carries its vector, so that a query of many cells is many times as large as its row
+                step = max(1, STEP_NUMBERS // max(1, vectors.shape[1]))
+                for at in range(0, len(rows), step):
+                    r, c = rows[at : at + step], cols[at : at + step]
+                    yield pd.DataFrame({"query_id": ids[r], "embedding": embeddings[r], "cell": numbers[c].astype(np.int32)})
 
     return queries.mapInPandas(visit, "query_id string, embedding array<double>, cell int")
 

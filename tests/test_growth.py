@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from geneweft.operators import mining, topology
@@ -66,3 +67,24 @@ def test_dealt_edges_are_the_same_edges(spark):
     raw = spark.createDataFrame([(k, i) for k in ("a", None) for i in range(300)], "k string, t int")
     got = index_points(raw.repartition(5), ["k"], ["t"], tasks=7)
     assert all(r.seq == r.t and r.n_points == 300 for r in got.collect()) and got.count() == 600
+
+
+def test_texts_and_visits_stay_in_small_pieces(spark, monkeypatch):
+    from geneweft.operators import retrieval
+
+    texts = spark.range(1000, numPartitions=1).select("id", F.repeat(F.lit("word "), 50).alias("document"))
+    embedded = retrieval.embed(texts, lambda batch: [[float(len(batch))] for _ in batch])
+    assert embedded.schema["embedding"].dataType.simpleString() == "array<float>"
+    assert embedded.agg(F.max(F.col("embedding")[0])).first()[0] == 64
+    # the texts of a whole batch never become Python objects at once
+    plan = embedded._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(400, 4))
+    index = spark.createDataFrame([(f"p{i:03d}", v.tolist()) for i, v in enumerate(vectors)], "part_id string, embedding array<double>")
+    asked = spark.createDataFrame([(f"q{i:02d}", v.tolist()) for i, v in enumerate(vectors[:30])], "query_id string, embedding array<double>")
+    plain = retrieval.knn_join(asked, index, 6)
+    monkeypatch.setattr(retrieval, "STEP_NUMBERS", 40)  # ten visits, two rows against the pivots
+    pruned = retrieval.knn_join(asked, retrieval.cell_index(index), 6)
+    assert sorted(map(repr, pruned.collect())) == sorted(map(repr, plain.collect()))
