@@ -86,7 +86,8 @@ GRAPH_SQL = (V.NODES_SQL, V.LINES_SQL, V.EDGES_SQL, FIRST_SQL)
     V.with_sql(*GRAPH_SQL) + "select design_id, edge_pos, source_node, target_node, source_type, target_type from resolved",
 )
 def _resolve(spark, sf):
-    rows = O.resolve_edges(V.nodes(spark, sf), V.edges(spark, sf), V.line_tasks(spark, sf))
+    tasks = V.line_tasks(spark, sf)
+    rows = O.resolve_edges(V.nodes(spark, sf, tasks), V.edges(spark, sf), tasks)
     return rows.select(
         "design_id", "edge_pos",
         F.col("source_node.node_id").alias("source_node"), F.col("target_node.node_id").alias("target_node"),
@@ -103,7 +104,8 @@ INTERACTION_SQL = """interactions as (select design_id, edge_pos, 's' || source_
     V.with_sql(*GRAPH_SQL, INTERACTION_SQL) + "select design_id, edge_pos, source, target, type from interactions",
 )
 def _topology(spark, sf):
-    return O.netlist_interactions(V.nodes(spark, sf), V.edges(spark, sf), V.line_tasks(spark, sf)).drop("parameters")
+    tasks = V.line_tasks(spark, sf)
+    return O.netlist_interactions(V.nodes(spark, sf, tasks), V.edges(spark, sf), tasks).drop("parameters")
 
 
 @query(
@@ -126,7 +128,7 @@ def _node_species(spark, sf):
 def _regulators(spark, sf):
     """Expression edges stand for activations here, so that both lists are filled."""
     tasks = V.line_tasks(spark, sf)
-    rows = O.netlist_interactions(V.nodes(spark, sf), V.edges(spark, sf), tasks)
+    rows = O.netlist_interactions(V.nodes(spark, sf, tasks), V.edges(spark, sf), tasks)
     acting = rows.withColumn("type", F.when(F.col("type") == "expression", F.lit("activate")).otherwise(F.lit("repress")))
     shown = F.transform("sources", lambda s: F.concat(s["source"], F.lit(":"), s["n_edges"].cast("string")))
     sign = F.col("sign")

@@ -125,15 +125,15 @@ def line_tasks(spark: SparkSession, sf_dir: str) -> int:
     return tasks_for(spark, table(spark, sf_dir, "lineitem").count())
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """Netlist nodes; an id may have several nodes of different type, the first by type wins."""
     raw = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("design_id"),
         F.expr("cast(l_suppkey % 10 as string)").alias("node_id"),
         F.expr(NODE_TYPE_SQL).alias("node_type"),
     )
-    # few rows repeat, so each task of the scan would hold nearly all of its rows before dealing them
-    rows = dealt(raw, line_tasks(spark, sf_dir), *raw.columns).distinct()
+    # few rows repeat, so without ``tasks`` each task of the scan holds nearly all of its rows before dealing them
+    rows = dealt(raw, tasks, *raw.columns).distinct()
     return rows.select(
         "*",
         F.concat_ws("|", "node_type", "node_id").alias("pos"),

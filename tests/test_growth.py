@@ -53,7 +53,7 @@ def test_dealt_edges_are_the_same_edges(spark):
     from geneweft.operators.skew import index_points
     from geneweft.plans import views as V
 
-    nodes, edges = V.nodes(spark, SF), V.edges(spark, SF)
+    nodes, edges = V.nodes(spark, SF, 37), V.edges(spark, SF)
     plain = topology.netlist_interactions(nodes, edges)
     parts = topology.netlist_interactions(nodes, edges, 37)
     shown = lambda df: sorted(map(repr, df.collect()))
