@@ -144,17 +144,17 @@ def nodes(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFra
     )
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """Line items numbered from 1 inside their order."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
-    return index_points(rows, ["l_orderkey"], LINE_ORDER, "pos", None, line_tasks(spark, sf_dir)).withColumn(
+    return index_points(rows, ["l_orderkey"], LINE_ORDER, "pos", None, tasks).withColumn(
         "pos", F.col("pos") + 1
     )
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Netlist edges; targets may be dangling, and every third refers to its node by name."""
-    return lines(spark, sf_dir).select(
+    return lines(spark, sf_dir, line_tasks(spark, sf_dir)).select(
         F.col("l_orderkey").alias("design_id"),
         F.col("pos").alias("edge_pos"),
         F.expr("cast(l_suppkey % 10 as string)").alias("source_id"),
